@@ -1,84 +1,6 @@
-"""Registered queries: each reads the whole given tables through the test
-views and runs one library operator; most have a DuckDB oracle.
-
-``QUERIES[name] = (builder(spark, sf_dir) -> DataFrame, oracle_sql | None)``.
-Parameters (years, date windows, codes) are fixed here so both sides agree.
-"""
+"""All registered queries (importing the modules registers them)."""
 
 from __future__ import annotations
 
-import datetime as dt
-from collections.abc import Callable
-
-from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
-
-from ..functions.dates import filter_sales
-from ..operators import metrics as M
-from ..sources import testviews as V
-from ..sources.testviews import with_views
-
-QUERIES: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str | None]] = {}
-
-
-def register(name: str, oracle: str | None):
-    def deco(fn):
-        QUERIES[name] = (fn, oracle)
-        return fn
-    return deco
-
-
-# Common oracle fragments ----------------------------------------------------
-def money(expr: str) -> str:
-    """Oracle twin of ``edge(dsum(x))``: exact DECIMAL sum as DOUBLE."""
-    return f"CAST(sum({expr}) AS DOUBLE)"
-
-
-def div(num: str, den: str) -> str:
-    """Oracle twin of ``ratio``: double division, NULL on zero."""
-    return f"(CAST({num} AS DOUBLE) / NULLIF(CAST({den} AS DOUBLE), 0))"
-
-
-REPORT_YEAR = 1998
-
-
-# ---------------------------------------------------------------------------
-# D1 / D2 — KPI totals
-# ---------------------------------------------------------------------------
-@register("kpi_totals_by_outlet", with_views(f"""
-SELECT store_location,
-       CAST(coalesce(sum(total_bill), 0) AS DOUBLE) AS total_revenue,
-       CAST(coalesce(sum(transaction_qty), 0) AS BIGINT) AS total_volume,
-       count(transaction_id) AS total_orders,
-       count(DISTINCT transaction_date) AS active_days,
-       {div('coalesce(sum(total_bill), 0)', 'greatest(count(DISTINCT transaction_date), 1)')} AS daily_avg
-FROM pos_lines GROUP BY store_location
-""", "pos_lines"))
-def q_kpi_totals_by_outlet(spark, sf):
-    return M.kpi_totals(V.pos_lines(spark, sf), by=["store_location"])
-
-
-@register("kpi_totals_year", with_views(f"""
-SELECT CAST(coalesce(sum(total_bill), 0) AS DOUBLE) AS total_revenue,
-       CAST(coalesce(sum(transaction_qty), 0) AS BIGINT) AS total_volume,
-       count(transaction_id) AS total_orders,
-       count(DISTINCT transaction_date) AS active_days,
-       {div('coalesce(sum(total_bill), 0)', 'greatest(count(DISTINCT transaction_date), 1)')} AS daily_avg
-FROM pos_lines WHERE transaction_date >= DATE '{REPORT_YEAR}-01-01' AND transaction_date < DATE '{REPORT_YEAR + 1}-01-01'
-""", "pos_lines"))
-def q_kpi_totals_year(spark, sf):
-    return M.kpi_totals(filter_sales(V.pos_lines(spark, sf), time_filter=f"year_{REPORT_YEAR}"))
-
-
-@register("kpi_totals_iced_current_week", with_views("""
-SELECT CAST(coalesce(sum(total_bill), 0) AS DOUBLE) AS total_revenue,
-       CAST(coalesce(sum(transaction_qty), 0) AS BIGINT) AS total_volume,
-       count(transaction_id) AS total_orders,
-       count(DISTINCT transaction_date) AS active_days,
-       (CAST(coalesce(sum(total_bill), 0) AS DOUBLE) / CAST(greatest(count(DISTINCT transaction_date), 1) AS DOUBLE)) AS daily_avg
-FROM pos_events
-WHERE transaction_date >= (SELECT max(transaction_date) FROM pos_events) - INTERVAL 7 DAY
-  AND product_detail ILIKE '%ICED%'
-""", "pos_events"))
-def q_kpi_totals_iced_current_week(spark, sf):
-    return M.kpi_totals(filter_sales(V.pos_events(spark, sf), time_filter="current_week", temp="ICED"))
+from . import q_dashboard  # noqa: F401
+from .registry import QUERIES  # noqa: F401

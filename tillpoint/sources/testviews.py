@@ -403,4 +403,7 @@ def with_views(body: str, *views: str) -> str:
             parts.append(SEASONS_SQL_TEMPLATE.format(v=v[len("seasons_"):]).strip())
         else:
             raise ValueError(v)
-    return "WITH " + ",\n".join(parts) + "\n" + body.strip()
+    body = body.strip()
+    if body[:4].upper() == "WITH":  # merge the query's own CTEs after the views
+        return "WITH " + ",\n".join(parts) + ",\n" + body[4:].lstrip()
+    return "WITH " + ",\n".join(parts) + "\n" + body
