@@ -2,5 +2,5 @@
 
 from __future__ import annotations
 
-from . import q_dashboard  # noqa: F401
+from . import q_analysis, q_dashboard  # noqa: F401
 from .registry import QUERIES  # noqa: F401

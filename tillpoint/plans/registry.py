@@ -34,3 +34,24 @@ def div(num: str, den: str) -> str:
 
 
 REPORT_YEAR = 1998
+
+
+def round_div(num: str, den: str, scale: int) -> str:
+    """Oracle twin of ``exact_round`` for non-negative 2-dp money values:
+    HALF_UP rounding of num/den done in integer (cent) arithmetic."""
+    n = f"CAST(({num}) * 100 AS HUGEINT)"
+    d = f"CAST(({den}) * 100 AS HUGEINT)"
+    k = 10 ** scale
+    return f"(CAST((2 * {n} * {k} + {d}) // NULLIF(2 * {d}, 0) AS DOUBLE) / {k})"
+
+
+def promo_label(code: str) -> str:
+    """Oracle twin of ``shorten_promo_code``."""
+    up = f"upper({code})"
+    for a in ("BOGOF", "BUY1FREE1", "BUY-1-FREE-1"):
+        up = f"replace({up}, '{a}', 'B1F1')"
+    spaced = f"trim(translate({up}, '_-', '  '))"
+    titled = (f"array_to_string(list_transform(regexp_extract_all({spaced}, '(\\p{{L}}+|[^\\p{{L}}]+)', 1), "
+              f"lambda r: upper(r[1]) || lower(r[2:])), '')")
+    return (f"CASE WHEN {code} IS NULL OR {code} = '' OR {code} = 'NONE' THEN 'None' "
+            f"ELSE replace({titled}, 'B1f1', 'B1F1') END")
