@@ -238,8 +238,9 @@ def add_holiday_flag(fact: DataFrame, calendar: DataFrame, date_col: str = "tran
 
 
 def raw_pos(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """lineitem as raw 17-column POS text rows plus a ``source_file`` (one file
-    per ship month). Transaction_ID = orderkey-linenumber, which repeats."""
+    """lineitem as raw 17-column POS text rows plus a ``source_file`` (one
+    export per ship day). Transaction_ID = orderkey-linenumber, which repeats
+    within some days and across many."""
     li = read(spark, sf_dir, "lineitem")
     part = read(spark, sf_dir, "part").select("p_partkey", "p_name", "p_type")
     supp = read(spark, sf_dir, "supplier").select("s_suppkey", "s_nationkey")
@@ -251,7 +252,7 @@ def raw_pos(spark: SparkSession, sf_dir: str) -> DataFrame:
     disc = F.round(gross * F.col("l_discount").cast("decimal(4,2)"), 2).cast(MONEY)
     s = lambda c: c.cast("string")
     return j.select(
-        F.concat(F.lit("pos_"), F.date_format("l_shipdate", "yyyy-MM"), F.lit(".csv")).alias("source_file"),
+        F.concat(F.lit("pos_"), F.date_format("l_shipdate", "yyyy-MM-dd"), F.lit(".csv")).alias("source_file"),
         F.concat(s(F.col("l_orderkey")), F.lit("-"), s(F.col("l_linenumber"))).alias("Transaction_ID"),
         F.date_format("l_shipdate", "yyyy-MM-dd'T'HH:mm:ss").alias("Timestamp"),
         F.concat(F.lit("REG"), s(F.col("l_linenumber"))).alias("Register_ID"),
@@ -399,6 +400,8 @@ def with_views(body: str, *views: str) -> str:
             parts.append(POS_EVENTS_SQL.strip())
         elif v == "branches":
             parts.append(BRANCHES_SQL.strip())
+        elif v == "raw_pos":
+            parts.append(RAW_POS_SQL.strip())
         elif v.startswith("seasons_"):
             parts.append(SEASONS_SQL_TEMPLATE.format(v=v[len("seasons_"):]).strip())
         else:
@@ -407,3 +410,26 @@ def with_views(body: str, *views: str) -> str:
     if body[:4].upper() == "WITH":  # merge the query's own CTEs after the views
         return "WITH " + ",\n".join(parts) + ",\n" + body[4:].lstrip()
     return "WITH " + ",\n".join(parts) + "\n" + body
+
+RAW_POS_SQL = """
+raw_pos AS (
+  SELECT 'pos_' || strftime(l_shipdate, '%Y-%m-%d') || '.csv' AS source_file,
+         CAST(l_orderkey AS VARCHAR) || '-' || CAST(l_linenumber AS VARCHAR) AS Transaction_ID,
+         strftime(l_shipdate, '%Y-%m-%dT%H:%M:%S') AS Timestamp,
+         'REG' || CAST(l_linenumber AS VARCHAR) AS Register_ID, 'Cashier' AS Cashier_Name,
+         lower('BR' || lpad(CAST(s_nationkey AS VARCHAR), 2, '0')) AS Store_ID,
+         ' ' || p_name || ' ' AS Item_Name, p_type AS Item_Category,
+         CAST(CAST(l_quantity AS INTEGER) AS VARCHAR) AS Quantity_Sold,
+         '["' || p_name || '"]' AS Modifiers, l_returnflag AS Order_Type,
+         CAST(CAST(l_extendedprice AS DECIMAL(18,2)) AS VARCHAR) AS Gross_Sales,
+         CAST(CAST(CAST(l_extendedprice AS DECIMAL(18,2))
+              - round(CAST(l_extendedprice AS DECIMAL(18,2)) * CAST(l_discount AS DECIMAL(4,2)), 2) AS DECIMAL(18,2)) AS VARCHAR) AS Net_Sales,
+         CAST(CAST(round(CAST(l_extendedprice AS DECIMAL(18,2)) * CAST(l_discount AS DECIMAL(4,2)), 2) AS DECIMAL(18,2)) AS VARCHAR) AS Discount_Amount,
+         CAST(round(CAST(l_extendedprice AS DECIMAL(18,2)) * CAST(l_tax AS DECIMAL(4,2)), 2) AS VARCHAR) AS Tax_Amount,
+         CASE WHEN l_discount = 0 THEN NULL ELSE 'disc_' || CAST(CAST(round(l_discount * 100) AS INTEGER) AS VARCHAR) END AS Promo_Code,
+         'None' AS Discount_Reason, lower(o_orderpriority) AS Payment_Type
+  FROM lineitem
+  JOIN part ON l_partkey = p_partkey
+  JOIN supplier ON l_suppkey = s_suppkey
+  JOIN orders ON l_orderkey = o_orderkey
+)"""
