@@ -66,7 +66,8 @@ def read_pos_files(spark: SparkSession, paths) -> tuple[DataFrame, DataFrame]:
         if not names:
             continue
         schema = T.StructType([T.StructField(f"_c{i}", T.StringType()) for i in range(len(names))])
-        df = spark.read.option("header", True).option("mode", "PERMISSIVE").schema(schema).csv(files)
+        df = (spark.read.option("header", True).option("mode", "PERMISSIVE").option("escape", "\"")
+              .schema(schema).csv(files))
         df = df.select(*[F.col(f"_c{i}").alias(n) for i, n in enumerate(names)],
                        F.col("_metadata.file_path").alias("source_file"))
         for c in REQUIRED_COLUMNS:
