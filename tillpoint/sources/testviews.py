@@ -191,7 +191,8 @@ def recipes(spark: SparkSession, sf_dir: str) -> DataFrame:
     name = F.col("p_name")
     custom = F.concat(
         F.lit('{"'), F.col("r.p_type"), F.lit(' Syrup (ml)": '), (F.col("r.p_size") % 10).cast("string"),
-        F.lit(', "'), F.col("r.p_brand"), F.lit('": {"val": '), F.round(F.col("r.p_retailprice") / 100, 1).cast("string"),
+        F.lit(', "'), F.col("r.p_brand"), F.lit('": {"val": '), (F.col("r.p_size") / 10).cast("int").cast("string"), F.lit("."),
+        (F.col("r.p_size") % 10).cast("string"),
         F.lit(', "unit": "g"}}'))
     return first.select(
         F.upper(F.trim(name)).alias("item_name"),
@@ -400,6 +401,8 @@ def with_views(body: str, *views: str) -> str:
             parts.append(POS_EVENTS_SQL.strip())
         elif v == "branches":
             parts.append(BRANCHES_SQL.strip())
+        elif v == "recipes":
+            parts.append(RECIPES_SQL.strip())
         elif v == "raw_pos":
             parts.append(RAW_POS_SQL.strip())
         elif v.startswith("seasons_"):
@@ -433,3 +436,18 @@ raw_pos AS (
   JOIN supplier ON l_suppkey = s_suppkey
   JOIN orders ON l_orderkey = o_orderkey
 )"""
+
+RECIPES_SQL = """
+rp AS (SELECT p_name, arg_min(p_size, p_partkey) AS sz, arg_min(p_type, p_partkey) AS ty,
+              arg_min(p_brand, p_partkey) AS br FROM part GROUP BY p_name),
+recipes AS (
+  SELECT upper(trim(p_name)) AS item_name, CAST(sz AS DOUBLE) AS beans_g, CAST(sz AS DOUBLE) * 4 AS milk_ml,
+         CASE WHEN ty = 'PROMO' THEN sz / 2 ELSE 0.0 END AS choco_g,
+         CASE WHEN p_name LIKE 'cold %' THEN CAST(sz AS DOUBLE) * 2 ELSE 0.0 END AS ice_g,
+         CASE WHEN ty = 'LARGE' THEN 5.0 ELSE 0.0 END AS whip_g,
+         CASE WHEN p_name LIKE 'cold %' THEN 'Cold' WHEN p_name LIKE 'hot %' THEN 'Hot' ELSE 'Other' END AS cup_type,
+         '{"' || ty || ' Syrup (ml)": ' || CAST(sz % 10 AS VARCHAR) || ', "' || br || '": {"val": '
+           || CAST(sz // 10 AS VARCHAR) || '.' || CAST(sz % 10 AS VARCHAR) || ', "unit": "g"}}' AS custom_ingredients,
+         1 AS is_active
+  FROM rp WHERE p_name NOT LIKE 'new %'
+)"""
