@@ -401,6 +401,8 @@ def with_views(body: str, *views: str) -> str:
             parts.append(POS_EVENTS_SQL.strip())
         elif v == "branches":
             parts.append(BRANCHES_SQL.strip())
+        elif v == "forecast_like":
+            parts.append(FORECAST_LIKE_SQL.strip())
         elif v == "recipes":
             parts.append(RECIPES_SQL.strip())
         elif v == "raw_pos":
@@ -451,3 +453,28 @@ recipes AS (
          1 AS is_active
   FROM rp WHERE p_name NOT LIKE 'new %'
 )"""
+
+
+def forecast_like(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A stored forecast per (branch, date) derived from orders: predicted =
+    1 % of the day's order value of the branch's customers; bounds ×0.8 / ×1.2."""
+    o = read(spark, sf_dir, "orders").select("o_custkey", "o_orderdate", "o_totalprice")
+    c = read(spark, sf_dir, "customer").select("c_custkey", "c_nationkey")
+    per = (o.join(c, o.o_custkey == c.c_custkey)
+           .groupBy(_branch_code(F.col("c_nationkey")).alias("branch_id"),
+                    F.col("o_orderdate").cast("date").alias("forecast_date"))
+           .agg(F.sum(F.col("o_totalprice").cast(MONEY)).alias("_t")))
+    pred = F.round(F.col("_t") * F.lit(0.01).cast("decimal(3,2)"), 2)
+    return per.select("branch_id", "forecast_date", pred.alias("predicted_revenue"),
+                      F.round(pred * F.lit(0.8).cast("decimal(2,1)"), 2).alias("lower_bound_revenue"),
+                      F.round(pred * F.lit(1.2).cast("decimal(2,1)"), 2).alias("upper_bound_revenue"))
+
+
+FORECAST_LIKE_SQL = """
+forecast_like AS (
+  SELECT branch_id, forecast_date, pred AS predicted_revenue, round(pred * CAST(0.8 AS DECIMAL(2,1)), 2) AS lower_bound_revenue,
+         round(pred * CAST(1.2 AS DECIMAL(2,1)), 2) AS upper_bound_revenue
+  FROM (SELECT 'BR' || lpad(CAST(c_nationkey AS VARCHAR), 2, '0') AS branch_id, CAST(o_orderdate AS DATE) AS forecast_date,
+               round(sum(CAST(o_totalprice AS DECIMAL(18,2))) * CAST(0.01 AS DECIMAL(3,2)), 2) AS pred
+        FROM orders JOIN customer ON o_custkey = c_custkey GROUP BY 1, 2)
+)"""
