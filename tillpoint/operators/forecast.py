@@ -24,6 +24,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.money import dsum
+from ..session import cut_lineage
 from ..functions.text import shorten_promo_code
 from ..functions.weather import encode_weather, unify_label
 from . import calendars as C
@@ -197,7 +198,10 @@ def forecast(fact: DataFrame, branches: DataFrame, as_of: dt.date, holidays: Dat
     hist = daily_history(fact)
     origin = hist.groupBy("branch_id").agg(F.min("ds").alias("origin"))
     pdows = promo_weekdays(fact)
-    train = add_features(hist, origin, holidays, seasons, promo_map, pdows)
+    # The training frame (one row per branch-day) feeds the fit, the residual
+    # pass and the metrics: cut its lineage once (reliable checkpoint in the
+    # shared checkpoint folder) instead of recomputing the fact aggregation.
+    train = cut_lineage(add_features(hist, origin, holidays, seasons, promo_map, pdows))
     model = fit(train)
     scored = score(train, model)
     sigma = residual_sigma(scored)

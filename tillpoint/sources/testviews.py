@@ -102,7 +102,9 @@ def pos_lines(spark: SparkSession, sf_dir: str, calendar: DataFrame | None = Non
         F.col("r_name").alias("state"),
         F.lit("Cloudy").alias("weather_condition"),
     )
-    return add_holiday_flag(out, calendar if calendar is not None else holiday_calendar_from(out))
+    if calendar is None:  # year range from the raw date column only (one pruned column scan)
+        calendar = holiday_calendar_from(li.select(F.col("l_shipdate").cast("date").alias("transaction_date")))
+    return add_holiday_flag(out, calendar)
 
 
 def pos_events(spark: SparkSession, sf_dir: str, calendar: DataFrame | None = None,
@@ -143,7 +145,9 @@ def pos_events(spark: SparkSession, sf_dir: str, calendar: DataFrame | None = No
     if weather_daily is None:
         weather_daily = daylight_conditions(weather_hourly(spark, sf_dir))
     out = attach_weather(out, weather_daily)
-    return add_holiday_flag(out, calendar if calendar is not None else holiday_calendar_from(out))
+    if calendar is None:
+        calendar = holiday_calendar_from(ev.select(F.col("ts").cast("date").alias("transaction_date")))
+    return add_holiday_flag(out, calendar)
 
 
 def weather_hourly(spark: SparkSession, sf_dir: str) -> DataFrame:
