@@ -2,5 +2,5 @@
 
 from __future__ import annotations
 
-from . import q_analysis, q_dashboard, q_forecast, q_ingest, q_report, q_text_inventory  # noqa: F401
+from . import q_analysis, q_dashboard, q_forecast, q_ingest, q_report, q_streaming, q_text_inventory  # noqa: F401
 from .registry import QUERIES  # noqa: F401
