@@ -59,17 +59,21 @@ def time_range(time_filter: str | None, max_date: _dt.date | None):
 
 def sales_predicate(branch: str | None = None, time_filter: str | None = "all",
                     max_date: _dt.date | None = None, temp: str | None = "all",
-                    date_col: str = "transaction_date", branch_col: str = "branch_id",
+                    date_col: str = "transaction_date", branch_col: str = "store_location",
                     detail_col: str = "product_detail") -> Column:
     """Column predicate equivalent to the dashboard WHERE builder.
 
+    ``branch`` is matched against ``branch_col`` — the outlet name on the
+    dashboard (as the reference does), the branch code for per-branch
+    operators (pass ``branch_col="branch_id"``).
     ``temp='ICED'`` keeps details containing 'ICED' case-insensitively;
     ``temp='HOT'`` keeps non-NULL details without it (the NOT LIKE filter drops
     NULL details, unlike the ICED/HOT bucket expression).
     """
     cond = F.lit(True)
     if branch and branch.lower() != "all":
-        cond = cond & (F.col(branch_col) == F.lit(branch.strip().upper()))
+        value = branch.strip().upper() if branch_col == "branch_id" else branch
+        cond = cond & (F.col(branch_col) == F.lit(value))
     lo, hi = time_range(time_filter, max_date)
     if lo is not None:
         cond = cond & (F.col(date_col) >= F.lit(lo))
@@ -84,7 +88,8 @@ def sales_predicate(branch: str | None = None, time_filter: str | None = "all",
 
 
 def filter_sales(fact: DataFrame, branch: str | None = None, time_filter: str | None = "all",
-                 temp: str | None = "all", max_date: _dt.date | None = None) -> DataFrame:
+                 temp: str | None = "all", max_date: _dt.date | None = None,
+                 branch_col: str = "store_location") -> DataFrame:
     """Apply the dashboard predicate; ``current_week`` needs the global max date.
 
     The max date is one aggregate over the (pruned) date column; callers that
@@ -92,7 +97,7 @@ def filter_sales(fact: DataFrame, branch: str | None = None, time_filter: str |
     """
     if (time_filter or "all") == "current_week" and max_date is None:
         max_date = fact.agg(F.max("transaction_date")).first()[0]
-    return fact.filter(sales_predicate(branch, time_filter, max_date, temp))
+    return fact.filter(sales_predicate(branch, time_filter, max_date, temp, branch_col=branch_col))
 
 
 def day_spine(start: Column, end: Column) -> Column:

@@ -339,3 +339,26 @@ def pva_summary(rows: DataFrame) -> DataFrame:
         F.count(F.when(safe, 1)).alias("safe"),
         F.count(F.when(~exceeded & ~off & ~safe, 1)).alias("on_target"),
         F.count(F.when(~exceeded & ~off, 1)).alias("within_range"))
+
+
+def next_forecast_days(forecast_days: DataFrame, fact: DataFrame, n: int = 5, holidays: DataFrame | None = None) -> DataFrame:
+    """Per branch, the next n stored forecast rows after the last sale date of
+    the warehouse (uncorrelated scalar subquery; 1970-01-01 when empty), with
+    holiday and Friday flags."""
+    last = fact.agg(F.coalesce(F.max("transaction_date"), F.lit(dt.date(1970, 1, 1)))).scalar()
+    f = forecast_days.filter(F.col("forecast_date") > last)
+    w = Window.partitionBy("branch_id").orderBy("forecast_date")  # only rows after the cut-off
+    f = f.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= n)
+    if holidays is not None:
+        h = F.broadcast(holidays.select(F.col("holiday_date").alias("_h")).distinct())
+        f = f.join(h, f.forecast_date == h._h, "left").withColumn("is_holiday", F.col("_h").isNotNull()).drop("_h")
+    return f.withColumn("is_friday", F.dayofweek("forecast_date") == 6)
+
+
+def pva_band_status(rows: DataFrame) -> DataFrame:
+    """Documented band status on the variance %: |v| ≤ 5 on target, ≤ 15 safe,
+    beyond → exceeded (positive) / off (negative); no actual → no data."""
+    v = F.col("variance_pct")
+    return rows.withColumn("band_status", F.when(F.col("actual").isNull() | v.isNull(), F.lit("no_data"))
+                           .when(F.abs(v) <= 5, F.lit("on_target")).when(F.abs(v) <= 15, F.lit("safe"))
+                           .when(v > 0, F.lit("exceeded")).otherwise(F.lit("off")))

@@ -137,3 +137,38 @@ FROM r WHERE _act IS NOT NULL
 def q_pva_summary(spark, sf):
     rows = FC.pva_rows(V.forecast_like(spark, sf), V.pos_lines(spark, sf), PVA_FROM, PVA_TO)
     return FC.pva_summary(rows)
+
+
+# D50 / C16 — next five stored forecast rows after the warehouse's last sale
+@register("next_forecast_days", with_views("""
+WITH cut AS (SELECT coalesce(max(transaction_date), DATE '1970-01-01') AS m FROM pos_lines
+             WHERE transaction_date < DATE '1998-07-01'),
+f AS (SELECT *, CAST(row_number() OVER (PARTITION BY branch_id ORDER BY forecast_date) AS INTEGER) AS rank
+      FROM forecast_like WHERE forecast_date > (SELECT m FROM cut))
+SELECT branch_id, forecast_date, CAST(predicted_revenue AS DOUBLE) AS predicted_revenue,
+       CAST(lower_bound_revenue AS DOUBLE) AS lower_bound_revenue, CAST(upper_bound_revenue AS DOUBLE) AS upper_bound_revenue,
+       rank, strftime(forecast_date, '%m-%d') IN ('01-01', '05-01', '08-31', '09-16', '12-25') AS is_holiday,
+       dayofweek(forecast_date) = 5 AS is_friday
+FROM f WHERE rank <= 5
+""", "pos_lines", "forecast_like"))
+def q_next_forecast_days(spark, sf):
+    fact = V.pos_lines(spark, sf)
+    loaded = fact.filter(F.col("transaction_date") < F.lit(dt.date(1998, 7, 1)))
+    fc = V.forecast_like(spark, sf).select(
+        "branch_id", "forecast_date", *[F.col(c).cast("double").alias(c) for c in
+                                        ("predicted_revenue", "lower_bound_revenue", "upper_bound_revenue")])
+    cal = V.holiday_calendar_from(V.read(spark, sf, "orders").select(
+        F.col("o_orderdate").cast("date").alias("transaction_date")))
+    return FC.next_forecast_days(fc, loaded, 5, cal)
+
+
+# P5 — documented variance-band status on the predicted-vs-actual rows
+@register("pva_band_status", with_views(_PVA_BASE + """
+SELECT ds, variance_pct, CASE WHEN actual IS NULL OR variance_pct IS NULL THEN 'no_data'
+            WHEN abs(variance_pct) <= 5 THEN 'on_target' WHEN abs(variance_pct) <= 15 THEN 'safe'
+            WHEN variance_pct > 0 THEN 'exceeded' ELSE 'off' END AS band_status
+FROM r
+""", "pos_lines", "forecast_like"))
+def q_pva_band(spark, sf):
+    rows = FC.pva_rows(V.forecast_like(spark, sf), V.pos_lines(spark, sf), PVA_FROM, PVA_TO)
+    return FC.pva_band_status(rows).select("ds", "variance_pct", "band_status")

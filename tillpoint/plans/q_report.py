@@ -115,3 +115,55 @@ FROM t
 """, "pos_events"))
 def q_snapshot(spark, sf):
     return RP.business_snapshot(V.pos_events(spark, sf))
+
+
+# D37 — one-month deep dive: per-outlet revenue / orders / ticket and growth
+@register("month_brief_outlets", with_views(f"""
+SELECT store_location, CAST(sum(total_bill) AS DOUBLE) AS revenue, count(*) AS orders,
+       {div('sum(total_bill)', 'count(*)')} AS avg_ticket
+FROM pos_lines WHERE transaction_date >= DATE '1998-03-01' AND transaction_date < DATE '1998-04-01' GROUP BY 1
+""", "pos_lines"))
+def q_month_brief_outlets(spark, sf):
+    return RP.month_brief(V.pos_lines(spark, sf), "1998-03")["outlets"]
+
+
+@register("month_brief_growth", with_views(f"""
+WITH a AS (SELECT coalesce(sum(total_bill) FILTER (WHERE transaction_date >= DATE '1998-03-01'), 0) AS c,
+                  coalesce(sum(total_bill) FILTER (WHERE transaction_date < DATE '1998-03-01'), 0) AS p
+           FROM pos_lines WHERE transaction_date >= DATE '1998-02-01' AND transaction_date < DATE '1998-04-01')
+SELECT CAST(c AS DOUBLE) AS revenue, CAST(p AS DOUBLE) AS prev_revenue, {div('(c - p) * 100', 'p')} AS growth_pct FROM a
+""", "pos_lines"))
+def q_month_brief_growth(spark, sf):
+    return RP.month_brief(V.pos_lines(spark, sf), "1998-03")["growth"]
+
+
+# D38 — one-season deep dive per window
+@register("season_brief", with_views(f"""
+WITH d AS (SELECT season_name, CAST(unnest(generate_series(start_date, end_date, INTERVAL 1 DAY)) AS DATE) AS day
+           FROM seasons_pos_lines),
+j AS (SELECT p.*, d.season_name FROM pos_lines p JOIN d ON p.transaction_date = d.day),
+t AS (SELECT season_name, sum(total_bill) AS r, count(*) AS orders, count(DISTINCT transaction_date) AS days FROM j GROUP BY 1),
+o AS (SELECT season_name, arg_max(store_location, (rv, store_location)) AS top_outlet
+      FROM (SELECT season_name, store_location, sum(total_bill) AS rv FROM j GROUP BY 1, 2) GROUP BY 1),
+h AS (SELECT season_name, arg_max(hour, (n, -hour)) AS peak_hour
+      FROM (SELECT season_name, hour, count(*) AS n FROM j GROUP BY 1, 2) GROUP BY 1)
+SELECT t.season_name, CAST(r AS DOUBLE) AS revenue, orders, days, {div('r', 'greatest(days, 1)')} AS daily_avg,
+       top_outlet, peak_hour
+FROM t JOIN o ON t.season_name = o.season_name JOIN h ON t.season_name = h.season_name
+""", "pos_lines", "seasons_pos_lines"))
+def q_season_brief(spark, sf):
+    fact = V.pos_lines(spark, sf)
+    return RP.season_brief(fact, V.season_calendar_from(fact))
+
+
+# B14 / O2 — dashboard filtered by outlet name, year and HOT temperature
+@register("dashboard_outlet_year_hot", with_views(f"""
+SELECT CAST(coalesce(sum(total_bill), 0) AS DOUBLE) AS total_revenue,
+       CAST(coalesce(sum(transaction_qty), 0) AS BIGINT) AS total_volume, count(transaction_id) AS total_orders,
+       count(DISTINCT transaction_date) AS active_days,
+       {div('coalesce(sum(total_bill), 0)', 'greatest(count(DISTINCT transaction_date), 1)')} AS daily_avg
+FROM pos_lines WHERE store_location = 'NATION_7' AND transaction_date >= DATE '1999-01-01'
+  AND transaction_date < DATE '2000-01-01' AND NOT product_detail ILIKE '%ICED%'
+""", "pos_lines"))
+def q_dashboard_filtered(spark, sf):
+    return RP.dashboard(V.pos_lines(spark, sf), outlet="NATION_7", time_filter="year_1999", temp="HOT")["kpis"]

@@ -137,9 +137,7 @@ def executive_report(fact: DataFrame, date_from: dt.date, date_to: dt.date, outl
 
 def dashboard(fact: DataFrame, outlet: str = "all", time_filter: str = "all", temp: str = "all") -> dict[str, DataFrame]:
     """Dashboard bundle for one filter: KPIs, trend, mixes, heatmap, matrix, promos, diagnostics."""
-    f = filter_sales(fact, branch=None, time_filter=time_filter, temp=temp)
-    if outlet and outlet != "all":
-        f = f.filter(F.col("store_location") == outlet)
+    f = filter_sales(fact, branch=outlet, time_filter=time_filter, temp=temp)
     return {
         "kpis": M.kpi_totals(f),
         "trend": M.trend(f, M.trend_grain(time_filter)),
@@ -168,3 +166,48 @@ def business_snapshot(fact: DataFrame) -> DataFrame:
     return tot.select(edge("_r").alias("total_rev"), "total_txns", "first_date", "last_date", "days",
                       ratio("_r", F.greatest("days", F.lit(1))).alias("daily_avg"),
                       top.scalar().alias("top_outlet"), peak.scalar().alias("peak_hour"))
+
+
+def month_brief(fact: DataFrame, month: str) -> dict[str, DataFrame]:
+    """One-month deep dive: totals, per-outlet revenue / orders / ticket size,
+    top-5 items, peak hour, busiest weekday and growth vs the prior month.
+    Month equality is a date range so it prunes partitions."""
+    start = dt.date.fromisoformat(month + "-01")
+    end = dt.date(start.year + (start.month == 12), start.month % 12 + 1, 1)
+    prev = dt.date(start.year - (start.month == 1), (start.month - 2) % 12 + 1, 1)
+    cur = fact.filter((F.col("transaction_date") >= F.lit(start)) & (F.col("transaction_date") < F.lit(end)))
+    two = fact.filter((F.col("transaction_date") >= F.lit(prev)) & (F.col("transaction_date") < F.lit(end)))
+    is_cur = F.col("transaction_date") >= F.lit(start)
+    growth = two.agg(F.coalesce(dsum(F.when(is_cur, F.col("total_bill"))), F.lit(0)).alias("_c"),
+                     F.coalesce(dsum(F.when(~is_cur, F.col("total_bill"))), F.lit(0)).alias("_p")).select(
+        edge("_c").alias("revenue"), edge("_p").alias("prev_revenue"),
+        ratio((F.col("_c") - F.col("_p")) * 100, "_p").alias("growth_pct"))
+    outlets = cur.groupBy("store_location").agg(dsum("total_bill").alias("_r"), F.count("*").alias("orders")).select(
+        "store_location", edge("_r").alias("revenue"), "orders", ratio("_r", "orders").alias("avg_ticket"))
+    bd = breakdowns(cur)
+    return {"totals": M.kpi_totals(cur), "growth": growth, "outlets": outlets,
+            "top_items": top_k(bd, "item", 5, by="qty"), "peak_hour": top_k(bd, "hourly", 1, by="orders"),
+            "busiest_weekday": top_k(bd, "weekday", 1, by="orders")}
+
+
+def season_brief(fact: DataFrame, seasons: DataFrame) -> DataFrame:
+    """Per season window: revenue, orders, trading days, daily average, top
+    outlet and peak hour — one join to the broadcast day table."""
+    from ..operators.season import season_days
+    days = F.broadcast(season_days(seasons))
+    j = fact.join(days, fact.transaction_date == days.day)
+    tot = j.groupBy("season_name").agg(dsum("total_bill").alias("_r"), F.count("*").alias("orders"),
+                                       F.count_distinct("transaction_date").alias("days"))
+    top = (j.groupBy("season_name", "store_location").agg(dsum("total_bill").alias("_o"))
+           .groupBy("season_name").agg(F.max_by("store_location", F.struct("_o", F.col("store_location"))).alias("top_outlet")))
+    peak = (j.groupBy("season_name", "hour").agg(F.count("*").alias("_n"))
+            .groupBy("season_name").agg(F.max_by("hour", F.struct("_n", -F.col("hour"))).alias("peak_hour")))
+    return (tot.join(top, "season_name").join(peak, "season_name")
+            .select("season_name", edge("_r").alias("revenue"), "orders", "days",
+                    ratio("_r", F.greatest("days", F.lit(1))).alias("daily_avg"), "top_outlet", "peak_hour"))
+
+
+def write_sections(sections: dict[str, DataFrame], path: str) -> None:
+    """Report sink: every section as its own Parquet table under section=<name>."""
+    for name, df in sections.items():
+        df.write.mode("overwrite").parquet(f"{path}/section={name}")
