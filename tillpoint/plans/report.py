@@ -20,16 +20,18 @@ from ..operators import diagnostics as D
 from ..operators import metrics as M
 from ..operators import promo as P
 
-# Grouping-set dimensions of the report breakdown, in order.
-BREAKDOWNS = [
-    ("daily", F.date_format("transaction_date", "yyyy-MM-dd")),
-    ("hourly", F.col("hour").cast("string")),
-    ("weekday", dow_sun0("transaction_date").cast("string")),
-    ("outlet", F.col("store_location")),
-    ("category", F.col("product_category")),
-    ("item", F.col("item_name")),
-    ("payment", F.col("payment_method")),
-]
+
+def breakdown_keys() -> list:
+    """Grouping-set dimensions of the report breakdown, in order."""
+    return [
+        ("daily", F.date_format("transaction_date", "yyyy-MM-dd")),
+        ("hourly", F.col("hour").cast("string")),
+        ("weekday", dow_sun0("transaction_date").cast("string")),
+        ("outlet", F.col("store_location")),
+        ("category", F.col("product_category")),
+        ("item", F.col("item_name")),
+        ("payment", F.col("payment_method")),
+    ]
 
 
 def in_range(fact: DataFrame, date_from: dt.date, date_to: dt.date, outlet: str | None = None) -> DataFrame:
@@ -41,15 +43,16 @@ def in_range(fact: DataFrame, date_from: dt.date, date_to: dt.date, outlet: str
 
 def breakdowns(fact: DataFrame) -> DataFrame:
     """(section, key, revenue, orders, qty) for every breakdown, one scan."""
-    keyed = fact.select(*[e.alias(f"k_{n}") for n, e in BREAKDOWNS], "total_bill", "transaction_qty")
-    names = [f"k_{n}" for n, _ in BREAKDOWNS]
+    keys = breakdown_keys()
+    keyed = fact.select(*[e.alias(f"k_{n}") for n, e in keys], "total_bill", "transaction_qty")
+    names = [f"k_{n}" for n, _ in keys]
     g = keyed.groupingSets([[c] for c in names], *names).agg(
         dsum("total_bill").alias("_rev"), F.count("*").alias("orders"),
         F.sum("transaction_qty").cast("bigint").alias("qty"),
         *[F.grouping(c).alias(f"g_{c}") for c in names])
     section = F.lit(None).cast("string")
     key = F.lit(None).cast("string")
-    for n, _ in reversed(BREAKDOWNS):
+    for n, _ in reversed(keys):
         section = F.when(F.col(f"g_k_{n}") == 0, F.lit(n)).otherwise(section)
         key = F.when(F.col(f"g_k_{n}") == 0, F.col(f"k_{n}")).otherwise(key)
     return g.select(section.alias("section"), key.alias("key"), edge("_rev").alias("revenue"), "orders", "qty")
