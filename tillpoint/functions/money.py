@@ -22,9 +22,17 @@ def dec(c) -> Column:
     return _c(c).cast(MONEY)
 
 
+def cents(c) -> Column:
+    """Money as a LONG count of cents (exact for |x| < 9e13)."""
+    return F.round(dec(c).cast("double") * 100).cast("long")
+
+
 def dsum(c) -> Column:
-    """Exact sum of a money column (DECIMAL); 0-row groups give NULL like SQL."""
-    return F.sum(dec(c))
+    """Exact sum of a money column as DECIMAL(28,2); empty groups give NULL.
+
+    Summed as LONG cents (a primitive add in the aggregation buffer instead
+    of DECIMAL objects), rebuilt as DECIMAL once per group."""
+    return (F.sum(cents(c)).cast("decimal(28,0)") / 100).cast("decimal(28,2)")
 
 
 def edge(c, scale: int = 2) -> Column:

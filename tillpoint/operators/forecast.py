@@ -49,18 +49,24 @@ def _not_event_code(code) -> F.Column:
     return cond
 
 
-def promo_weekdays(fact: DataFrame, min_rows: int = 2) -> DataFrame:
-    """(branch_id, dow) where some non-event promo code had > 2 rows (dow 0 = Sunday)."""
+def promo_stats(fact: DataFrame) -> DataFrame:
+    """(branch_id, dow, promo_code, rows, days_active) for non-event codes (dow 0 = Sunday):
+    one aggregate that serves both promo regressors and the weekday labels."""
     dow = (F.dayofweek("transaction_date") - 1).cast("int")
     return (fact.filter(_not_event_code("promo_code")).groupBy("branch_id", dow.alias("dow"), "promo_code")
-            .agg(F.count("*").alias("n")).filter(F.col("n") > min_rows).select("branch_id", "dow").distinct())
+            .agg(F.count("*").alias("rows"), F.count_distinct("transaction_date").alias("days_active")))
 
 
-def promo_patterns(fact: DataFrame, min_days: int = 4) -> DataFrame:
+def promo_weekdays(fact: DataFrame | None = None, min_rows: int = 2, stats: DataFrame | None = None) -> DataFrame:
+    """(branch_id, dow) where some non-event promo code had > 2 rows."""
+    st = stats if stats is not None else promo_stats(fact)
+    return st.filter(F.col("rows") > min_rows).select("branch_id", "dow").distinct()
+
+
+def promo_patterns(fact: DataFrame | None = None, min_days: int = 4, stats: DataFrame | None = None) -> DataFrame:
     """Most active non-event promo code per (branch, weekday) with ≥ 4 distinct days."""
-    dow = (F.dayofweek("transaction_date") - 1).cast("int")
-    agg = (fact.filter(_not_event_code("promo_code")).groupBy("branch_id", dow.alias("dow"), "promo_code")
-           .agg(F.count_distinct("transaction_date").alias("days_active")).filter(F.col("days_active") >= min_days))
+    st = stats if stats is not None else promo_stats(fact)
+    agg = st.filter(F.col("days_active") >= min_days)
     w = Window.partitionBy("branch_id", "dow").orderBy(F.desc("days_active"), "promo_code")
     return agg.withColumn("_r", F.row_number().over(w)).filter("_r = 1").select("branch_id", "dow", "promo_code")
 
@@ -69,11 +75,12 @@ def daily_history(fact: DataFrame) -> DataFrame:
     """(branch_id, ds, y, weather): daily revenue of bills > 0 with the day's
     dominant weather (most rows; tie → label)."""
     pos = fact.filter(F.col("total_bill") > 0)
-    rev = pos.groupBy("branch_id", F.col("transaction_date").alias("ds")).agg(dsum("total_bill").alias("_y"))
-    wc = (pos.groupBy("branch_id", F.col("transaction_date").alias("ds"), "weather_condition")
-          .agg(F.count("*").alias("_n"))
-          .groupBy("branch_id", "ds").agg(F.max_by("weather_condition", F.struct("_n", "weather_condition")).alias("weather")))
-    return rev.join(wc, ["branch_id", "ds"]).select("branch_id", "ds", F.col("_y").cast("double").alias("y"), "weather")
+    # one scan: (branch, day, weather) partials, then per (branch, day)
+    per = (pos.groupBy("branch_id", F.col("transaction_date").alias("ds"), "weather_condition")
+           .agg(dsum("total_bill").alias("_y"), F.count("*").alias("_n")))
+    return (per.groupBy("branch_id", "ds")
+            .agg(F.sum("_y").cast("double").alias("y"),
+                 F.max_by("weather_condition", F.struct("_n", "weather_condition")).alias("weather")))
 
 
 def _flag_join(df: DataFrame, days: DataFrame, name: str) -> DataFrame:
@@ -195,13 +202,16 @@ def forecast(fact: DataFrame, branches: DataFrame, as_of: dt.date, holidays: Dat
     spark = fact.sparkSession
     closed = C.closure_days(events)
     promo_map = C.promo_days(events)
-    hist = daily_history(fact)
+    # The fact is read by exactly three aggregates (daily history, promo
+    # statistics, product mix). The small results (rows per branch-day /
+    # branch-weekday-code) are cut from the lineage once with a reliable
+    # checkpoint in the shared folder, so the fit, residual pass, metrics and
+    # horizon never re-read the fact.
+    hist = cut_lineage(daily_history(fact))
+    stats = cut_lineage(promo_stats(fact))
     origin = hist.groupBy("branch_id").agg(F.min("ds").alias("origin"))
-    pdows = promo_weekdays(fact)
-    # The training frame (one row per branch-day) feeds the fit, the residual
-    # pass and the metrics: cut its lineage once (reliable checkpoint in the
-    # shared checkpoint folder) instead of recomputing the fact aggregation.
-    train = cut_lineage(add_features(hist, origin, holidays, seasons, promo_map, pdows))
+    pdows = promo_weekdays(stats=stats)
+    train = add_features(hist, origin, holidays, seasons, promo_map, pdows)
     model = fit(train)
     scored = score(train, model)
     sigma = residual_sigma(scored)
@@ -250,7 +260,7 @@ def forecast(fact: DataFrame, branches: DataFrame, as_of: dt.date, holidays: Dat
                                        ["branch_id", "forecast_date"], "left")
     hol_names = F.broadcast(holidays.select(F.col("holiday_date").alias("forecast_date"), "holiday_name")
                             .groupBy("forecast_date").agg(F.min("holiday_name").alias("holiday_name")))
-    pats = promo_patterns(fact)
+    pats = promo_patterns(stats=stats)
     pm = F.broadcast(promo_map.select(F.col("day").alias("forecast_date"), F.col("label").alias("_camp")))
     hz = (hz.join(hol_names, "forecast_date", "left").join(pm, "forecast_date", "left")
           .join(pats.select(F.col("branch_id").alias("_pb"), F.col("dow").alias("_dow"), "promo_code"),

@@ -15,6 +15,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.joins import small
+from ..session import cut_lineage
 from ..functions.text import modifiers_text, sku_from_name, upper_trim
 from ..sources.pos_csv import REQUIRED_COLUMNS
 
@@ -172,7 +173,10 @@ def ingest(raw: DataFrame, files: DataFrame, branches: DataFrame, existing_ids:
     Returns ``(new_fact_rows, verdicts)``. ``new_fact_rows`` carries
     ``source_file`` and is ready for ``sinks.append_fact``; ``verdicts`` has
     one row per file with counts, examples and the final status."""
-    std = standardise(raw)
+    # The staged batch feeds several per-file aggregates and the load; it is
+    # cut from the source lineage once (reliable checkpoint in the shared
+    # folder) so the raw files are parsed a single time.
+    std = cut_lineage(standardise(raw))
     checks = file_checks(std, files, branches.filter(F.col("is_active") == 1))
     ok_files = checks.filter(F.col("status").isNull()).select("source_file")
     act = small(branches.filter(F.col("is_active") == 1).select(F.col("branch_code").alias("_code")).distinct())
