@@ -71,6 +71,31 @@ def promo_patterns(fact: DataFrame | None = None, min_days: int = 4, stats: Data
     return agg.withColumn("_r", F.row_number().over(w)).filter("_r = 1").select("branch_id", "dow", "promo_code")
 
 
+def forecast_base(fact: DataFrame) -> DataFrame:
+    """The single scan of the fact the forecast needs: per (branch, day,
+    weather, promo code) the revenue and rows of positive bills and all rows.
+    Daily history and promo statistics are both derived from this small table."""
+    pos = F.col("total_bill") > 0
+    return (fact.groupBy("branch_id", F.col("transaction_date").alias("ds"), "weather_condition", "promo_code")
+            .agg(dsum(F.when(pos, F.col("total_bill"))).alias("rev_pos"),
+                 F.count(F.when(pos, 1)).alias("n_pos"), F.count("*").alias("n_all")))
+
+
+def history_from_base(base: DataFrame) -> DataFrame:
+    per = (base.filter(F.col("n_pos") > 0).groupBy("branch_id", "ds", "weather_condition")
+           .agg(F.sum("rev_pos").alias("_y"), F.sum("n_pos").alias("_n")))
+    return (per.groupBy("branch_id", "ds")
+            .agg(F.sum("_y").cast("double").alias("y"),
+                 F.max_by("weather_condition", F.struct("_n", "weather_condition")).alias("weather")))
+
+
+def promo_stats_from_base(base: DataFrame) -> DataFrame:
+    b = base.filter(_not_event_code("promo_code"))
+    per_day = b.groupBy("branch_id", "ds", "promo_code").agg(F.sum("n_all").alias("_n"))
+    return (per_day.groupBy("branch_id", (F.dayofweek("ds") - 1).cast("int").alias("dow"), "promo_code")
+            .agg(F.sum("_n").alias("rows"), F.count("*").alias("days_active")))
+
+
 def daily_history(fact: DataFrame) -> DataFrame:
     """(branch_id, ds, y, weather): daily revenue of bills > 0 with the day's
     dominant weather (most rows; tie → label)."""
@@ -83,19 +108,36 @@ def daily_history(fact: DataFrame) -> DataFrame:
                  F.max_by("weather_condition", F.struct("_n", "weather_condition")).alias("weather")))
 
 
-def _flag_join(df: DataFrame, days: DataFrame, name: str) -> DataFrame:
-    d = F.broadcast(days.select(F.col("day").alias(f"_{name}")).distinct())
-    return (df.join(d, df.ds == d[f"_{name}"], "left").withColumn(name, F.col(f"_{name}").isNotNull().cast("double"))
-            .drop(f"_{name}"))
+FLAGS = ["holiday", "season", "seasonal_promo", "closed"]
 
 
-def add_features(frame: DataFrame, origin: DataFrame, holidays: DataFrame, seasons: DataFrame,
-                 promo_map: DataFrame, promo_dows: DataFrame) -> DataFrame:
+def day_flags(holidays: DataFrame, seasons: DataFrame, promo_map: DataFrame, closed: DataFrame) -> DataFrame:
+    """One row per calendar day with 0/1 flags (holiday, season, seasonal
+    promo, festive closure) and the promo label — all calendars merged into
+    a single small table (bounded by calendar days, not by data)."""
+    z = F.lit(0.0)
+    o = F.lit(1.0)
+    nolab = F.lit(None).cast("string")
+    parts = [holidays.select(F.col("holiday_date").alias("day"), o.alias("holiday"), z.alias("season"),
+                             z.alias("seasonal_promo"), z.alias("closed"), nolab.alias("promo_label")),
+             C.season_days(seasons).select("day", z, o, z, z, nolab),
+             promo_map.select("day", z, z, o, z, F.col("label")),
+             closed.select("day", z, z, z, o, nolab)]
+    u = parts[0]
+    for p in parts[1:]:
+        u = u.union(p)
+    return u.groupBy("day").agg(*[F.max(c).alias(c) for c in FLAGS], F.max("promo_label").alias("promo_label"))
+
+
+def _join_flags(df: DataFrame, flags: DataFrame, date_col: str = "ds") -> DataFrame:
+    fl = F.broadcast(flags.withColumnRenamed("day", "_fday"))
+    j = df.join(fl, F.col(date_col) == F.col("_fday"), "left").drop("_fday")
+    return j.fillna(0.0, FLAGS)
+
+
+def add_features(frame: DataFrame, origin: DataFrame, flags: DataFrame, promo_dows: DataFrame) -> DataFrame:
     """Feature vector ``x`` (array<double>, order = FEATURES) for (branch_id, ds, weather)."""
-    f = frame.join(origin, "branch_id")
-    f = _flag_join(f, holidays.select(F.col("holiday_date").alias("day")), "holiday")
-    f = _flag_join(f, C.season_days(seasons), "season")
-    f = _flag_join(f, promo_map, "seasonal_promo")
+    f = _join_flags(frame.join(origin, "branch_id"), flags)
     pdw = promo_dows.select(F.col("branch_id").alias("_pb"), F.col("dow").alias("_pd"), F.lit(1.0).alias("_hp"))
     f = (f.join(F.broadcast(pdw), (F.col("branch_id") == F.col("_pb")) & ((F.dayofweek("ds") - 1) == F.col("_pd")), "left")
          .withColumn("hist_promo", F.coalesce("_hp", F.lit(0.0))).drop("_hp", "_pb", "_pd"))
@@ -118,7 +160,12 @@ def normal_equations(train: DataFrame) -> DataFrame:
     return train.groupBy("branch_id").agg(*aggs)
 
 
-def _solve(pdf: pd.DataFrame) -> pd.DataFrame:
+def _solve(batches):
+    for pdf in batches:
+        yield _solve_frame(pdf)
+
+
+def _solve_frame(pdf: pd.DataFrame) -> pd.DataFrame:
     out = []
     for _, r in pdf.iterrows():
         a = np.zeros((P, P))
@@ -134,9 +181,11 @@ def _solve(pdf: pd.DataFrame) -> pd.DataFrame:
 
 
 def fit(train: DataFrame) -> DataFrame:
-    """(branch_id, beta) — the p×p solves run on one aggregated row per branch."""
+    """(branch_id, beta) — the p×p solves run on the aggregated rows, one per branch."""
     ne = normal_equations(train)
-    return ne.groupBy("branch_id").applyInPandas(_solve, "branch_id string, beta array<double>")
+    # rows are already one per branch after the aggregate: solve them where
+    # they are (no second shuffle), a handful of branches per Arrow batch
+    return ne.mapInPandas(_solve, "branch_id string, beta array<double>")
 
 
 def _dot(x, beta) -> F.Column:
@@ -199,25 +248,28 @@ def forecast(fact: DataFrame, branches: DataFrame, as_of: dt.date, holidays: Dat
     ``days`` (history + future rows for the forecast sink), ``horizon`` (the
     future days with labels), ``metrics``, ``items`` (predicted item
     quantities per future day)."""
-    spark = fact.sparkSession
     closed = C.closure_days(events)
-    promo_map = C.promo_days(events)
+    flags = cut_lineage(day_flags(holidays, seasons, C.promo_days(events), closed), "forecast-days")
     # The fact is read by exactly three aggregates (daily history, promo
     # statistics, product mix). The small results (rows per branch-day /
     # branch-weekday-code) are cut from the lineage once with a reliable
     # checkpoint in the shared folder, so the fit, residual pass, metrics and
     # horizon never re-read the fact.
-    hist = cut_lineage(daily_history(fact))
-    stats = cut_lineage(promo_stats(fact))
+    base = cut_lineage(forecast_base(fact), "forecast-base")
+    hist = history_from_base(base)
+    stats = promo_stats_from_base(base)
     origin = hist.groupBy("branch_id").agg(F.min("ds").alias("origin"))
     pdows = promo_weekdays(stats=stats)
-    train = add_features(hist, origin, holidays, seasons, promo_map, pdows)
-    model = fit(train)
+    # The training frame (one row per branch-day) and the model (one row per
+    # branch) feed the fit, residuals, metrics and both scorings: materialise
+    # each once instead of re-deriving them for every output.
+    train = cut_lineage(add_features(hist, origin, flags, pdows), "forecast-train")
+    model = cut_lineage(fit(train), "forecast-model")
     scored = score(train, model)
     sigma = residual_sigma(scored)
     metrics = fit_metrics(scored)
 
-    fut = horizon_dates(hist, closed, as_of, horizon)
+    fut = horizon_dates(train.select("branch_id", "ds"), flags.filter(F.col("closed") == 1.0), as_of, horizon)
     if future_weather is not None:
         fw = future_weather.select("branch_id", F.col("date").alias("ds"),
                                    F.struct(unify_label(F.col("condition")).alias("label"), "temp", "pop",
@@ -230,18 +282,17 @@ def forecast(fact: DataFrame, branches: DataFrame, as_of: dt.date, holidays: Dat
                     F.lit(DEFAULT_WEATHER[2]).alias("pop"), F.lit(DEFAULT_WEATHER[3]).alias("rain_level"))
     fut = fut.withColumn("weather_label", F.coalesce("_w", dflt)).withColumn(
         "weather", F.coalesce("_wc", F.lit(DEFAULT_WEATHER[0]))).drop("_w", "_wc")
-    fut_x = add_features(fut, origin, holidays, seasons, promo_map, pdows)
+    fut_x = add_features(fut, origin, flags, pdows)
     fut_scored = score(fut_x, model)
 
-    allrows = (scored.select("branch_id", "ds", "pred_log", "holiday", F.lit(False).alias("is_future"))
-               .unionByName(fut_scored.select("branch_id", "ds", "pred_log", "holiday", F.lit(True).alias("is_future"))))
+    keep = ["branch_id", "ds", "pred_log", "holiday", "closed", "promo_label"]
+    allrows = (scored.select(*keep, F.lit(False).alias("is_future"))
+               .unionByName(fut_scored.select(*keep, F.lit(True).alias("is_future"))))
     effect = branches.select(F.col("branch_code").alias("branch_id"),
                              F.coalesce("holiday_effect", F.lit(0.0)).alias("holiday_effect"))
-    cl = F.broadcast(closed.select(F.col("day").alias("_cd")).distinct())
-    r = (allrows.join(sigma, "branch_id").join(F.broadcast(effect), "branch_id", "left")
-         .join(cl, F.col("ds") == F.col("_cd"), "left"))
+    r = allrows.join(F.broadcast(sigma), "branch_id").join(F.broadcast(effect), "branch_id", "left")
     is_sun = F.dayofweek("ds") == 1
-    is_fest = F.col("_cd").isNotNull()
+    is_fest = F.col("closed") == 1.0
     closed_flag = is_sun | is_fest
     base = F.greatest(F.lit(0.0), F.expm1("pred_log"))
     uplift = F.when(F.col("holiday") == 1.0,
@@ -254,15 +305,14 @@ def forecast(fact: DataFrame, branches: DataFrame, as_of: dt.date, holidays: Dat
         F.round(F.when(closed_flag, 0.0).otherwise(lo), 2).alias("lower_bound_revenue"),
         F.round(F.when(closed_flag, 0.0).otherwise(hi), 2).alias("upper_bound_revenue"),
         closed_flag.alias("is_closed"), is_fest.alias("is_festive_close"), (F.col("holiday") == 1.0).alias("is_holiday"),
-        (F.dayofweek("ds") == 6).alias("is_friday"))
+        (F.dayofweek("ds") == 6).alias("is_friday"), F.col("promo_label").alias("_camp"))
 
     hz = days.filter("is_future").join(fut.select("branch_id", F.col("ds").alias("forecast_date"), "weather_label"),
                                        ["branch_id", "forecast_date"], "left")
     hol_names = F.broadcast(holidays.select(F.col("holiday_date").alias("forecast_date"), "holiday_name")
                             .groupBy("forecast_date").agg(F.min("holiday_name").alias("holiday_name")))
     pats = promo_patterns(stats=stats)
-    pm = F.broadcast(promo_map.select(F.col("day").alias("forecast_date"), F.col("label").alias("_camp")))
-    hz = (hz.join(hol_names, "forecast_date", "left").join(pm, "forecast_date", "left")
+    hz = (hz.join(hol_names, "forecast_date", "left")
           .join(pats.select(F.col("branch_id").alias("_pb"), F.col("dow").alias("_dow"), "promo_code"),
                 (F.col("branch_id") == F.col("_pb")) & ((F.dayofweek("forecast_date") - 1) == F.col("_dow")), "left")
           .drop("_pb", "_dow"))
@@ -284,7 +334,7 @@ def forecast(fact: DataFrame, branches: DataFrame, as_of: dt.date, holidays: Dat
              .withColumn("quantity", F.col("qty_per_rm") * F.col("predicted_revenue"))
              .filter(F.col("quantity") > 0.001)
              .select("branch_id", "forecast_date", "item_name", "product_id", "product_detail", "quantity"))
-    return {"days": days, "horizon": horizon_df, "metrics": metrics, "items": items, "model": model, "sigma": sigma}
+    return {"days": days.drop("_camp"), "horizon": horizon_df, "metrics": metrics, "items": items, "model": model, "sigma": sigma}
 
 
 def trend_line(daily: DataFrame) -> DataFrame:

@@ -176,7 +176,7 @@ def ingest(raw: DataFrame, files: DataFrame, branches: DataFrame, existing_ids:
     # The staged batch feeds several per-file aggregates and the load; it is
     # cut from the source lineage once (reliable checkpoint in the shared
     # folder) so the raw files are parsed a single time.
-    std = cut_lineage(standardise(raw))
+    std = cut_lineage(standardise(raw), "ingest-stage")
     checks = file_checks(std, files, branches.filter(F.col("is_active") == 1))
     ok_files = checks.filter(F.col("status").isNull()).select("source_file")
     act = small(branches.filter(F.col("is_active") == 1).select(F.col("branch_code").alias("_code")).distinct())

@@ -73,7 +73,7 @@ FROM a WHERE rev <> 0
 """, "pos_lines", "seasons_pos_lines"))
 def q_season_comparison(spark, sf):
     fact = V.pos_lines(spark, sf)
-    return S.seasonal_comparison(fact, V.season_calendar_from(fact))
+    return S.seasonal_comparison(fact, V.season_calendar_from(V.date_source(spark, sf)))
 
 
 # D28 / C11 / C12 — peak hours inside / outside the season windows
@@ -89,13 +89,13 @@ GROUP BY 1, 2, 3
 @register("peak_hours_in_season", with_views(_PEAK_SQL.format(op="IN"), "pos_lines", "seasons_pos_lines"))
 def q_peak_in_season(spark, sf):
     fact = V.pos_lines(spark, sf)
-    return S.peak_hours(S.in_season(fact, V.season_calendar_from(fact), inside=True))
+    return S.peak_hours(S.in_season(fact, V.season_calendar_from(V.date_source(spark, sf)), inside=True))
 
 
 @register("peak_hours_regular", with_views(_PEAK_SQL.format(op="NOT IN"), "pos_lines", "seasons_pos_lines"))
 def q_peak_regular(spark, sf):
     fact = V.pos_lines(spark, sf)
-    return S.peak_hours(S.in_season(fact, V.season_calendar_from(fact), inside=False))
+    return S.peak_hours(S.in_season(fact, V.season_calendar_from(V.date_source(spark, sf)), inside=False))
 
 
 # D29 / E6 / C9 — decline profiler per branch (reference = branch max date)

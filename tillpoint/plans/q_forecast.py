@@ -19,10 +19,10 @@ PVA_FROM, PVA_TO = dt.date(1998, 1, 1), dt.date(1998, 3, 31)
 
 def _forecast(spark, sf):
     fact = V.pos_lines(spark, sf)
-    cal = V.holiday_calendar_from(fact).withColumn("holiday_name", F.col("holiday_name"))
-    seasons = V.season_calendar_from(fact)
+    cal = V.holiday_calendar_from(V.date_source(spark, sf))
+    seasons = V.season_calendar_from(V.date_source(spark, sf))
     events = C.festive_events(spark)
-    mx = fact.agg(F.max("transaction_date")).first()[0]  # one scalar: the run's as-of day
+    mx = V.date_source(spark, sf).agg(F.max("transaction_date")).first()[0]  # the run's as-of day
     return FC.forecast(fact, V.branches(spark, sf), mx + dt.timedelta(days=1), cal, seasons, events)
 
 
@@ -157,7 +157,7 @@ def q_next_forecast_days(spark, sf):
     fc = V.forecast_like(spark, sf).select(
         "branch_id", "forecast_date", *[F.col(c).cast("double").alias(c) for c in
                                         ("predicted_revenue", "lower_bound_revenue", "upper_bound_revenue")])
-    cal = V.holiday_calendar_from(V.read(spark, sf, "orders").select(
+    cal = V.holiday_calendar_from(spark.read.parquet(f"{sf}/orders.parquet").select(
         F.col("o_orderdate").cast("date").alias("transaction_date")))
     return FC.next_forecast_days(fc, loaded, 5, cal)
 

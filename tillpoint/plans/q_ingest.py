@@ -121,4 +121,4 @@ FROM per
 """, "pos_lines"))
 def q_auto_tune(spark, sf):
     fact = V.pos_lines(spark, sf)
-    return T.holiday_effects(fact, V.holiday_calendar_from(fact))
+    return T.holiday_effects(fact, V.holiday_calendar_from(V.date_source(spark, sf)))

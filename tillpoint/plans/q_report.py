@@ -153,7 +153,7 @@ FROM t JOIN o ON t.season_name = o.season_name JOIN h ON t.season_name = h.seaso
 """, "pos_lines", "seasons_pos_lines"))
 def q_season_brief(spark, sf):
     fact = V.pos_lines(spark, sf)
-    return RP.season_brief(fact, V.season_calendar_from(fact))
+    return RP.season_brief(fact, V.season_calendar_from(V.date_source(spark, sf)))
 
 
 # B14 / O2 — dashboard filtered by outlet name, year and HOT temperature

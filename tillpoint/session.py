@@ -65,7 +65,16 @@ def checkpoint_dir(spark: SparkSession) -> str:
     return configured
 
 
-def cut_lineage(df: DataFrame) -> DataFrame:
-    """Reliable checkpoint into the shared checkpoint folder (survives executor loss)."""
-    checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+def cut_lineage(df: DataFrame, name: str = "stage") -> DataFrame:
+    """Materialise ``df`` once as a Parquet table in the shared checkpoint
+    folder and continue from it.
+
+    Survives executor loss (the data lives in shared storage, unlike a local
+    checkpoint), computes the plan exactly once (an eager RDD checkpoint
+    without persist runs it twice) and the re-read table carries real size
+    statistics for the planner."""
+    import uuid
+    spark = df.sparkSession
+    path = os.path.join(checkpoint_dir(spark), "tables", f"{name}-{uuid.uuid4().hex}")
+    df.write.mode("overwrite").parquet(path)
+    return spark.read.parquet(path)

@@ -33,8 +33,23 @@ TEST_HOLIDAY_MONTH_DAYS = ["01-01", "05-01", "08-31", "09-16", "12-25"]
 TEST_SEASON_START, TEST_SEASON_END = "03-01", "03-30"
 
 
+# Fact-like tables whose per-row work dominates (joins, text building).
+SPREAD_TABLES = {"lineitem", "orders", "events"}
+
+
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    df = spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return spread(df) if name in SPREAD_TABLES else df
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """Round-robin a scan that yields fewer splits than the cluster has task
+    slots (e.g. one file written as a single row group) so the per-row work
+    after it runs on every core. A no-op for ordinary multi-split inputs."""
+    slots = df.sparkSession.sparkContext.defaultParallelism
+    if df.rdd.getNumPartitions() < slots:
+        return df.repartition(slots)
+    return df
 
 
 def _branch_code(nationkey) -> F.Column:
@@ -103,7 +118,7 @@ def pos_lines(spark: SparkSession, sf_dir: str, calendar: DataFrame | None = Non
         F.lit("Cloudy").alias("weather_condition"),
     )
     if calendar is None:  # year range from the raw date column only (one pruned column scan)
-        calendar = holiday_calendar_from(li.select(F.col("l_shipdate").cast("date").alias("transaction_date")))
+        calendar = holiday_calendar_from(date_source(spark, sf_dir, "pos_lines"))
     return add_holiday_flag(out, calendar)
 
 
@@ -146,7 +161,7 @@ def pos_events(spark: SparkSession, sf_dir: str, calendar: DataFrame | None = No
         weather_daily = daylight_conditions(weather_hourly(spark, sf_dir))
     out = attach_weather(out, weather_daily)
     if calendar is None:
-        calendar = holiday_calendar_from(ev.select(F.col("ts").cast("date").alias("transaction_date")))
+        calendar = holiday_calendar_from(date_source(spark, sf_dir, "pos_events"))
     return add_holiday_flag(out, calendar)
 
 
@@ -212,26 +227,38 @@ def recipes(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def holiday_calendar_from(fact: DataFrame, date_col: str = "transaction_date") -> DataFrame:
-    """Fixed-date holidays for every year the fact spans (derived from its range)."""
-    yrs = fact.agg(F.min(F.year(date_col)).alias("y0"), F.max(F.year(date_col)).alias("y1"))
-    years = yrs.select(F.explode(F.sequence("y0", "y1")).alias("y"))
-    md = F.array(*[F.lit(x) for x in TEST_HOLIDAY_MONTH_DAYS])
-    return F.broadcast(years.select(F.explode(md).alias("md"), "y").select(
-        F.to_date(F.concat(F.col("y").cast("string"), F.lit("-"), F.col("md"))).alias("holiday_date"),
-        F.concat(F.lit("Holiday "), F.col("md")).alias("holiday_name")))
-
-
-def season_calendar_from(fact: DataFrame, date_col: str = "transaction_date") -> DataFrame:
-    """One season window per year the fact spans: Season YYYY = Mar 1 .. Mar 30."""
-    yrs = fact.agg(F.min(F.year(date_col)).alias("y0"), F.max(F.year(date_col)).alias("y1"))
-    years = yrs.select(F.explode(F.sequence("y0", "y1")).alias("y"))
-    y = F.col("y").cast("string")
-    return F.broadcast(years.select(
-        F.concat(F.lit("Season "), y).alias("season_name"),
-        F.col("y").alias("season_year"),
-        F.to_date(F.concat(y, F.lit("-" + TEST_SEASON_START))).alias("start_date"),
-        F.to_date(F.concat(y, F.lit("-" + TEST_SEASON_END))).alias("end_date")))
+def date_source(spark: SparkSession, sf_dir: str, view: str = "pos_lines") -> DataFrame:
+    """The raw date column behind a view (for deriving calendars cheaply)."""
+    if view == "pos_lines":
+        return spark.read.parquet(f"{sf_dir}/lineitem.parquet").select(
+            F.col("l_shipdate").cast("date").alias("transaction_date"))
+    return spark.read.parquet(f"{sf_dir}/events.parquet").select(F.col("ts").cast("date").alias("transaction_date"))
+
+
+def _year_range(dates: DataFrame, date_col: str) -> tuple[int, int]:
+    r = dates.agg(F.min(F.year(date_col)), F.max(F.year(date_col))).first()  # two numbers
+    return int(r[0]), int(r[1])
+
+
+def holiday_calendar_from(dates: DataFrame, date_col: str = "transaction_date") -> DataFrame:
+    """Fixed-date holidays for every year the data spans. The year range is
+    one two-number aggregate; the calendar itself is a tiny local table
+    (years × 5 rows), so joins with it never re-read the data."""
+    import datetime as _dt
+    y0, y1 = _year_range(dates, date_col)
+    rows = [(_dt.date(y, int(md[:2]), int(md[3:])), f"Holiday {md}")
+            for y in range(y0, y1 + 1) for md in TEST_HOLIDAY_MONTH_DAYS]
+    return dates.sparkSession.createDataFrame(rows, "holiday_date date, holiday_name string")
+
+
+def season_calendar_from(dates: DataFrame, date_col: str = "transaction_date") -> DataFrame:
+    """One season window per year the data spans: Season YYYY = Mar 1 .. Mar 30."""
+    import datetime as _dt
+    y0, y1 = _year_range(dates, date_col)
+    sm, sd = (int(x) for x in TEST_SEASON_START.split("-"))
+    em, ed = (int(x) for x in TEST_SEASON_END.split("-"))
+    rows = [(f"Season {y}", y, _dt.date(y, sm, sd), _dt.date(y, em, ed)) for y in range(y0, y1 + 1)]
+    return dates.sparkSession.createDataFrame(rows, "season_name string, season_year int, start_date date, end_date date")
 
 
 def add_holiday_flag(fact: DataFrame, calendar: DataFrame, date_col: str = "transaction_date") -> DataFrame:
