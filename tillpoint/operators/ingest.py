@@ -152,11 +152,14 @@ def to_fact(rows: DataFrame, branches: DataFrame, weather_daily: DataFrame | Non
 def dedupe_against(incoming: DataFrame, existing_ids: DataFrame | None) -> DataFrame:
     """Flag each incoming row as new or duplicate.
 
-    Duplicate = id already in the warehouse (anti join on the id column only)
-    or seen in an earlier file of the same batch (first file by name wins).
-    Both are shuffles on ``transaction_id``; AQE splits skewed partitions."""
-    w = Window.partitionBy("transaction_id").orderBy("source_file")
-    x = incoming.withColumn("_rank", F.row_number().over(w))
+    Duplicate = id already in the warehouse (join on the id column only) or
+    seen in an earlier file of the same batch (first file by name wins; ids
+    are unique inside an accepted file). The first file per id is a
+    partially aggregated ``min`` — skew-safe even for a hot id — joined back;
+    AQE splits skewed join partitions."""
+    first = incoming.groupBy("transaction_id").agg(F.min("source_file").alias("_first"))
+    x = (incoming.join(first, "transaction_id")
+         .withColumn("_rank", F.when(F.col("source_file") == F.col("_first"), 1).otherwise(2)).drop("_first"))
     if existing_ids is not None:
         e = existing_ids.select(F.col("transaction_id").alias("_eid")).distinct()
         x = x.join(e, x.transaction_id == e._eid, "left").withColumn("_known", F.col("_eid").isNotNull()).drop("_eid")

@@ -149,7 +149,7 @@ def warehouse_profile(fact: DataFrame) -> DataFrame:
 def rows_per_outlet(fact: DataFrame) -> DataFrame:
     """Rows per outlet and their share of all rows (%, 1 dp)."""
     per = fact.groupBy("branch_id").agg(F.count("*").alias("rows"))
-    total = F.sum("rows").over(Window.partitionBy())  # over aggregated rows only
+    total = per.agg(F.sum("rows")).scalar()  # uncorrelated scalar subquery
     return per.select("branch_id", "rows", ratio(F.col("rows") * 100, total).alias("pct"))
 
 

@@ -130,11 +130,12 @@ def chart_flags(msgs: DataFrame, text_col: str = "text") -> DataFrame:
 
 
 def last_turns(msgs: DataFrame, k: int, max_chars: int | None = None) -> DataFrame:
-    """Last k turns per conversation (window over one conversation's turns),
-    bot payload scrubbed and optionally truncated."""
-    w = Window.partitionBy("conv_id").orderBy(F.desc("turn"))
+    """Last k turns per conversation, bot payload scrubbed and optionally
+    truncated. Turn numbers are unique per conversation, so the last k are
+    the turns ≥ the k-th largest — found by k rounds of a partial ``max``
+    (no conversation is ever sorted inside one task)."""
+    from ..functions.joins import top_k_per_key
     text = scrub_chart_payload(F.col("text"))
     if max_chars:
         text = F.substring(text, 1, max_chars)
-    return (msgs.withColumn("_rn", F.row_number().over(w)).filter(F.col("_rn") <= k)
-            .select("conv_id", "turn", "role", text.alias("text")))
+    return top_k_per_key(msgs, ["conv_id"], "turn", k).select("conv_id", "turn", "role", text.alias("text"))

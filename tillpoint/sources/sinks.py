@@ -51,3 +51,14 @@ def append_audit(rows: DataFrame, path: str) -> None:
 
 def read_audit_newest_first(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.parquet(path).orderBy(F.desc("upload_date"), F.desc("filename"))
+
+
+def existing_ids(spark: SparkSession, fact_path: str, months: DataFrame | None = None) -> DataFrame:
+    """Loaded transaction ids for the duplicate check. By default the whole
+    warehouse (the reference checks all ids); pass the batch's months
+    (``month_key`` values) to read only those partitions — valid when an id
+    never changes its date."""
+    fact = spark.read.parquet(fact_path)
+    if months is not None:
+        fact = fact.join(F.broadcast(months.select(FACT_PARTITION).distinct()), FACT_PARTITION, "left_semi")
+    return fact.select("transaction_id")
