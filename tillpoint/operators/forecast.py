@@ -5,9 +5,9 @@ dummies, holiday / season flags, encoded dominant weather and two promotion
 flags (the reference fits a multiplicative model; log space keeps that
 shape). The design matrix is built with column expressions, the normal
 equations X'X and X'y are plain Spark sums grouped by branch (one partial
-aggregate per partition), and only the p×p solve runs in Python — on one
-aggregated row per branch via ``applyInPandas``. History is never gathered
-into one worker. Intervals are deterministic: prediction ± 1.96·σ of the
+aggregate per partition), and only the p×p solve runs in Python — on the
+aggregated rows (one per branch) via ``mapInPandas``. History is never
+gathered into one worker. Intervals are deterministic: prediction ± 1.96·σ of the
 in-sample log residuals.
 
 The business-rule layer around the model (closures, Sundays, holiday
