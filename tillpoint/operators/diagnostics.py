@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.money import dsum, edge, ratio
+from ..session import cut_lineage
 
 # Payday window (day of month, inclusive) and labels.
 PAYDAY_FIRST, PAYDAY_LAST = 25, 28
@@ -89,12 +90,14 @@ def payday_spend(fact: DataFrame) -> DataFrame:
 
 def retention(fact: DataFrame, grain_fmt: str = "yyyy-MM") -> DataFrame:
     """Net / gross per period (%), with the average net line over all periods."""
-    per = (fact.groupBy(F.date_format("transaction_date", grain_fmt).alias("period"))
-           .agg(dsum("gross_sales").alias("_g"), dsum("total_bill").alias("_n")))
+    per = cut_lineage(fact.groupBy(F.date_format("transaction_date", grain_fmt).alias("period"))
+                      .agg(dsum("gross_sales").alias("_g"), dsum("total_bill").alias("_n")), "retention-periods")
+    # the average line is an uncorrelated scalar subquery (computed once,
+    # used as a literal) instead of an unkeyed window that would move every
+    # period row into one task
+    avg_net = per.agg(ratio(F.sum("_n"), F.count("*"))).scalar()
     return per.select("period", edge("_g").alias("gross"), edge("_n").alias("net"),
-                      ratio(F.col("_n") * 100, "_g").alias("retention_pct"),
-                      ratio(F.sum("_n").over(Window.partitionBy()), F.count("*").over(Window.partitionBy()))
-                      .alias("avg_net"))
+                      ratio(F.col("_n") * 100, "_g").alias("retention_pct"), avg_net.alias("avg_net"))
 
 
 def weather_impact(fact: DataFrame) -> DataFrame:

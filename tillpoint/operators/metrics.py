@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from ..functions.dates import dow_mon0, dow_sun0
 from ..functions.money import dsum, edge, ratio
+from ..session import cut_lineage
 
 REV = "total_bill"
 
@@ -37,16 +38,38 @@ def top_outlet_in_month(fact: DataFrame, month_start, month_end) -> DataFrame:
         "store_location", edge("_rev").alias("revenue"))
 
 
+def top_outlet_prev_month(fact: DataFrame) -> DataFrame:
+    """Top outlet of the calendar month before the warehouse's last sale date.
+
+    The fact is aggregated once to (outlet, day); the max date and the
+    month filter are then evaluated on that small materialised table, so
+    the fact is not scanned a second time for the scalar subquery."""
+    daily = cut_lineage(fact.groupBy("store_location", "transaction_date").agg(dsum(REV).alias("_rev")),
+                        "outlet-days")
+    mx = daily.agg(F.max("transaction_date")).scalar()
+    lo, hi = F.trunc(F.add_months(mx, -1), "month"), F.trunc(mx, "month")
+    m = daily.filter((F.col("transaction_date") >= lo) & (F.col("transaction_date") < hi))
+    agg = m.groupBy("store_location").agg(F.sum("_rev").alias("_rev"))
+    return agg.orderBy(F.desc("_rev"), "store_location").limit(1).select(
+        "store_location", edge("_rev").alias("revenue"))
+
+
 def month_over_month(fact: DataFrame) -> DataFrame:
     """Monthly revenue series with the previous month's revenue and % change
     (NULL when the previous month had no sales). The month spine is dense
     between the first and last month so gaps count as 0."""
-    monthly = fact.groupBy(F.trunc("transaction_date", "month").alias("month_start")).agg(dsum(REV).alias("_rev"))
+    # the monthly totals feed the bounds, the spine and the previous-month
+    # join: materialise them once so the fact is scanned exactly once
+    monthly = cut_lineage(fact.groupBy(F.trunc("transaction_date", "month").alias("month_start"))
+                          .agg(dsum(REV).alias("_rev")), "monthly-revenue")
     bounds = monthly.agg(F.min("month_start").alias("lo"), F.max("month_start").alias("hi"))
     spine = bounds.select(F.explode(F.sequence("lo", "hi", F.expr("interval 1 month"))).alias("month_start"))
     dense = spine.join(monthly, "month_start", "left").withColumn("_rev", F.coalesce("_rev", F.lit(0)))
-    w = Window.orderBy("month_start")  # one row per month: tiny, single partition is fine
-    prev = F.lag("_rev").over(w)
+    # previous month by an equi-join on the shifted month key (a keyed,
+    # distributed plan) rather than lag() over one global ordering
+    shifted = dense.select(F.add_months("month_start", 1).alias("month_start"), F.col("_rev").alias("_prev"))
+    dense = dense.join(shifted, "month_start", "left")
+    prev = F.col("_prev")
     return dense.select(
         F.date_format("month_start", "yyyy-MM").alias("month"),
         edge("_rev").alias("revenue"),
@@ -115,8 +138,8 @@ def outlet_period_matrix(fact: DataFrame, grain: str = "month") -> DataFrame:
     The spine is (distinct periods) × (distinct outlets) — both small,
     aggregated sides; the fact itself is aggregated once before the join."""
     fmt = {"month": "yyyy-MM", "year": "yyyy", "day": "yyyy-MM-dd"}[grain]
-    agg = (fact.groupBy(F.date_format("transaction_date", fmt).alias("period"), "store_location")
-           .agg(dsum(REV).alias("_rev"), F.count("*").alias("orders")))
+    agg = cut_lineage(fact.groupBy(F.date_format("transaction_date", fmt).alias("period"), "store_location")
+                      .agg(dsum(REV).alias("_rev"), F.count("*").alias("orders")), "outlet-periods")
     # Periods present form a bounded list (one entry per month/year/day):
     # an uncorrelated scalar subquery, exploded per outlet, gives the spine.
     periods = agg.agg(F.array_sort(F.collect_set("period"))).scalar()
@@ -148,8 +171,8 @@ def warehouse_profile(fact: DataFrame) -> DataFrame:
 
 def rows_per_outlet(fact: DataFrame) -> DataFrame:
     """Rows per outlet and their share of all rows (%, 1 dp)."""
-    per = fact.groupBy("branch_id").agg(F.count("*").alias("rows"))
-    total = per.agg(F.sum("rows")).scalar()  # uncorrelated scalar subquery
+    per = cut_lineage(fact.groupBy("branch_id").agg(F.count("*").alias("rows")), "outlet-rows")
+    total = per.agg(F.sum("rows")).scalar()  # uncorrelated scalar subquery over the small table
     return per.select("branch_id", "rows", ratio(F.col("rows") * 100, total).alias("pct"))
 
 
@@ -209,7 +232,7 @@ def last_n_months_pivot(fact: DataFrame, branches: DataFrame, months: int = 3) -
 
     Outlet name = branch name from the dimension, else the code."""
     m = F.date_format("transaction_date", "yyyy-MM")
-    per = fact.groupBy("branch_id", m.alias("month")).agg(dsum(REV).alias("_rev"))
+    per = cut_lineage(fact.groupBy("branch_id", m.alias("month")).agg(dsum(REV).alias("_rev")), "outlet-months")
     recent = per.select("month").distinct().orderBy(F.desc("month")).limit(months)
     per = per.join(F.broadcast(recent), "month", "left_semi")
     b = branches.select(F.col("branch_code").alias("branch_id"), "branch_name")

@@ -63,9 +63,7 @@ WHERE transaction_date >= CAST(date_trunc('month', (SELECT max(transaction_date)
 GROUP BY store_location ORDER BY sum(total_bill) DESC, store_location LIMIT 1
 """, "pos_lines"))
 def q_top_outlet_prev_month(spark, sf):
-    fact = V.pos_lines(spark, sf)
-    mx = fact.agg(F.max("transaction_date")).scalar()
-    return M.top_outlet_in_month(fact, F.trunc(F.add_months(mx, -1), "month"), F.trunc(mx, "month"))
+    return M.top_outlet_prev_month(V.pos_lines(spark, sf))
 
 
 # D4 / E9 — month-over-month series on a dense month spine
