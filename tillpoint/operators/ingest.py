@@ -85,8 +85,11 @@ def file_checks(std: DataFrame, files: DataFrame, active_branches: DataFrame) ->
         F.count(F.when(F.col("_valid") & F.col("_ts").isNull(), 1)).alias("bad_timestamps"),
         F.count(F.when(F.col("_valid") & F.col("_active"), 1)).alias("rows_active"),
         F.array_sort(F.collect_set(F.when(F.col("_valid"), F.col("Store_ID")))).alias("detected_ids"))
-    dup_ids = (std.filter("_valid").groupBy("source_file", "Transaction_ID").count().filter(F.col("count") > 1)
-               .select("source_file", "Transaction_ID"))
+    # the (file, id) aggregate is the one big shuffle here; its result (the
+    # duplicated ids only) is small and feeds the count and the k example
+    # rounds, so it is materialised once
+    dup_ids = cut_lineage(std.filter("_valid").groupBy("source_file", "Transaction_ID").count()
+                          .filter(F.col("count") > 1).select("source_file", "Transaction_ID"), "ingest-dup-ids")
     dup_count = dup_ids.groupBy("source_file").agg(F.count("*").alias("duplicate_ids"))
     examples = _first_k_ids(dup_ids)
     v = (files.join(per, "source_file", "left").join(dup_count, "source_file", "left")
@@ -168,19 +171,27 @@ def dedupe_against(incoming: DataFrame, existing_ids: DataFrame | None) -> DataF
     return x.withColumn("_dup", F.col("_known") | (F.col("_rank") > 1)).drop("_rank", "_known")
 
 
-def ingest(raw: DataFrame, files: DataFrame, branches: DataFrame, existing_ids: DataFrame | None = None,
+def ingest(raw: DataFrame, files: DataFrame | None, branches: DataFrame, existing_ids: DataFrame | None = None,
            weather_daily: DataFrame | None = None, holidays: DataFrame | None = None,
            zero_coord: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
     """Clean, validate and dedupe raw rows of many files.
 
     Returns ``(new_fact_rows, verdicts)``. ``new_fact_rows`` carries
     ``source_file`` and is ready for ``sinks.append_fact``; ``verdicts`` has
-    one row per file with counts, examples and the final status."""
+    one row per file with counts, examples and the final status.
+
+    ``files`` lists every input file with its ``missing_columns`` (header-only
+    files have no rows, so the CSV reader supplies it from the header scan);
+    ``None`` takes the files present in the batch."""
     # The staged batch feeds several per-file aggregates and the load; it is
     # cut from the source lineage once (reliable checkpoint in the shared
     # folder) so the raw files are parsed a single time.
     std = cut_lineage(standardise(raw), "ingest-stage")
-    checks = file_checks(std, files, branches.filter(F.col("is_active") == 1))
+    if files is None:
+        files = (std.select("source_file").distinct()
+                 .withColumn("missing_columns", F.array().cast("array<string>")))
+    # one row per file, used by the verdicts and by the accepted-file filter
+    checks = cut_lineage(file_checks(std, files, branches.filter(F.col("is_active") == 1)), "ingest-checks")
     ok_files = checks.filter(F.col("status").isNull()).select("source_file")
     act = small(branches.filter(F.col("is_active") == 1).select(F.col("branch_code").alias("_code")).distinct())
     keep = (std.filter("_valid").join(ok_files, "source_file", "left_semi")

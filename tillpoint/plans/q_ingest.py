@@ -17,9 +17,8 @@ LOADED_BEFORE = "1997-01-01"  # warehouse already holds pos_lines ids shipped be
 
 def _ingest(spark, sf):
     raw = V.raw_pos(spark, sf)
-    files = raw.select("source_file").distinct().withColumn("missing_columns", F.array().cast("array<string>"))
     existing = V.pos_lines(spark, sf).filter(F.col("transaction_date") < F.lit(LOADED_BEFORE).cast("date"))
-    return I.ingest(raw, files, V.branches(spark, sf), existing.select("transaction_id"))
+    return I.ingest(raw, None, V.branches(spark, sf), existing.select("transaction_id"))
 
 
 _INGEST_BASE = f"""
