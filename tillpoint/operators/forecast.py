@@ -23,7 +23,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.money import dsum
+from ..functions.money import dsum, edge
 from ..session import cut_lineage
 from ..functions.text import shorten_promo_code
 from ..functions.weather import encode_weather, unify_label
@@ -354,6 +354,41 @@ def history_tail(hist: DataFrame, n: int = 90) -> DataFrame:
     return hist.withColumn("_r", F.row_number().over(w)).filter(F.col("_r") <= n).drop("_r")
 
 
+def fva_rows(fact: DataFrame, stored: DataFrame, n: int = 90) -> DataFrame:
+    """Fitted-vs-actual payload rows: per branch the last n history days
+    (daily revenue of bills > 0) with the stored fitted value floored at 0
+    (0 when absent) and the actual, both exact at 2 dp; rank 1 = latest day.
+    The window runs over aggregated branch-days only."""
+    daily = (fact.filter(F.col("total_bill") > 0).groupBy("branch_id", F.col("transaction_date").alias("ds"))
+             .agg(dsum("total_bill").alias("actual")))
+    w = Window.partitionBy("branch_id").orderBy(F.desc("ds"))
+    tail = daily.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= n)
+    s = stored.select("branch_id", F.col("forecast_date").alias("ds"), F.col("predicted_revenue").alias("_p"))
+    j = tail.join(s, ["branch_id", "ds"], "left")
+    pred = F.round(F.greatest(F.lit(0).cast("decimal(18,2)"), F.coalesce(F.col("_p").cast("decimal(18,2)"),
+                                                                           F.lit(0).cast("decimal(18,2)"))), 2)
+    return j.select("branch_id", "ds", "rank", pred.alias("predicted"), "actual")
+
+
+def fva_window_totals(rows: DataFrame, month: str | None = None, last_n: int = 7) -> DataFrame:
+    """Per branch: cumulative predicted, cumulative actual and the absolute
+    net variance over the export window — the rows of one month (``yyyy-MM``)
+    when given, else the latest ``last_n`` days."""
+    w = rows.filter(F.date_format("ds", "yyyy-MM") == month) if month else rows.filter(F.col("rank") <= last_n)
+    agg = w.groupBy("branch_id").agg(F.count("*").alias("days"), F.sum("predicted").alias("_p"),
+                                     F.sum("actual").alias("_a"))
+    return agg.select("branch_id", "days", F.col("_p").cast("double").alias("total_predicted"),
+                      F.col("_a").cast("double").alias("total_actual"),
+                      F.abs(F.col("_a") - F.col("_p")).cast("double").alias("net_variance"))
+
+
+def expected_revenue(next_days: DataFrame) -> DataFrame:
+    """Per branch: the summed predicted revenue of the upcoming forecast rows
+    (the export's expected 5-day revenue), exact in cents."""
+    return next_days.groupBy("branch_id").agg(F.count("*").alias("days"),
+                                              edge(dsum("predicted_revenue")).alias("expected_revenue"))
+
+
 def pva_rows(forecast_days: DataFrame, fact: DataFrame, date_from: dt.date, date_to: dt.date,
              branch_ids: DataFrame | None = None) -> DataFrame:
     """Predicted vs actual per date in [from, to] (all selected branches summed)."""

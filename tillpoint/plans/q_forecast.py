@@ -15,6 +15,7 @@ from ..sources.testviews import with_views
 from .registry import div, register
 
 PVA_FROM, PVA_TO = dt.date(1998, 1, 1), dt.date(1998, 3, 31)
+LOADED_UNTIL = dt.date(1998, 7, 1)  # history the stored forecast was fitted on
 
 
 def _forecast(spark, sf):
@@ -153,7 +154,7 @@ FROM f WHERE rank <= 5
 """, "pos_lines", "forecast_like"))
 def q_next_forecast_days(spark, sf):
     fact = V.pos_lines(spark, sf)
-    loaded = fact.filter(F.col("transaction_date") < F.lit(dt.date(1998, 7, 1)))
+    loaded = fact.filter(F.col("transaction_date") < F.lit(LOADED_UNTIL))
     fc = V.forecast_like(spark, sf).select(
         "branch_id", "forecast_date", *[F.col(c).cast("double").alias(c) for c in
                                         ("predicted_revenue", "lower_bound_revenue", "upper_bound_revenue")])
@@ -162,6 +163,53 @@ def q_next_forecast_days(spark, sf):
     return FC.next_forecast_days(fc, loaded, 5, cal)
 
 
+# D49 — expected revenue of the next five stored forecast days per branch
+@register("expected_5day_revenue", with_views("""
+WITH cut AS (SELECT coalesce(max(transaction_date), DATE '1970-01-01') AS m FROM pos_lines
+             WHERE transaction_date < DATE '1998-07-01'),
+f AS (SELECT *, row_number() OVER (PARTITION BY branch_id ORDER BY forecast_date) AS rank
+      FROM forecast_like WHERE forecast_date > (SELECT m FROM cut))
+SELECT branch_id, count(*) AS days, CAST(sum(predicted_revenue) AS DOUBLE) AS expected_revenue
+FROM f WHERE rank <= 5 GROUP BY branch_id
+""", "pos_lines", "forecast_like"))
+def q_expected_revenue(spark, sf):
+    loaded = V.pos_lines(spark, sf).filter(F.col("transaction_date") < F.lit(LOADED_UNTIL))
+    fc = V.forecast_like(spark, sf).select("branch_id", "forecast_date",
+                                           F.col("predicted_revenue").cast("double").alias("predicted_revenue"))
+    return FC.expected_revenue(FC.next_forecast_days(fc, loaded, 5))
+
+
+# D49 / I14 / I17 / E4 — fitted-vs-actual export totals over the last 90
+# history days: the latest 7 days, or one month
+_FVA_BASE = """
+WITH d AS (SELECT branch_id, transaction_date AS ds, sum(total_bill) AS actual FROM pos_lines
+           WHERE total_bill > 0 AND transaction_date < DATE '1998-07-01' GROUP BY 1, 2),
+t AS (SELECT *, row_number() OVER (PARTITION BY branch_id ORDER BY ds DESC) AS rank FROM d),
+r AS (SELECT t.branch_id, t.ds, t.rank, round(greatest(coalesce(f.predicted_revenue, 0), 0), 2) AS predicted, t.actual
+      FROM t LEFT JOIN forecast_like f ON t.branch_id = f.branch_id AND t.ds = f.forecast_date WHERE t.rank <= 90)
+SELECT branch_id, count(*) AS days, CAST(sum(predicted) AS DOUBLE) AS total_predicted,
+       CAST(sum(actual) AS DOUBLE) AS total_actual, CAST(abs(sum(actual) - sum(predicted)) AS DOUBLE) AS net_variance
+FROM r WHERE {where} GROUP BY branch_id
+"""
+FVA_MONTH = "1998-05"
+
+
+def _fva(spark, sf):
+    loaded = V.pos_lines(spark, sf).filter(F.col("transaction_date") < F.lit(LOADED_UNTIL))
+    return FC.fva_rows(loaded, V.forecast_like(spark, sf), 90)
+
+
+@register("fva_last7_totals", with_views(_FVA_BASE.format(where="rank <= 7"), "pos_lines", "forecast_like"))
+def q_fva_last7(spark, sf):
+    return FC.fva_window_totals(_fva(spark, sf), last_n=7)
+
+
+@register("fva_month_totals", with_views(_FVA_BASE.format(where=f"strftime(ds, '%Y-%m') = '{FVA_MONTH}'"),
+                                         "pos_lines", "forecast_like"))
+def q_fva_month(spark, sf):
+    return FC.fva_window_totals(_fva(spark, sf), month=FVA_MONTH)
+
+
 # P5 — documented variance-band status on the predicted-vs-actual rows
 @register("pva_band_status", with_views(_PVA_BASE + """
 SELECT ds, variance_pct, CASE WHEN actual IS NULL OR variance_pct IS NULL THEN 'no_data'

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..operators import ingest as I
 from ..operators import tuning as T
-from ..operators.weather_ops import daylight_conditions
+from ..operators.weather_ops import daylight_conditions, forecast_daily_summary, forecast_to_slots
 from ..sources import testviews as V
 from ..sources.testviews import with_views
 from .registry import register
@@ -104,6 +104,29 @@ def q_weather_daylight(spark, sf):
     return daylight_conditions(V.weather_hourly(spark, sf))
 
 
+# D44 / D45 / A13 — forecast documents → 3-hourly slots → daily summary
+# (business hours 9–21: dominant condition, mean temperature, rain chance, level)
+@register("forecast_weather_daily", with_views("""
+WITH s AS (
+  SELECT branch_id, date, hour, temp, pop,
+         CASE WHEN lower(main) IN ('clear') THEN 'Fair / Sunny'
+              WHEN lower(main) IN ('clouds', 'mist', 'haze', 'fog', 'drizzle') THEN 'Cloudy'
+              WHEN lower(main) IN ('rain', 'squall', 'tornado') THEN 'Raining'
+              WHEN lower(main) IN ('thunderstorm') THEN 'Thunderstorm' ELSE 'Cloudy' END AS condition
+  FROM forecast_slots WHERE hour BETWEEN 9 AND 21),
+c AS (SELECT branch_id, date, condition, count(*) AS n FROM s GROUP BY 1, 2, 3),
+d AS (SELECT branch_id, date, condition FROM (
+        SELECT *, row_number() OVER (PARTITION BY branch_id, date ORDER BY n DESC, condition DESC) AS r FROM c)
+      WHERE r = 1),
+m AS (SELECT branch_id, date, avg(temp) AS t, avg(pop) AS p FROM s GROUP BY 1, 2)
+SELECT m.branch_id, m.date, d.condition, round(t, 1) AS temp, round(p, 0) AS pop,
+       CASE WHEN p <= 30 THEN 'Light' WHEN p <= 70 THEN 'Medium' ELSE 'Heavy' END AS rain_level
+FROM m JOIN d ON m.branch_id = d.branch_id AND m.date = d.date
+""", "forecast_slots"))
+def q_forecast_weather(spark, sf):
+    return forecast_daily_summary(forecast_to_slots(V.forecast_weather_docs(spark, sf)))
+
+
 # D34 — holiday auto-tune for all branches in one job
 @register("holiday_auto_tune", with_views("""
 WITH daily AS (SELECT branch_id, transaction_date, sum(total_bill) AS rev, max(is_public_holiday) AS h

@@ -13,6 +13,8 @@ whole tables; nothing is sampled.
 * ``branches`` / ``recipes`` / calendars — dimensions derived from nation,
   region, part and the fact's own year range.
 * ``raw_pos`` — lineitem re-expressed as the 17 raw text columns (ingest input).
+* ``forecast_weather_docs`` — forecast-service style documents, one per event
+  (a single 3-hourly entry: time, main condition, temperature, rain chance).
 """
 
 from __future__ import annotations
@@ -29,6 +31,8 @@ MONEY = "decimal(18,2)"
 WMO_CODES = [0, 1, 2, 3, 45, 48, 51, 53, 55, 61, 63, 65, 80, 95, 96, 99]
 # Month-day of the fixed-date holidays of the test calendar.
 TEST_HOLIDAY_MONTH_DAYS = ["01-01", "05-01", "08-31", "09-16", "12-25"]
+# Forecast-service main conditions assigned to events by k mod 8 (test-view rule).
+FORECAST_MAINS = ["Clear", "Clouds", "Rain", "Thunderstorm", "Mist", "Drizzle", "Haze", "Snow"]
 # Test season: one window per year, March 1 .. March 30 ("Season YYYY").
 TEST_SEASON_START, TEST_SEASON_END = "03-01", "03-30"
 
@@ -179,6 +183,24 @@ def weather_hourly(spark: SparkSession, sf_dir: str) -> DataFrame:
                     (F.col("value").cast(MONEY) * F.lit(0.01).cast("decimal(3,2)")).alias("precipitation")))
 
 
+def forecast_weather_docs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One forecast document per event with a single entry. Temperatures step
+    by 0.5 °C and rain chances by 0.25 (every 13th event has none), so means
+    and band thresholds are exact in any engine."""
+    ev = read(spark, sf_dir, "events")
+    cust = read(spark, sf_dir, "customer").select("c_custkey", "c_nationkey")
+    k = F.get_json_object(F.col("props"), "$.k").cast("bigint")
+    mains = F.array(*[F.lit(m) for m in FORECAST_MAINS])
+    eid = F.col("event_id")
+    entry = F.struct(
+        F.date_format("ts", "yyyy-MM-dd HH:mm:ss").alias("dt_txt"),
+        F.array(F.struct(F.element_at(mains, (k % len(FORECAST_MAINS) + 1).cast("int")).alias("main"))).alias("weather"),
+        F.struct(((eid % 20).cast("double") * F.lit(0.5) + F.lit(24.0)).alias("temp")).alias("main"),
+        F.when(eid % 13 == 0, F.lit(None).cast("double")).otherwise((eid % 5).cast("double") * F.lit(0.25)).alias("pop"))
+    return (ev.join(cust, ev.user_id == cust.c_custkey)
+            .select(_branch_code(F.col("c_nationkey")).alias("branch_id"), F.array(entry).alias("list")))
+
+
 def branches(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Outlet dimension: one outlet per nation; region 4 outlets are inactive."""
     n = read(spark, sf_dir, "nation")
@@ -405,6 +427,16 @@ pos_events AS (
     ON b.branch_id = w.branch_id AND b.transaction_date = w.date
 )"""
 
+FORECAST_SLOTS_SQL = f"""
+forecast_slots AS (
+  SELECT 'BR' || lpad(CAST(c_nationkey AS VARCHAR), 2, '0') AS branch_id,
+         CAST(ts AS DATE) AS date, CAST(hour(ts) AS INTEGER) AS hour,
+         ([{', '.join(repr(m) for m in FORECAST_MAINS)}])[CAST(json_extract_string(props, '$.k') AS BIGINT) % {len(FORECAST_MAINS)} + 1] AS main,
+         CAST(event_id % 20 AS DOUBLE) * 0.5 + 24.0 AS temp,
+         coalesce(CASE WHEN event_id % 13 = 0 THEN NULL ELSE CAST(event_id % 5 AS DOUBLE) * 0.25 END, 0.0) * 100 AS pop
+  FROM events JOIN customer ON user_id = c_custkey
+)"""
+
 SEASONS_SQL_TEMPLATE = """
 seasons_{v} AS (
   SELECT 'Season ' || CAST(y AS VARCHAR) AS season_name, y AS season_year,
@@ -438,6 +470,8 @@ def with_views(body: str, *views: str) -> str:
             parts.append(RECIPES_SQL.strip())
         elif v == "raw_pos":
             parts.append(RAW_POS_SQL.strip())
+        elif v == "forecast_slots":
+            parts.append(FORECAST_SLOTS_SQL.strip())
         elif v.startswith("seasons_"):
             parts.append(SEASONS_SQL_TEMPLATE.format(v=v[len("seasons_"):]).strip())
         else:
