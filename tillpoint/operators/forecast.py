@@ -228,11 +228,23 @@ def horizon_dates(history: DataFrame, closed: DataFrame, as_of: dt.date, horizon
                              F.explode(F.sequence(start, F.date_add(start, horizon - 1))).alias("ds"))
 
 
-def product_mix(fact: DataFrame, window_days: int = 30) -> DataFrame:
+def product_mix(fact: DataFrame, window_days: int = 30, last_days: DataFrame | None = None) -> DataFrame:
     """Per branch: items sold since (branch max date − 30 days) with
-    qty_per_rm = item quantity / revenue of all items (0 → 1)."""
-    mx = fact.groupBy("branch_id").agg(F.max("transaction_date").alias("_mx"))
-    recent = fact.join(F.broadcast(mx), "branch_id").filter(F.col("transaction_date") >= F.date_sub("_mx", window_days))
+    qty_per_rm = item quantity / revenue of all items (0 → 1).
+
+    ``last_days`` (branch_id, last) may come from an already materialised
+    per-branch-day table; then the fact is scanned once, and only from the
+    earliest window start on — one date literal that reaches the Parquet
+    scan as a pushed filter / partition bound."""
+    if last_days is None:
+        mx = fact.groupBy("branch_id").agg(F.max("transaction_date").alias("_mx"))
+        recent = fact
+    else:
+        mx = last_days.select("branch_id", F.col("last").alias("_mx"))
+        lo = mx.agg(F.min(F.date_sub("_mx", window_days))).first()[0]  # one date (small materialised input)
+        recent = fact if lo is None else fact.filter(F.col("transaction_date") >= F.lit(lo))
+    # one row per branch: a bounded broadcast side
+    recent = recent.join(F.broadcast(mx), "branch_id").filter(F.col("transaction_date") >= F.date_sub("_mx", window_days))
     agg = recent.groupBy("branch_id", "item_name", "product_id", "product_detail").agg(
         F.sum("transaction_qty").alias("total_qty"), dsum("total_bill").alias("total_rev"))
     tot = F.sum("total_rev").over(Window.partitionBy("branch_id"))  # aggregated rows of one branch
@@ -294,9 +306,9 @@ def forecast(fact: DataFrame, branches: DataFrame, as_of: dt.date, holidays: Dat
     is_sun = F.dayofweek("ds") == 1
     is_fest = F.col("closed") == 1.0
     closed_flag = is_sun | is_fest
-    base = F.greatest(F.lit(0.0), F.expm1("pred_log"))
+    level = F.greatest(F.lit(0.0), F.expm1("pred_log"))
     uplift = F.when(F.col("holiday") == 1.0,
-                    F.greatest(F.lit(0.0), base * (1 + F.coalesce("holiday_effect", F.lit(0.0))))).otherwise(base)
+                    F.greatest(F.lit(0.0), level * (1 + F.coalesce("holiday_effect", F.lit(0.0))))).otherwise(level)
     lo = F.greatest(F.lit(0.0), F.expm1(F.col("pred_log") - Z95 * F.col("sigma")))
     hi = F.greatest(F.lit(0.0), F.expm1(F.col("pred_log") + Z95 * F.col("sigma")))
     days = r.select(
@@ -328,7 +340,7 @@ def forecast(fact: DataFrame, branches: DataFrame, as_of: dt.date, holidays: Dat
                            F.when(F.col("is_closed"), F.lit(None)).otherwise(F.col("weather_label")).alias("weather"),
                            promos.alias("promotions"))
 
-    mix = product_mix(fact)
+    mix = product_mix(fact, last_days=base.groupBy("branch_id").agg(F.max("ds").alias("last")))
     items = (horizon_df.filter(F.col("predicted_revenue") > 0).select("branch_id", "forecast_date", "predicted_revenue")
              .join(mix, "branch_id")
              .withColumn("quantity", F.col("qty_per_rm") * F.col("predicted_revenue"))
