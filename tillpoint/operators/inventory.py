@@ -30,27 +30,33 @@ def item_key(items: DataFrame) -> F.Column:
     return upper_trim(F.coalesce(F.nullif(name, F.lit("")), pid, F.lit("")))
 
 
+def recipe_lines(recipes: DataFrame) -> DataFrame:
+    """(_item, ingredient, unit, per_item): every recipe exploded into its
+    base, cup and custom ingredient lines — work on the small dimension,
+    not per sale."""
+    r = recipes.select(upper_trim("item_name").alias("_item"),
+                       *[F.col(c).cast(AMT).alias(c) for c, _ in BASE_INGREDIENTS],
+                       "cup_type", "custom_ingredients")
+    stack_args = ", ".join(f"'{c}', '{u}', {c}" for c, u in BASE_INGREDIENTS)
+    base = r.select("_item", F.expr(f"stack({len(BASE_INGREDIENTS)}, {stack_args}) as (ingredient, unit, per_item)"))
+    cups = r.select("_item",
+                    F.when(F.col("cup_type") == CUP_TYPES[0][0], F.lit(CUP_TYPES[0][1]))
+                     .when(F.col("cup_type") == CUP_TYPES[1][0], F.lit(CUP_TYPES[1][1])).alias("ingredient"),
+                    F.lit("cup").alias("unit"), F.lit(1).cast(AMT).alias("per_item")).filter(F.col("ingredient").isNotNull())
+    custom = custom_lines(r.select("_item", "custom_ingredients"))
+    return base.unionByName(cups).unionByName(custom)
+
+
 def ingredient_demand(items: DataFrame, recipes: DataFrame, keys: list[str], qty_col: str = "quantity") -> DataFrame:
     """Long table (keys…, ingredient, unit, amount) of summed demand.
 
     Items without a recipe are skipped. The item quantities are aggregated
-    per (keys, item) before the recipe join so the join sees one row per
-    menu item and key, not one per sale."""
+    per (keys, item) before ONE join with the recipe lines, so the items
+    are scanned once and the join sees one row per menu item and key."""
     q = (items.withColumn("_item", item_key(items))
          .groupBy(*keys, "_item").agg(F.sum(F.col(qty_col).cast(AMT)).alias("_qty")))
-    r = small(recipes.select(upper_trim("item_name").alias("_item"),
-                             *[F.col(c).cast(AMT).alias(c) for c, _ in BASE_INGREDIENTS],
-                             "cup_type", "custom_ingredients"))
-    j = q.join(r, "_item")
-    stack_args = ", ".join(f"'{c}', '{u}', {c}" for c, u in BASE_INGREDIENTS)
-    base = j.select(*keys, "_qty", F.expr(f"stack({len(BASE_INGREDIENTS)}, {stack_args}) as (ingredient, unit, per_item)"))
-    cups = j.select(*keys, "_qty",
-                    F.when(F.col("cup_type") == CUP_TYPES[0][0], F.lit(CUP_TYPES[0][1]))
-                     .when(F.col("cup_type") == CUP_TYPES[1][0], F.lit(CUP_TYPES[1][1])).alias("ingredient"),
-                    F.lit("cup").alias("unit"), F.lit(1).cast(AMT).alias("per_item")).filter(F.col("ingredient").isNotNull())
-    custom = custom_lines(j.select(*keys, "_qty", "custom_ingredients"))
-    allrows = base.unionByName(cups).unionByName(custom)
-    return (allrows.groupBy(*keys, "ingredient", "unit")
+    j = q.join(small(recipe_lines(recipes)), "_item")
+    return (j.groupBy(*keys, "ingredient", "unit")
             .agg(F.sum(F.col("_qty") * F.col("per_item")).alias("_amt"))
             .select(*keys, "ingredient", "unit", F.col("_amt").cast("double").alias("amount")))
 

@@ -195,19 +195,30 @@ def month_brief(fact: DataFrame, month: str) -> dict[str, DataFrame]:
 
 def season_brief(fact: DataFrame, seasons: DataFrame) -> DataFrame:
     """Per season window: revenue, orders, trading days, daily average, top
-    outlet and peak hour — one join to the broadcast day table."""
+    outlet and peak hour.
+
+    One join to the broadcast day table and ONE grouping-sets aggregate
+    (season; season × outlet; season × hour), then one small aggregate per
+    season picks the totals, the top outlet and the peak hour with
+    conditional sums / ``max_by`` — the fact is scanned once."""
     from ..operators.season import season_days
-    days = F.broadcast(season_days(seasons))
+    days = F.broadcast(season_days(seasons))  # bounded: calendar days of the windows
     j = fact.join(days, fact.transaction_date == days.day)
-    tot = j.groupBy("season_name").agg(dsum("total_bill").alias("_r"), F.count("*").alias("orders"),
-                                       F.count_distinct("transaction_date").alias("days"))
-    top = (j.groupBy("season_name", "store_location").agg(dsum("total_bill").alias("_o"))
-           .groupBy("season_name").agg(F.max_by("store_location", F.struct("_o", F.col("store_location"))).alias("top_outlet")))
-    peak = (j.groupBy("season_name", "hour").agg(F.count("*").alias("_n"))
-            .groupBy("season_name").agg(F.max_by("hour", F.struct("_n", -F.col("hour"))).alias("peak_hour")))
-    return (tot.join(top, "season_name").join(peak, "season_name")
-            .select("season_name", edge("_r").alias("revenue"), "orders", "days",
-                    ratio("_r", F.greatest("days", F.lit(1))).alias("daily_avg"), "top_outlet", "peak_hour"))
+    g = j.groupingSets([["season_name"], ["season_name", "store_location"], ["season_name", "hour"]],
+                       "season_name", "store_location", "hour").agg(
+        dsum("total_bill").alias("_r"), F.count("*").alias("orders"),
+        F.count_distinct("transaction_date").alias("days"),
+        F.grouping("store_location").alias("_go"), F.grouping("hour").alias("_gh"))
+    is_tot = (F.col("_go") == 1) & (F.col("_gh") == 1)
+    is_outlet = F.col("_go") == 0
+    is_hour = F.col("_gh") == 0
+    per = g.groupBy("season_name").agg(
+        F.sum(F.when(is_tot, F.col("_r"))).alias("_r"), F.sum(F.when(is_tot, F.col("orders"))).alias("orders"),
+        F.sum(F.when(is_tot, F.col("days"))).alias("days"),
+        F.max_by(F.col("store_location"), F.when(is_outlet, F.struct("_r", "store_location"))).alias("top_outlet"),
+        F.max_by(F.col("hour"), F.when(is_hour, F.struct("orders", -F.col("hour")))).alias("peak_hour"))
+    return per.select("season_name", edge("_r").alias("revenue"), "orders", "days",
+                      ratio("_r", F.greatest("days", F.lit(1))).alias("daily_avg"), "top_outlet", "peak_hour")
 
 
 def write_sections(sections: dict[str, DataFrame], path: str) -> None:
