@@ -351,7 +351,10 @@ def forecast(fact: DataFrame, branches: DataFrame, as_of: dt.date, holidays: Dat
 
 def trend_line(daily: DataFrame) -> DataFrame:
     """Plain trend per branch: least-squares slope/intercept of daily revenue
-    on the day index (days since the branch's first day)."""
+    on the day index (days since the branch's first day). The daily table
+    (branches × days) is materialised once: the first-day lookup and the
+    regression both read it."""
+    daily = cut_lineage(daily, "trend-daily")
     first = daily.groupBy("branch_id").agg(F.min("transaction_date").alias("_first"))
     d = daily.join(F.broadcast(first), "branch_id").withColumn(
         "t", F.datediff("transaction_date", "_first").cast("double"))

@@ -108,9 +108,13 @@ def six_month_trend(fact: DataFrame, target_month_start: dt.date, outlet: str |
         dsum("total_bill").alias("_rev"))
     months = F.transform(F.sequence(F.lit(start), F.lit(target_month_start), F.expr("interval 1 month")),
                          lambda d: F.date_format(d, "yyyy-MM"))
-    spine = agg.select("store_location").distinct().select("store_location", F.explode(months).alias("month"))
-    return (spine.join(agg, ["store_location", "month"], "left")
-            .select("month", "store_location", edge(F.coalesce("_rev", F.lit(0))).alias("revenue")))
+    # every aggregated (month, outlet) row is spread over the six spine months
+    # and summed back conditionally: dense and zero-filled for each outlet
+    # present, with the aggregate referenced once (no spine join)
+    spread = agg.select("store_location", "month", "_rev", F.explode(months).alias("_m"))
+    dense = spread.groupBy("store_location", F.col("_m").alias("month")).agg(
+        F.sum(F.when(F.col("month") == F.col("_m"), F.col("_rev")).otherwise(F.lit(0))).alias("_rev"))
+    return dense.select("month", "store_location", edge("_rev").alias("revenue"))
 
 
 def executive_report(fact: DataFrame, date_from: dt.date, date_to: dt.date, outlet: str | None = None,
