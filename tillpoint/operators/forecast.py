@@ -255,7 +255,7 @@ def product_mix(fact: DataFrame, window_days: int = 30, last_days: DataFrame | N
 
 
 def forecast(fact: DataFrame, branches: DataFrame, as_of: dt.date, holidays: DataFrame, seasons: DataFrame,
-             events: DataFrame, future_weather: DataFrame | None = None, horizon: int = HORIZON) -> dict:
+             events: DataFrame, future_weather: DataFrame | None = None, horizon: int = HORIZON) -> "ForecastResult":
     """Fit every branch and build the horizon. Returns a dict of DataFrames:
     ``days`` (history + future rows for the forecast sink), ``horizon`` (the
     future days with labels), ``metrics``, ``items`` (predicted item
@@ -340,13 +340,34 @@ def forecast(fact: DataFrame, branches: DataFrame, as_of: dt.date, holidays: Dat
                            F.when(F.col("is_closed"), F.lit(None)).otherwise(F.col("weather_label")).alias("weather"),
                            promos.alias("promotions"))
 
-    mix = product_mix(fact, last_days=base.groupBy("branch_id").agg(F.max("ds").alias("last")))
-    items = (horizon_df.filter(F.col("predicted_revenue") > 0).select("branch_id", "forecast_date", "predicted_revenue")
-             .join(mix, "branch_id")
-             .withColumn("quantity", F.col("qty_per_rm") * F.col("predicted_revenue"))
-             .filter(F.col("quantity") > 0.001)
-             .select("branch_id", "forecast_date", "item_name", "product_id", "product_detail", "quantity"))
-    return {"days": days.drop("_camp"), "horizon": horizon_df, "metrics": metrics, "items": items, "model": model, "sigma": sigma}
+    def items():
+        mix = product_mix(fact, last_days=base.groupBy("branch_id").agg(F.max("ds").alias("last")))
+        return (horizon_df.filter(F.col("predicted_revenue") > 0)
+                .select("branch_id", "forecast_date", "predicted_revenue")
+                .join(mix, "branch_id")
+                .withColumn("quantity", F.col("qty_per_rm") * F.col("predicted_revenue"))
+                .filter(F.col("quantity") > 0.001)
+                .select("branch_id", "forecast_date", "item_name", "product_id", "product_detail", "quantity"))
+
+    return ForecastResult({"days": days.drop("_camp"), "horizon": horizon_df, "metrics": metrics, "model": model,
+                           "sigma": sigma}, {"items": items})
+
+
+class ForecastResult(dict):
+    """The forecast's output tables. ``items`` is planned on first access
+    (it reads the recent window of the fact), so outputs that do not need it
+    never pay for that scan."""
+
+    def __init__(self, tables: dict, deferred: dict):
+        super().__init__(tables)
+        self._deferred = dict(deferred)
+
+    def __missing__(self, key):
+        if key in self._deferred:
+            value = self._deferred.pop(key)()
+            self[key] = value
+            return value
+        raise KeyError(key)
 
 
 def trend_line(daily: DataFrame) -> DataFrame:
