@@ -23,6 +23,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.joins import small
 from ..functions.money import dsum, edge
 from ..session import cut_lineage
 from ..functions.text import shorten_promo_code
@@ -302,7 +303,9 @@ def forecast(fact: DataFrame, branches: DataFrame, as_of: dt.date, holidays: Dat
                .unionByName(fut_scored.select(*keep, F.lit(True).alias("is_future"))))
     effect = branches.select(F.col("branch_code").alias("branch_id"),
                              F.coalesce("holiday_effect", F.lit(0.0)).alias("holiday_effect"))
-    r = allrows.join(F.broadcast(sigma), "branch_id").join(F.broadcast(effect), "branch_id", "left")
+    # sigma has one row per fitted branch; the branch dimension is broadcast
+    # only behind the size check
+    r = allrows.join(F.broadcast(sigma), "branch_id").join(small(effect), "branch_id", "left")
     is_sun = F.dayofweek("ds") == 1
     is_fest = F.col("closed") == 1.0
     closed_flag = is_sun | is_fest
