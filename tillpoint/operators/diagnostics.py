@@ -15,9 +15,18 @@ PAYDAY_LABELS = ("Payday Window", "Standard Window")
 
 
 def _windows(fact: DataFrame, reference: DataFrame | None, days: int, open_ended: bool):
-    """Attach per-branch reference date (max date of the branch unless given)."""
+    """Attach per-branch reference date (max date of the branch unless given).
+
+    The reference table (one row per branch) is materialised once; the
+    earliest window start over all branches is a single date literal that
+    bounds the scan of the fact (pushed to Parquet), so only the last
+    ~2 × ``days`` of a date-partitioned fact are read, not all of it."""
     if reference is None:
         reference = fact.groupBy("branch_id").agg(F.max("transaction_date").alias("ref_date"))
+    reference = cut_lineage(reference.select("branch_id", "ref_date"), "decline-reference")
+    lo = reference.agg(F.min(F.date_sub("ref_date", 2 * days))).first()[0]  # one date
+    if lo is not None:
+        fact = fact.filter(F.col("transaction_date") > F.lit(lo))
     f = fact.join(F.broadcast(reference), "branch_id")  # one row per branch
     ref = F.col("ref_date")
     last_lo = F.date_sub(ref, days)

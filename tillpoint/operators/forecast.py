@@ -237,13 +237,12 @@ def product_mix(fact: DataFrame, window_days: int = 30, last_days: DataFrame | N
     per-branch-day table; then the fact is scanned once, and only from the
     earliest window start on — one date literal that reaches the Parquet
     scan as a pushed filter / partition bound."""
-    if last_days is None:
-        mx = fact.groupBy("branch_id").agg(F.max("transaction_date").alias("_mx"))
-        recent = fact
-    else:
-        mx = last_days.select("branch_id", F.col("last").alias("_mx"))
-        lo = mx.agg(F.min(F.date_sub("_mx", window_days))).first()[0]  # one date (small materialised input)
-        recent = fact if lo is None else fact.filter(F.col("transaction_date") >= F.lit(lo))
+    if last_days is None:  # one row per branch, materialised once
+        last_days = cut_lineage(fact.groupBy("branch_id").agg(F.max("transaction_date").alias("last")),
+                                "mix-last-days")
+    mx = last_days.select("branch_id", F.col("last").alias("_mx"))
+    lo = mx.agg(F.min(F.date_sub("_mx", window_days))).first()[0]  # one date (small materialised input)
+    recent = fact if lo is None else fact.filter(F.col("transaction_date") >= F.lit(lo))
     # one row per branch: a bounded broadcast side
     recent = recent.join(F.broadcast(mx), "branch_id").filter(F.col("transaction_date") >= F.date_sub("_mx", window_days))
     agg = recent.groupBy("branch_id", "item_name", "product_id", "product_detail").agg(
