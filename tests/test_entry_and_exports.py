@@ -62,3 +62,24 @@ def test_forecast_weather_summary_business_hours_and_bands(spark):
     r = r[0]
     # Raining twice (rain, squall), Sunny once, Cloudy once; temp mean 30.625 → 30.6; pop mean 30 → Light
     assert (r.condition, r.temp, r.pop, r.rain_level) == ("Raining", 30.6, 30.0, "Light")
+
+
+def test_replace_forecast_overwrites_only_present_branches(spark, tmpdir_path):
+    from tillpoint.sources import sinks
+    path = os.path.join(tmpdir_path, "forecast")
+    schema = "branch_id string, forecast_date date, predicted_revenue double"
+    sinks.replace_forecast(spark.createDataFrame([("B1", D(2026, 1, 1), 1.0), ("B2", D(2026, 1, 1), 2.0)], schema), path)
+    sinks.replace_forecast(spark.createDataFrame([("B1", D(2026, 1, 2), 5.0)], schema), path)
+    got = sorted((r.branch_id, r.forecast_date, r.predicted_revenue) for r in spark.read.parquet(path).collect())
+    assert got == [("B1", D(2026, 1, 2), 5.0), ("B2", D(2026, 1, 1), 2.0)]
+
+
+def test_stock_alerts_and_display_units(spark):
+    from tillpoint.operators import inventory as INV
+    ops = spark.createDataFrame([("beans_kg", "kg", 6.0), ("beans_kg", "kg", 5.0), ("milk_L", "L", 31.0),
+                                 ("ice_kg", "kg", 10.0), ("cup_hot", "cup", 100.0)],
+                                "ingredient string, unit string, amount double")
+    assert sorted((r.ingredient, r.amount) for r in INV.stock_alerts(ops).collect()) == [("beans_kg", 6.0), ("milk_L", 31.0)]
+    df = spark.createDataFrame([(999.0, "g"), (1000.0, "g"), (0.0, "ml"), (1500.0, "ml"), (2.0, "pcs")], "a double, u string")
+    assert [r[0] for r in df.select(INV.display_unit("a", "u")).collect()] == \
+        ["999.00 g", "1.00 kg", "0.00 L", "1.50 L", "2.00 pcs"]
