@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 
 from ..functions.joins import small
 from ..functions.money import dsum, edge
-from ..session import cut_lineage
+from ..session import Sections, cut_lineage
 from ..functions.text import shorten_promo_code
 from ..functions.weather import encode_weather, unify_label
 from . import calendars as C
@@ -255,7 +255,7 @@ def product_mix(fact: DataFrame, window_days: int = 30, last_days: DataFrame | N
 
 
 def forecast(fact: DataFrame, branches: DataFrame, as_of: dt.date, holidays: DataFrame, seasons: DataFrame,
-             events: DataFrame, future_weather: DataFrame | None = None, horizon: int = HORIZON) -> "ForecastResult":
+             events: DataFrame, future_weather: DataFrame | None = None, horizon: int = HORIZON) -> Sections:
     """Fit every branch and build the horizon. Returns a dict of DataFrames:
     ``days`` (history + future rows for the forecast sink), ``horizon`` (the
     future days with labels), ``metrics``, ``items`` (predicted item
@@ -351,25 +351,8 @@ def forecast(fact: DataFrame, branches: DataFrame, as_of: dt.date, holidays: Dat
                 .filter(F.col("quantity") > 0.001)
                 .select("branch_id", "forecast_date", "item_name", "product_id", "product_detail", "quantity"))
 
-    return ForecastResult({"days": days.drop("_camp"), "horizon": horizon_df, "metrics": metrics, "model": model,
-                           "sigma": sigma}, {"items": items})
-
-
-class ForecastResult(dict):
-    """The forecast's output tables. ``items`` is planned on first access
-    (it reads the recent window of the fact), so outputs that do not need it
-    never pay for that scan."""
-
-    def __init__(self, tables: dict, deferred: dict):
-        super().__init__(tables)
-        self._deferred = dict(deferred)
-
-    def __missing__(self, key):
-        if key in self._deferred:
-            value = self._deferred.pop(key)()
-            self[key] = value
-            return value
-        raise KeyError(key)
+    return Sections({"days": days.drop("_camp"), "horizon": horizon_df, "metrics": metrics, "model": model,
+                     "sigma": sigma}, {"items": items})
 
 
 def trend_line(daily: DataFrame) -> DataFrame:

@@ -68,7 +68,7 @@ def month_over_month(fact: DataFrame) -> DataFrame:
     # previous month by an equi-join on the shifted month key (a keyed,
     # distributed plan) rather than lag() over one global ordering
     shifted = dense.select(F.add_months("month_start", 1).alias("month_start"), F.col("_rev").alias("_prev"))
-    dense = dense.join(shifted, "month_start", "left")
+    dense = dense.join(F.broadcast(shifted), "month_start", "left")  # one row per calendar month
     prev = F.col("_prev")
     return dense.select(
         F.date_format("month_start", "yyyy-MM").alias("month"),

@@ -19,6 +19,7 @@ from ..functions.money import dsum, edge, ratio
 from ..operators import diagnostics as D
 from ..operators import metrics as M
 from ..operators import promo as P
+from ..session import Sections
 
 
 def breakdown_keys() -> list:
@@ -118,46 +119,47 @@ def six_month_trend(fact: DataFrame, target_month_start: dt.date, outlet: str |
 
 
 def executive_report(fact: DataFrame, date_from: dt.date, date_to: dt.date, outlet: str | None = None,
-                     forecast_days: DataFrame | None = None) -> dict[str, DataFrame]:
-    """All report sections for one outlet (or all) and an inclusive date range."""
+                     forecast_days: DataFrame | None = None) -> Sections:
+    """All report sections for one outlet (or all) and an inclusive date
+    range; each section is planned when it is first requested."""
     f = in_range(fact, date_from, date_to, outlet)
     bd = shares(breakdowns(f))
     out = {
-        "summary": summary(fact, date_from, date_to, outlet),
-        "breakdowns": bd,
-        "peak_hour": top_k(bd, "hourly", 1, by="orders"),
-        "peak_weekday": top_k(bd, "weekday", 1, by="orders"),
-        "top_outlet": top_k(bd, "outlet", 1),
-        "top_products": top_k(bd, "item", 5),
-        "bottom_products": top_k(bd, "item", 3, bottom=True),
-        "six_month_trend": six_month_trend(fact, date_to.replace(day=1), outlet),
-        "promo_efficiency": P.promo_efficiency(f),
-        "decline": D.decline_summary(f),
+        "summary": lambda: summary(fact, date_from, date_to, outlet),
+        "breakdowns": lambda: bd,
+        "peak_hour": lambda: top_k(bd, "hourly", 1, by="orders"),
+        "peak_weekday": lambda: top_k(bd, "weekday", 1, by="orders"),
+        "top_outlet": lambda: top_k(bd, "outlet", 1),
+        "top_products": lambda: top_k(bd, "item", 5),
+        "bottom_products": lambda: top_k(bd, "item", 3, bottom=True),
+        "six_month_trend": lambda: six_month_trend(fact, date_to.replace(day=1), outlet),
+        "promo_efficiency": lambda: P.promo_efficiency(f),
+        "decline": lambda: D.decline_summary(f),
     }
     if forecast_days is not None:
         from ..operators.forecast import pva_rows, pva_summary
-        rows = pva_rows(forecast_days, f, date_from, date_to)
-        out["predicted_vs_actual"] = rows
-        out["pva_summary"] = pva_summary(rows)
-    return out
+        out["predicted_vs_actual"] = lambda: pva_rows(forecast_days, f, date_from, date_to)
+        out["pva_summary"] = lambda: pva_summary(pva_rows(forecast_days, f, date_from, date_to))
+    return Sections(deferred=out)
 
 
-def dashboard(fact: DataFrame, outlet: str = "all", time_filter: str = "all", temp: str = "all") -> dict[str, DataFrame]:
-    """Dashboard bundle for one filter: KPIs, trend, mixes, heatmap, matrix, promos, diagnostics."""
+def dashboard(fact: DataFrame, outlet: str = "all", time_filter: str = "all", temp: str = "all") -> Sections:
+    """Dashboard bundle for one filter: KPIs, trend, mixes, heatmap, matrix,
+    promos, diagnostics — each planned when first requested."""
     f = filter_sales(fact, branch=outlet, time_filter=time_filter, temp=temp)
-    return {
-        "kpis": M.kpi_totals(f),
-        "trend": M.trend(f, M.trend_grain(time_filter)),
-        "categories": M.category_revenue(f),
-        "top_items": M.top_items(f, 5),
-        "bottom_items": M.top_items(f, 3, bottom=True),
-        "payments": M.payment_mix(f),
-        "heatmap": M.heatmap(f),
-        "matrix": M.outlet_period_matrix(f, "month" if time_filter.startswith("year_") else "year"),
-        "promo_efficiency": P.promo_efficiency(f),
-        "weather_temperature": D.weather_temperature(f),
-        "payday": D.payday_spend(f),
-    }
+    return Sections(deferred={
+        "kpis": lambda: M.kpi_totals(f),
+        "trend": lambda: M.trend(f, M.trend_grain(time_filter)),
+        "categories": lambda: M.category_revenue(f),
+        "top_items": lambda: M.top_items(f, 5),
+        "bottom_items": lambda: M.top_items(f, 3, bottom=True),
+        "payments": lambda: M.payment_mix(f),
+        "heatmap": lambda: M.heatmap(f),
+        "matrix": lambda: M.outlet_period_matrix(f, "month" if time_filter.startswith("year_") else "year"),
+        "promo_efficiency": lambda: P.promo_efficiency(f),
+        "weather_temperature": lambda: D.weather_temperature(f),
+        "payday": lambda: D.payday_spend(f),
+    })
 
 
 def business_snapshot(fact: DataFrame) -> DataFrame:

@@ -78,3 +78,51 @@ def cut_lineage(df: DataFrame, name: str = "stage") -> DataFrame:
     path = os.path.join(checkpoint_dir(spark), "tables", f"{name}-{uuid.uuid4().hex}")
     df.write.mode("overwrite").parquet(path)
     return spark.read.parquet(path)
+
+
+class Sections(dict):
+    """Named result tables of a composite operator, planned on first access.
+
+    Some sections materialise a small table or read one scalar while their
+    plan is built; deferring them means a caller that asks for one section
+    never pays for the others. Iteration resolves every section."""
+
+    def __init__(self, ready: dict | None = None, deferred: dict | None = None):
+        super().__init__(ready or {})
+        self._deferred = dict(deferred or {})
+
+    def __missing__(self, key):
+        if key in self._deferred:
+            value = self._deferred.pop(key)()
+            self[key] = value
+            return value
+        raise KeyError(key)
+
+    def _resolve(self) -> None:
+        for key in list(self._deferred):
+            self[key]
+
+    def __contains__(self, key) -> bool:
+        return super().__contains__(key) or key in self._deferred
+
+    def __len__(self) -> int:
+        return super().__len__() + len(self._deferred)
+
+    def __iter__(self):
+        self._resolve()
+        return super().__iter__()
+
+    def keys(self):
+        self._resolve()
+        return super().keys()
+
+    def values(self):
+        self._resolve()
+        return super().values()
+
+    def items(self):
+        self._resolve()
+        return super().items()
+
+    def get(self, key, default=None):
+        return self[key] if key in self else default
