@@ -35,6 +35,12 @@ def dsum(c) -> Column:
     return (F.sum(cents(c)).cast("decimal(28,0)") / 100).cast("decimal(28,2)")
 
 
+def cents_total(c) -> Column:
+    """Exact DECIMAL(28,2) total of a column of LONG cent partials (the second
+    level of a two-level money aggregate)."""
+    return (F.sum(_c(c)).cast("decimal(28,0)") / 100).cast("decimal(28,2)")
+
+
 def edge(c, scale: int = 2) -> Column:
     """Round a DECIMAL result and hand it out as DOUBLE."""
     return F.round(_c(c), scale).cast("double")

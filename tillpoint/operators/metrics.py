@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.dates import dow_mon0, dow_sun0
-from ..functions.money import cents, dsum, edge, ratio
+from ..functions.money import cents, cents_total, dsum, edge, ratio
 from ..session import cut_lineage
 
 REV = "total_bill"
@@ -31,8 +31,7 @@ def kpi_totals(fact: DataFrame, by: list[str] | None = None) -> DataFrame:
         F.sum(cents(REV)).alias("_c"), F.sum("transaction_qty").alias("_q"),
         F.count("transaction_id").alias("_n"))
     g = daily.groupBy(*by) if by else daily
-    rev = (F.sum("_c").cast("decimal(28,0)") / 100).cast("decimal(28,2)")
-    agg = g.agg(F.coalesce(rev, F.lit(0)).alias("_rev"),
+    agg = g.agg(F.coalesce(cents_total("_c"), F.lit(0)).alias("_rev"),
                 F.coalesce(F.sum("_q"), F.lit(0)).cast("bigint").alias("total_volume"),
                 F.coalesce(F.sum("_n"), F.lit(0)).alias("total_orders"),
                 F.count("transaction_date").alias("active_days"))
@@ -187,10 +186,15 @@ def rows_per_outlet(fact: DataFrame) -> DataFrame:
 
 
 def branch_maturity(fact: DataFrame, branches: DataFrame) -> DataFrame:
-    """Distinct trading days and distinct holidays seen per branch (0 when none)."""
-    per = fact.groupBy("branch_id").agg(
-        F.count_distinct("transaction_date").alias("days"),
-        F.count_distinct(F.when(F.col("is_public_holiday") == 1, F.col("transaction_date"))).alias("holidays"))
+    """Distinct trading days and distinct holidays seen per branch (0 when none).
+
+    Two-level aggregate: one row per (branch, day) with a holiday flag, then
+    counts per branch — no count-distinct expansion of the fact."""
+    per_day = fact.groupBy("branch_id", "transaction_date").agg(
+        F.max(F.when(F.col("is_public_holiday") == 1, F.lit(1))).alias("_h"))
+    per = per_day.groupBy("branch_id").agg(
+        F.count("transaction_date").alias("days"),
+        F.count(F.when(F.col("_h") == 1, F.col("transaction_date"))).alias("holidays"))
     b = branches.select("branch_code", "branch_name", "is_active")
     out = b.join(per, b.branch_code == per.branch_id, "left")
     return out.select("branch_code", "branch_name", "is_active",

@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.dates import dow_mon0
-from ..functions.money import dsum, edge, ratio
+from ..functions.money import cents, cents_total, dsum, edge, ratio
 
 
 def season_days(seasons: DataFrame) -> DataFrame:
@@ -40,9 +40,13 @@ def seasonal_comparison(fact: DataFrame, seasons: DataFrame, years: list[int] |
     if years:
         days = days.filter(F.col("season_year").isin(*years))
     j = fact.join(F.broadcast(days), fact.transaction_date == days.day)
-    agg = j.groupBy("season_name", "season_year").agg(
-        dsum("total_bill").alias("_rev"), F.count("transaction_id").alias("transactions"),
-        F.count_distinct("transaction_date").alias("days"))
+    # two-level aggregate (window × day, then window): trading days without a
+    # count-distinct expansion of the fact, money in exact cents throughout
+    daily = j.groupBy("season_name", "season_year", "transaction_date").agg(
+        F.sum(cents("total_bill")).alias("_c"), F.count("transaction_id").alias("_n"))
+    agg = daily.groupBy("season_name", "season_year").agg(
+        cents_total("_c").alias("_rev"), F.sum("_n").alias("transactions"),
+        F.count("transaction_date").alias("days"))
     return (agg.filter(F.col("_rev") != 0)
             .select("season_name", F.col("season_year").cast("string").alias("year"), edge("_rev").alias("revenue"),
                     "transactions", "days", ratio("_rev", F.greatest("days", F.lit(1))).alias("daily_avg")))
