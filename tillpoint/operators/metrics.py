@@ -172,10 +172,13 @@ def dashboard_metrics(fact: DataFrame) -> DataFrame:
 
 
 def warehouse_profile(fact: DataFrame) -> DataFrame:
-    """Row count, date range, distinct categories (one row)."""
-    return fact.agg(F.count("*").alias("row_count"), F.min("transaction_date").alias("min_date"),
-                    F.max("transaction_date").alias("max_date"),
-                    F.count_distinct("product_category").alias("categories"))
+    """Row count, date range, distinct categories (one row) — per category
+    first (partially aggregated), then one row, without a count-distinct
+    expansion of the fact."""
+    per = fact.groupBy("product_category").agg(F.count("*").alias("_n"), F.min("transaction_date").alias("_lo"),
+                                               F.max("transaction_date").alias("_hi"))
+    return per.agg(F.coalesce(F.sum("_n"), F.lit(0)).alias("row_count"), F.min("_lo").alias("min_date"),
+                   F.max("_hi").alias("max_date"), F.count("product_category").alias("categories"))
 
 
 def rows_per_outlet(fact: DataFrame) -> DataFrame:
