@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+import zipfile
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -39,14 +40,32 @@ def build_session(master: str | None = None, shuffle_partitions: int | None = No
 
 
 def apply_defaults(spark: SparkSession) -> None:
-    """Set the runtime-settable defaults on an existing session."""
+    """Set the runtime-settable defaults on an existing session (only where
+    they differ) and make the package importable on its workers."""
     for k, v in DEFAULTS.items():
-        if k == "spark.ui.enabled":
-            continue
-        try:
+        if spark.conf.isModifiable(k) and spark.conf.get(k, None) != v:
             spark.conf.set(k, v)
-        except Exception:  # static conf on a running session
-            pass
+    ship_package(spark)
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Send this package to the Python workers of ``spark``, once per application.
+
+    Functions that run on workers are pickled by reference to their module, so
+    the module must be importable there whatever the working directory is."""
+    sc = spark.sparkContext
+    root = os.path.dirname(os.path.abspath(__file__))
+    if getattr(sc, "_tillpoint_shipped", None) == root:
+        return
+    archive = os.path.join(tempfile.mkdtemp(prefix="tillpoint-pkg-"), "tillpoint_pkg.zip")
+    with zipfile.ZipFile(archive, "w") as z:
+        for folder, _, names in os.walk(root):
+            for name in sorted(names):
+                if name.endswith(".py"):
+                    path = os.path.join(folder, name)
+                    z.write(path, os.path.relpath(path, os.path.dirname(root)))
+    sc.addPyFile(archive)
+    sc._tillpoint_shipped = root
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
