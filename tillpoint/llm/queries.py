@@ -9,7 +9,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe_duckdb, packing_pow2
+from . import bpe_duckdb, langid_ecoc, line_chunks, oracles, packing_pow2, quality_divergence, toxicity_mil
 from .common import table
 
 QUERIES: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str | None]] = {}
@@ -27,6 +27,21 @@ def vocabulary(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+@register("op1_distribution_divergence", oracles.QUALITY)
+def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_divergence.judge(table(spark, sf_dir, "documents"))
+
+
+@register("op3_toxicity_mil")
+def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity_mil.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+@register("op5_langid_ecoc")
+def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return langid_ecoc.classify(table(spark, sf_dir, "documents"))
+
+
 @register("op6_packing_pow2")
 def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
     packed = packing_pow2.pack(table(spark, sf_dir, "documents"), vocabulary("byte_bpe_50k.json"))
@@ -38,3 +53,8 @@ def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
     return bpe_duckdb.digest(table(spark, sf_dir, "documents"), vocabulary("byte_bpe_50k.tiktoken"),
                              public_tokenizers.PATTERN)
+
+
+@register("op10_line_chunks", oracles.LINES)
+def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_chunks.digest(table(spark, sf_dir, "documents"))
