@@ -1,14 +1,14 @@
 """Toxicity by multiple-instance learning.
 
 A document is a bag of sentences; only the bag is labelled. Each sentence gets
-a logistic score from its words, and the document's score is their noisy-or:
+a logistic score from its words and their stems (leading letters), and the document's score is their noisy-or:
 1 minus the product of (1 - sentence score). Weights are trained on document
 labels through that noisy-or, so the sentences that explain a label take the
 credit, and in scoring the same sentence scores locate the offending ones.
 
 The fit runs in one task over a bounded sample: the TRAIN_DOCS labelled rows of
-least id hash (all, while there are no more), words of at least MIN_DOCS of
-them, at most VOCABULARY words. Scoring is one pass over all rows with the
+least id hash (all, while there are no more), words and stems of at least
+MIN_DOCS of them, at most VOCABULARY in all. Scoring is one pass over all rows with the
 weights (bounded by VOCABULARY) in the task closure.
 
 Defined results: null and empty texts count as one sentence without words;
@@ -29,12 +29,15 @@ from pyspark.sql import DataFrame, functions as F
 
 from .common import fold
 
-TRAIN_DOCS = 8_000
+TRAIN_DOCS = 6_000
 MIN_DOCS = 5
-VOCABULARY = 30_000
-STEPS = 150
-RATE = 0.15
-RIDGE = 1e-4
+VOCABULARY = 40_000
+STEPS = 120
+#: Step sizes fall from the first to the second.
+RATE = (0.3, 0.02)
+RIDGE = 1e-5
+#: Each step also draws every weight towards 0 by this much, times the step size.
+SHRINK = 0.1
 FIRST_BIAS = -5.0
 #: Sentences of a toxic document at or above this score are reported, and always the worst one.
 LOCATE = 0.3
@@ -42,81 +45,112 @@ LOCATE = 0.3
 _TOKEN = re.compile(r"[^\W\d_]+|[.!?\n]")
 _SENTENCE = re.compile(r"[^.!?\n]+")
 _ENDS = frozenset(".!?\n")
+#: Lengths of stems; a stem is written with a trailing hyphen.
+STEMS = (3, 4, 5)
+#: Words whose weights a scoring task remembers.
+CACHE_WORDS = 300_000
 MODEL = "word string, weight double"
 
 
-def _tokens(texts: list[str], known: dict[str, int]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Word numbers (-1 unknown), the sentence of each and the document of each sentence.
+def word_features(word: str) -> list[str]:
+    return [word, *[word[:n] + "-" for n in STEMS if len(word) > n]]
 
-    Sentences without a word don't count, but a text without any has one."""
-    ids: list[int] = []
-    size = []
-    get = known.get
-    for t in texts:
-        before = len(ids)
-        ids += [get(x, -1) for x in _TOKEN.findall(t.lower())]
-        ids.append(-2)
-        size.append(len(ids) - before)
-    code = np.array(ids, np.int32)
-    end = code == -2
-    doc = np.repeat(np.arange(len(texts)), size)
-    first = np.zeros(len(code), bool)
-    first[np.cumsum(size) - np.array(size)] = True
-    # a sentence starts at a document's first token, and at a word after an end
-    after_end = np.concatenate([[True], end[:-1]])
-    start = first | (after_end & ~end)
-    # the first token of a document may be an end: its sentence is then the next words
-    sentence = np.cumsum(start) - 1
-    # an opening end followed by words would make an empty first sentence: join them
-    lone = first & end
-    joins = np.zeros(len(code), bool)
-    joins[1:] = lone[:-1] & start[1:] & ~first[1:]
-    sentence -= np.cumsum(joins)
-    keep = ~end
-    sentence_doc = doc[np.concatenate([[True], np.diff(sentence) > 0])]
-    return code[keep], sentence[keep], sentence_doc
 
+class WordWeights(dict):
+    """Weight of a word: the sum over its features, remembered; sentence ends are None."""
 
-def _softplus(z: np.ndarray) -> np.ndarray:
-    return np.logaddexp(0.0, z)
+    def __init__(self, table: dict[str, float]):
+        super().__init__(dict.fromkeys(_ENDS))
+        self.table = table
 
+    def __missing__(self, word: str) -> float:
+        get = self.table.get
+        value = sum(get(f, 0.0) for f in word_features(word))
+        if len(self) < CACHE_WORDS:
+            self[word] = value
+        return value
 
-class Bags:
-    """Sentence scores and their noisy-or for weights ``w`` and bias ``b``."""
 
-    def __init__(self, code, sentence, sentence_doc, n_docs: int):
-        known = code >= 0
-        self.code, self.sentence = code[known], sentence[known]
-        self.sentence_doc, self.n_docs = sentence_doc, n_docs
+def _sentences(lengths: list[int], end: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """For the tokens of several documents, each closed by an end: which tokens are words, the sentence
+    of each word, and the document of each sentence. Only sentences with words count, but a document
+    without any has one."""
+    doc = np.repeat(np.arange(len(lengths)), lengths)
+    word = ~end
+    opens = word & np.concatenate([[True], end[:-1]])
+    lone = np.bincount(doc[opens], minlength=len(lengths)) == 0
+    last = np.cumsum(lengths) - 1
+    opens[last[lone]] = True  # stands for the missing sentence
+    return word, (np.cumsum(opens) - 1)[word], doc[opens]
 
-    def scores(self, w: np.ndarray, b: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        z = b + np.bincount(self.sentence, weights=w[self.code], minlength=len(self.sentence_doc))
-        miss = np.bincount(self.sentence_doc, weights=_softplus(z), minlength=self.n_docs)  # -log(1 - p)
-        return z, miss, -np.expm1(-miss)
+
+def _softplus(z: np.ndarray) -> np.ndarray:
+    return np.logaddexp(0.0, z)
 
 
-def fit(texts: list[str], labels: np.ndarray) -> tuple[dict[str, int], np.ndarray, float]:
-    """Vocabulary, weights and bias by gradient steps (Adam) on the documents' log loss."""
+def _combine(z: np.ndarray, doc: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Noisy-or of sentence logits: -log(1 - p) and p of each document."""
+    miss = np.bincount(doc, weights=_softplus(z), minlength=n)
+    return miss, -np.expm1(-miss)
+
+
+def fit(texts: list[str], labels: np.ndarray) -> tuple[dict[str, float], float]:
+    """Feature weights and bias by gradient steps (Adam) on the documents' log loss."""
+    types: dict[str, int] = {}
+    code, lengths = [], []
     df: Counter = Counter()
     for t in texts:
-        df.update(set(_TOKEN.findall(t.lower())) - _ENDS)
+        tokens = _TOKEN.findall(t.lower())
+        df.update({f for w in set(tokens) - _ENDS for f in word_features(w)})
+        code += [-1 if x in _ENDS else types.setdefault(x, len(types)) for x in tokens]
+        code.append(-1)
+        lengths.append(len(tokens) + 1)
     least = min(MIN_DOCS, max(1, len(texts) // 10))
-    chosen = sorted((w for w, n in df.items() if n >= least), key=lambda w: (-df[w], w))[:VOCABULARY]
-    known = {w: i for i, w in enumerate(chosen)} | dict.fromkeys(_ENDS, -2)
-    bags = Bags(*_tokens(texts, known), len(texts))
-    y = labels.astype(float)
-    w, b = np.zeros(len(chosen)), FIRST_BIAS
-    m = v = np.zeros(len(chosen) + 1)
+    chosen = sorted((f for f, n in df.items() if n >= least), key=lambda f: (-df[f], f))[:VOCABULARY]
+    known = {f: i for i, f in enumerate(chosen)}
+    # features of each word type, padded with the last, always zero weight
+    none = len(chosen)
+    feats = np.full((len(types), 1 + len(STEMS)), none)
+    for w, i in types.items():
+        for k, f in enumerate(word_features(w)):
+            feats[i, k] = known.get(f, none)
+    code = np.array(code, np.int32)
+    word, sentence, doc = _sentences(lengths, code < 0)
+    code = code[word]
+    y, n = labels.astype(float), len(texts)
+    w = np.zeros(none + 1)
+    b, m, v = FIRST_BIAS, np.zeros(none + 2), np.zeros(none + 2)
     for step in range(1, STEPS + 1):
-        z, miss, p = bags.scores(w, b)
+        z = b + np.bincount(sentence, weights=w[feats].sum(1)[code], minlength=len(doc))
+        miss, p = _combine(z, doc, n)
         # d loss / d miss: 1 for label 0, -(1 - p) / p for label 1
         slope = np.where(y > 0, -np.exp(-miss) / np.maximum(p, 1e-9), 1.0)
-        dz = slope[bags.sentence_doc] / (1 + np.exp(-z)) / len(y)
-        grad = np.append(np.bincount(bags.code, weights=dz[bags.sentence], minlength=len(w)) + RIDGE * w, dz.sum())
+        dz = slope[doc] / (1 + np.exp(np.clip(-z, None, 700))) / n
+        by_type = np.bincount(code, weights=dz[sentence], minlength=len(types))
+        grad = np.bincount(feats.ravel(), weights=np.repeat(by_type, feats.shape[1]), minlength=none + 1) + RIDGE * w
+        grad[none] = 0.0
+        grad = np.append(grad, dz.sum())
         m, v = 0.9 * m + 0.1 * grad, 0.999 * v + 0.001 * grad ** 2
-        move = RATE * (m / (1 - 0.9 ** step)) / (np.sqrt(v / (1 - 0.999 ** step)) + 1e-8)
+        rate = RATE[1] + (RATE[0] - RATE[1]) * (1 + np.cos(np.pi * step / STEPS)) / 2
+        move = rate * (m / (1 - 0.9 ** step)) / (np.sqrt(v / (1 - 0.999 ** step)) + 1e-8)
         w, b = w - move[:-1], b - move[-1]
-    return known, w, float(b)
+        w = np.sign(w) * np.maximum(np.abs(w) - SHRINK * rate, 0.0)
+    return {f: x for f, x in zip(chosen, w.tolist()) if x}, float(b)
+
+
+def sentence_scores(texts: list[str], weight: WordWeights, bias: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Sentence scores, the document of each sentence, document scores."""
+    values: list = []
+    lengths = []
+    for t in texts:
+        before = len(values)
+        values += [weight[x] for x in _TOKEN.findall(t.lower())]
+        values.append(None)
+        lengths.append(len(values) - before)
+    value = np.array(values, float)  # None becomes nan
+    word, sentence, doc = _sentences(lengths, np.isnan(value))
+    z = bias + np.bincount(sentence, weights=value[word], minlength=len(doc))
+    return 1 / (1 + np.exp(np.clip(-z, None, 700))), doc, _combine(z, doc, len(texts))[1]
 
 
 def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text",
@@ -140,9 +174,8 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
         if not got or labels.min() == labels.max():
             words, weights = ["="], [float(labels.mean()) if got else 0.0]
         else:
-            known, w, b = fit([x[1] for x in got], labels)
-            words, weights = [x for x in known if x not in _ENDS], w.tolist()
-            words.append(""), weights.append(b)
+            table, b = fit([x[1] for x in got], labels)
+            words, weights = [*table, ""], [*table.values(), b]
         yield pa.record_batch([pa.array(words), pa.array(weights, pa.float64())], names=["word", "weight"])
 
     return [(r["word"], r["weight"]) for r in rows.coalesce(1).mapInArrow(learn, MODEL).collect()]
@@ -155,8 +188,6 @@ def score(docs: DataFrame, model: list[tuple[str, float]], id_col: str = "doc_id
     table = dict(model)
     constant = table.pop("=", 0.0 if not table else None)
     bias = table.pop("", 0.0)
-    known = {w: i for i, w in enumerate(table)} | dict.fromkeys(_ENDS, -2)
-    weights = np.array(list(table.values()) or [0.0])
 
     def spans(text: str, s: np.ndarray) -> list[dict]:
         """Character spans of a text's sentences that have words, with their scores."""
@@ -170,6 +201,7 @@ def score(docs: DataFrame, model: list[tuple[str, float]], id_col: str = "doc_id
         return [{"start": a, "end": e, "score": float(x)} for (a, e), x in zip(out, s) if x >= least]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        weight = WordWeights(table)
         for whole in batches:
             for lo in range(0, whole.num_rows, 500):
                 batch = whole.slice(lo, 500)
@@ -178,10 +210,8 @@ def score(docs: DataFrame, model: list[tuple[str, float]], id_col: str = "doc_id
                 if constant is not None:
                     p, count, found = np.full(n, constant), np.zeros(n, np.int64), [[] for _ in texts]
                 else:
-                    code, sentence, sentence_doc = _tokens(texts, known)
-                    z, _, p = Bags(code, sentence, sentence_doc, n).scores(weights, bias)
-                    s = 1 / (1 + np.exp(-z))
-                    at = np.searchsorted(sentence_doc, np.arange(n + 1))
+                    s, doc, p = sentence_scores(texts, weight, bias)
+                    at = np.searchsorted(doc, np.arange(n + 1))
                     count = np.diff(at)
                     found = [spans(texts[i], s[at[i]:at[i + 1]]) if p[i] >= 0.5 else [] for i in range(n)]
                 yield pa.record_batch([
