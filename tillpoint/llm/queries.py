@@ -9,7 +9,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe_duckdb, langid_ecoc, line_chunks, oracles, packing_pow2, quality_divergence, toxicity_mil
+from . import (bpe_duckdb, langid_ecoc, line_chunks, minhash_circulant, oracles, packing_pow2,
+               quality_divergence, toxicity_mil)
 from .common import table
 
 QUERIES: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str | None]] = {}
@@ -37,6 +38,11 @@ def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity_mil.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+@register("op4_minhash_circulant")
+def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash_circulant.link(table(spark, sf_dir, "documents"), percent=85).drop("text_md5")
+
+
 @register("op5_langid_ecoc")
 def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid_ecoc.classify(table(spark, sf_dir, "documents"))
