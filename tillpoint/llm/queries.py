@@ -9,7 +9,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import (bpe_duckdb, langid_ecoc, line_chunks, minhash_circulant, oracles, packing_pow2,
+from . import (bpe_duckdb, bwt_dedup, langid_ecoc, line_chunks, minhash_circulant, oracles, packing_pow2,
                quality_divergence, toxicity_mil)
 from .common import table
 
@@ -64,3 +64,8 @@ def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
 @register("op10_line_chunks", oracles.LINES)
 def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_chunks.digest(table(spark, sf_dir, "documents"))
+
+
+@register("op9_bwt_dedup")
+def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bwt_dedup.digest(table(spark, sf_dir, "documents"))
