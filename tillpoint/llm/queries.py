@@ -9,7 +9,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import (bpe_duckdb, bwt_dedup, langid_ecoc, line_chunks, minhash_circulant, oracles, packing_pow2,
+from . import (ann_collision, bpe_duckdb, bwt_dedup, langid_ecoc, line_chunks, lm_hpy, minhash_circulant, oracles, packing_pow2,
                quality_divergence, toxicity_mil)
 from .common import table
 
@@ -33,6 +33,12 @@ def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_divergence.judge(table(spark, sf_dir, "documents"))
 
 
+@register("op2_ann_collision")
+def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = table(spark, sf_dir, "embeddings")
+    return ann_collision.search(vectors.filter("vec_id % 100 = 0"), vectors, k=10)
+
+
 @register("op3_toxicity_mil")
 def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity_mil.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
@@ -54,6 +60,11 @@ def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing_pow2.digest(packed)
 
 
+@register("op7_hpy_lm")
+def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm_hpy.score(table(spark, sf_dir, "documents"))
+
+
 @register("op8_bpe_duckdb")
 def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers

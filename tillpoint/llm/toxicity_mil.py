@@ -181,14 +181,34 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     return [(r["word"], r["weight"]) for r in rows.coalesce(1).mapInArrow(learn, MODEL).collect()]
 
 
+def _settings(model: list[tuple[str, float]]) -> tuple[dict[str, float], float, float | None]:
+    """Weights by feature, bias, and the constant score of a model without weights."""
+    table = dict(model)
+    constant = table.pop("=", None if table else 0.0)
+    return table, table.pop("", 0.0), constant
+
+
+def reject(docs: DataFrame, model: list[tuple[str, float]], text_col: str = "text", at: float = 0.5) -> DataFrame:
+    """The documents scored below ``at``, with all their columns; the score is taken and used in one pass."""
+    table, bias, constant = _settings(model)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        weight = WordWeights(table)
+        for whole in batches:
+            for lo in range(0, whole.num_rows, 500):
+                batch = whole.slice(lo, 500)
+                texts = [t or "" for t in batch.column(text_col).to_pylist()]
+                p = np.full(len(texts), constant) if constant is not None else sentence_scores(texts, weight, bias)[2]
+                yield batch.filter(pa.array(p < at))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 def score(docs: DataFrame, model: list[tuple[str, float]], id_col: str = "doc_id", text_col: str = "text",
           locate: float = LOCATE) -> DataFrame:
     """doc_id, score, predicted, sentences (with words), and the offending sentences of toxic
     documents: offending = array of (start, end, score), places in characters."""
-    table = dict(model)
-    constant = table.pop("=", 0.0 if not table else None)
-    bias = table.pop("", 0.0)
-
+    table, bias, constant = _settings(model)
     def spans(text: str, s: np.ndarray) -> list[dict]:
         """Character spans of a text's sentences that have words, with their scores."""
         out = []
