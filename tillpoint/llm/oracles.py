@@ -22,6 +22,8 @@ def _bits(p: str, q: str) -> str:
     return f"(({part(p, q)}) + ({part(q, p)})) / 2"
 
 
+#: Divergence of a text without common words.
+_NONE = f"(coalesce(known, 0) / 2 + {_bits('1.0', 'greatest(1 - coalesce(known, 0), 0)')})"
 _NAMES = [n for n, _ in qd.CLASSES]
 
 QUALITY = f"""
@@ -51,26 +53,26 @@ langs AS (SELECT lang, sum(n_words) AS words, sum(n_chars) AS chars, {', '.join(
           HAVING sum(n_words) * {qd.LANGUAGE_SHARE} >= (SELECT sum(n_words) FROM m) AND sum(n_chars) > 0),
 low AS (SELECT doc_id, lang, lower(word) AS word FROM tok JOIN (SELECT doc_id, lang FROM src) USING (doc_id)),
 common AS (SELECT lang, word, count(*) / any_value(words) AS q FROM low JOIN langs USING (lang)
-           GROUP BY lang, word HAVING count(*) * {qd.COMMON_SHARE} >= any_value(words)),
+           GROUP BY lang, word HAVING count(*) * {qd.COMMON_SHARE} >= any_value(words) AND regexp_matches(word, '\\p{{L}}')),
 known AS (SELECT lang, sum(q) AS known FROM common GROUP BY lang),
 hits AS (SELECT doc_id, c.lang, p, q FROM (SELECT doc_id, word, count(*) / any_value(n_words) AS p
                                            FROM low JOIN (SELECT doc_id, n_words FROM m) USING (doc_id) GROUP BY doc_id, word)
          JOIN common c USING (word)),
 got AS (SELECT doc_id, lang, sum({_bits('p', 'q')}) AS f, sum(p) AS p, sum(q) AS q FROM hits GROUP BY doc_id, lang),
-dist AS (SELECT m.doc_id, langs.lang,
+dist AS (SELECT m.doc_id, langs.lang, n_words,
   CASE WHEN n_chars > 0 THEN sqrt(greatest({' + '.join(f"({_bits(f'(c_{n} / n_chars)', f'(r_{n} / chars)')})" for n in _NAMES)}, 0)) ELSE 1 END AS ch,
-  CASE WHEN n_words > 0 THEN sqrt(greatest(coalesce(f, 0) + (coalesce(known, 0) - coalesce(got.q, 0)) / 2
-    + {_bits('greatest(1 - coalesce(got.p, 0), 0)', 'greatest(1 - coalesce(known, 0), 0)')}, 0)) ELSE 1 END AS wo
+  CASE WHEN n_words > 0 AND {_NONE} > 0 THEN sqrt(greatest(coalesce(f, 0) + (coalesce(known, 0) - coalesce(got.q, 0)) / 2
+    + {_bits('greatest(1 - coalesce(got.p, 0), 0)', 'greatest(1 - coalesce(known, 0), 0)')}, 0) / ({_NONE})) ELSE 1 END AS wo
   FROM m CROSS JOIN langs LEFT JOIN known ON known.lang = langs.lang LEFT JOIN got ON got.doc_id = m.doc_id AND got.lang = langs.lang),
-near AS (SELECT doc_id, arg_min(struct_pack(ch := ch, wo := wo, lang := lang),
-                                struct_pack(a := greatest(ch / {qd.MAX_CHAR_DISTANCE}, wo / {qd.MAX_WORD_DISTANCE}), b := lang)) AS x
+near AS (SELECT doc_id, min(struct_pack(a := round(greatest(ch / {qd.MAX_CHAR_DISTANCE}, wo / ({qd.MAX_WORD_DISTANCE} + {qd.WORD_NOISE} / greatest(n_words, 1))), 6),
+                                        ch := round(ch, 6), wo := round(wo, 6), lang := lang)) AS x
          FROM dist GROUP BY doc_id)
 SELECT m.doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words,
        (n_words < {qd.MIN_WORDS} OR 100 * n_repeat_words > {qd.MAX_REPEAT_PERCENT} * n_words) AS base_failed,
        NOT (n_words < {qd.MIN_WORDS} OR 100 * n_repeat_words > {qd.MAX_REPEAT_PERCENT} * n_words)
          AND coalesce((n_chars < {qd.CHAR_GUARD} OR x.ch <= {qd.MAX_CHAR_DISTANCE})
-                      AND (n_words < {qd.WORD_GUARD} OR x.wo <= {qd.MAX_WORD_DISTANCE}), true) AS kept,
-       x.lang AS nearest_lang, round(x.ch, 6) AS char_distance, round(x.wo, 6) AS word_distance
+                      AND (n_words < {qd.WORD_GUARD} OR x.wo <= {qd.MAX_WORD_DISTANCE} + {qd.WORD_NOISE} / n_words), true) AS kept,
+       x.lang AS nearest_lang, x.ch AS char_distance, x.wo AS word_distance
 FROM m LEFT JOIN near USING (doc_id)
 """
 

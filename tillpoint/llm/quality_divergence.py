@@ -3,13 +3,15 @@
 A document is compared with references of every sizeable language of the
 corpus: one histogram over character classes, one over the language's common
 words (all other words are one more bin). The measure is the Jensen-Shannon
-distance (square root of the divergence in bits, 0 to 1). A document is kept
-when some language is near in both. Texts of fewer words than a guard have
+distance (square root of the divergence in bits, 0 to 1). How far a text without any common word is from a
+language depends on how much common words make up of it, so the word distance
+is taken as a share of that. A document is kept when some language is near in
+both. Texts of fewer words than a guard have
 histograms too coarse to judge and pass the word comparison.
 
 References are counted over all documents: a language needs 1/100 of the
-corpus' words (so there are at most 100), a common word 1/250 of its
-language's words (so there are at most 250 a language). These shares prove the
+corpus' words (so there are at most 100), a common word a letter and 1/100 of
+its language's words (so there are at most 100 a language). These shares prove the
 size of what is broadcast, at any corpus size. Without any reference (an empty
 table, or no language column filled) the comparison passes.
 
@@ -31,9 +33,12 @@ MAX_REPEAT_PERCENT = 50
 WORD_GUARD = 50
 CHAR_GUARD = 200
 MAX_CHAR_DISTANCE = 0.30
-MAX_WORD_DISTANCE = 0.42
+#: As a share of the distance of a text without any common word; short texts, whose shares are
+#: noisy, are allowed WORD_NOISE / (number of words) more.
+MAX_WORD_DISTANCE = 0.60
+WORD_NOISE = 20.0
 LANGUAGE_SHARE = 100
-COMMON_SHARE = 250
+COMMON_SHARE = 100
 #: Character classes, each counted on what the earlier ones left over.
 CLASSES = [("lower", "[a-z]+"), ("space", r"[ \t-\r]+"), ("mark", r"[.,;:!?'\"()-]+"), ("upper", "[A-Z]+"),
            ("letter", r"[\p{L}\p{M}]+"), ("digit", r"\p{N}+"), ("rest", r"(?s).+")]
@@ -110,7 +115,7 @@ def judge(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
               .groupBy("lang", "word").count())
     sizes = F.create_map(*[F.lit(x) for r in langs for x in (r["lang"], float(r["words"]))]) if langs else None
     if langs:
-        common = materialise(counts.filter(F.col("count") * COMMON_SHARE >= sizes[F.col("lang")])
+        common = materialise(counts.filter(F.col("word").rlike(r"\p{L}")).filter(F.col("count") * COMMON_SHARE >= sizes[F.col("lang")])
                              .select("lang", "word", (F.col("count") / sizes[F.col("lang")]).alias("q")),
                              "quality-common")
         in_common = {r["lang"]: r["q"] for r in common.groupBy("lang").agg(F.sum("q").alias("q")).collect()}
@@ -138,9 +143,11 @@ def judge(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
         word = (got_f + (r["known"] - got_q) / 2
                 + _bits(F.greatest(1 - got_p, F.lit(0.0)), F.greatest(1 - r["known"], F.lit(0.0))))
         char = F.when(F.col("n_chars") > 0, F.sqrt(F.greatest(char, F.lit(0.0)))).otherwise(F.lit(1.0))
-        word = F.when(F.col("n_words") > 0, F.sqrt(F.greatest(word, F.lit(0.0)))).otherwise(F.lit(1.0))
-        worst = F.greatest(char / max_char, word / max_word)
-        return F.struct(worst.alias("worst"), char.alias("char"), word.alias("word"), r["lang"].alias("lang"))
+        none = r["known"] / 2 + _bits(F.lit(1.0), F.greatest(1 - r["known"], F.lit(0.0)))
+        word = F.when((F.col("n_words") > 0) & (none > 0), F.sqrt(F.greatest(word, F.lit(0.0)) / none)).otherwise(F.lit(1.0))
+        worst = F.greatest(char / max_char, word / (max_word + WORD_NOISE / F.greatest(F.col("n_words"), F.lit(1))))
+        return F.struct(F.round(worst, 6).alias("worst"), F.round(char, 6).alias("char"), F.round(word, 6).alias("word"),
+                        r["lang"].alias("lang"))
 
     failed = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEAT_PERCENT * F.col("n_words"))
     m = m.withColumn("base_failed", failed)
@@ -153,8 +160,8 @@ def judge(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
         m = m.withColumn("near", F.lit(None).cast("struct<worst:double,char:double,word:double,lang:string>"))
     near = F.col("near")
     passes = (((F.col("n_chars") < CHAR_GUARD) | (near["char"] <= max_char))
-              & ((F.col("n_words") < WORD_GUARD) | (near["word"] <= max_word)))
+              & ((F.col("n_words") < WORD_GUARD) | (near["word"] <= max_word + WORD_NOISE / F.col("n_words"))))
     return m.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed",
                     (~F.col("base_failed") & F.coalesce(passes, F.lit(True))).alias("kept"),
-                    near["lang"].alias("nearest_lang"), F.round(near["char"], 6).alias("char_distance"),
-                    F.round(near["word"], 6).alias("word_distance"))
+                    near["lang"].alias("nearest_lang"), near["char"].alias("char_distance"),
+                    near["word"].alias("word_distance"))
