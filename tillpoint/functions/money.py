@@ -32,13 +32,17 @@ def dsum(c) -> Column:
 
     Summed as LONG cents (a primitive add in the aggregation buffer instead
     of DECIMAL objects), rebuilt as DECIMAL once per group."""
-    return (F.sum(cents(c)).cast("decimal(28,0)") / 100).cast("decimal(28,2)")
+    x = cents(c)
+    # high and low parts summed apart: a LONG sum of whole cents would overflow at 9.2e18
+    high, low = F.sum(F.shiftright(x, 13)), F.sum(x.bitwiseAND(F.lit(8191)))
+    total = high.cast("decimal(28,0)") * F.lit(8192) + low.cast("decimal(28,0)")
+    return (total.cast("decimal(28,0)") / 100).cast("decimal(28,2)")
 
 
 def cents_total(c) -> Column:
     """Exact DECIMAL(28,2) total of a column of LONG cent partials (the second
     level of a two-level money aggregate)."""
-    return (F.sum(_c(c)).cast("decimal(28,0)") / 100).cast("decimal(28,2)")
+    return (F.sum(_c(c).cast("decimal(28,0)")).cast("decimal(28,0)") / 100).cast("decimal(28,2)")
 
 
 def edge(c, scale: int = 2) -> Column:
@@ -62,5 +66,13 @@ def ratio(num, den) -> Column:
 
 
 def exact_round(num, den, scale: int) -> Column:
-    """Quotient of two exact values rounded HALF_UP on DECIMAL (for thresholds)."""
-    return F.round(F.try_divide(_c(num).cast("decimal(38,10)"), _c(den).cast("decimal(38,10)")), scale)
+    """Quotient of two money values, rounded HALF_UP once (for thresholds).
+
+    Done on whole cents: a DECIMAL division would first round to its own scale, and the second
+    rounding could then lift a value over a threshold. NULL on a zero or NULL denominator."""
+    n, d = (_c(x).cast("decimal(28,2)") * 100 for x in (num, den))
+    n, d = n.cast("decimal(29,0)") * F.sign(d).cast("decimal(1,0)"), F.abs(d).cast("decimal(29,0)")
+    up = (F.abs(n) * (2 * 10 ** scale)).cast("decimal(38,0)") + d.cast("decimal(38,0)")
+    twice = F.when(d != 0, (d * 2).cast("decimal(31,0)"))
+    whole = F.call_function("div", up, twice)
+    return (F.when(n < 0, -whole).otherwise(whole) / 10 ** scale).cast(f"decimal(28,{scale})")

@@ -65,7 +65,6 @@ FESTIVE_EVENTS = [
     ("Deepavali_2026", "2026-10-21", 0, 2, "Deepavali Campaign"),
     ("Deepavali_2027", "2027-11-08", 0, 2, "Deepavali Campaign"),
 ]
-PROMO_SEARCH_DAYS = 21  # promo days are placed within three weeks of the closure
 
 
 def _d(s: str) -> dt.date:
@@ -108,8 +107,11 @@ def promo_days(events: DataFrame) -> DataFrame:
     each event's closure; on a date claimed by two events the later wins."""
     closed = F.broadcast(closure_days(events).select("day").distinct())
     first = F.date_add("start_date", F.col("closure_days"))
+    # enough days for all: of n + c days at most c are closed, and of 7 k at most k are Sundays
+    all_closed = events.agg(F.coalesce(F.sum("closure_days"), F.lit(0)).alias("_c")).scalar()
+    span = F.ceil((F.col("promo_days") + all_closed) * 7 / 6).cast("int") + 7
     cand = events.select("event_order", "promo_days", "label",
-                         F.explode(F.sequence(first, F.date_add(first, PROMO_SEARCH_DAYS))).alias("day"))
+                         F.explode(F.sequence(first, F.date_add(first, span))).alias("day"))
     cand = cand.filter(F.dayofweek("day") != 1).join(closed, "day", "left_anti")
     w = Window.partitionBy("event_order").orderBy("day")
     picked = cand.withColumn("_n", F.row_number().over(w)).filter(F.col("_n") <= F.col("promo_days"))
@@ -120,11 +122,14 @@ def promo_days(events: DataFrame) -> DataFrame:
 
 def resolve_to_open_day(days: DataFrame, closed: DataFrame, max_shift: int = 14) -> DataFrame:
     """Move each (day, label) that falls on a Sunday or closed day to the next
-    open day (at most ``max_shift`` days later), as a join on generated days."""
+    open day, at most ``max_shift`` days later; where none of them is open, it
+    stays on the day ``max_shift`` later. As a join on generated days."""
     c = F.broadcast(closed.select(F.col("day").alias("_c")).distinct())
     cand = days.select("day", "label", F.explode(F.sequence("day", F.date_add("day", max_shift - 1))).alias("_to"))
     cand = cand.filter(F.dayofweek("_to") != 1).join(c, F.col("_to") == F.col("_c"), "left_anti")
-    return cand.groupBy("day", "label").agg(F.min("_to").alias("resolved_day"))
+    found = cand.groupBy("day", "label").agg(F.min("_to").alias("_open"))
+    return (days.select("day", "label").distinct().join(found, ["day", "label"], "left")
+            .select("day", "label", F.coalesce("_open", F.date_add("day", max_shift)).alias("resolved_day")))
 
 
 def season_days(seasons: DataFrame) -> DataFrame:

@@ -140,7 +140,7 @@ def add_features(frame: DataFrame, origin: DataFrame, flags: DataFrame, promo_do
     """Feature vector ``x`` (array<double>, order = FEATURES) for (branch_id, ds, weather)."""
     f = _join_flags(frame.join(origin, "branch_id"), flags)
     pdw = promo_dows.select(F.col("branch_id").alias("_pb"), F.col("dow").alias("_pd"), F.lit(1.0).alias("_hp"))
-    f = (f.join(F.broadcast(pdw), (F.col("branch_id") == F.col("_pb")) & ((F.dayofweek("ds") - 1) == F.col("_pd")), "left")
+    f = (f.join(small(pdw), (F.col("branch_id") == F.col("_pb")) & ((F.dayofweek("ds") - 1) == F.col("_pd")), "left")
          .withColumn("hist_promo", F.coalesce("_hp", F.lit(0.0))).drop("_hp", "_pb", "_pd"))
     wd = F.weekday("ds")
     x = F.array(F.lit(1.0), (F.datediff("ds", "origin") / 365.25).cast("double"),
@@ -194,7 +194,7 @@ def _dot(x, beta) -> F.Column:
 
 
 def score(frame: DataFrame, model: DataFrame) -> DataFrame:
-    return frame.join(F.broadcast(model), "branch_id").withColumn("pred_log", _dot(F.col("x"), F.col("beta")))
+    return frame.join(small(model), "branch_id").withColumn("pred_log", _dot(F.col("x"), F.col("beta")))
 
 
 def residual_sigma(scored_train: DataFrame) -> DataFrame:
@@ -220,11 +220,11 @@ def horizon_dates(history: DataFrame, closed: DataFrame, as_of: dt.date, horizon
     no later than max(last + 1, as_of); then ``horizon`` consecutive days."""
     last = history.groupBy("branch_id").agg(F.max("ds").alias("last"))
     c = F.broadcast(closed.select(F.col("day").alias("_c")).distinct())
-    cand = last.select("branch_id", "last",
-                       F.explode(F.sequence(F.date_add("last", 1), F.date_add("last", 22))).alias("d"))
+    latest = F.greatest(F.date_add("last", 1), F.lit(as_of))
+    cand = last.select("branch_id", F.explode(F.sequence(F.date_add("last", 1), latest)).alias("d"))
     cand = cand.filter(F.dayofweek("d") != 1).join(c, F.col("d") == F.col("_c"), "left_anti")
-    first_open = cand.groupBy("branch_id", "last").agg(F.min("d").alias("first_open"))
-    start = F.least(F.col("first_open"), F.greatest(F.date_add("last", 1), F.lit(as_of)))
+    first_open = last.join(cand.groupBy("branch_id").agg(F.min("d").alias("first_open")), "branch_id", "left")
+    start = F.coalesce("first_open", latest)  # closed all the way: the latest day itself
     return first_open.select("branch_id", "last",
                              F.explode(F.sequence(start, F.date_add(start, horizon - 1))).alias("ds"))
 
@@ -244,11 +244,13 @@ def product_mix(fact: DataFrame, window_days: int = 30, last_days: DataFrame | N
     lo = mx.agg(F.min(F.date_sub("_mx", window_days))).first()[0]  # one date (small materialised input)
     recent = fact if lo is None else fact.filter(F.col("transaction_date") >= F.lit(lo))
     # one row per branch: a bounded broadcast side
-    recent = recent.join(F.broadcast(mx), "branch_id").filter(F.col("transaction_date") >= F.date_sub("_mx", window_days))
+    recent = recent.join(small(mx), "branch_id").filter(F.col("transaction_date") >= F.date_sub("_mx", window_days))
     agg = recent.groupBy("branch_id", "item_name", "product_id", "product_detail").agg(
         F.sum("transaction_qty").alias("total_qty"), dsum("total_bill").alias("total_rev"))
-    tot = F.sum("total_rev").over(Window.partitionBy("branch_id"))  # aggregated rows of one branch
-    return agg.withColumn("_tot", F.when(tot == 0, F.lit(1)).otherwise(tot)).select(
+    # the branch total is an aggregate joined back: no task has to hold a branch's items
+    total = agg.groupBy("branch_id").agg(F.sum("total_rev").alias("_sum"))
+    tot = F.col("_sum")
+    return agg.join(total, "branch_id").withColumn("_tot", F.when(tot == 0, F.lit(1)).otherwise(tot)).select(
         "branch_id", "item_name", "product_id", "product_detail", "total_qty",
         F.col("total_rev").cast("double").alias("total_rev"),
         (F.col("total_qty") / F.col("_tot").cast("double")).alias("qty_per_rm"))
@@ -304,7 +306,7 @@ def forecast(fact: DataFrame, branches: DataFrame, as_of: dt.date, holidays: Dat
                              F.coalesce("holiday_effect", F.lit(0.0)).alias("holiday_effect"))
     # sigma has one row per fitted branch; the branch dimension is broadcast
     # only behind the size check
-    r = allrows.join(F.broadcast(sigma), "branch_id").join(small(effect), "branch_id", "left")
+    r = allrows.join(small(sigma), "branch_id").join(small(effect), "branch_id", "left")
     is_sun = F.dayofweek("ds") == 1
     is_fest = F.col("closed") == 1.0
     closed_flag = is_sun | is_fest
@@ -362,7 +364,7 @@ def trend_line(daily: DataFrame) -> DataFrame:
     regression both read it."""
     daily = cut_lineage(daily, "trend-daily")
     first = daily.groupBy("branch_id").agg(F.min("transaction_date").alias("_first"))
-    d = daily.join(F.broadcast(first), "branch_id").withColumn(
+    d = daily.join(small(first), "branch_id").withColumn(
         "t", F.datediff("transaction_date", "_first").cast("double"))
     return d.groupBy("branch_id").agg(F.regr_slope("revenue", "t").alias("slope"),
                                       F.regr_intercept("revenue", "t").alias("intercept"),
@@ -411,8 +413,9 @@ def expected_revenue(next_days: DataFrame) -> DataFrame:
 
 
 def pva_rows(forecast_days: DataFrame, fact: DataFrame, date_from: dt.date, date_to: dt.date,
-             branch_ids: DataFrame | None = None) -> DataFrame:
-    """Predicted vs actual per date in [from, to] (all selected branches summed)."""
+             branch_ids: DataFrame | None = None, holidays: DataFrame | None = None) -> DataFrame:
+    """Predicted vs actual per date in [from, to] (all selected branches summed); the variance in
+    percent has one decimal. ``holidays`` adds is_holiday."""
     from ..functions.money import ratio
     fc = forecast_days.filter(F.col("forecast_date").between(F.lit(date_from), F.lit(date_to)))
     ac = fact.filter(F.col("transaction_date").between(F.lit(date_from), F.lit(date_to)))
@@ -430,12 +433,16 @@ def pva_rows(forecast_days: DataFrame, fact: DataFrame, date_from: dt.date, date
     up = F.coalesce("_up", F.lit(0).cast("decimal(28,2)"))
     has = F.col("_act").isNotNull()
     var = F.when(has & (y > 0), F.col("_act") - y)
-    return j.select(
+    out = j.select(
         "ds", F.date_format("ds", "E").alias("day_name"),
         y.cast("double").alias("yhat"), lo.cast("double").alias("yhat_lower"), up.cast("double").alias("yhat_upper"),
         F.col("_act").cast("double").alias("actual"), F.coalesce("txn_count", F.lit(0)).alias("txn_count"),
-        var.cast("double").alias("variance"), ratio(var * 100, y).alias("variance_pct"),
+        var.cast("double").alias("variance"), F.round(ratio(var * 100, y), 1).alias("variance_pct"),
         F.when(has & (lo != 0) & (up != 0), (lo <= F.col("_act")) & (F.col("_act") <= up)).alias("in_range"))
+    if holidays is None:
+        return out
+    h = F.broadcast(holidays.select(F.col("holiday_date").alias("_h")).distinct())  # bounded: a calendar
+    return out.join(h, F.col("ds") == F.col("_h"), "left").withColumn("is_holiday", F.col("_h").isNotNull()).drop("_h")
 
 
 def pva_summary(rows: DataFrame) -> DataFrame:
@@ -446,7 +453,8 @@ def pva_summary(rows: DataFrame) -> DataFrame:
     exceeded = act > up
     off = ~exceeded & (act < lo)
     safe = ~exceeded & ~off & (act < y)
-    pct8 = F.round(F.abs(F.col("variance_pct")), 8).cast("decimal(38,8)")
+    # the mean of the percentages as shown, with one decimal
+    pct8 = F.round(F.abs(F.col("variance_pct")), 1).cast("decimal(38,1)")
     return a.agg(
         F.count("*").alias("days_with_actual"),
         F.sum(y).cast("double").alias("total_predicted"), F.sum(act).cast("double").alias("total_actual"),

@@ -131,9 +131,7 @@ def chart_flags(msgs: DataFrame, text_col: str = "text") -> DataFrame:
 
 def last_turns(msgs: DataFrame, k: int, max_chars: int | None = None) -> DataFrame:
     """Last k turns per conversation, bot payload scrubbed and optionally
-    truncated. Turn numbers are unique per conversation, so the last k are
-    the turns ≥ the k-th largest — found by k rounds of a partial ``max``
-    (no conversation is ever sorted inside one task)."""
+    truncated. One scan: each task keeps its k last rows of a conversation."""
     from ..functions.joins import top_k_per_key
     text = scrub_chart_payload(F.col("text"))
     if max_chars:

@@ -150,7 +150,7 @@ def q_bottom_items(spark, sf):
 SELECT payment_method, count(*) AS orders FROM pos_lines GROUP BY 1
 """, "pos_lines"))
 def q_payment_mix(spark, sf):
-    return M.payment_mix(V.pos_lines(spark, sf))
+    return M.payment_mix(V.pos_lines(spark, sf, payment=True))
 
 
 # D10 — weekday (0 = Sunday) × hour heatmap

@@ -15,7 +15,6 @@ from ..sources.testviews import with_views
 from .registry import div, register
 
 PVA_FROM, PVA_TO = dt.date(1998, 1, 1), dt.date(1998, 3, 31)
-LOADED_UNTIL = dt.date(1998, 7, 1)  # history the stored forecast was fitted on
 
 
 def _forecast(spark, sf):
@@ -110,7 +109,7 @@ j AS (SELECT coalesce(f.ds, a.ds) AS ds, coalesce(f.y, 0) AS y, coalesce(f.lo, 0
 r AS (SELECT ds, strftime(ds, '%a') AS day_name, CAST(y AS DOUBLE) AS yhat, CAST(lo AS DOUBLE) AS yhat_lower,
              CAST(up AS DOUBLE) AS yhat_upper, CAST(act AS DOUBLE) AS actual, txn_count,
              CASE WHEN act IS NOT NULL AND y > 0 THEN CAST(act - y AS DOUBLE) END AS variance,
-             CASE WHEN act IS NOT NULL AND y > 0 THEN {div('(act - y) * 100', 'y')} END AS variance_pct,
+             CASE WHEN act IS NOT NULL AND y > 0 THEN round({div('(act - y) * 100', 'y')}, 1) END AS variance_pct,
              CASE WHEN act IS NOT NULL AND lo <> 0 AND up <> 0 THEN lo <= act AND act <= up END AS in_range,
              act AS _act, y AS _y, lo AS _lo, up AS _up
       FROM j)"""
@@ -126,7 +125,7 @@ def q_pva_daily(spark, sf):
 # D47 — predicted vs actual summary
 @register("pva_summary", with_views(_PVA_BASE + """
 SELECT count(*) AS days_with_actual, CAST(sum(_y) AS DOUBLE) AS total_predicted, CAST(sum(_act) AS DOUBLE) AS total_actual,
-       coalesce(CAST(sum(CAST(round(abs(variance_pct), 8) AS DECIMAL(38,8))) AS DOUBLE)
+       coalesce(CAST(sum(CAST(abs(variance_pct) AS DECIMAL(38,1))) AS DOUBLE)
                 / NULLIF(CAST(count(variance_pct) AS DOUBLE), 0), 0.0) AS mape,
        count(*) FILTER (WHERE _act > _up) AS exceeded,
        count(*) FILTER (WHERE NOT _act > _up AND _act < _lo) AS off,
@@ -142,8 +141,7 @@ def q_pva_summary(spark, sf):
 
 # D50 / C16 — next five stored forecast rows after the warehouse's last sale
 @register("next_forecast_days", with_views("""
-WITH cut AS (SELECT coalesce(max(transaction_date), DATE '1970-01-01') AS m FROM pos_lines
-             WHERE transaction_date < DATE '1998-07-01'),
+WITH cut AS (SELECT coalesce(max(transaction_date), DATE '1970-01-01') AS m FROM pos_lines),
 f AS (SELECT *, CAST(row_number() OVER (PARTITION BY branch_id ORDER BY forecast_date) AS INTEGER) AS rank
       FROM forecast_like WHERE forecast_date > (SELECT m FROM cut))
 SELECT branch_id, forecast_date, CAST(predicted_revenue AS DOUBLE) AS predicted_revenue,
@@ -153,8 +151,7 @@ SELECT branch_id, forecast_date, CAST(predicted_revenue AS DOUBLE) AS predicted_
 FROM f WHERE rank <= 5
 """, "pos_lines", "forecast_like"))
 def q_next_forecast_days(spark, sf):
-    fact = V.pos_lines(spark, sf)
-    loaded = fact.filter(F.col("transaction_date") < F.lit(LOADED_UNTIL))
+    loaded = V.pos_lines(spark, sf)
     fc = V.forecast_like(spark, sf).select(
         "branch_id", "forecast_date", *[F.col(c).cast("double").alias(c) for c in
                                         ("predicted_revenue", "lower_bound_revenue", "upper_bound_revenue")])
@@ -165,15 +162,14 @@ def q_next_forecast_days(spark, sf):
 
 # D49 — expected revenue of the next five stored forecast days per branch
 @register("expected_5day_revenue", with_views("""
-WITH cut AS (SELECT coalesce(max(transaction_date), DATE '1970-01-01') AS m FROM pos_lines
-             WHERE transaction_date < DATE '1998-07-01'),
+WITH cut AS (SELECT coalesce(max(transaction_date), DATE '1970-01-01') AS m FROM pos_lines),
 f AS (SELECT *, row_number() OVER (PARTITION BY branch_id ORDER BY forecast_date) AS rank
       FROM forecast_like WHERE forecast_date > (SELECT m FROM cut))
 SELECT branch_id, count(*) AS days, CAST(sum(predicted_revenue) AS DOUBLE) AS expected_revenue
 FROM f WHERE rank <= 5 GROUP BY branch_id
 """, "pos_lines", "forecast_like"))
 def q_expected_revenue(spark, sf):
-    loaded = V.pos_lines(spark, sf).filter(F.col("transaction_date") < F.lit(LOADED_UNTIL))
+    loaded = V.pos_lines(spark, sf)
     fc = V.forecast_like(spark, sf).select("branch_id", "forecast_date",
                                            F.col("predicted_revenue").cast("double").alias("predicted_revenue"))
     return FC.expected_revenue(FC.next_forecast_days(fc, loaded, 5))
@@ -183,7 +179,7 @@ def q_expected_revenue(spark, sf):
 # history days: the latest 7 days, or one month
 _FVA_BASE = """
 WITH d AS (SELECT branch_id, transaction_date AS ds, sum(total_bill) AS actual FROM pos_lines
-           WHERE total_bill > 0 AND transaction_date < DATE '1998-07-01' GROUP BY 1, 2),
+           WHERE total_bill > 0 GROUP BY 1, 2),
 t AS (SELECT *, row_number() OVER (PARTITION BY branch_id ORDER BY ds DESC) AS rank FROM d),
 r AS (SELECT t.branch_id, t.ds, t.rank, round(greatest(coalesce(f.predicted_revenue, 0), 0), 2) AS predicted, t.actual
       FROM t LEFT JOIN forecast_like f ON t.branch_id = f.branch_id AND t.ds = f.forecast_date WHERE t.rank <= 90)
@@ -191,11 +187,11 @@ SELECT branch_id, count(*) AS days, CAST(sum(predicted) AS DOUBLE) AS total_pred
        CAST(sum(actual) AS DOUBLE) AS total_actual, CAST(abs(sum(actual) - sum(predicted)) AS DOUBLE) AS net_variance
 FROM r WHERE {where} GROUP BY branch_id
 """
-FVA_MONTH = "1998-05"
+FVA_MONTH = "2001-10"
 
 
 def _fva(spark, sf):
-    loaded = V.pos_lines(spark, sf).filter(F.col("transaction_date") < F.lit(LOADED_UNTIL))
+    loaded = V.pos_lines(spark, sf)
     return FC.fva_rows(loaded, V.forecast_like(spark, sf), 90)
 
 
@@ -220,3 +216,40 @@ FROM r
 def q_pva_band(spark, sf):
     rows = FC.pva_rows(V.forecast_like(spark, sf), V.pos_lines(spark, sf), PVA_FROM, PVA_TO)
     return FC.pva_band_status(rows).select("ds", "variance_pct", "band_status")
+
+
+# D46 / O3 / C15 — predicted vs actual of one outlet: only forecasts of branches that sell there
+PVA_OUTLET = "NATION_7"
+_OUTLET_BASE = (_PVA_BASE.replace("FROM forecast_like WHERE", "FROM forecast_like WHERE branch_id IN (SELECT branch_id FROM pos_lines "
+                                  f"WHERE store_location = '{PVA_OUTLET}') AND")
+                .replace("FROM pos_lines WHERE transaction_date BETWEEN", f"FROM pos_lines WHERE store_location = '{PVA_OUTLET}' AND transaction_date BETWEEN"))
+
+
+def _outlet_report(spark, sf):
+    from . import report as RP
+    fc = V.forecast_like(spark, sf)
+    cal = V.fixed_calendar(spark, 1990, 2010)
+    return RP.executive_report(V.pos_lines(spark, sf), PVA_FROM, PVA_TO, PVA_OUTLET, fc, cal)
+
+
+@register("report_pva_outlet", with_views(_OUTLET_BASE + """
+SELECT ds, day_name, yhat, yhat_lower, yhat_upper, actual, txn_count, variance, variance_pct, in_range,
+       strftime(ds, '%m-%d') IN ('01-01', '05-01', '08-31', '09-16', '12-25') AS is_holiday FROM r
+""", "pos_lines", "forecast_like"))
+def q_report_pva_outlet(spark, sf):
+    return _outlet_report(spark, sf)["predicted_vs_actual"]
+
+
+# O3 — the outlet's upcoming stored forecast days
+@register("report_upcoming_forecast", with_views(f"""
+WITH f AS (SELECT *, CAST(row_number() OVER (PARTITION BY branch_id ORDER BY forecast_date) AS INTEGER) AS rank
+           FROM forecast_like WHERE forecast_date > (SELECT max(transaction_date) FROM pos_lines))
+SELECT branch_id, forecast_date, CAST(predicted_revenue AS DOUBLE) AS predicted_revenue, rank,
+       strftime(forecast_date, '%m-%d') IN ('01-01', '05-01', '08-31', '09-16', '12-25') AS is_holiday,
+       dayofweek(forecast_date) = 5 AS is_friday
+FROM f WHERE rank <= 5 AND branch_id IN (SELECT branch_id FROM pos_lines WHERE store_location = '{PVA_OUTLET}')
+""", "pos_lines", "forecast_like"))
+def q_report_upcoming(spark, sf):
+    return (_outlet_report(spark, sf)["upcoming_forecast"]
+            .select("branch_id", "forecast_date", F.col("predicted_revenue").cast("double").alias("predicted_revenue"),
+                    "rank", "is_holiday", "is_friday"))

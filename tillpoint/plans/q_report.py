@@ -44,7 +44,7 @@ FROM bd"""
 # D13, D17–D21 / E5 — every breakdown of the report from one grouping-sets scan
 @register("report_breakdowns", with_views(_bd_sql("pos_lines", R_FROM, R_TO) + _bd_body(), "pos_lines"))
 def q_report_breakdowns(spark, sf):
-    return RP.executive_report(V.pos_lines(spark, sf), R_FROM, R_TO)["breakdowns"]
+    return RP.executive_report(V.pos_lines(spark, sf, payment=True), R_FROM, R_TO)["breakdowns"]
 
 
 @register("report_breakdowns_events", with_views(_bd_sql("pos_events", E_FROM, E_TO) + _bd_body(), "pos_events"))

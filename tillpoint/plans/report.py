@@ -42,9 +42,10 @@ def in_range(fact: DataFrame, date_from: dt.date, date_to: dt.date, outlet: str
     return f
 
 
-def breakdowns(fact: DataFrame) -> DataFrame:
-    """(section, key, revenue, orders, qty) for every breakdown, one scan."""
-    keys = breakdown_keys()
+def breakdowns(fact: DataFrame, only: str | None = None) -> DataFrame:
+    """(section, key, revenue, orders, qty) for every breakdown, one scan; ``only`` one section
+    reads and groups by that section's column alone."""
+    keys = [k for k in breakdown_keys() if only in (None, k[0])]
     keyed = fact.select(*[e.alias(f"k_{n}") for n, e in keys], "total_bill", "transaction_qty")
     names = [f"k_{n}" for n, _ in keys]
     g = keyed.groupingSets([[c] for c in names], *names).agg(
@@ -119,27 +120,43 @@ def six_month_trend(fact: DataFrame, target_month_start: dt.date, outlet: str |
 
 
 def executive_report(fact: DataFrame, date_from: dt.date, date_to: dt.date, outlet: str | None = None,
-                     forecast_days: DataFrame | None = None) -> Sections:
+                     forecast_days: DataFrame | None = None, holidays: DataFrame | None = None) -> Sections:
     """All report sections for one outlet (or all) and an inclusive date
     range; each section is planned when it is first requested."""
     f = in_range(fact, date_from, date_to, outlet)
-    bd = shares(breakdowns(f))
+
+    def section(name: str) -> DataFrame:
+        return shares(breakdowns(f, name))
+
     out = {
         "summary": lambda: summary(fact, date_from, date_to, outlet),
-        "breakdowns": lambda: bd,
-        "peak_hour": lambda: top_k(bd, "hourly", 1, by="orders"),
-        "peak_weekday": lambda: top_k(bd, "weekday", 1, by="orders"),
-        "top_outlet": lambda: top_k(bd, "outlet", 1),
-        "top_products": lambda: top_k(bd, "item", 5),
-        "bottom_products": lambda: top_k(bd, "item", 3, bottom=True),
+        "breakdowns": lambda: shares(breakdowns(f)),
+        "peak_hour": lambda: top_k(section("hourly"), "hourly", 1, by="orders"),
+        "peak_weekday": lambda: top_k(section("weekday"), "weekday", 1, by="orders"),
+        "top_outlet": lambda: top_k(section("outlet"), "outlet", 1),
+        "top_products": lambda: top_k(section("item"), "item", 5),
+        "bottom_products": lambda: top_k(section("item"), "item", 3, bottom=True),
         "six_month_trend": lambda: six_month_trend(fact, date_to.replace(day=1), outlet),
         "promo_efficiency": lambda: P.promo_efficiency(f),
         "decline": lambda: D.decline_summary(f),
     }
     if forecast_days is not None:
-        from ..operators.forecast import pva_rows, pva_summary
-        out["predicted_vs_actual"] = lambda: pva_rows(forecast_days, f, date_from, date_to)
-        out["pva_summary"] = lambda: pva_summary(pva_rows(forecast_days, f, date_from, date_to))
+        from ..operators.forecast import next_forecast_days, pva_rows, pva_summary
+
+        def sellers() -> DataFrame | None:
+            """Branches that sell at the outlet; their forecasts are the ones to compare with it."""
+            if not outlet or outlet == "all":
+                return None
+            return fact.filter(F.col("store_location") == outlet).select("branch_id").distinct()
+
+        def upcoming() -> DataFrame:
+            days = next_forecast_days(forecast_days, fact, 5, holidays)
+            ids = sellers()
+            return days if ids is None else days.join(ids, "branch_id", "left_semi")
+
+        out["predicted_vs_actual"] = lambda: pva_rows(forecast_days, f, date_from, date_to, sellers(), holidays)
+        out["pva_summary"] = lambda: pva_summary(pva_rows(forecast_days, f, date_from, date_to, sellers()))
+        out["upcoming_forecast"] = upcoming
     return Sections(deferred=out)
 
 
@@ -177,7 +194,7 @@ def business_snapshot(fact: DataFrame) -> DataFrame:
                       top.scalar().alias("top_outlet"), peak.scalar().alias("peak_hour"))
 
 
-def month_brief(fact: DataFrame, month: str) -> dict[str, DataFrame]:
+def month_brief(fact: DataFrame, month: str) -> Sections:
     """One-month deep dive: totals, per-outlet revenue / orders / ticket size,
     top-5 items, peak hour, busiest weekday and growth vs the prior month.
     Month equality is a date range so it prunes partitions."""
@@ -193,10 +210,11 @@ def month_brief(fact: DataFrame, month: str) -> dict[str, DataFrame]:
         ratio((F.col("_c") - F.col("_p")) * 100, "_p").alias("growth_pct"))
     outlets = cur.groupBy("store_location").agg(dsum("total_bill").alias("_r"), F.count("*").alias("orders")).select(
         "store_location", edge("_r").alias("revenue"), "orders", ratio("_r", "orders").alias("avg_ticket"))
-    bd = breakdowns(cur)
-    return {"totals": M.kpi_totals(cur), "growth": growth, "outlets": outlets,
-            "top_items": top_k(bd, "item", 5, by="qty"), "peak_hour": top_k(bd, "hourly", 1, by="orders"),
-            "busiest_weekday": top_k(bd, "weekday", 1, by="orders")}
+    return Sections({"growth": growth, "outlets": outlets}, {
+        "totals": lambda: M.kpi_totals(cur),
+        "top_items": lambda: top_k(breakdowns(cur, "item"), "item", 5, by="qty"),
+        "peak_hour": lambda: top_k(breakdowns(cur, "hourly"), "hourly", 1, by="orders"),
+        "busiest_weekday": lambda: top_k(breakdowns(cur, "weekday"), "weekday", 1, by="orders")})
 
 
 def season_brief(fact: DataFrame, seasons: DataFrame) -> DataFrame:

@@ -75,12 +75,14 @@ def checkpoint_dir(spark: SparkSession) -> str:
     """The shared folder for lineage cuts and streaming checkpoints.
 
     On a cluster this is the operator-provided ``spark.checkpoint.dir``; only
-    when it is unset (local tests) do we pick a private scratch folder.
+    when it is unset on a local master (tests) do we pick a private scratch folder.
     """
     configured = spark.conf.get("spark.checkpoint.dir", None)
     if not configured:
         configured = spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
     if not configured:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         configured = tempfile.mkdtemp(prefix="tillpoint-ckpt-", dir=os.environ.get("TMPDIR", "/tmp"))
         spark.conf.set("spark.checkpoint.dir", configured)
     spark.sparkContext.setCheckpointDir(configured)

@@ -37,23 +37,8 @@ FORECAST_MAINS = ["Clear", "Clouds", "Rain", "Thunderstorm", "Mist", "Drizzle",
 TEST_SEASON_START, TEST_SEASON_END = "03-01", "03-30"
 
 
-# Fact-like tables whose per-row work dominates (joins, text building).
-SPREAD_TABLES = {"lineitem", "orders", "events"}
-
-
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    df = spark.read.parquet(f"{sf_dir}/{name}.parquet")
-    return spread(df) if name in SPREAD_TABLES else df
-
-
-def spread(df: DataFrame) -> DataFrame:
-    """Round-robin a scan that yields fewer splits than the cluster has task
-    slots (e.g. one file written as a single row group) so the per-row work
-    after it runs on every core. A no-op for ordinary multi-split inputs."""
-    slots = df.sparkSession.sparkContext.defaultParallelism
-    if df.rdd.getNumPartitions() < slots:
-        return df.repartition(slots)
-    return df
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
 def _branch_code(nationkey) -> F.Column:
@@ -81,18 +66,22 @@ def geo(spark: SparkSession, sf_dir: str) -> DataFrame:
                        .select("n_nationkey", "n_name", "n_regionkey", "r_name"))
 
 
-def pos_lines(spark: SparkSession, sf_dir: str, calendar: DataFrame | None = None) -> DataFrame:
+def pos_lines(spark: SparkSession, sf_dir: str, calendar: DataFrame | None = None, payment: bool = False) -> DataFrame:
+    """The sales view. ``payment`` adds payment_method, the one column that needs lineitem joined to
+    orders; without a ``calendar`` the holiday flag is an expression on the date, so neither costs
+    a query that doesn't ask for it."""
     li = read(spark, sf_dir, "lineitem")
     part = read(spark, sf_dir, "part").select("p_partkey", "p_name", "p_type")
     supp = read(spark, sf_dir, "supplier").select("s_suppkey", "s_nationkey")
-    orders = read(spark, sf_dir, "orders").select("o_orderkey", "o_orderpriority")
     g = geo(spark, sf_dir)
     # part / supplier / orders grow with the data: no hint, the planner (and
     # AQE at runtime) chooses broadcast only when the measured side is small.
     j = (li.join(part, li.l_partkey == part.p_partkey)
          .join(supp, li.l_suppkey == supp.s_suppkey)
-         .join(orders, li.l_orderkey == orders.o_orderkey)
          .join(g, F.col("s_nationkey") == g.n_nationkey))
+    if payment:
+        orders = read(spark, sf_dir, "orders").select("o_orderkey", "o_orderpriority")
+        j = j.join(orders, li.l_orderkey == orders.o_orderkey)
     gross = F.col("l_extendedprice").cast(MONEY)
     disc = F.round(gross * F.col("l_discount").cast("decimal(4,2)"), 2).cast(MONEY)
     tax = F.round(gross * F.col("l_tax").cast("decimal(4,2)"), 2).cast(MONEY)
@@ -114,18 +103,31 @@ def pos_lines(spark: SparkSession, sf_dir: str, calendar: DataFrame | None = Non
          .otherwise(F.concat(F.lit("DISC_"), F.lpad(pct.cast("string"), 2, "0"))).alias("promo_code"),
         tax.alias("sst_amount"),
         (gross - disc).cast(MONEY).alias("total_bill"),
-        F.col("o_orderpriority").alias("payment_method"),
+        *([F.col("o_orderpriority").alias("payment_method")] if payment else []),
         F.col("n_name").alias("store_location"),
         F.col("r_name").alias("location_type"),
         F.col("n_name").alias("district"),
         F.col("r_name").alias("state"),
         F.lit("Cloudy").alias("weather_condition"),
     )
-    if calendar is None:  # year range from the raw date column only (one pruned column scan)
-        calendar = holiday_calendar_from(date_source(spark, sf_dir, "pos_lines"))
+    if calendar is None:
+        return out.withColumn("is_public_holiday", fixed_holiday(F.col("transaction_date")))
     return add_holiday_flag(out, calendar)
 
 
+def fixed_calendar(spark: SparkSession, first_year: int, last_year: int) -> DataFrame:
+    """The test calendar's holidays of some years, without reading data."""
+    import datetime as _dt
+    rows = [(_dt.date(y, int(md[:2]), int(md[3:])), f"Holiday {md}")
+            for y in range(first_year, last_year + 1) for md in TEST_HOLIDAY_MONTH_DAYS]
+    return spark.createDataFrame(rows, "holiday_date date, holiday_name string")
+
+
+def fixed_holiday(day: F.Column) -> F.Column:
+    """The flag of the test calendar, whose holidays fall on the same dates every year."""
+    return F.date_format(day, "MM-dd").isin(TEST_HOLIDAY_MONTH_DAYS).cast("int")
+
+
 def pos_events(spark: SparkSession, sf_dir: str, calendar: DataFrame | None = None,
                weather_daily: DataFrame | None = None) -> DataFrame:
     from ..operators.weather_ops import attach_weather, daylight_conditions
@@ -165,7 +167,7 @@ def pos_events(spark: SparkSession, sf_dir: str, calendar: DataFrame | None = No
         weather_daily = daylight_conditions(weather_hourly(spark, sf_dir))
     out = attach_weather(out, weather_daily)
     if calendar is None:
-        calendar = holiday_calendar_from(date_source(spark, sf_dir, "pos_events"))
+        return out.withColumn("is_public_holiday", fixed_holiday(F.col("transaction_date")))
     return add_holiday_flag(out, calendar)
 
 
@@ -520,14 +522,18 @@ recipes AS (
 )"""
 
 
+FORECAST_LEAD_DAYS = 120
+
+
 def forecast_like(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A stored forecast per (branch, date) derived from orders: predicted =
-    1 % of the day's order value of the branch's customers; bounds ×0.8 / ×1.2."""
+    """A stored forecast per (branch, date) derived from orders, FORECAST_LEAD_DAYS
+    ahead, so it runs past the last sale: predicted = 1 % of the day's order
+    value of the branch's customers; bounds ×0.8 / ×1.2."""
     o = read(spark, sf_dir, "orders").select("o_custkey", "o_orderdate", "o_totalprice")
     c = read(spark, sf_dir, "customer").select("c_custkey", "c_nationkey")
     per = (o.join(c, o.o_custkey == c.c_custkey)
            .groupBy(_branch_code(F.col("c_nationkey")).alias("branch_id"),
-                    F.col("o_orderdate").cast("date").alias("forecast_date"))
+                    F.date_add(F.col("o_orderdate").cast("date"), FORECAST_LEAD_DAYS).alias("forecast_date"))
            .agg(F.sum(F.col("o_totalprice").cast(MONEY)).alias("_t")))
     pred = F.round(F.col("_t") * F.lit(0.01).cast("decimal(3,2)"), 2)
     return per.select("branch_id", "forecast_date", pred.alias("predicted_revenue"),
@@ -539,7 +545,7 @@ FORECAST_LIKE_SQL = """
 forecast_like AS (
   SELECT branch_id, forecast_date, pred AS predicted_revenue, round(pred * CAST(0.8 AS DECIMAL(2,1)), 2) AS lower_bound_revenue,
          round(pred * CAST(1.2 AS DECIMAL(2,1)), 2) AS upper_bound_revenue
-  FROM (SELECT 'BR' || lpad(CAST(c_nationkey AS VARCHAR), 2, '0') AS branch_id, CAST(o_orderdate AS DATE) AS forecast_date,
+  FROM (SELECT 'BR' || lpad(CAST(c_nationkey AS VARCHAR), 2, '0') AS branch_id, CAST(o_orderdate AS DATE) + 120 AS forecast_date,
                round(sum(CAST(o_totalprice AS DECIMAL(18,2))) * CAST(0.01 AS DECIMAL(3,2)), 2) AS pred
         FROM orders JOIN customer ON o_custkey = c_custkey GROUP BY 1, 2)
 )"""
