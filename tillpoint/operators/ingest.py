@@ -164,7 +164,9 @@ def dedupe_against(incoming: DataFrame, existing_ids: DataFrame | None) -> DataF
     x = (incoming.join(first, "transaction_id")
          .withColumn("_rank", F.when(F.col("source_file") == F.col("_first"), 1).otherwise(2)).drop("_first"))
     if existing_ids is not None:
-        e = existing_ids.select(F.col("transaction_id").alias("_eid")).distinct()
+        # the batch's own ids that are known: the warehouse side is only probed, never aggregated
+        e = first.select(F.col("transaction_id").alias("_eid")).join(
+            existing_ids.select(F.col("transaction_id").alias("_eid")), "_eid", "left_semi")
         x = x.join(e, x.transaction_id == e._eid, "left").withColumn("_known", F.col("_eid").isNotNull()).drop("_eid")
     else:
         x = x.withColumn("_known", F.lit(False))
@@ -197,7 +199,8 @@ def ingest(raw: DataFrame, files: DataFrame | None, branches: DataFrame, existin
     keep = (std.filter("_valid").join(ok_files, "source_file", "left_semi")
             .join(act, std.Store_ID == act._code, "left_semi"))
     fact = to_fact(keep, branches, weather_daily, holidays, zero_coord)
-    flagged = dedupe_against(fact, existing_ids)
+    # both results read the flagged rows: the warehouse is probed once
+    flagged = cut_lineage(dedupe_against(fact, existing_ids), "ingest-load")
     load = flagged.groupBy("source_file").agg(F.count("*").alias("rows_accepted"),
                                              F.count(F.when(F.col("_dup"), 1)).alias("rows_skipped"))
     v = checks.join(load, "source_file", "left").fillna(0, ["rows_accepted", "rows_skipped"])

@@ -11,6 +11,8 @@ keeps them so they can be reported as empty.
 from __future__ import annotations
 
 import csv
+import re
+from urllib.parse import unquote
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -41,6 +43,11 @@ def file_headers(spark: SparkSession, paths) -> DataFrame:
     return first.groupBy("source_file").agg(F.min_by("value", "_pos").alias("header"))
 
 
+def _same_name(uri: str) -> str:
+    """Spark writes a local file's URI with one slash or with three."""
+    return re.sub("^file:/+", "file:///", unquote(uri))
+
+
 def read_pos_files(spark: SparkSession, paths) -> tuple[DataFrame, DataFrame]:
     """Read raw POS CSV files.
 
@@ -52,10 +59,14 @@ def read_pos_files(spark: SparkSession, paths) -> tuple[DataFrame, DataFrame]:
     """
     if isinstance(paths, str):
         paths = [paths]
-    headers = file_headers(spark, paths).collect()  # one short row per file
+    headers = {r["source_file"]: r["header"] for r in file_headers(spark, paths).collect()}  # one short row per file
+    # files of zero bytes are listed but never scanned: they have no header row
+    listed = {_same_name(f) for f in spark.read.text(paths).inputFiles()}
+    for f in listed.difference(map(_same_name, headers)):
+        headers[f] = ""
     groups: dict[str, list[str]] = {}
-    for r in headers:
-        groups.setdefault(r["header"] or "", []).append(r["source_file"])
+    for f, header in headers.items():
+        groups.setdefault(header or "", []).append(f)
     frames, file_rows = [], []
     for header, files in groups.items():
         raw_names = next(iter(csv.reader([header]))) if header else []

@@ -1,7 +1,7 @@
 """Structured Streaming: incremental ingestion of a landing folder and live
 per-outlet sales windows.
 
-* ``start_ingestion`` — ``readStream.csv`` over the landing folder, each
+* ``start_ingestion`` — a file stream over the landing folder, each
   micro-batch runs the batch ``ingest`` (per-file verdicts, anti join
   against the warehouse ids, first-file-wins inside the batch), appends the
   new fact rows and the verdicts, and optionally refreshes the holiday
@@ -13,9 +13,11 @@ per-outlet sales windows.
   revenue and orders per outlet.
 * ``dedupe_within_watermark`` — bounded-state duplicate removal by id.
 
-The streaming CSV source needs one schema: files must carry the canonical
-17-column header (validated against it, case-insensitively); files with
-other layouts go through the batch reader, which groups files by header.
+The stream delivers file names; each batch reads its files with the batch
+reader, which groups them by header. So every file gets a verdict, header-only ones
+and ones with a wrong header included (a file of zero bytes is never delivered
+by a file stream; the batch reader lists it). A batch's verdicts are written once,
+before its rows: when a batch is replayed after a crash, they stay as they were.
 """
 
 from __future__ import annotations
@@ -24,44 +26,43 @@ import os
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from ..operators.ingest import ingest
 from ..session import checkpoint_dir
-from ..sources.pos_csv import REQUIRED_COLUMNS
+from ..sources.pos_csv import REQUIRED_COLUMNS, read_pos_files
 from ..sources.sinks import append_fact
 
-RAW_SCHEMA = T.StructType([T.StructField(c, T.StringType()) for c in REQUIRED_COLUMNS])
+FILE_SCHEMA = "path string, modificationTime timestamp, length long, content binary"
+#: Files of one micro-batch, whose names pass through the driver.
+FILES_PER_BATCH = 1000
 
 
-def raw_stream(spark: SparkSession, landing: str, max_files_per_trigger: int | None = None) -> DataFrame:
-    r = (spark.readStream.schema(RAW_SCHEMA).option("header", True).option("escape", '"')
-         .option("enforceSchema", False))
-    if max_files_per_trigger:
-        r = r.option("maxFilesPerTrigger", max_files_per_trigger)
-    # _metadata must be selected before writeStream to reach the batch
-    return r.csv(landing).select("*", F.col("_metadata.file_path").alias("source_file"))
+def landing_files(spark: SparkSession, landing: str, max_files_per_trigger: int | None = None) -> DataFrame:
+    """Names of files as they land (their content is not read here)."""
+    return (spark.readStream.format("binaryFile").schema(FILE_SCHEMA)
+            .option("maxFilesPerTrigger", max_files_per_trigger or FILES_PER_BATCH).load(landing).select("path"))
 
 
-def _fact_ids(spark: SparkSession, fact_path: str) -> DataFrame | None:
-    try:
-        return spark.read.parquet(fact_path).select("transaction_id")
-    except Exception:  # nothing loaded yet
-        return None
+def _exists(spark: SparkSession, path: str) -> bool:
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark._jsc.hadoopConfiguration()).exists(p)
 
 
 def make_batch_handler(fact_path: str, verdict_path: str, branches: DataFrame, weather_daily=None,
                        holidays: DataFrame | None = None, after_load=None):
-    """foreachBatch function: ingest one micro-batch of raw rows."""
+    """foreachBatch function: ingest one micro-batch of files."""
 
     def handle(batch: DataFrame, epoch_id: int) -> None:
         spark = batch.sparkSession
-        files = (batch.select("source_file").distinct()
-                 .withColumn("missing_columns", F.array().cast("array<string>")))
-        new_rows, verdicts = ingest(batch.select("source_file", *REQUIRED_COLUMNS), files, branches,
-                                    _fact_ids(spark, fact_path), weather_daily, holidays)
+        paths = [r["path"] for r in batch.collect()]  # at most a trigger's files
+        if not paths:
+            return
+        rows, files = read_pos_files(spark, paths)
+        known = spark.read.parquet(fact_path).select("transaction_id") if _exists(spark, fact_path) else None
+        new_rows, verdicts = ingest(rows.select("source_file", *REQUIRED_COLUMNS), files, branches, known, weather_daily, holidays)
+        if not _exists(spark, os.path.join(verdict_path, f"epoch_id={epoch_id}")):
+            (verdicts.withColumn("epoch_id", F.lit(epoch_id)).write.mode("append").partitionBy("epoch_id").parquet(verdict_path))
         append_fact(new_rows, fact_path)
-        verdicts.withColumn("epoch_id", F.lit(epoch_id)).write.mode("append").parquet(verdict_path)
         if after_load is not None:
             after_load(spark, epoch_id)
 
@@ -72,7 +73,7 @@ def start_ingestion(spark: SparkSession, landing: str, fact_path: str, verdict_p
                     name: str = "pos_ingest", available_now: bool = True, max_files_per_trigger: int | None = None,
                     weather_daily=None, holidays: DataFrame | None = None, after_load=None):
     ckpt = os.path.join(checkpoint_dir(spark), "streams", name)
-    w = (raw_stream(spark, landing, max_files_per_trigger).writeStream
+    w = (landing_files(spark, landing, max_files_per_trigger).writeStream
          .foreachBatch(make_batch_handler(fact_path, verdict_path, branches, weather_daily, holidays, after_load))
          .option("checkpointLocation", ckpt).queryName(name))
     w = w.trigger(availableNow=True) if available_now else w.trigger(processingTime="30 seconds")
