@@ -167,18 +167,32 @@ def _solve(batches):
 
 
 def _solve_frame(pdf: pd.DataFrame) -> pd.DataFrame:
-    out = []
-    for _, r in pdf.iterrows():
-        a = np.zeros((P, P))
-        for i in range(P):
-            for j in range(i, P):
-                a[i, j] = a[j, i] = r[f"a_{i}_{j}"]
-        b = np.array([r[f"b_{i}"] for i in range(P)])
-        reg = RIDGE * np.eye(P)
-        reg[0, 0] = 0.0  # intercept is not shrunk
-        beta = np.linalg.solve(a + reg + 1e-9 * np.eye(P), b)
-        out.append((r["branch_id"], [float(v) for v in beta]))
-    return pd.DataFrame(out, columns=["branch_id", "beta"])
+    """All branches of a batch in one stacked solve."""
+    n = len(pdf)
+    a = np.zeros((n, P, P))
+    for i in range(P):
+        for j in range(i, P):
+            a[:, i, j] = a[:, j, i] = pdf[f"a_{i}_{j}"]
+    b = np.stack([pdf[f"b_{i}"] for i in range(P)], axis=1) if n else np.zeros((0, P))
+    beta = np.linalg.solve(a + np.diag(_penalty()), b[:, :, None])[:, :, 0]
+    return pd.DataFrame({"branch_id": pdf["branch_id"], "beta": [[float(v) for v in row] for row in beta]})
+
+
+def _penalty() -> list[float]:
+    """Added to the diagonal: the ridge (the intercept is not shrunk) and a trace for singular systems."""
+    return [1e-9] + [RIDGE + 1e-9] * (P - 1)
+
+
+def fit_residual(scored_train: DataFrame, model: DataFrame) -> DataFrame:
+    """How far each branch's coefficients are from solving its normal equations: the largest
+    |X'(log1p(y) - X beta) - penalty * beta|, with 6 decimals, and its training days."""
+    left = F.log1p("y") - F.col("pred_log")
+    sums = scored_train.groupBy("branch_id").agg(
+        F.count("*").alias("days"), F.array(*[F.sum(F.col("x")[i] * left) for i in range(P)]).alias("_r"))
+    penalty = F.array(*[F.lit(v) for v in _penalty()])
+    gap = F.zip_with(F.col("_r"), F.zip_with(F.col("beta"), penalty, lambda a, b: a * b), lambda a, b: F.abs(a - b))
+    return (sums.join(small(model.select("branch_id", "beta")), "branch_id")
+            .select("branch_id", "days", F.round(F.array_max(gap), 6).alias("residual")))
 
 
 def fit(train: DataFrame) -> DataFrame:
@@ -282,6 +296,7 @@ def forecast(fact: DataFrame, branches: DataFrame, as_of: dt.date, holidays: Dat
     scored = score(train, model)
     sigma = residual_sigma(scored)
     metrics = fit_metrics(scored)
+    residual = fit_residual(scored, model)
 
     fut = horizon_dates(train.select("branch_id", "ds"), flags.filter(F.col("closed") == 1.0), as_of, horizon)
     if future_weather is not None:
@@ -354,7 +369,7 @@ def forecast(fact: DataFrame, branches: DataFrame, as_of: dt.date, holidays: Dat
                 .select("branch_id", "forecast_date", "item_name", "product_id", "product_detail", "quantity"))
 
     return Sections({"days": days.drop("_camp"), "horizon": horizon_df, "metrics": metrics, "model": model,
-                     "sigma": sigma}, {"items": items})
+                     "sigma": sigma, "residual": residual}, {"items": items})
 
 
 def trend_line(daily: DataFrame) -> DataFrame:

@@ -17,11 +17,20 @@ from .registry import div, register
 PVA_FROM, PVA_TO = dt.date(1998, 1, 1), dt.date(1998, 3, 31)
 
 
+# A test event that falls in the horizon of the data: two closed days, then two promo days.
+FEAST = ("Test_Feast", dt.date(2001, 11, 6), 2, 2, "TEST_CAMPAIGN")
+
+
+def _test_events(spark):
+    return spark.createDataFrame([(100, *FEAST)], "event_order int, event string, start_date date, closure_days int, "
+                                                  "promo_days int, label string")
+
+
 def _forecast(spark, sf):
     fact = V.pos_lines(spark, sf)
     cal = V.holiday_calendar_from(V.date_source(spark, sf))
     seasons = V.season_calendar_from(V.date_source(spark, sf))
-    events = C.festive_events(spark)
+    events = C.festive_events(spark).union(_test_events(spark))
     mx = V.date_source(spark, sf).agg(F.max("transaction_date")).first()[0]  # the run's as-of day
     return FC.forecast(fact, V.branches(spark, sf), mx + dt.timedelta(days=1), cal, seasons, events)
 
@@ -253,3 +262,40 @@ def q_report_upcoming(spark, sf):
     return (_outlet_report(spark, sf)["upcoming_forecast"]
             .select("branch_id", "forecast_date", F.col("predicted_revenue").cast("double").alias("predicted_revenue"),
                     "rank", "is_holiday", "is_friday"))
+
+
+# I5 / E2 — the training history: revenue of each branch-day with positive bills
+@register("forecast_training_history", with_views("""
+SELECT branch_id, transaction_date AS ds, CAST(sum(total_bill) AS DOUBLE) AS y
+FROM pos_lines WHERE total_bill > 0 GROUP BY 1, 2
+""", "pos_lines"))
+def q_training_history(spark, sf):
+    return FC.history_from_base(FC.forecast_base(V.pos_lines(spark, sf))).select("branch_id", "ds", "y")
+
+
+# I7–I9 — the fitted coefficients solve every branch's penalised normal equations
+@register("forecast_fit_residual", with_views("""
+SELECT branch_id, count(DISTINCT transaction_date) AS days, CAST(0 AS DOUBLE) AS residual
+FROM pos_lines WHERE total_bill > 0 GROUP BY 1
+""", "pos_lines"))
+def q_fit_residual(spark, sf):
+    return _forecast(spark, sf)["residual"]
+
+
+# I10 / I11 — horizon days of every branch with closures, holidays and Fridays
+@register("forecast_horizon_rules", with_views(f"""
+WITH l AS (SELECT branch_id, max(transaction_date) AS last FROM pos_lines WHERE total_bill > 0 GROUP BY 1),
+lim AS (SELECT branch_id, last, greatest(last + 1, (SELECT CAST(max(transaction_date) AS DATE) + 1 FROM pos_lines)) AS latest FROM l),
+cand AS (SELECT branch_id, latest, CAST(unnest(generate_series(CAST(last AS DATE) + 1, CAST(latest AS DATE), INTERVAL 1 DAY)) AS DATE) AS d FROM lim),
+st AS (SELECT branch_id, CAST(coalesce(min(d) FILTER (WHERE dayofweek(d) <> 0 AND d NOT BETWEEN DATE '{FEAST[1]}' AND DATE '{FEAST[1]}' + 1),
+                                       any_value(latest)) AS DATE) AS s FROM cand GROUP BY 1),
+h AS (SELECT branch_id, s + CAST(i AS INTEGER) AS forecast_date FROM st, (SELECT unnest(range(5)) AS i))
+SELECT branch_id, forecast_date, (dayofweek(forecast_date) = 0 OR forecast_date BETWEEN DATE '{FEAST[1]}' AND DATE '{FEAST[1]}' + 1) AS is_closed,
+       forecast_date BETWEEN DATE '{FEAST[1]}' AND DATE '{FEAST[1]}' + 1 AS is_festive_close,
+       strftime(forecast_date, '%m-%d') IN ('01-01', '05-01', '08-31', '09-16', '12-25') AS is_holiday,
+       dayofweek(forecast_date) = 5 AS is_friday
+FROM h
+""", "pos_lines"))
+def q_horizon_rules(spark, sf):
+    return (_forecast(spark, sf)["days"].filter("is_future")
+            .select("branch_id", "forecast_date", "is_closed", "is_festive_close", "is_holiday", "is_friday"))
