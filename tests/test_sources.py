@@ -13,13 +13,13 @@ from tillpoint.sources import dims, sinks
 
 
 def test_branch_upsert_and_toggle(spark):  # IT-006
-    base = dims.branches_from_rows(spark, [(1, "STB-PJ1", "Putrajaya", "Office", 2.9, 101.7, "D", "S", "p", -0.35, 1)])
+    base = dims.branches_from_rows(spark, [(1, "NR-011", "Northridge", "Office", 2.9, 101.7, "D", "S", "p", -0.35, 1)])
     change = dims.branches_from_rows(spark, [(2, "IT-TEST-99", "IT Branch", "Kiosk", 1.0, 1.0, "D", "S", "p", 0.10, 1)])
     snap = dims.upsert(base, change, "branch_code")
     got = {r.branch_code: r.holiday_effect for r in snap.collect()}
-    assert got == {"STB-PJ1": -0.35, "IT-TEST-99": 0.10}
+    assert got == {"NR-011": -0.35, "IT-TEST-99": 0.10}
     off = dims.set_active(snap, "branch_code", "IT-TEST-99", 0)
-    assert [r.branch_code for r in dims.active_branches_ordered(off).collect()] == ["STB-PJ1"]
+    assert [r.branch_code for r in dims.active_branches_ordered(off).collect()] == ["NR-011"]
     assert dims.insert_conflicts(snap, change, "branch_code").count() == 1
 
 
@@ -34,7 +34,7 @@ def test_archive_documents_to_daylight_class(spark, tmpdir_path):
     times = [f"2026-06-01T{h:02d}:00" for h in range(24)] + ["bad-time"]
     codes = [0] * 7 + [3] * 8 + [1] * 5 + [0] * 4 + [95]
     prec = [0.0] * 25
-    doc = {"branch_id": "FT-PA1", "hourly": {"time": times, "weathercode": codes, "precipitation": prec}}
+    doc = {"branch_id": "NR-012", "hourly": {"time": times, "weathercode": codes, "precipitation": prec}}
     wet = {"branch_id": "WET", "hourly": {"time": [f"2026-06-01T{h:02d}:00" for h in (8, 9)],
                                           "weathercode": [61, 95], "precipitation": [2.0, 0.5]}}
     p = os.path.join(tmpdir_path, "archive.json")
@@ -44,7 +44,7 @@ def test_archive_documents_to_daylight_class(spark, tmpdir_path):
     assert hourly.count() == 26  # 'bad-time' dropped
     got = {r.branch_id: r.weather_condition for r in W.daylight_conditions(hourly).collect()}
     # hours 7–19: codes 3×8 cloudy vs 0 (7..7 → 0 at hour 7? indices 7..19) sunny 5 → cloudy
-    assert got == {"FT-PA1": "Cloudy", "WET": "Thunderstorm"}
+    assert got == {"NR-012": "Cloudy", "WET": "Thunderstorm"}
 
 
 def test_forecast_documents_daily_summary(spark, tmpdir_path):

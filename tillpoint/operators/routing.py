@@ -49,6 +49,11 @@ KPI_ROUTES = [
 CHART_WORDS = ["chart", "graph", "plot", "visual", "visualize", "draw"]
 FVA_PHRASES = ["actual vs", "predicted vs", "forecast vs", "sebenar vs ramalan", "ramalan vs sebenar",
                "graf jualan sebenar", "graf ramalan"]
+# Patterns of campaign names, years, months and month counts in messages.
+CAMPAIGN_PATTERNS = [r"campaign ([\w\s]+) last", r"discount for ([\w\s]+) last"]
+YEAR_PATTERN = r"\b(20\d{2})\b"
+MONTH_PATTERN = r"\b(20\d{2}-\d{2})\b"
+MONTHS_BACK_PATTERN = r"last (\d+) month"
 # Relative-day words (English and Malay).
 TOMORROW_WORDS = ["esok", "tomorrow"]
 TODAY_WORDS = ["today", "hari ini"]
@@ -103,15 +108,14 @@ def extract_entities(msgs: DataFrame, as_of: dt.date, text_col: str = "text") ->
     """Years, YYYY-MM months, 'last N month', campaign name, relative day."""
     t = F.lower(F.col(text_col))
     raw = F.col(text_col)
-    campaign = F.coalesce(F.nullif(F.regexp_extract(t, r"campaign ([\w\s]+) last", 1), F.lit("")),
-                          F.nullif(F.regexp_extract(t, r"discount for ([\w\s]+) last", 1), F.lit("")))
+    campaign = F.coalesce(*[F.nullif(F.regexp_extract(t, p, 1), F.lit("")) for p in CAMPAIGN_PATTERNS])
     day = (F.when(_any(t, TOMORROW_WORDS), F.date_add(F.lit(as_of), 1))
            .when(_any(t, TODAY_WORDS), F.lit(as_of)))
     return msgs.select(
         *msgs.columns,
-        F.regexp_extract_all(t, F.lit(r"\b(20\d{2})\b"), 1).alias("years"),
-        F.nullif(F.regexp_extract(raw, r"\b(20\d{2}-\d{2})\b", 1), F.lit("")).alias("target_month"),
-        F.coalesce(F.nullif(F.regexp_extract(t, r"last (\d+) month", 1), F.lit("")).cast("int"), F.lit(3))
+        F.regexp_extract_all(t, F.lit(YEAR_PATTERN), 1).alias("years"),
+        F.nullif(F.regexp_extract(raw, MONTH_PATTERN, 1), F.lit("")).alias("target_month"),
+        F.coalesce(F.nullif(F.regexp_extract(t, MONTHS_BACK_PATTERN, 1), F.lit("")).cast("int"), F.lit(3))
         .alias("chart_months"),
         campaign.alias("campaign"),
         day.alias("target_date"))
