@@ -26,7 +26,7 @@ SELECT promo_code, {promo_label('promo_code')} AS promo_display, total_qty,
 FROM c
 """, "pos_lines"))
 def q_promo_efficiency(spark, sf):
-    return P.promo_efficiency(V.pos_lines(spark, sf))
+    return P.promo_efficiency(V.pos_lines(spark, sf, payment=False))
 
 
 # D26 — promo ROI by year for a fuzzy code
@@ -42,7 +42,7 @@ SELECT yr, promo_code, total_qty, CAST(g AS DOUBLE) AS total_gross, CAST(d AS DO
 FROM c
 """, "pos_lines"))
 def q_promo_roi(spark, sf):
-    return P.promo_roi(V.pos_lines(spark, sf), ROI_CODE)
+    return P.promo_roi(V.pos_lines(spark, sf, payment=False), ROI_CODE)
 
 
 # D39 — top 5 promo lines per branch
@@ -57,7 +57,7 @@ SELECT branch_id, rank, item_name, promo_code, qty, CAST(r AS DOUBLE) AS revenue
 FROM k WHERE rank <= 5
 """, "pos_lines"))
 def q_top_promo_lines(spark, sf):
-    return P.top_promo_lines(V.pos_lines(spark, sf), 5)
+    return P.top_promo_lines(V.pos_lines(spark, sf, payment=False), 5)
 
 
 # D27 / C11 — season year-over-year comparison
@@ -72,7 +72,7 @@ SELECT season_name, CAST(season_year AS VARCHAR) AS year, CAST(rev AS DOUBLE) AS
 FROM a WHERE rev <> 0
 """, "pos_lines", "seasons_pos_lines"))
 def q_season_comparison(spark, sf):
-    fact = V.pos_lines(spark, sf)
+    fact = V.pos_lines(spark, sf, payment=False)
     return S.seasonal_comparison(fact, V.season_calendar_from(V.date_source(spark, sf)))
 
 
@@ -88,13 +88,13 @@ GROUP BY 1, 2, 3
 
 @register("peak_hours_in_season", with_views(_PEAK_SQL.format(op="IN"), "pos_lines", "seasons_pos_lines"))
 def q_peak_in_season(spark, sf):
-    fact = V.pos_lines(spark, sf)
+    fact = V.pos_lines(spark, sf, payment=False)
     return S.peak_hours(S.in_season(fact, V.season_calendar_from(V.date_source(spark, sf)), inside=True))
 
 
 @register("peak_hours_regular", with_views(_PEAK_SQL.format(op="NOT IN"), "pos_lines", "seasons_pos_lines"))
 def q_peak_regular(spark, sf):
-    fact = V.pos_lines(spark, sf)
+    fact = V.pos_lines(spark, sf, payment=False)
     return S.peak_hours(S.in_season(fact, V.season_calendar_from(V.date_source(spark, sf)), inside=False))
 
 
@@ -124,7 +124,7 @@ SELECT branch_id, ref_date, CAST(rl AS DOUBLE) AS revenue_last, CAST(rp AS DOUBL
 FROM a
 """, "pos_lines"))
 def q_decline_summary(spark, sf):
-    return D.decline_summary(V.pos_lines(spark, sf))
+    return D.decline_summary(V.pos_lines(spark, sf, payment=False))
 
 
 @register("decline_slow_movers", with_views(_DECLINE_BASE + """,
@@ -139,7 +139,7 @@ SELECT branch_id, rank, product_category, product_id, CAST(p AS DOUBLE) AS reven
 FROM k WHERE rank <= 5
 """, "pos_lines"))
 def q_decline_slow_movers(spark, sf):
-    return D.slow_movers(V.pos_lines(spark, sf))
+    return D.slow_movers(V.pos_lines(spark, sf, payment=False))
 
 
 # D30 / B22 — weather × ICED/HOT quantity
@@ -159,7 +159,7 @@ SELECT CASE WHEN day(transaction_date) BETWEEN 25 AND 28 THEN 'Payday Window' EL
 FROM pos_lines WHERE transaction_qty > 0 GROUP BY 1
 """, "pos_lines"))
 def q_payday_spend(spark, sf):
-    return D.payday_spend(V.pos_lines(spark, sf))
+    return D.payday_spend(V.pos_lines(spark, sf, payment=False))
 
 
 # P1 / P2 — retention and average line per month
@@ -171,7 +171,7 @@ SELECT period, CAST(g AS DOUBLE) AS gross, CAST(n AS DOUBLE) AS net, {div('n * 1
 FROM a
 """, "pos_lines"))
 def q_retention(spark, sf):
-    return D.retention(V.pos_lines(spark, sf))
+    return D.retention(V.pos_lines(spark, sf, payment=False))
 
 
 # P4 — weather impact on daily revenue

@@ -24,7 +24,7 @@ SELECT store_location,
 FROM pos_lines GROUP BY store_location
 """, "pos_lines"))
 def q_kpi_totals_by_outlet(spark, sf):
-    return M.kpi_totals(V.pos_lines(spark, sf), by=["store_location"])
+    return M.kpi_totals(V.pos_lines(spark, sf, payment=False), by=["store_location"])
 
 
 @register("kpi_totals_year", with_views(f"""
@@ -36,7 +36,7 @@ SELECT CAST(coalesce(sum(total_bill), 0) AS DOUBLE) AS total_revenue,
 FROM pos_lines WHERE transaction_date >= DATE '{REPORT_YEAR}-01-01' AND transaction_date < DATE '{REPORT_YEAR + 1}-01-01'
 """, "pos_lines"))
 def q_kpi_totals_year(spark, sf):
-    return M.kpi_totals(filter_sales(V.pos_lines(spark, sf), time_filter=f"year_{REPORT_YEAR}"))
+    return M.kpi_totals(filter_sales(V.pos_lines(spark, sf, payment=False), time_filter=f"year_{REPORT_YEAR}"))
 
 
 @register("kpi_totals_iced_current_week", with_views("""
@@ -63,7 +63,7 @@ WHERE transaction_date >= CAST(date_trunc('month', (SELECT max(transaction_date)
 GROUP BY store_location ORDER BY sum(total_bill) DESC, store_location LIMIT 1
 """, "pos_lines"))
 def q_top_outlet_prev_month(spark, sf):
-    return M.top_outlet_prev_month(V.pos_lines(spark, sf))
+    return M.top_outlet_prev_month(V.pos_lines(spark, sf, payment=False))
 
 
 # D4 / E9 — month-over-month series on a dense month spine
@@ -78,7 +78,7 @@ SELECT strftime(ms, '%Y-%m') AS month, CAST(rev AS DOUBLE) AS revenue, CAST(prev
 FROM d
 """, "pos_lines"))
 def q_month_over_month(spark, sf):
-    return M.month_over_month(V.pos_lines(spark, sf))
+    return M.month_over_month(V.pos_lines(spark, sf, payment=False))
 
 
 # D5 — sparkline: latest 7 trading dates
@@ -87,7 +87,7 @@ SELECT transaction_date, CAST(sum(total_bill) AS DOUBLE) AS revenue FROM pos_lin
 GROUP BY transaction_date ORDER BY transaction_date DESC LIMIT 7
 """, "pos_lines"))
 def q_sparkline(spark, sf):
-    return M.sparkline(V.pos_lines(spark, sf), 7)
+    return M.sparkline(V.pos_lines(spark, sf, payment=False), 7)
 
 
 # D6 — trend at month grain for a year filter, year grain for 'all'
@@ -99,7 +99,7 @@ GROUP BY 1
 """, "pos_lines"))
 def q_trend_month(spark, sf):
     tf = f"year_{REPORT_YEAR}"
-    return M.trend(filter_sales(V.pos_lines(spark, sf), time_filter=tf), M.trend_grain(tf))
+    return M.trend(filter_sales(V.pos_lines(spark, sf, payment=False), time_filter=tf), M.trend_grain(tf))
 
 
 @register("trend_year", with_views(f"""
@@ -108,7 +108,7 @@ SELECT strftime(transaction_date, '%Y') AS period, {money('gross_sales')} AS gro
 FROM pos_lines GROUP BY 1
 """, "pos_lines"))
 def q_trend_year(spark, sf):
-    return M.trend(V.pos_lines(spark, sf), M.trend_grain("all"))
+    return M.trend(V.pos_lines(spark, sf, payment=False), M.trend_grain("all"))
 
 
 @register("trend_day_events", with_views(f"""
@@ -125,7 +125,7 @@ def q_trend_day(spark, sf):
 SELECT product_category, {money('total_bill')} AS revenue FROM pos_lines GROUP BY 1
 """, "pos_lines"))
 def q_category_revenue(spark, sf):
-    return M.category_revenue(V.pos_lines(spark, sf))
+    return M.category_revenue(V.pos_lines(spark, sf, payment=False))
 
 
 # D8 — top 5 / bottom 3 items by quantity (ties by name)
@@ -134,7 +134,7 @@ SELECT item_name, CAST(sum(transaction_qty) AS BIGINT) AS qty FROM pos_lines
 GROUP BY 1 ORDER BY qty DESC, item_name LIMIT 5
 """, "pos_lines"))
 def q_top_items(spark, sf):
-    return M.top_items(V.pos_lines(spark, sf), 5)
+    return M.top_items(V.pos_lines(spark, sf, payment=False), 5)
 
 
 @register("bottom3_items", with_views("""
@@ -142,7 +142,7 @@ SELECT item_name, CAST(sum(transaction_qty) AS BIGINT) AS qty FROM pos_lines
 GROUP BY 1 ORDER BY qty ASC, item_name LIMIT 3
 """, "pos_lines"))
 def q_bottom_items(spark, sf):
-    return M.top_items(V.pos_lines(spark, sf), 3, bottom=True)
+    return M.top_items(V.pos_lines(spark, sf, payment=False), 3, bottom=True)
 
 
 # D9 — payment mix
@@ -150,7 +150,7 @@ def q_bottom_items(spark, sf):
 SELECT payment_method, count(*) AS orders FROM pos_lines GROUP BY 1
 """, "pos_lines"))
 def q_payment_mix(spark, sf):
-    return M.payment_mix(V.pos_lines(spark, sf, payment=True))
+    return M.payment_mix(V.pos_lines(spark, sf))
 
 
 # D10 — weekday (0 = Sunday) × hour heatmap
@@ -166,7 +166,7 @@ def q_heatmap(spark, sf):
 SELECT DISTINCT strftime(transaction_date, '%Y') AS year, strftime(transaction_date, '%Y-%m') AS month FROM pos_lines
 """, "pos_lines"))
 def q_distinct_periods(spark, sf):
-    return M.distinct_periods(V.pos_lines(spark, sf))
+    return M.distinct_periods(V.pos_lines(spark, sf, payment=False))
 
 
 # D12 — dense month × outlet matrix for one year
@@ -181,7 +181,7 @@ SELECT sp.period, sp.store_location, CAST(coalesce(a.rev, 0) AS DOUBLE) AS reven
 FROM sp LEFT JOIN a ON sp.period = a.period AND sp.store_location = a.store_location
 """, "pos_lines"))
 def q_outlet_month_matrix(spark, sf):
-    fact = filter_sales(V.pos_lines(spark, sf), time_filter=f"year_{REPORT_YEAR}")
+    fact = filter_sales(V.pos_lines(spark, sf, payment=False), time_filter=f"year_{REPORT_YEAR}")
     return M.outlet_period_matrix(fact, "month")
 
 
@@ -203,7 +203,7 @@ SELECT count(*) AS row_count, min(transaction_date) AS min_date, max(transaction
        count(DISTINCT product_category) AS categories FROM pos_lines
 """, "pos_lines"))
 def q_warehouse_profile(spark, sf):
-    return M.warehouse_profile(V.pos_lines(spark, sf))
+    return M.warehouse_profile(V.pos_lines(spark, sf, payment=False))
 
 
 @register("rows_per_outlet", with_views(f"""
@@ -211,7 +211,7 @@ SELECT branch_id, count(*) AS rows, {div('count(*) * 100', 'sum(count(*)) OVER (
 FROM pos_lines GROUP BY branch_id
 """, "pos_lines"))
 def q_rows_per_outlet(spark, sf):
-    return M.rows_per_outlet(V.pos_lines(spark, sf))
+    return M.rows_per_outlet(V.pos_lines(spark, sf, payment=False))
 
 
 # D33 / P7 — branch maturity (days, holidays seen, badge)
@@ -224,7 +224,7 @@ SELECT b.branch_code, b.branch_name, b.is_active, coalesce(per.days, 0) AS days,
 FROM branches b LEFT JOIN per ON b.branch_code = per.branch_id
 """, "pos_lines", "branches"))
 def q_branch_maturity(spark, sf):
-    return M.branch_maturity(V.pos_lines(spark, sf), V.branches(spark, sf))
+    return M.branch_maturity(V.pos_lines(spark, sf, payment=False), V.branches(spark, sf))
 
 
 # D36 / E1 — top 3 hours per outlet
@@ -264,7 +264,7 @@ SELECT branch_id, transaction_date, {money('total_bill')} AS revenue, count(*) A
 FROM pos_lines WHERE total_bill > 0 GROUP BY 1, 2
 """, "pos_lines"))
 def q_daily_revenue(spark, sf):
-    return M.daily_revenue(V.pos_lines(spark, sf))
+    return M.daily_revenue(V.pos_lines(spark, sf, payment=False))
 
 
 # D23 / E7 / C2 — last 3 present months × outlet name
@@ -279,4 +279,4 @@ SELECT sp.outlet, sp.month, CAST(coalesce(named.rev, 0) AS DOUBLE) AS revenue
 FROM sp LEFT JOIN named ON sp.outlet = named.outlet AND sp.month = named.month
 """, "pos_lines", "branches"))
 def q_last3_months(spark, sf):
-    return M.last_n_months_pivot(V.pos_lines(spark, sf), V.branches(spark, sf), 3)
+    return M.last_n_months_pivot(V.pos_lines(spark, sf, payment=False), V.branches(spark, sf), 3)

@@ -27,7 +27,7 @@ def _test_events(spark):
 
 
 def _forecast(spark, sf):
-    fact = V.pos_lines(spark, sf)
+    fact = V.pos_lines(spark, sf, payment=False)
     cal = V.holiday_calendar_from(V.date_source(spark, sf))
     seasons = V.season_calendar_from(V.date_source(spark, sf))
     events = C.festive_events(spark).union(_test_events(spark))
@@ -46,7 +46,7 @@ SELECT d.branch_id, round(regr_slope(revenue, CAST(datediff('day', f.first, tran
 FROM d JOIN f ON d.branch_id = f.branch_id GROUP BY d.branch_id
 """, "pos_lines"))
 def q_trend_line(spark, sf):
-    t = FC.trend_line(M.daily_revenue(V.pos_lines(spark, sf)))
+    t = FC.trend_line(M.daily_revenue(V.pos_lines(spark, sf, payment=False)))
     return t.select("branch_id", F.round("slope", 4).alias("slope"), F.round("intercept", 2).alias("intercept"), "days")
 
 
@@ -88,7 +88,7 @@ SELECT branch_id, item_name, product_id, product_detail, total_qty, CAST(rev AS
 FROM t
 """, "pos_lines"))
 def q_product_mix(spark, sf):
-    return FC.product_mix(V.pos_lines(spark, sf))
+    return FC.product_mix(V.pos_lines(spark, sf, payment=False))
 
 
 # I6 / E3 / B18 / B21 — weekday promo patterns (≥ 4 distinct days, most active)
@@ -102,7 +102,7 @@ SELECT branch_id, dow, promo_code FROM (
   SELECT *, row_number() OVER (PARTITION BY branch_id, dow ORDER BY days_active DESC, promo_code) AS r FROM a) WHERE r = 1
 """, "pos_lines"))
 def q_promo_patterns(spark, sf):
-    return FC.promo_patterns(V.pos_lines(spark, sf))
+    return FC.promo_patterns(V.pos_lines(spark, sf, payment=False))
 
 
 # D46 / C10 / G1 — predicted vs actual per date
@@ -128,7 +128,7 @@ r AS (SELECT ds, strftime(ds, '%a') AS day_name, CAST(y AS DOUBLE) AS yhat, CAST
 SELECT ds, day_name, yhat, yhat_lower, yhat_upper, actual, txn_count, variance, variance_pct, in_range FROM r
 """, "pos_lines", "forecast_like"))
 def q_pva_daily(spark, sf):
-    return FC.pva_rows(V.forecast_like(spark, sf), V.pos_lines(spark, sf), PVA_FROM, PVA_TO)
+    return FC.pva_rows(V.forecast_like(spark, sf), V.pos_lines(spark, sf, payment=False), PVA_FROM, PVA_TO)
 
 
 # D47 — predicted vs actual summary
@@ -144,7 +144,7 @@ SELECT count(*) AS days_with_actual, CAST(sum(_y) AS DOUBLE) AS total_predicted,
 FROM r WHERE _act IS NOT NULL
 """, "pos_lines", "forecast_like"))
 def q_pva_summary(spark, sf):
-    rows = FC.pva_rows(V.forecast_like(spark, sf), V.pos_lines(spark, sf), PVA_FROM, PVA_TO)
+    rows = FC.pva_rows(V.forecast_like(spark, sf), V.pos_lines(spark, sf, payment=False), PVA_FROM, PVA_TO)
     return FC.pva_summary(rows)
 
 
@@ -160,7 +160,7 @@ SELECT branch_id, forecast_date, CAST(predicted_revenue AS DOUBLE) AS predicted_
 FROM f WHERE rank <= 5
 """, "pos_lines", "forecast_like"))
 def q_next_forecast_days(spark, sf):
-    loaded = V.pos_lines(spark, sf)
+    loaded = V.pos_lines(spark, sf, payment=False)
     fc = V.forecast_like(spark, sf).select(
         "branch_id", "forecast_date", *[F.col(c).cast("double").alias(c) for c in
                                         ("predicted_revenue", "lower_bound_revenue", "upper_bound_revenue")])
@@ -178,7 +178,7 @@ SELECT branch_id, count(*) AS days, CAST(sum(predicted_revenue) AS DOUBLE) AS ex
 FROM f WHERE rank <= 5 GROUP BY branch_id
 """, "pos_lines", "forecast_like"))
 def q_expected_revenue(spark, sf):
-    loaded = V.pos_lines(spark, sf)
+    loaded = V.pos_lines(spark, sf, payment=False)
     fc = V.forecast_like(spark, sf).select("branch_id", "forecast_date",
                                            F.col("predicted_revenue").cast("double").alias("predicted_revenue"))
     return FC.expected_revenue(FC.next_forecast_days(fc, loaded, 5))
@@ -200,7 +200,7 @@ FVA_MONTH = "2001-10"
 
 
 def _fva(spark, sf):
-    loaded = V.pos_lines(spark, sf)
+    loaded = V.pos_lines(spark, sf, payment=False)
     return FC.fva_rows(loaded, V.forecast_like(spark, sf), 90)
 
 
@@ -223,7 +223,7 @@ SELECT ds, variance_pct, CASE WHEN actual IS NULL OR variance_pct IS NULL THEN '
 FROM r
 """, "pos_lines", "forecast_like"))
 def q_pva_band(spark, sf):
-    rows = FC.pva_rows(V.forecast_like(spark, sf), V.pos_lines(spark, sf), PVA_FROM, PVA_TO)
+    rows = FC.pva_rows(V.forecast_like(spark, sf), V.pos_lines(spark, sf, payment=False), PVA_FROM, PVA_TO)
     return FC.pva_band_status(rows).select("ds", "variance_pct", "band_status")
 
 
@@ -238,7 +238,7 @@ def _outlet_report(spark, sf):
     from . import report as RP
     fc = V.forecast_like(spark, sf)
     cal = V.fixed_calendar(spark, 1990, 2010)
-    return RP.executive_report(V.pos_lines(spark, sf), PVA_FROM, PVA_TO, PVA_OUTLET, fc, cal)
+    return RP.executive_report(V.pos_lines(spark, sf, payment=False), PVA_FROM, PVA_TO, PVA_OUTLET, fc, cal)
 
 
 @register("report_pva_outlet", with_views(_OUTLET_BASE + """
@@ -270,7 +270,7 @@ SELECT branch_id, transaction_date AS ds, CAST(sum(total_bill) AS DOUBLE) AS y
 FROM pos_lines WHERE total_bill > 0 GROUP BY 1, 2
 """, "pos_lines"))
 def q_training_history(spark, sf):
-    return FC.history_from_base(FC.forecast_base(V.pos_lines(spark, sf))).select("branch_id", "ds", "y")
+    return FC.history_from_base(FC.forecast_base(V.pos_lines(spark, sf, payment=False))).select("branch_id", "ds", "y")
 
 
 # I7–I9 — the fitted coefficients solve every branch's penalised normal equations

@@ -17,7 +17,7 @@ LOADED_BEFORE = "1997-01-01"  # warehouse already holds pos_lines ids shipped be
 
 def _ingest(spark, sf):
     raw = V.raw_pos(spark, sf)
-    existing = V.pos_lines(spark, sf).filter(F.col("transaction_date") < F.lit(LOADED_BEFORE).cast("date"))
+    existing = V.pos_lines(spark, sf, payment=False).filter(F.col("transaction_date") < F.lit(LOADED_BEFORE).cast("date"))
     return I.ingest(raw, None, V.branches(spark, sf), existing.select("transaction_id"))
 
 
@@ -142,5 +142,5 @@ SELECT branch_id, days, holidays,
 FROM per
 """, "pos_lines"))
 def q_auto_tune(spark, sf):
-    fact = V.pos_lines(spark, sf)
+    fact = V.pos_lines(spark, sf, payment=False)
     return T.holiday_effects(fact, V.holiday_calendar_from(V.date_source(spark, sf)))

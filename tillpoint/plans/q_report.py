@@ -44,7 +44,7 @@ FROM bd"""
 # D13, D17–D21 / E5 — every breakdown of the report from one grouping-sets scan
 @register("report_breakdowns", with_views(_bd_sql("pos_lines", R_FROM, R_TO) + _bd_body(), "pos_lines"))
 def q_report_breakdowns(spark, sf):
-    return RP.executive_report(V.pos_lines(spark, sf, payment=True), R_FROM, R_TO)["breakdowns"]
+    return RP.executive_report(V.pos_lines(spark, sf), R_FROM, R_TO)["breakdowns"]
 
 
 @register("report_breakdowns_events", with_views(_bd_sql("pos_events", E_FROM, E_TO) + _bd_body(), "pos_events"))
@@ -65,7 +65,7 @@ def q_report_peak_hour(spark, sf):
                                             .replace("FROM bd", "FROM bd WHERE section = 'item' ORDER BY rev DESC, key LIMIT 5"),
                                             "pos_lines"))
 def q_report_top_products(spark, sf):
-    return RP.executive_report(V.pos_lines(spark, sf), R_FROM, R_TO)["top_products"]
+    return RP.executive_report(V.pos_lines(spark, sf, payment=False), R_FROM, R_TO)["top_products"]
 
 
 # D14 / D15 — summary and preceding window of equal length
@@ -86,7 +86,7 @@ SELECT CAST(r AS DOUBLE) AS revenue, orders, {_span} AS calendar_days, {div('r',
 FROM a
 """, "pos_lines"))
 def q_report_summary(spark, sf):
-    return RP.executive_report(V.pos_lines(spark, sf), R_FROM, R_TO)["summary"]
+    return RP.executive_report(V.pos_lines(spark, sf, payment=False), R_FROM, R_TO)["summary"]
 
 
 # D22 / H6 / C17 — six months × outlet ending at the report month
@@ -99,7 +99,7 @@ SELECT sp.month, sp.store_location, CAST(coalesce(a.rev, 0) AS DOUBLE) AS revenu
 FROM sp LEFT JOIN a ON sp.month = a.month AND sp.store_location = a.store_location
 """, "pos_lines"))
 def q_report_six_month(spark, sf):
-    return RP.executive_report(V.pos_lines(spark, sf), R_FROM, R_TO)["six_month_trend"]
+    return RP.executive_report(V.pos_lines(spark, sf, payment=False), R_FROM, R_TO)["six_month_trend"]
 
 
 # D35 / O7 — business snapshot
@@ -124,7 +124,7 @@ SELECT store_location, CAST(sum(total_bill) AS DOUBLE) AS revenue, count(*) AS o
 FROM pos_lines WHERE transaction_date >= DATE '1998-03-01' AND transaction_date < DATE '1998-04-01' GROUP BY 1
 """, "pos_lines"))
 def q_month_brief_outlets(spark, sf):
-    return RP.month_brief(V.pos_lines(spark, sf), "1998-03")["outlets"]
+    return RP.month_brief(V.pos_lines(spark, sf, payment=False), "1998-03")["outlets"]
 
 
 @register("month_brief_growth", with_views(f"""
@@ -134,7 +134,7 @@ WITH a AS (SELECT coalesce(sum(total_bill) FILTER (WHERE transaction_date >= DAT
 SELECT CAST(c AS DOUBLE) AS revenue, CAST(p AS DOUBLE) AS prev_revenue, {div('(c - p) * 100', 'p')} AS growth_pct FROM a
 """, "pos_lines"))
 def q_month_brief_growth(spark, sf):
-    return RP.month_brief(V.pos_lines(spark, sf), "1998-03")["growth"]
+    return RP.month_brief(V.pos_lines(spark, sf, payment=False), "1998-03")["growth"]
 
 
 # D38 — one-season deep dive per window
@@ -152,7 +152,7 @@ SELECT t.season_name, CAST(r AS DOUBLE) AS revenue, orders, days, {div('r', 'gre
 FROM t JOIN o ON t.season_name = o.season_name JOIN h ON t.season_name = h.season_name
 """, "pos_lines", "seasons_pos_lines"))
 def q_season_brief(spark, sf):
-    fact = V.pos_lines(spark, sf)
+    fact = V.pos_lines(spark, sf, payment=False)
     return RP.season_brief(fact, V.season_calendar_from(V.date_source(spark, sf)))
 
 
@@ -166,4 +166,4 @@ FROM pos_lines WHERE store_location = 'NATION_7' AND transaction_date >= DATE '1
   AND transaction_date < DATE '2000-01-01' AND NOT product_detail ILIKE '%ICED%'
 """, "pos_lines"))
 def q_dashboard_filtered(spark, sf):
-    return RP.dashboard(V.pos_lines(spark, sf), outlet="NATION_7", time_filter="year_1999", temp="HOT")["kpis"]
+    return RP.dashboard(V.pos_lines(spark, sf, payment=False), outlet="NATION_7", time_filter="year_1999", temp="HOT")["kpis"]

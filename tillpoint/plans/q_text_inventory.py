@@ -45,7 +45,7 @@ demand AS (SELECT branch_id, month, ingredient, unit, CAST(sum(qty * per) AS DOU
 
 
 def _demand(spark, sf):
-    f = V.pos_lines(spark, sf).select("branch_id", F.date_format("transaction_date", "yyyy-MM").alias("month"),
+    f = V.pos_lines(spark, sf, payment=False).select("branch_id", F.date_format("transaction_date", "yyyy-MM").alias("month"),
                                       "item_name", F.col("transaction_qty").alias("quantity"))
     return INV.ingredient_demand(f, V.recipes(spark, sf), ["branch_id", "month"])
 

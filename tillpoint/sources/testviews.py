@@ -66,9 +66,9 @@ def geo(spark: SparkSession, sf_dir: str) -> DataFrame:
                        .select("n_nationkey", "n_name", "n_regionkey", "r_name"))
 
 
-def pos_lines(spark: SparkSession, sf_dir: str, calendar: DataFrame | None = None, payment: bool = False) -> DataFrame:
-    """The sales view. ``payment`` adds payment_method, the one column that needs lineitem joined to
-    orders; without a ``calendar`` the holiday flag is an expression on the date, so neither costs
+def pos_lines(spark: SparkSession, sf_dir: str, calendar: DataFrame | None = None, payment: bool = True) -> DataFrame:
+    """The sales view. ``payment=False`` leaves out payment_method, the one column that needs lineitem joined to
+    orders; without a ``calendar`` the holiday flag is an expression on the date. So neither costs
     a query that doesn't ask for it."""
     li = read(spark, sf_dir, "lineitem")
     part = read(spark, sf_dir, "part").select("p_partkey", "p_name", "p_type")
