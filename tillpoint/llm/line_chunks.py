@@ -42,36 +42,36 @@ def chunk_ends(lines: Column, divisor: int = DIVISOR) -> Column:
     return let(F.transform(lines, line_hash), ends)
 
 
-def with_chunks(docs: DataFrame, text_col: str, divisor: int = DIVISOR) -> DataFrame:
-    """Adds _lines and _chunks: array of (first line, last line, text's MD5 or null where it can't be removed)."""
-    d = docs.withColumn("_lines", F.split(F.col(text_col), "\n"))
-    d = d.withColumn("_ends", chunk_ends(F.col("_lines"), divisor))
-
-    def cut(lines):
+def chunks(lines: Column, divisor: int = DIVISOR, with_bytes: bool = False) -> Column:
+    """Array of (first line, last line, digest), 1-based; the digest is the MD5 of the chunk's text, or
+    null where the chunk can't be removed. ``with_bytes`` adds the text itself, where there is a digest."""
+    def cut(lines, ends):
         def one(e, k):
-            first = F.coalesce(F.get(F.col("_ends"), k - 1), F.lit(0)) + 1
+            first = F.coalesce(F.get(ends, k - 1), F.lit(0)) + 1
             part = F.slice(lines, first, e - first + 1)
             many = F.size(F.filter(part, lambda x: x.rlike(r"[^ \t-\r]"))) >= 2
-            return F.struct(first.alias("first"), e.alias("last"),
-                            F.when(many, F.md5(F.array_join(part, "\n"))).alias("digest"))
-        return F.transform(F.col("_ends"), one)
-    return d.withColumn("_chunks", let(F.col("_lines"), cut))
+            body = F.when(many, F.array_join(part, "\n"))
+            return F.struct(first.alias("first"), e.alias("last"), F.md5(body).alias("digest"), *([body.alias("bytes")] * with_bytes))
+        return F.transform(ends, one)
+    return let(lines, lambda ls: let(chunk_ends(ls, divisor), lambda ends: cut(ls, ends)))
 
 
 def repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", divisor: int = DIVISOR) -> DataFrame:
     """doc_id, text_md5 and the numbers of the chunks that repeat an earlier one (``gone``)."""
-    d = (with_chunks(docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text")), "_text", divisor)
-         .filter("_id is not null and _text is not null"))
-    each = (d.select("_id", F.md5("_text").alias("_md5"), "_lines", F.posexplode("_chunks").alias("_place", "_c"))
-            .filter("_c.digest is not null"))
-    text = F.array_join(F.slice("_lines", F.col("_c.first"), F.col("_c.last") - F.col("_c.first") + 1), "\n")
+    d = (docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text")).filter("_id is not null and _text is not null"))
+
+    def each(with_bytes: bool) -> DataFrame:
+        found = chunks(F.split("_text", "\n"), divisor, with_bytes)
+        return (d.select("_id", F.md5("_text").alias("_md5"), F.posexplode(found).alias("_place", "_c"))
+                .filter("_c.digest is not null"))
+
     place = F.struct("_id", "_place")
-    same = (each.select(F.col("_c.digest").alias("_digest"), text.alias("_bytes"), place.alias("_at"))
+    same = (each(True).select(F.col("_c.digest").alias("_digest"), F.col("_c.bytes").alias("_bytes"), place.alias("_at"))
             .groupBy("_digest", "_bytes").agg(F.count("*").alias("_n"), F.min("_at").alias("_first"))
             .groupBy("_digest").agg(F.count("*").alias("_kinds"), F.sum("_n").alias("_n"), F.min("_first").alias("_first"))
             .filter("_kinds = 1 and _n > 1").select("_digest", "_first"))
     same = materialise(same, "repeated-chunks")
-    return (each.select("_id", "_md5", "_place", F.col("_c.digest").alias("_digest"))
+    return (each(False).select("_id", "_md5", "_place", F.col("_c.digest").alias("_digest"))
             .join(same, "_digest").filter(place != F.col("_first"))
             .groupBy("_id", "_md5").agg(F.collect_set("_place").alias("_gone")))
 
@@ -84,7 +84,7 @@ def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", divis
     d = docs.select(F.struct(*[F.col(c) for c in docs.columns]).alias("_row"), F.col(id_col).alias("_own"),
                     F.col(text_col).alias("_text"), F.md5(F.col(text_col)).alias("_own_md5"))
     d = d.join(gone, (F.col("_own") == F.col("_id")) & (F.col("_own_md5") == F.col("_md5")), "left")
-    d = with_chunks(d, "_text", divisor)
+    d = d.withColumn("_lines", F.split("_text", "\n")).withColumn("_chunks", chunks(F.col("_lines"), divisor))
     removed = F.coalesce("_gone", F.array().cast("array<int>"))
     kept = F.filter(F.col("_chunks"), lambda c, i: ~F.array_contains(removed, i))
     lines = let(F.col("_lines"), lambda ls: F.flatten(F.transform(
@@ -95,8 +95,10 @@ def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", divis
         F.lit(0), lambda a, b: a + b)
     counts = [F.coalesce(F.greatest(F.size("_lines"), F.lit(0)), F.lit(0)), F.coalesce(F.greatest(F.size("_chunks"), F.lit(0)), F.lit(0)),
               F.size(removed), removed_lines]
-    return d.select(*[new.alias(c) if c == text_col else F.col("_row")[c].alias(c) for c in docs.columns if c not in added],
-                    *[n.cast("long").alias(c) for n, c in zip(counts, added)])
+    d = d.select("_row", new.alias("_new"), *[n.cast("long").alias(f"_new_{c}") for n, c in zip(counts, added)])
+    # the input's columns last, out of reach of the names above
+    return d.select(*[F.col("_new").alias(c) if c == text_col else F.col("_row")[c].alias(c) for c in docs.columns if c not in added],
+                    *[F.col(f"_new_{c}").alias(c) for c in added])
 
 
 def digest(docs: DataFrame) -> DataFrame:
