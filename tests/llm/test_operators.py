@@ -346,3 +346,16 @@ def test_operators_ignore_clashing_columns(spark, tricky):
     assert minhash_circulant.dedup(docs).columns == docs.columns
     assert packing_pow2.pack(docs, public_tokenizers.path("byte_bpe_50k.json")).select("doc_id").distinct().count() == n - 2
     assert toxicity_mil.reject(docs, []).count() == n
+
+
+def test_null_ids_and_null_columns_keep_their_rows(spark, queries):
+    text = "some words that stand here twice and more " * 12
+    rows = [(None, text, None, None, None), (None, None, None, None, None), (1, text, "en", None, None), (2, "other text of few words", None, "s", 3)]
+    d = write_tables(rows, [(1, 1, 0), (None, 1, 1), (2, None, None)], [(None, [1.0, 2.0], 0), (0, [1.0, 2.5], 0), (1, [2.0, 2.5], 0)])
+    for name in OPS:
+        got = queries[name](spark, d).collect()
+        ids = [r.doc_id for r in got]
+        assert set(ids) == {None, 1, 2}, name
+        if name != "op6_packing_pow2":
+            assert len(ids) == 4, name
+    assert [r.vec_id for r in queries["op2_ann_collision"](spark, d).collect()] == [1]
