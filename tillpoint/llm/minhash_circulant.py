@@ -10,15 +10,16 @@ confirmed by the Jaccard similarity of the full shingle sets.
 Work per group, never per pair of a group:
 
 1. documents with equal sets are one class (its least doc_id stands for it);
-2. in each band bucket every class is checked against the bucket's least one;
-   confirmed links give components;
-3. buckets that still hold several components are searched for links between
-   them. Jaccard distance is a metric: two classes whose distances to the
-   bucket's least one differ by more than the limit can't be linked, so they
-   are not paired. What is left is checked in full.
-
-A chain is thus found link by link, and no bucket size is capped. With the
-chosen bands a pair at the threshold itself is missed with a chance below MISS.
+2. every bucket of a band has a head, its least class. Each class is checked
+   against the least of its buckets' heads: one check a class, however large its
+   buckets are. Confirmed links give components;
+3. a class whose other heads still lie in other components is checked against
+   these, too;
+4. buckets that still hold several components are searched for links between
+   them. A class' leader is the nearest head it was confirmed with, or itself.
+   Jaccard distance is a metric, so two classes can't be linked if their leaders
+   are further apart than the classes' distances to them and the limit together.
+   Leaders that share a bucket are checked, and only classes this leaves are.
 
 Defined results: texts without words have no shingles, link with nothing and
 are their own component; texts with fewer words than a shingle have their whole
@@ -147,18 +148,21 @@ def link(docs: DataFrame, percent: int = PERCENT, width: int = WIDTH, id_col: st
     def sizes_allow(n, m):
         return 100 * F.least(n, m) >= percent * F.greatest(n, m)
 
-    stars = (members.filter("a <> b").filter(sizes_allow(F.col("n"), F.col("bn")))
+    heads = (members.filter("a <> b").filter(sizes_allow(F.col("n"), F.col("bn")))
              .select("a", "a_md5", "b", "b_md5").distinct())
-    first = materialise(verify(stars, texts, width), "verified").distinct()
-    edges = first.filter(F.col("both") * 100 >= F.col("size") * percent).select("a", "b")
-    found = components(edges, "a", "b")
+    least = heads.groupBy("a", "a_md5").agg(F.min(F.struct("b", "b_md5")).alias("h")).select("a", "a_md5", "h.*")
+    checked = materialise(verify(least, texts, width).distinct(), "checked")
+    found = materialise(components(_linked(checked, percent), "a", "b"), "components")
+
+    apart = (_with_component(_with_component(heads, found, "a"), found, "b").filter("a_component <> b_component")
+             .join(checked.select("a", "b"), ["a", "b"], "left_anti").select("a", "a_md5", "b", "b_md5"))
+    checked = materialise(checked.union(verify(materialise(apart, "apart"), texts, width)).distinct(), "checked")
+    found = materialise(components(_linked(checked, percent), "a", "b"), "components")
 
-    more = _across(members, first, found, percent)
+    more = _across(members, checked, found, texts, percent, width)
     if not more.isEmpty():
-        second = verify(more, texts, width).filter(F.col("both") * 100 >= F.col("size") * percent).select("a", "b")
-        links = materialise(edges.union(second), "links")
-        found = components(links, "a", "b")
-    found = materialise(found, "components")
+        links = materialise(_linked(checked, percent).union(_linked(verify(more, texts, width), percent)), "links")
+        found = materialise(components(links, "a", "b"), "components")
 
     return (s.join(classes.select("set_hash", F.col("a").alias("class_id")), "set_hash", "left")
             .join(found.select(F.col("node").alias("class_id"), "component"), "class_id", "left")
@@ -168,32 +172,49 @@ def link(docs: DataFrame, percent: int = PERCENT, width: int = WIDTH, id_col: st
                     F.when(F.col("doc_id").isNotNull(), F.coalesce("class_id", "doc_id")).alias("class_id"), "text_md5"))
 
 
-def _across(members: DataFrame, first: DataFrame, found: DataFrame, percent: int) -> DataFrame:
-    """Pairs of one bucket in different components that the distances to its head don't rule out."""
+def _linked(checked: DataFrame, percent: int) -> DataFrame:
+    return checked.filter(F.col("both") * 100 >= F.col("size") * percent).select("a", "b")
+
+
+def _with_component(df: DataFrame, found: DataFrame, node: str) -> DataFrame:
+    """Adds <node>_component: the component of column ``node``, itself where it has no link."""
+    got = found.select(F.col("node").alias(node), F.col("component").alias(f"{node}_component"))
+    return df.join(got, node, "left").withColumn(f"{node}_component", F.coalesce(f"{node}_component", node))
+
+
+def _across(members: DataFrame, checked: DataFrame, found: DataFrame, texts: DataFrame, percent: int, width: int) -> DataFrame:
+    """Pairs of one bucket in different components that the leaders' distances don't rule out."""
     limit = 1 - percent / 100 + 1e-9
-    ratio = F.least("n", "bn") / F.greatest("n", "bn")
-    known = first.select("a", "b", (1 - F.col("both") / F.col("size")).alias("d"))
-    m = (members.join(known, ["a", "b"], "left")
-         .join(found.select(F.col("node").alias("a"), "component"), "a", "left")
-         .withColumn("component", F.coalesce("component", "a"))
-         .withColumn("lo", F.when(F.col("a") == F.col("b"), 0.0).otherwise(F.coalesce(F.col("d"), 1 - ratio)))
-         .withColumn("hi", F.when(F.col("a") == F.col("b"), 0.0).otherwise(F.coalesce("d", F.lit(1.0))))
-         .filter("a <> b")  # the head has met all members
-         .select("bucket", "a", "a_md5", "n", "component", "lo", "hi"))
+    confirmed = checked.filter(F.col("both") * 100 >= F.col("size") * percent)
+    leader = (confirmed.groupBy("a").agg(F.min(F.struct((1 - F.col("both") / F.col("size")).alias("d"), "b")).alias("l"))
+              .select("a", F.col("l.b").alias("leader"), F.col("l.d").alias("d")))
+    m = (_with_component(members, found, "a").filter("a <> b")  # a head has met its members
+         .select("bucket", "a", "a_md5", "n", F.col("a_component").alias("component")))
     several = m.groupBy("bucket").agg((F.min("component") != F.max("component")).alias("x")).filter("x").select("bucket")
-    m = materialise(m.join(several, "bucket", "left_semi"), "mixed")
-    g = m.groupBy("bucket", "component").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi"),
-                                             F.min("n").alias("least"), F.max("n").alias("most"))
-    h = g.select("bucket", *[F.col(c).alias(f"{c}2") for c in ("component", "lo", "hi", "least", "most")])
-    near = (g.join(h, "bucket").filter("component < component2")
-            .filter((F.col("lo") - F.col("hi2") <= limit) & (F.col("lo2") - F.col("hi") <= limit))
-            .filter((100 * F.col("most") >= percent * F.col("least2")) & (100 * F.col("most2") >= percent * F.col("least")))
-            .select("bucket", "component", "component2"))
-    other = m.select("bucket", F.col("component").alias("component2"), F.col("a").alias("b"), F.col("a_md5").alias("b_md5"),
-                     F.col("n").alias("n2"), F.col("lo").alias("lo2"), F.col("hi").alias("hi2"))
+    m = materialise(m.join(several, "bucket", "left_semi").join(leader, "a", "left")
+                    .withColumn("leader", F.coalesce("leader", "a")).withColumn("d", F.coalesce("d", F.lit(0.0))), "mixed")
+    g = m.groupBy("bucket", "component", "leader").agg(F.max("d").alias("d"), F.min("n").alias("least"), F.max("n").alias("most"))
+    h = g.select("bucket", *[F.col(c).alias(f"{c}2") for c in ("component", "leader", "d", "least", "most")])
+    near = materialise(g.join(h, "bucket").filter("component < component2")
+                       .filter((100 * F.col("most") >= percent * F.col("least2")) & (100 * F.col("most2") >= percent * F.col("least"))),
+                       "near-leaders")
+    # one text per leader is enough to tell their distance
+    md5 = texts.select("doc_id", "text_md5").groupBy("doc_id").agg(F.min("text_md5").alias("text_md5"))
+    pairs = near.select("leader", "leader2").distinct().filter("leader <> leader2")
+    pairs = (pairs.join(md5.select(F.col("doc_id").alias("leader"), F.col("text_md5").alias("a_md5")), "leader")
+             .join(md5.select(F.col("doc_id").alias("leader2"), F.col("text_md5").alias("b_md5")), "leader2")
+             .select(F.col("leader").alias("a"), "a_md5", F.col("leader2").alias("b"), "b_md5"))
+    gap = (verify(pairs, texts, width).groupBy("a", "b").agg(F.min(1 - F.col("both") / F.col("size")).alias("gap"))
+           .select(F.col("a").alias("leader"), F.col("b").alias("leader2"), "gap"))
+    gap = materialise(gap, "leader-gaps")
+    near = (near.join(gap, ["leader", "leader2"], "left").withColumn("gap", F.coalesce("gap", F.lit(0.0)))
+            .filter(F.col("gap") <= F.col("d") + F.col("d2") + limit)
+            .select("bucket", "component", "leader", "component2", "leader2", "gap"))
+    other = m.select("bucket", F.col("component").alias("component2"), F.col("leader").alias("leader2"), F.col("a").alias("b"),
+                     F.col("a_md5").alias("b_md5"), F.col("n").alias("n2"), F.col("d").alias("d2"))
     return materialise(
-        near.join(m, ["bucket", "component"]).join(other, ["bucket", "component2"])
-        .filter((F.col("lo") - F.col("hi2") <= limit) & (F.col("lo2") - F.col("hi") <= limit))
+        near.join(m, ["bucket", "component", "leader"]).join(other, ["bucket", "component2", "leader2"])
+        .filter(F.col("gap") <= F.col("d") + F.col("d2") + limit)
         .filter(100 * F.least("n", "n2") >= percent * F.greatest("n", "n2"))
         .select("a", "a_md5", "b", "b_md5").distinct(), "across")
 
