@@ -28,7 +28,7 @@ minimizer's group.
 
 Defined results: null text is empty; texts shorter than LENGTH lose nothing;
 a row repeated in full is another place, so its windows count as repeated;
-rows of one doc_id with different texts are told apart by the text's hash;
+rows of one doc_id with different texts are told apart by a hash of the text;
 extra columns pass through ``dedup``. What is left of a text can end inside a
 multi-byte character; ``dedup`` drops the incomplete bytes of such a character
 from its text, ``digest`` hashes the exact bytes.
@@ -43,6 +43,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
+from ..session import drop_table
 from .common import materialise
 from .shingles import mix, powers
 from .windows import blocks
@@ -52,6 +53,8 @@ SHARD_BYTES = 1 << 20
 MERGE_BYTES = 3 << 20
 MERGE_RUNS = 10_000
 BATCH_BYTES = 2_000_000
+#: A run's first start times this, plus its number of starts (less than a window's length), is one number.
+PLACE = 1 << 16
 
 
 # ---- numpy inside tasks
@@ -164,7 +167,7 @@ def window_hashes(body: np.ndarray, length: int = LENGTH) -> np.ndarray:
 # ---- Spark
 
 def _runs_table(texts: DataFrame, length: int) -> DataFrame:
-    """One row per run of windows: text's key, first start, starts, minimizer hash, hash of the bytes."""
+    """One row per run of windows: text's key, place (first start and starts), minimizer hash, hash of the bytes."""
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             at = 0
@@ -174,17 +177,17 @@ def _runs_table(texts: DataFrame, length: int) -> DataFrame:
                 part = batch.slice(at, stop - at)
                 which, start, count, _, group, body = blocks([x.encode() for x in part.column(2).to_pylist()], length)
                 ids, keys = part.column(0).take(pa.array(which)), part.column(1).take(pa.array(which))
-                yield pa.record_batch([ids, keys, pa.array(start, pa.int32()), pa.array(count, pa.int32()),
+                yield pa.record_batch([ids, keys, pa.array(start * PLACE + count),
                                        pa.array(group.view(np.int64)), pa.array(body.view(np.int64))],
-                                      names=["doc_id", "text_key", "first", "starts", "grp", "body"])
+                                      names=["doc_id", "text_key", "place", "grp", "body"])
                 at = stop
 
-    return texts.mapInArrow(cut, "doc_id long, text_key long, first int, starts int, grp long, body long")
+    return texts.mapInArrow(cut, "doc_id long, text_key int, place long, grp long, body long")
 
 
 def _contents(wanted: DataFrame, texts: DataFrame, length: int) -> DataFrame:
     """Adds the bytes of each wanted run (grp, body, n, doc_id, text_key, first, starts)."""
-    per_text = wanted.groupBy("doc_id", "text_key").agg(F.collect_list(F.struct("grp", "n", "first", "starts")).alias("runs"))
+    per_text = wanted.groupBy("doc_id", "text_key").agg(F.collect_list(F.struct("grp", "n", "place")).alias("runs"))
     rows = per_text.join(texts, ["doc_id", "text_key"])
     rows = rows.select("doc_id", "text_key", "text", "runs")
 
@@ -193,19 +196,20 @@ def _contents(wanted: DataFrame, texts: DataFrame, length: int) -> DataFrame:
             out: list[tuple] = []
             for doc_id, key, text, wanted in zip(*(batch.column(i).to_pylist() for i in range(4))):
                 raw = text.encode()
-                out += [(doc_id, key, r["grp"], r["n"], r["first"], r["starts"],
-                         raw[r["first"]:r["first"] + r["starts"] + length - 1]) for r in wanted]
+                for r in wanted:
+                    first, starts = divmod(r["place"], PLACE)
+                    out.append((doc_id, key, r["grp"], r["n"], first, starts, raw[first:first + starts + length - 1]))
             for at in range(0, len(out), 5000):
                 cols = list(zip(*out[at:at + 5000]))
-                yield pa.record_batch([pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.int64()), pa.array(cols[2], pa.int64()),
+                yield pa.record_batch([pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.int32()), pa.array(cols[2], pa.int64()),
                                        pa.array(cols[3], pa.int64()), pa.array(cols[4], pa.int32()), pa.array(cols[5], pa.int32()),
                                        pa.array(cols[6], pa.binary())],
                                       names=["doc_id", "text_key", "grp", "n", "first", "starts", "bytes"])
 
-    return rows.mapInArrow(cut, "doc_id long, text_key long, grp long, n long, first int, starts int, bytes binary")
+    return rows.mapInArrow(cut, "doc_id long, text_key int, grp long, n long, first int, starts int, bytes binary")
 
 
-_SPAN = "doc_id long, text_key long, lo int, hi int"
+_SPAN = "doc_id long, text_key int, lo int, hi int"
 
 
 def _merged(rows: DataFrame, tasks: int, length: int) -> DataFrame:
@@ -219,7 +223,7 @@ def _merged(rows: DataFrame, tasks: int, length: int) -> DataFrame:
             spans = [(r[0], r[1], r[4] + a, r[4] + b - 1 + length) for r, flags in zip(held, found) if r[3] == 1
                      for a, b in runs(flags)]
             cols = list(zip(*spans)) if spans else [[], [], [], []]
-            return pa.record_batch([pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.int64()), pa.array(cols[2], pa.int32()),
+            return pa.record_batch([pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.int32()), pa.array(cols[2], pa.int32()),
                                     pa.array(cols[3], pa.int32())], names=["doc_id", "text_key", "lo", "hi"])
 
         for batch in batches:
@@ -241,12 +245,12 @@ def _counted(rows: DataFrame, length: int) -> DataFrame:
         for batch in batches:
             for doc_id, key, grp, n, first, starts, body in zip(*(batch.column(i).to_pylist() for i in range(7))):
                 h = window_hashes(np.frombuffer(body, np.uint8), length)
-                yield pa.record_batch([pa.array(np.full(starts, doc_id)), pa.array(np.full(starts, key)),
+                yield pa.record_batch([pa.array(np.full(starts, doc_id)), pa.array(np.full(starts, key, np.int32)),
                                        pa.array(np.full(starts, grp)), pa.array(np.full(starts, n)),
                                        pa.array(np.arange(first, first + starts, dtype=np.int32)), pa.array(h.view(np.int64))],
                                       names=["doc_id", "text_key", "grp", "n", "start", "h"])
 
-    each = rows.mapInArrow(explode, "doc_id long, text_key long, grp long, n long, start int, h long")
+    each = rows.mapInArrow(explode, "doc_id long, text_key int, grp long, n long, start int, h long")
     twice = each.groupBy("grp", "h").agg(F.count("*").alias("c")).filter("c > 1").select("grp", "h")
     return (each.filter("n = 1").join(twice, ["grp", "h"])
             .select("doc_id", "text_key", F.col("start").alias("lo"), (F.col("start") + length).alias("hi")))
@@ -257,13 +261,16 @@ def spans(docs: DataFrame, length: int = LENGTH, id_col: str = "doc_id", text_co
     texts = keyed(docs, id_col, text_col)
     table = materialise(_runs_table(texts.filter(F.octet_length("text") >= length), length), "runs")
     same = materialise(table.groupBy("grp", "body").agg(F.count("*").alias("n"),
-                                                        F.min(F.struct("doc_id", "text_key", "first", "starts")).alias("at")), "run-counts")
-    whole = (table.join(same.filter("n > 1").select("grp", "body"), ["grp", "body"])
-             .select("doc_id", "text_key", F.col("first").alias("lo"), (F.col("first") + F.col("starts") - 1 + length).alias("hi")))
+                                                        F.min(F.struct("doc_id", "text_key", "place")).alias("at")), "run-counts")
+    repeated = materialise(same.filter("n > 1").select("grp", "body"), "repeated-runs")
+    first, starts = F.shiftright("place", 16), F.col("place").bitwiseAND(F.lit(PLACE - 1))
+    whole = (table.join(repeated, ["grp", "body"])
+             .select("doc_id", "text_key", first.cast("int").alias("lo"), (first + starts - 1 + length).cast("int").alias("hi")))
     kinds = same.groupBy("grp").agg(F.count("*").alias("kinds"), F.min("n").alias("fewest")).filter("kinds > 1 and fewest = 1")
     wanted = same.join(kinds.select("grp", "kinds"), "grp").select("grp", "n", "kinds", "at.*")
     wanted = materialise(wanted, "wanted-runs")
-    size = wanted.agg(F.sum(F.col("starts") + length).alias("b"), F.max("kinds").alias("k")).first()
+    drop_table(same)  # the largest of the tables, read by nothing below
+    size = wanted.agg(F.sum(starts + length).alias("b"), F.max("kinds").alias("k")).first()
     found = whole
     if size["b"]:
         tasks = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), size["b"] // MERGE_BYTES + 1)
@@ -275,7 +282,7 @@ def spans(docs: DataFrame, length: int = LENGTH, id_col: str = "doc_id", text_co
 
 def keyed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     text = F.coalesce(F.col(text_col), F.lit(""))
-    return docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(-1 << 63)).alias("doc_id"), F.xxhash64(text).alias("text_key"),
+    return docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(-1 << 63)).alias("doc_id"), F.hash(text).alias("text_key"),
                        text.alias("text"))
 
 
@@ -291,7 +298,7 @@ def _applied(docs: DataFrame, length: int, each: Callable, schema: str, extra: l
     """``each(raw bytes, removed flags)`` for every row, beside ``extra`` columns."""
     found = spans(docs, length, id_col, text_col).select(F.col("doc_id").alias("_id"), F.col("text_key").alias("_key"), "spans")
     text = F.coalesce(F.col(text_col), F.lit(""))
-    rows = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(-1 << 63)).alias("_own"), F.xxhash64(text).alias("_own_key"),
+    rows = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(-1 << 63)).alias("_own"), F.hash(text).alias("_own_key"),
                        text.alias("_text"), F.struct(*extra).alias("_row"))
     rows = (rows.join(found, (F.col("_own") == F.col("_id")) & (F.col("_own_key") == F.col("_key")), "left")
             .select("_row", "_text", "spans"))
