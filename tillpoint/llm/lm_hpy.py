@@ -42,7 +42,9 @@ from .shingles import word_hashes
 
 SHORTLIST = 20_000
 ENTRIES = 500_000
-SLICE_BYTES = 4_000_000
+SLICE_BYTES = 12_000_000
+#: Bytes of text that a task turns into tokens at a time.
+PART_BYTES = 4_000_000
 SAMPLES = 4
 BURN_IN = 4
 ROUNDS = 2
@@ -98,21 +100,21 @@ def _batches(batches: Iterator[pa.RecordBatch], column: int = 0) -> Iterator[lis
         for t in batch.column(column).to_pylist():
             held.append(t)
             size += len(t or "")
-            if size > SLICE_BYTES:
+            if size > PART_BYTES:
                 yield held
                 held, size = [], 0
     if held:
         yield held
 
 
-def _counts(texts: DataFrame, keys_of, name: str) -> DataFrame:
-    """Sum over all texts of how often each 64-bit key of ``keys_of(texts)`` occurs."""
+def _counts(texts: DataFrame, keys_of, name: str, least: float = 1) -> DataFrame:
+    """Sum over all texts of how often each 64-bit key of ``keys_of(texts)`` occurs, if ``least`` times."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in _batches(batches):
             keys, n = np.unique(keys_of(part), return_counts=True)
             yield pa.record_batch([pa.array(keys.view(np.int64)), pa.array(n)], names=["k", "n"])
 
-    return materialise(texts.mapInArrow(run, "k long, n long").groupBy("k").agg(F.sum("n").alias("n")), name)
+    return materialise(texts.mapInArrow(run, "k long, n long").groupBy("k").agg(F.sum("n").alias("n")).filter(F.col("n") >= least), name)
 
 
 # ---- seating
@@ -277,12 +279,11 @@ def train(texts: DataFrame) -> tuple[DataFrame, int, int, Model | None]:
         code = short.code(h)
         return short.contexts(code, sizes)[0] * short.base + code
 
-    two = _counts(texts, pairs, "lm-pairs")
-    two = two.select(F.floor(F.col("k") / short.base).alias("u"), (F.col("k") % short.base).alias("w"), "n")
-    kept_two = materialise(two.filter(F.col("n") * ENTRIES >= total), "lm-entries-2")
+    kept_two = _counts(texts, pairs, "lm-entries-2", total / ENTRIES)
+    kept_two = kept_two.select(F.floor(F.col("k") / short.base).alias("u"), (F.col("k") % short.base).alias("w"), "n")
     # two-word contexts are pairs of tokens frequent enough; at most SHORTLIST
     often = np.sort(np.array([r["u"] * short.base + r["w"] for r in
-                              two.filter(F.col("n") * SHORTLIST >= total).select("u", "w").collect()], np.int64))
+                              kept_two.filter(F.col("n") * SHORTLIST >= total).select("u", "w").collect()], np.int64))
     known = kept_two.select(F.col("u"), F.col("w"))
 
     def triples(part: list) -> np.ndarray:
@@ -294,7 +295,7 @@ def train(texts: DataFrame) -> tuple[DataFrame, int, int, Model | None]:
         found = often[at] == pair if len(often) else np.zeros(len(pair), bool)
         return pair[found] * short.base + code[found]
 
-    three = _counts(texts, triples, "lm-triples").filter(F.col("n") * ENTRIES >= total)
+    three = _counts(texts, triples, "lm-triples", total / ENTRIES)
     three = three.select(F.floor(F.col("k") / (short.base * short.base)).alias("t"),
                          (F.floor(F.col("k") / short.base) % short.base).alias("u"), (F.col("k") % short.base).alias("w"), "n")
     kept_three = materialise(three.join(F.broadcast(known), ["u", "w"]), "lm-entries-3")  # at most ENTRIES pairs
