@@ -359,3 +359,20 @@ def test_null_ids_and_null_columns_keep_their_rows(spark, queries):
         if name != "op6_packing_pow2":
             assert len(ids) == 4, name
     assert [r.vec_id for r in queries["op2_ann_collision"](spark, d).collect()] == [1]
+
+
+def test_op7_learns_rare_ngrams_of_a_large_corpus(spark):
+    """Words, pairs and triples far below any share of the corpus are still customers of their contexts."""
+    from tillpoint.llm import lm_hpy as L
+    rng = np.random.default_rng(2)
+    bulk = [" ".join(f"w{x}" for x in rng.integers(0, 300, 400)) for _ in range(500)]
+    rows = [(i, t) for i, t in enumerate(bulk + ["zebra quagga okapi"] * 3)]
+    _, _, distinct, model = L.train(spark.createDataFrame(rows, "doc_id long, text string").select("text"))
+    h = L.tokens(["zebra quagga okapi"])[0]
+    begin, code = model.short.begin, model.short.code(h)
+    assert distinct == 304 and begin == 305 and (code > 0).all()
+    at = lambda one, two: model.dish(code[2:3], np.array([one]), np.array([two]))[0]
+    assert at(code[1], code[0]) > at(code[1], 0) > 1000 * at(0, 0)
+    assert at(code[1], code[0]) > 0.3
+    p = model.dish(np.arange(begin), np.full(begin, code[1]), np.full(begin, code[0]))
+    assert p.sum() == pytest.approx(1, abs=1e-3)

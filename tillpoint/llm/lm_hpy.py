@@ -1,56 +1,61 @@
 """Language-model scoring by a hierarchical Pitman-Yor model.
 
-Dishes are the corpus' frequent words (the shortlist), the end of a text and
-one class for all other words. A restaurant stands for each one-word context,
-and for each frequent two-word context; a two-word context's parent is its last
-word's restaurant, and all of these share the root. Customers are the corpus'
-n-gram counts; a table of a child is a customer of its parent. Seating is drawn
-by Gibbs moves that seat one dish's customers anew given all other tables of
-the restaurant (customer by customer, and from BLOCK on in blocks of 1/16 of
-those seated). The scored probability is the average of the samples' predictive
-probabilities. Inside the class of other words sits one more Pitman-Yor
-restaurant with a diffuse base, where every word has one table and unseen words
-together have the mass of a new table. The whole is one distribution over the
-training words and one unseen word.
-
-What is counted covers all training texts and grows with them: every word's
-count stays a distributed table that texts meet by a join. What every task
-holds is bounded by shares of the corpus, which behave alike at every size: a
-shortlisted word or two-word context has 1/SHORTLIST of all tokens, an n-gram
-entry 1/ENTRIES. N-grams below stay customers of the parent one by one.
-
-Texts are dealt into slices of some megabytes by a hash of id and text. Each
-slice sends its distinct words to the count table and gets their counts back,
-so a word costs one row per slice, not one per token, and no word is hot.
-
-Words are compared by a 64-bit hash. Defined results: a null text is empty and
-has the end token alone; without training texts every score is 0.0 (the unseen
-word has probability 1); repeated rows are scored once each; other columns are
-ignored.
+Dishes are all training words, the end of a text and one unseen word. Every
+one-word and every two-word context of the training texts is a restaurant; a
+two-word context's parent is its last word's restaurant, and all of these share
+the root. Customers are the corpus' n-gram counts; a table of a child is a
+customer of its parent. The root has a diffuse base: every word has one table
+and the unseen word the mass of a new one. Nothing is left out: the model grows
+with the corpus.
+
+Seating starts with one table a dish. A round of Gibbs moves seats each dish's
+customers anew given all other tables of the round before: customer by customer,
+and from BLOCK on in blocks of 1/16 of those seated, whose new tables are their
+expected number, rounded by chance. SAMPLES chains run side by side; the scored
+probability is the average of their predictive probabilities. A dish with one
+customer always has one table, so rounds read only the other n-grams. Chances
+come from a hash of the n-gram, so a task that runs again draws the same.
+
+Every level is a distributed table: n-grams, totals by context, totals by word.
+They meet by joins, and what each task holds is a batch of rows. Texts are dealt
+into slices of some megabytes by a hash of id and text. Each slice sends its
+distinct words, pairs and triples and gets their values back, so an n-gram costs
+one row per slice, not one per token, and none is hot.
+
+Words and n-grams are compared by 64-bit hashes. Defined results: a null text is
+empty and has the end token alone; without training texts every score is 0.0
+(the unseen word has probability 1); repeated rows are scored once each; other
+columns are ignored.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
+from ..session import drop_table
 from .common import fold, materialise
-from .shingles import word_hashes
+from .shingles import mix, word_hashes
 
-SHORTLIST = 20_000
-ENTRIES = 500_000
-SLICE_BYTES = 12_000_000
+SLICE_BYTES = 8_000_000
 #: Bytes of text that a task turns into tokens at a time.
 PART_BYTES = 4_000_000
 SAMPLES = 4
-BURN_IN = 4
 ROUNDS = 2
 BLOCK = 64
 STRENGTH = 1.0
 END = np.uint64(0xA5A5A5A55A5A5A5B)
+#: Stand for the begin of a text, and for a word that training doesn't have.
+BEGIN = np.uint64(0x5A5A5A5BA5A5A5A5)
+UNSEEN = np.uint64(0x3C3C3C3BC3C3C3C5)
+PAIR = np.uint64(0x9E3779B97F4A7C15)
+TRIPLE = np.uint64(0xD6E8FEB86659FD93)
+#: A count goes out as two floats, its multiple of this and the rest.
+HALF = 1 << 20
 
 
 # ---- tokens
@@ -69,28 +74,38 @@ def tokens(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
     return out, words + 1
 
 
+def pair_key(u: np.ndarray, w: np.ndarray) -> np.ndarray:
+    return mix(u * PAIR + w)
+
+
+def triple_key(context: np.ndarray, pair: np.ndarray) -> np.ndarray:
+    """Of the pairs (t, u) and (u, w)."""
+    return mix(context * TRIPLE + pair)
+
+
+def grams(h: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """For every token w after t u: u, and the keys of (t, u) and (u, w)."""
+    first = np.cumsum(sizes) - sizes
+    one = np.roll(h, 1)
+    one[first] = BEGIN
+    two = np.roll(one, 1)
+    two[first] = BEGIN
+    return one, pair_key(two, one), pair_key(one, h)
+
+
 class Shortlist:
-    """Numbers of frequent words: 0 is any other word, the last one the begin of a text."""
+    """Numbers of the training words: 0 is the unseen word, the last one the begin of a text."""
 
     def __init__(self, hashes: np.ndarray):
         self.sorted = np.sort(hashes)
         self.begin = len(hashes) + 1
-        self.base = len(hashes) + 2
 
     def code(self, h: np.ndarray) -> np.ndarray:
-        if not len(self.sorted):
-            return np.zeros(len(h), np.int64)
         at = np.minimum(np.searchsorted(self.sorted, h), len(self.sorted) - 1)
         return np.where(self.sorted[at] == h, at + 1, 0)
 
-    def contexts(self, code: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Codes one and two tokens back."""
-        first = np.cumsum(sizes) - sizes
-        one = np.roll(code, 1)
-        one[first] = self.begin
-        two = np.roll(one, 1)
-        two[first] = self.begin
-        return one, two
+    def hash(self, code: np.ndarray) -> np.ndarray:
+        return np.concatenate([[UNSEEN], self.sorted, [BEGIN]])[code]
 
 
 def _batches(batches: Iterator[pa.RecordBatch], column: int = 0) -> Iterator[list]:
@@ -107,19 +122,21 @@ def _batches(batches: Iterator[pa.RecordBatch], column: int = 0) -> Iterator[lis
         yield held
 
 
-def _counts(texts: DataFrame, keys_of, name: str, least: float = 1) -> DataFrame:
-    """Sum over all texts of how often each 64-bit key of ``keys_of(texts)`` occurs, if ``least`` times."""
+def _counted(texts: DataFrame, keys_of, names: list[str], name: str) -> DataFrame:
+    """How often each row of ``keys_of(texts)`` (told apart by its first two columns) occurs in all texts."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in _batches(batches):
-            keys, n = np.unique(keys_of(part), return_counts=True)
-            yield pa.record_batch([pa.array(keys.view(np.int64)), pa.array(n)], names=["k", "n"])
+            cols = keys_of(part)
+            _, first, n = np.unique(triple_key(cols[0], cols[1]), return_index=True, return_counts=True)
+            yield pa.record_batch([*(pa.array(c[first].view(np.int64)) for c in cols), pa.array(n)], names=[*names, "n"])
 
-    return materialise(texts.mapInArrow(run, "k long, n long").groupBy("k").agg(F.sum("n").alias("n")).filter(F.col("n") >= least), name)
+    rows = texts.mapInArrow(run, ", ".join(f"{c} long" for c in [*names, "n"]))
+    return materialise(rows.groupBy(*names).agg(F.sum("n").alias("n")), name)
 
 
 # ---- seating
 
-def seat(c: np.ndarray, p: np.ndarray, others: np.ndarray, d: float, rng: np.random.Generator) -> np.ndarray:
+def seat(c: np.ndarray, p: np.ndarray, others: np.ndarray, d: float, key: np.ndarray) -> np.ndarray:
     """Tables of dishes with ``c`` customers, base probability ``p`` and ``others`` tables of other dishes."""
     t = np.minimum(c, 1).astype(float)
     alive = np.flatnonzero(c > 1)
@@ -129,7 +146,8 @@ def seat(c: np.ndarray, p: np.ndarray, others: np.ndarray, d: float, rng: np.ran
         new = (STRENGTH + d * (others[alive] + t[alive])) * p[alive]
         chance = new / (new + np.maximum(done - d * t[alive], 1e-9))
         size = np.minimum(block, c[alive] - done)
-        t[alive] += rng.binomial(size.astype(np.int64), np.minimum(chance, 1.0))
+        luck = (mix(key[alive] + np.uint64(done * int(PAIR) % (1 << 64))) >> np.uint64(11)) / float(1 << 53)
+        t[alive] += np.floor(size * chance + luck)
         done += block
         alive = alive[c[alive] > done]
     return t
@@ -140,203 +158,207 @@ def discount(ones: int, twos: int) -> float:
     return float(np.clip(ones / (ones + 2 * twos), 0.1, 0.95)) if ones else 0.5
 
 
-class Subtrees:
-    """Some one-word contexts u, each with its two-word contexts, all seated given the root's probabilities.
-
-    Entries (u, w) have t = -1. All restaurants of one level are seated at once: given their parents
-    and the totals of their own tables they don't depend on each other."""
-
-    def __init__(self, t: np.ndarray, u: np.ndarray, w: np.ndarray, n: np.ndarray, root: np.ndarray, d: tuple[float, float], seed: int):
-        self.rng, self.d = np.random.default_rng(seed), d
-        base = len(root) + 1
-        top = np.flatnonzero(t < 0)
-        top = top[np.argsort(u[top] * base + w[top])]
-        self.u, self.w, self.n, self.p0 = u[top], w[top], n[top], root[w[top]]
-        self.us, self.owner = np.unique(self.u, return_inverse=True)
-        low = np.flatnonzero(t >= 0)
-        low = low[np.lexsort((w[low], u[low], t[low]))]
-        self.ct, self.cu, self.cw, self.cn = t[low], u[low], w[low], n[low]
-        pair, self.cowner = np.unique(self.ct * (base + 1) + self.cu, return_inverse=True)
-        self.pair_t, self.pair_u = pair // (base + 1), pair % (base + 1)
-        self.at = np.searchsorted(self.u * base + self.w, self.cu * base + self.cw)  # each child's entry is one of u
-        self.direct = self.n - np.bincount(self.at, weights=self.cn, minlength=len(self.n))
-        self.ctables = np.minimum(self.cn, 1).astype(float)
-        self.tables = np.minimum(self.n, 1).astype(float)
-
-    def customers(self) -> np.ndarray:
-        return self.direct + np.bincount(self.at, weights=self.ctables, minlength=len(self.n))
-
-    def sweep(self) -> None:
-        if len(self.cn):
-            total = np.bincount(self.cowner, weights=self.ctables)
-            self.ctables = seat(self.cn, self.own()[0][self.at], total[self.cowner] - self.ctables, self.d[1], self.rng)
-        total = np.bincount(self.owner, weights=self.tables)
-        self.tables = seat(np.rint(self.customers()).astype(np.int64), self.p0, total[self.owner] - self.tables, self.d[0], self.rng)
-
-    def own(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Predictive probability of each entry (u, w), its part beside the root's, and the root's weight in each u."""
-        c = self.customers()
-        size = STRENGTH + np.bincount(self.owner, weights=c)
-        add = np.maximum(c - self.d[0] * self.tables, 0) / size[self.owner]
-        weight = (STRENGTH + self.d[0] * np.bincount(self.owner, weights=self.tables)) / size
-        return add + weight[self.owner] * self.p0, add, weight
-
-    def children(self) -> tuple[np.ndarray, np.ndarray]:
-        size = STRENGTH + np.bincount(self.cowner, weights=self.cn)
-        add = np.maximum(self.cn - self.d[1] * self.ctables, 0) / size[self.cowner]
-        return add, (STRENGTH + self.d[1] * np.bincount(self.cowner, weights=self.ctables)) / size
-
-
-def _sample(entries: DataFrame, root: np.ndarray, d: tuple[float, float], turn: int) -> DataFrame:
-    """Rows (kind, t, u, w, tables, values): entries (kind 2, 3) with the added probability of each
-    sample, contexts (kind 0: u, 1: t u) with the parent's weight in each."""
-    schema = "kind int, t long, u long, w long, tables double, v array<float>"
-    groups = 24
-
-    def run(table: pa.Table) -> pa.Table:
-        tree = Subtrees(*(table.column(c).to_numpy() for c in ("t", "u", "w", "n")), root, d,
-                        turn * groups + table.column("g")[0].as_py())
-        adds, weights, cadds, cweights = [], [], [], []
-        for i in range(BURN_IN + SAMPLES):
-            tree.sweep()
-            if i >= BURN_IN:
-                _, add, weight = tree.own()
-                adds.append(add), weights.append(weight)
-                if len(tree.cn):
-                    cadd, cweight = tree.children()
-                    cadds.append(cadd), cweights.append(cweight)
-        none = np.full(max(len(tree.u), len(tree.cn), 1), -1, np.int64)
-        parts = [(0, none, tree.us, none, weights, None), (2, none, tree.u, tree.w, adds, tree.tables)]
-        if cadds:
-            parts += [(1, tree.pair_t, tree.pair_u, none, cweights, None), (3, tree.ct, tree.cu, tree.cw, cadds, None)]
-        out = []
-        for kind, t, u, w, values, tables in parts:
-            k = len(u)
-            flat = pa.array(np.array(values, np.float32).T.ravel())
-            out.append(pa.table({
-                "kind": pa.array(np.full(k, kind, np.int32)), "t": pa.array(t[:k]), "u": pa.array(u), "w": pa.array(w[:k]),
-                "tables": pa.array(np.zeros(k) if tables is None else tables),
-                "v": pa.ListArray.from_arrays(pa.array(np.arange(k + 1, dtype=np.int32) * SAMPLES), flat)}))
-        return pa.concat_tables(out)
+def _each(name: str) -> list[str]:
+    return [f"{name}{s}" for s in range(SAMPLES)]
+
+
+def _seated(rows: DataFrame, key: list[str], customers: list[str], d: float, turn: int, keep: list[str]) -> DataFrame:
+    """``rows`` (tables t0.., base probabilities p0.., tables of the whole restaurant r0..) with new t0.., and columns ``keep``."""
+    want = list(dict.fromkeys([*keep, *key, *customers, *_each("t"), *_each("p"), *_each("r")]))
 
-    # a subtree is whole in its group; all entries together are bounded by ENTRIES
-    return entries.withColumn("g", F.pmod(F.xxhash64("u"), F.lit(groups))).groupBy("g").applyInArrow(run, schema)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            col = {c: batch.column(c).to_numpy(zero_copy_only=False) for c in want}
+            stacked = [np.concatenate([col[c] for c in cs]) for cs in (customers, _each("p"), _each("r"), _each("t"))]
+            k = mix(triple_key(*(col[c].view(np.uint64) for c in key)) + np.uint64(turn))
+            luck = np.concatenate([mix(k + np.uint64(s)) for s in range(SAMPLES)])
+            t = seat(np.rint(stacked[0]).astype(np.int64), stacked[1], np.maximum(stacked[2] - stacked[3], 0), d, luck)
+            yield pa.record_batch([*(batch.column(c) for c in keep), *(pa.array(x) for x in np.split(t, SAMPLES))],
+                                  names=[*keep, *_each("t")])
+
+    kinds = dict(rows.dtypes)
+    schema = ", ".join([f"{c} {kinds[c]}" for c in keep] + [f"{c} double" for c in _each("t")])
+    return rows.select(*want).mapInArrow(run, schema)
 
 
 # ---- the model
 
+def predict(values, h: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Training count and average predictive probability of every token after its own context."""
+    return _predict(values, h, *grams(h, sizes))
+
+
+def _predict(values, h: np.ndarray, u: np.ndarray, context: np.ndarray, pair: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    word = values(h, 3, [0, 0, values.unseen])
+    p = word[:, 2:3].astype(float)
+    p = values(pair, SAMPLES, [0] * SAMPLES) / values(u, SAMPLES, [1] * SAMPLES, 3 + SAMPLES) \
+        + values(u, SAMPLES, [1] * SAMPLES, 3) * p
+    p = values(triple_key(context, pair), 1, [0]) / values(context, 1, [1], 2 * SAMPLES) + values(context, SAMPLES, [1] * SAMPLES, SAMPLES) * p
+    return np.rint(word[:, 0].astype(float) * HALF + word[:, 1]).astype(np.int64), p.mean(1)
+
+
+class Values:
+    """What a task has fetched: each key's floats.
+
+    Word: count in two parts, root probability, then as a context the root's weight and the size of each sample.
+    Pair: customers less discounts of each sample, then as a context the parent's weights and the size.
+    Triple: the average of customers less discounts."""
+
+    def __init__(self, keys: np.ndarray, rows: pa.ListArray, unseen: float):
+        self.keys, order = np.unique(keys, return_index=True)
+        self.begin = rows.offsets.to_numpy()[:-1][order]
+        self.flat = rows.values.to_numpy(zero_copy_only=False)
+        self.unseen = unseen
+
+    def __call__(self, key: np.ndarray, width: int, missing: list[float], skip: int = 0) -> np.ndarray:
+        missing = np.array(missing[:width], np.float32)
+        if not len(self.keys):
+            return np.tile(missing, (len(key), 1))
+        at = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
+        found = self.keys[at] == key
+        place = np.where(found, self.begin[at] + skip, 0)[:, None] + np.arange(width)
+        return np.where(found[:, None], self.flat[np.minimum(place, len(self.flat) - 1)], missing)
+
+
 class Model:
-    """What a scoring task holds: shortlist, root and the entries of both levels, sorted by key."""
+    """The distributed table of values (k, v) and the root's probability of the unseen word."""
 
-    def __init__(self, short: Shortlist, root: np.ndarray, parts: dict[str, np.ndarray], rest: tuple[float, float, float]):
-        self.short, self.root, self.parts = short, root, parts
-        self.known_discount, self.known_size, self.unseen = rest
+    #: The class of number 0 is the unseen word alone.
+    known_discount, known_size, unseen = 0.0, 1.0, 1.0
 
-    def _values(self, name: str, key: np.ndarray, missing: float) -> np.ndarray:
-        keys, values = self.parts[name], self.parts[name + "_v"]
-        if not len(keys):
-            return np.full((len(key), SAMPLES), missing, np.float32)
-        at = np.minimum(np.searchsorted(keys, key), len(keys) - 1)
-        return np.where((keys[at] == key)[:, None], values[at], np.float32(missing))
+    def __init__(self, words: DataFrame, values: DataFrame, root_unseen: float):
+        self.words, self.values, self.root_unseen = words, values, root_unseen
+
+    @cached_property
+    def short(self) -> Shortlist:
+        """To look at small models; scoring doesn't number words."""
+        return Shortlist(self.words.select("k").toArrow().column(0).to_numpy().view(np.uint64))
 
     def dish(self, code: np.ndarray, one: np.ndarray, two: np.ndarray) -> np.ndarray:
-        """Average predictive probability of each dish in its context."""
-        base = self.short.base
-        p = self.root[code][:, None]
-        p = self._values("two", one * base + code, 0.0) + self._values("ctx_two", one, 1.0) * p
-        pair = two * base + one
-        p = self._values("three", pair * base + code, 0.0) + self._values("ctx_three", pair, 1.0) * p
-        return p.mean(1, dtype=float)
-
-    def log10(self, h: np.ndarray, sizes: np.ndarray, c: np.ndarray) -> np.ndarray:
-        """log10 probability of every token; ``c`` are the training counts."""
-        code = self.short.code(h)
-        p = self.dish(code, *self.short.contexts(code, sizes))
-        inside = np.where(c > 0, np.maximum(c - self.known_discount, 0) / self.known_size, self.unseen)
-        return np.log10(np.where(code > 0, p, p * inside))
+        """Average predictive probability of each dish in its context, for looking at small models."""
+        h, u, t = (self.short.hash(x) for x in (code, one, two))
+        context, pair = pair_key(t, u), pair_key(u, h)
+        keys = np.unique(np.concatenate([h, u, context, pair, triple_key(context, pair)])).view(np.int64)
+        asked = self.values.sparkSession.createDataFrame([(int(k),) for k in keys], "k long")
+        got = self.values.join(asked, "k").select("k", "v").toArrow().combine_chunks()
+        return _predict(_values(got, self.root_unseen), h, u, context, pair)[1]
+
+
+def _values(table: pa.Table, unseen: float) -> Values:
+    rows = table.column("v").combine_chunks()
+    rows = rows if isinstance(rows, pa.ListArray) else pa.concat_arrays(rows.chunks) if rows.num_chunks else pa.array([], pa.list_(pa.float32()))
+    return Values(table.column("k").to_numpy().view(np.uint64), rows, unseen)
+
+
+def _total(names: list[str]) -> Column:
+    return sum((F.col(c) for c in names[1:]), F.col(names[0]))
+
+
+def _once_twice(counts: DataFrame, name: str) -> float:
+    got = counts.agg(F.sum((F.col(name) == 1).cast("long")).alias("a"), F.sum((F.col(name) == 2).cast("long")).alias("b")).first()
+    return discount(got["a"] or 0, got["b"] or 0)
 
 
 def train(texts: DataFrame) -> tuple[DataFrame, int, int, Model | None]:
     """Word counts (k, n), their sum, their number, and the model."""
-    words = _counts(texts, lambda part: tokens(part)[0], "lm-words")
-    rare = F.col("n") * SHORTLIST
+    def pairs_of(part: list) -> list[np.ndarray]:
+        h, sizes = tokens(part)
+        one, _, pair = grams(h, sizes)
+        return [one, h, pair]
+
+    def triples_of(part: list) -> list[np.ndarray]:
+        return list(grams(*tokens(part))[1:])
+
+    pairs = _counted(texts, pairs_of, ["u", "w", "p"], "lm-pairs")
+    words = materialise(pairs.groupBy(F.col("w").alias("k")).agg(F.sum("n").alias("n")), "lm-words")
     stats = words.agg(F.sum("n").alias("N"), F.count("*").alias("V")).first()
     total, distinct = stats["N"] or 0, stats["V"]
     if not total:
         return words, 0, 0, None
-    end = F.col("k") == int(END.view(np.int64))
-    top = words.filter((rare >= total) | end).collect()  # at most SHORTLIST + 1
-    short = Shortlist(np.array([r["k"] for r in top], np.int64).view(np.uint64))
-    root_counts = np.zeros(short.begin)
-    root_counts[short.code(np.array([r["k"] for r in top], np.int64).view(np.uint64))] = [r["n"] for r in top]
-    root_counts[0] = total - root_counts.sum()
-    rest = words.filter(~((rare >= total) | end)).agg(
-        F.count("*").alias("v"), F.coalesce(F.sum((F.col("n") == 1).cast("long")), F.lit(0)).alias("ones"),
-        F.coalesce(F.sum((F.col("n") == 2).cast("long")), F.lit(0)).alias("twos")).first()
-
-    def pairs(part: list) -> np.ndarray:
-        h, sizes = tokens(part)
-        code = short.code(h)
-        return short.contexts(code, sizes)[0] * short.base + code
+    triples = _counted(texts, triples_of, ["c", "p"], "lm-triples")
+    ts, ms, ps, rs = (_each(x) for x in "tmpr")
+
+    # what can move: triples met twice, and pairs met twice; the others have one customer and one table
+    moving = F.col("n") > 1
+    seats = triples.filter(moving).select("c", "p", "n", *[F.lit(1.0).alias(t) for t in ts])
+    contexts = materialise(triples.groupBy("c").agg(F.sum("n").alias("size"), F.sum((~moving).cast("double")).alias("fixed")), "lm-contexts")
+    below = triples.groupBy("p").agg(F.sum((~moving).cast("double")).alias("fixed"), F.sum(moving.cast("double")).alias("m"))
+    state = materialise(pairs.filter(moving).select("u", "w", "p").join(below.hint("merge"), "p")
+                        .select("u", "w", "p", "fixed", *[F.col("m").alias(m) for m in ms], *[F.lit(1.0).alias(t) for t in ts]), "lm-state")
+    single = pairs.filter(~moving)
+    single_u = materialise(single.groupBy("u").agg(F.count("*").cast("double").alias("fixed")), "lm-single-u")
+    single_w = materialise(single.groupBy("w").agg(F.count("*").cast("double").alias("fixed")), "lm-single-w")
+    d3 = _once_twice(triples, "n")
+    # a pair's first customers are its triples
+    got = state.agg(F.sum((F.col("fixed") + F.col("m0") == 1).cast("long")).alias("a"),
+                    F.sum((F.col("fixed") + F.col("m0") == 2).cast("long")).alias("b")).first()
+    d2 = discount((got["a"] or 0) + single.count(), got["b"] or 0)
+
+    def totals(state: DataFrame) -> tuple[DataFrame, DataFrame, float]:
+        """By u: customers s0.. and tables r0..; by w: root probability; that of the unseen word."""
+        none = [F.lit(0.0)] * SAMPLES
+        by_u = (state.select("u", *[(F.col("fixed") + F.col(m)).alias(f"s{i}") for i, m in enumerate(ms)], *[F.col(t).alias(r) for t, r in zip(ts, rs)])
+                .union(single_u.select("u", *[F.col("fixed")] * 2 * SAMPLES))
+                .groupBy("u").agg(*[F.sum(x).alias(x) for x in _each("s") + rs]))
+        by_w = materialise(state.select("w", (_total(ts) / SAMPLES).alias("c")).union(single_w.select("w", "fixed"))
+                           .groupBy("w").agg(F.sum("c").alias("c")), "lm-root")
+        d1 = _once_twice(by_w, "c")
+        size = by_w.agg(F.sum("c")).first()[0] + STRENGTH
+        return by_u, by_w.select("w", ((F.col("c") - d1) / size).alias("root")), (STRENGTH + d1 * distinct) / size
 
-    kept_two = _counts(texts, pairs, "lm-entries-2", total / ENTRIES)
-    kept_two = kept_two.select(F.floor(F.col("k") / short.base).alias("u"), (F.col("k") % short.base).alias("w"), "n")
-    # two-word contexts are pairs of tokens frequent enough; at most SHORTLIST
-    often = np.sort(np.array([r["u"] * short.base + r["w"] for r in
-                              kept_two.filter(F.col("n") * SHORTLIST >= total).select("u", "w").collect()], np.int64))
-    known = kept_two.select(F.col("u"), F.col("w"))
-
-    def triples(part: list) -> np.ndarray:
-        h, sizes = tokens(part)
-        code = short.code(h)
-        one, back = short.contexts(code, sizes)
-        pair = back * short.base + one
-        at = np.minimum(np.searchsorted(often, pair), max(len(often) - 1, 0))
-        found = often[at] == pair if len(often) else np.zeros(len(pair), bool)
-        return pair[found] * short.base + code[found]
-
-    three = _counts(texts, triples, "lm-triples", total / ENTRIES)
-    three = three.select(F.floor(F.col("k") / (short.base * short.base)).alias("t"),
-                         (F.floor(F.col("k") / short.base) % short.base).alias("u"), (F.col("k") % short.base).alias("w"), "n")
-    kept_three = materialise(three.join(F.broadcast(known), ["u", "w"]), "lm-entries-3")  # at most ENTRIES pairs
-    entries = kept_two.select("u", F.lit(-1).cast("long").alias("t"), "w", "n").union(kept_three.select("u", "t", "w", "n"))
-
-    def spread(df: DataFrame) -> float:
-        got = df.agg(F.sum((F.col("n") * ENTRIES < 2 * total).cast("long")).alias("a"), F.count("*").alias("b")).first()
-        return float(np.clip((got["a"] or 0) / max(got["b"], 1), 0.3, 0.9))
-
-    d = spread(kept_two), spread(kept_three)
-    taken = np.zeros(short.begin)
-    for r in kept_two.groupBy("w").agg(F.sum("n").alias("n")).collect():
-        taken[r["w"]] = r["n"]
-    rng = np.random.default_rng(5)
-    tables = np.zeros(short.begin)
-    for r in kept_two.groupBy("w").count().collect():
-        tables[r["w"]] = r["count"]
     for turn in range(ROUNDS):
-        # the root, seated over a uniform base
-        c = root_counts - taken + tables
-        flat = np.full(short.begin, 1.0 / short.begin)
-        own = seat(c.astype(np.int64), flat, np.full(short.begin, float((c > 0).sum())), 0.5, rng)
-        root = (np.maximum(c - 0.5 * own, 0) + (STRENGTH + 0.5 * own.sum()) * flat) / (STRENGTH + c.sum())
-        sample = materialise(_sample(entries, root, d, turn), "lm-seating")
-        tables = np.zeros(short.begin)
-        for r in sample.filter("kind = 2").groupBy("w").agg(F.sum("tables").alias("n")).collect():
-            tables[r["w"]] = r["n"]
-
-    parts: dict[str, np.ndarray] = {}
-    base = short.base
-    for kind, name, key in ((2, "two", lambda t, u, w: u * base + w), (3, "three", lambda t, u, w: (t * base + u) * base + w),
-                            (0, "ctx_two", lambda t, u, w: u), (1, "ctx_three", lambda t, u, w: t * base + u)):
-        got = sample.filter(F.col("kind") == kind).select("t", "u", "w", "v").toArrow()
-        k = key(*(got.column(c).to_numpy() for c in ("t", "u", "w")))
-        order = np.argsort(k)
-        v = got.column("v").combine_chunks()
-        parts[name] = k[order]
-        parts[name + "_v"] = v.values.to_numpy().reshape(-1, SAMPLES)[order] if len(k) else np.zeros((0, SAMPLES), np.float32)
-    d0 = discount(rest["ones"], rest["twos"])
-    size = root_counts[0] + STRENGTH
-    return words, total, distinct, Model(short, root, parts, (d0, size, (STRENGTH + d0 * rest["v"]) / size))
+        by_u, by_w, _ = totals(state)
+        here = state.join(by_u.hint("merge"), "u").join(by_w.hint("merge"), "w")
+        parents = here.select("p", *[(((F.col("fixed") + F.col(ms[s]) - d2 * F.col(ts[s]))
+                                       + (STRENGTH + d2 * F.col(rs[s])) * F.col("root")) / (STRENGTH + F.col(f"s{s}"))).alias(ps[s]) for s in range(SAMPLES)])
+        moved = (contexts.select("c", "fixed").join(seats.groupBy("c").agg(*[F.sum(t).alias(r) for t, r in zip(ts, rs)]), "c")
+                 .select("c", *[(F.col("fixed") + F.col(r)).alias(r) for r in rs]))
+        old_seats, old_state = seats, state
+        seats = materialise(_seated(seats.join(moved.hint("merge"), "c").join(parents.hint("merge"), "p"), ["c", "p"], ["n"] * SAMPLES, d3, 2 * turn, ["c", "p", "n"]), "lm-seats")
+        # then the pairs, whose customers are the triples' new tables
+        up = seats.groupBy("p").agg(*[F.sum(t).alias(m) for t, m in zip(ts, ms)])
+        upper = here.drop(*ms).join(up.hint("merge"), "p", "left").select(
+            "u", "w", "p", "fixed", *ts, *rs, *[(F.col("fixed") + F.coalesce(m, F.lit(0.0))).alias(m) for m in ms], *[F.col("root").alias(p) for p in ps])
+        upper = _seated(upper, ["u", "w"], ms, d2, 2 * turn + 1, ["u", "w", "p", "fixed", *ms])
+        state = materialise(upper.select("u", "w", "p", "fixed", *[(F.col(m) - F.col("fixed")).alias(m) for m in ms], *ts), "lm-state")
+        if turn:
+            drop_table(old_seats)
+        drop_table(old_state)
+
+    by_u, by_w, unseen = totals(state)
+
+    def floats(*columns: Column) -> Column:
+        return F.array(*[c.cast("float") for c in columns]).alias("v")
+
+    n = F.coalesce("n", F.lit(0))
+    word_values = (words.join(by_w.hint("merge"), F.col("k") == F.col("w"), "left").drop("w").join(by_u, F.col("k") == F.col("u"), "full")
+                   .select(F.coalesce("k", "u").alias("k"), floats(F.floor(n / HALF), n % HALF, F.coalesce("root", F.lit(0.0)),
+                           *[F.coalesce((STRENGTH + d2 * F.col(rs[s])) / (STRENGTH + F.col(f"s{s}")), F.lit(1.0)) for s in range(SAMPLES)],
+                           *[F.coalesce(STRENGTH + F.col(f"s{s}"), F.lit(1.0)) for s in range(SAMPLES)])))
+    own = state.select("p", *[F.greatest(F.col("fixed") + F.col(m) - d2 * F.col(t), F.lit(0.0)).alias(x) for m, t, x in zip(ms, ts, _each("a"))])
+    own = own.union(single.select("p", *[F.lit(1.0 - d2)] * SAMPLES))
+    tables = seats.groupBy("c").agg(*[F.sum(t).alias(r) for t, r in zip(ts, rs)])
+    weights = contexts.join(tables.hint("merge"), "c", "left").select(
+        "c", (STRENGTH + F.col("size")).alias("size"),
+        *[((STRENGTH + d3 * (F.col("fixed") + F.coalesce(r, F.lit(0.0)))) / (STRENGTH + F.col("size"))).alias(f"b{s}") for s, r in enumerate(rs)])
+    pair_values = (own.join(weights, F.col("p") == F.col("c"), "full")
+                   .select(F.coalesce("p", "c").alias("k"), floats(*[F.coalesce(a, F.lit(0.0)) for a in _each("a")],
+                           *[F.coalesce(b, F.lit(1.0)) for b in _each("b")], F.coalesce("size", F.lit(1.0)))))
+    least = [F.greatest(F.col("n") - d3 * F.col(t), F.lit(0.0)) for t in ts]
+    triple_values = (triples.filter(~moving).select("c", "p", F.lit(1.0 - d3).alias("a"))
+                     .union(seats.select("c", "p", (sum(least[1:], least[0]) / SAMPLES).alias("a"))))
+
+    def keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            c, p = (batch.column(i).to_numpy().view(np.uint64) for i in range(2))
+            a = pa.array(batch.column(2).to_numpy().astype(np.float32))
+            yield pa.record_batch([pa.array(triple_key(c, p).view(np.int64)),
+                                   pa.ListArray.from_arrays(pa.array(np.arange(len(c) + 1, dtype=np.int32)), a)], names=["k", "v"])
+
+    values = word_values.union(pair_values).union(triple_values.mapInArrow(keyed, "k long, v array<float>"))
+    return words, total, distinct, Model(words, values, unseen)
 
 
 def score(docs: DataFrame, folds: int = 10, held: int = 0, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -349,37 +371,34 @@ def score(docs: DataFrame, folds: int = 10, held: int = 0, id_col: str = "doc_id
     slices = max(int(spark.conf.get("spark.sql.shuffle.partitions")), size // SLICE_BYTES + 1)
     dealt = (rows.withColumn("slice", F.pmod(F.xxhash64("doc_id", "text"), F.lit(slices)))
              .repartition(slices, "slice"))
-    held_model = spark.sparkContext.broadcast(model)  # bounded by SHORTLIST and ENTRIES
+    unseen = model.root_unseen if model else 1.0
 
-    def distinct_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def distinct_keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             which = np.array(batch.column(1).to_pylist())
             texts = batch.column(0).to_pylist()
             for s in np.unique(which).tolist():
-                k = np.unique(tokens([texts[i] for i in np.flatnonzero(which == s)])[0])
+                h, sizes = tokens([texts[i] for i in np.flatnonzero(which == s)])
+                _, context, pair = grams(h, sizes)
+                k = np.unique(np.concatenate([h, [BEGIN], context, pair, triple_key(context, pair)]))
                 yield pa.record_batch([pa.array(np.full(len(k), s, np.int64)), pa.array(k.view(np.int64))], names=["slice", "k"])
 
-    asked = dealt.select("text", "slice").mapInArrow(distinct_words, "slice long, k long")
-    counts = asked.join(words, "k").select("slice", "k", "n")
+    asked = dealt.select("text", "slice").mapInArrow(distinct_keys, "slice long, k long")
+    empty = spark.createDataFrame([], "k long, v array<float>")
+    fetched = asked.join((model.values if model else empty).hint("merge"), "k").select("slice", "k", "v")
     floor = total + 0.1 * (distinct + 1)
 
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
-        model = held_model.value
-        keys, first = np.unique(right.column("k").to_numpy().view(np.uint64), return_index=True)
-        n = right.column("n").to_numpy()[first]
+        values = _values(right, unseen)
         out = []
         at, ids = 0, left.column("doc_id")
         texts, held_out = left.column("text").to_pylist(), left.column("held_out")
         for part in _parts(texts):
             h, sizes = tokens(part)
-            if len(keys):
-                place = np.minimum(np.searchsorted(keys, h), len(keys) - 1)
-                c = np.where(keys[place] == h, n[place], 0)
-            else:
-                c = np.zeros(len(h), np.int64)
+            c, p = predict(values, h, sizes)
             begin = np.cumsum(sizes) - sizes
             base = np.add.reduceat(np.log10((c + 0.1) / floor), begin)
-            own = np.add.reduceat(model.log10(h, sizes, c), begin) if model else np.zeros(len(part))
+            own = np.add.reduceat(np.log10(p), begin) if total else np.zeros(len(part))
             out.append(pa.table({"doc_id": ids.slice(at, len(part)), "held_out": held_out.slice(at, len(part)),
                                  "n_tokens": pa.array(sizes.astype(np.int64)), "n_known": pa.array(np.add.reduceat((c > 0).astype(np.int64), begin)),
                                  "train_tokens": pa.array(np.full(len(part), total, np.int64)), "base_score": pa.array(base), "score": pa.array(own)}))
@@ -387,7 +406,7 @@ def score(docs: DataFrame, folds: int = 10, held: int = 0, id_col: str = "doc_id
         return pa.concat_tables(out) if out else pa.table({f.name: pa.array([], f.type) for f in _result(left)})
 
     kind = rows.schema["doc_id"].dataType.simpleString()
-    return (dealt.groupBy("slice").cogroup(counts.groupBy("slice"))
+    return (dealt.groupBy("slice").cogroup(fetched.groupBy("slice"))
             .applyInArrow(run, f"doc_id {kind}, held_out boolean, n_tokens long, n_known long, train_tokens long, "
                                "base_score double, score double"))
 
