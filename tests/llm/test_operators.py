@@ -73,6 +73,26 @@ def test_op1_keeps_good_and_rejects_junk(spark, queries):
     assert r.filter("quality = 0 and kept").count() <= 0.1 * r.filter("quality = 0").count()
 
 
+def test_op1_judges_small_and_flat_languages_by_themselves(spark):
+    import random
+    from conftest import prose
+    rng = random.Random(8)
+    rows = [(i, prose(rng, 150, ("the", "of", "and", "to", "in")), "en", None, None) for i in range(300)]
+    small = ("ξα", "ψο", "ωλ", "δι", "χε")
+    rows += [(400 + i, prose(rng, 100, small), "small", None, None) for i in range(3)]  # below 1/100 of all words
+    flat = iter(range(10 ** 6))
+    rows += [(500 + i, " ".join(f"字{next(flat)}" for _ in range(120)), "flat", None, None) for i in range(20)]  # no word at 1/100
+    rows += [(600, " ".join(f"qz{next(flat)}" for _ in range(120)), "en", None, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    from tillpoint.llm.quality_divergence import judge
+    got = {r.doc_id: r for r in judge(docs).collect()}
+    assert len(got) == len(rows)
+    lost = [i for i, r in got.items() if not r.base_failed and not r.kept]
+    assert lost == [600] and not got[600].base_failed
+    assert got[400].nearest_lang == "small" and got[400].word_distance < 0.6 and not got[400].base_failed
+    assert got[500].nearest_lang == "flat" and got[500].word_distance == 0.0 and not got[500].base_failed
+
+
 def test_op2_recall_ties_and_unusable_vectors(spark, queries):
     rng = np.random.default_rng(1)
     x = rng.normal(size=(3000, 16)).astype(np.float32)

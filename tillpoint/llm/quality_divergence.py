@@ -9,11 +9,15 @@ is taken as a share of that. A document is kept when some language is near in
 both. Texts of fewer words than a guard have
 histograms too coarse to judge and pass the word comparison.
 
-References are counted over all documents: a language needs 1/100 of the
-corpus' words (so there are at most 100), a common word a letter and 1/100 of
-its language's words (so there are at most 100 a language). These shares prove the
-size of what is broadcast, at any corpus size. Without any reference (an empty
-table, or no language column filled) the comparison passes.
+References are counted over all documents: a common word needs a letter and 1/100
+of its language's words (so there are at most 100 a language). All documents are
+compared with the languages of 1/100 of the corpus' words and more (at most 100);
+these shares prove the size of what is broadcast, at any corpus size. Documents
+of any other language are compared with their own language's reference too, which
+they meet by a join. A language without any common word (no word breaks, flat
+vocabulary) can't be judged by words: its own documents pass that comparison,
+with word distance 0. Without any reference (an empty table, or no language
+column filled) the comparison passes.
 
 Defined results: null and empty texts have no words and fail the base rules;
 repeated rows get one row each with equal figures; rows of one doc_id with
@@ -94,16 +98,37 @@ def _bits(p: Column, q: Column) -> Column:
     return (part(p, q) + part(q, p)) / 2
 
 
+def _with_own(m: DataFrame, d: DataFrame, smaller: DataFrame, names: list[str]) -> DataFrame:
+    """Adds the reference of a document's own language, if it is one of ``smaller``, and what the document has of its common words."""
+    tokens = (d.join(smaller.select("lang", F.col("words").alias("lang_words")), "lang")
+              .select("lang", "lang_words", "doc_id", F.xxhash64("text").alias("text_hash"), F.explode(words(F.lower("text"))).alias("word")))
+    common = materialise(tokens.groupBy("lang", "word").agg(F.count("*").alias("count"), F.first("lang_words").alias("lang_words"))
+                         .filter(F.col("word").rlike(r"\p{L}") & (F.col("count") * COMMON_SHARE >= F.col("lang_words")))
+                         .select("lang", "word", (F.col("count") / F.col("lang_words")).alias("q")), "quality-own-common")
+    text_key = ["lang", "doc_id", "text_hash"]
+    hits = (tokens.groupBy(*text_key, "word").count()
+            .withColumn("p", F.col("count") / F.sum("count").over(Window.partitionBy(*text_key)))
+            .join(common, ["lang", "word"]).groupBy(*text_key)
+            .agg(F.struct(F.sum(_bits(F.col("p"), F.col("q"))).alias("f"), F.sum("p").alias("p"), F.sum("q").alias("q")).alias("own_hits")))
+    refs = smaller.join(common.groupBy("lang").agg(F.sum("q").alias("known")), "lang", "left").select(
+        F.col("lang").alias("own_lang"),
+        F.struct("lang", F.array(*[F.col(c) / F.col("chars") for c in names]).alias("shares"),
+                 F.coalesce("known", F.lit(0.0)).alias("known")).alias("own"))
+    hits = hits.select(F.col("lang").alias("o_lang"), F.col("doc_id").alias("o_id"), F.col("text_hash").alias("o_hash"), "own_hits")
+    return (m.join(refs, m["lang"] == refs["own_lang"], "left")
+            .join(hits, (F.col("lang") == F.col("o_lang")) & F.col("doc_id").eqNullSafe(F.col("o_id")) & (F.col("text_hash") == F.col("o_hash")), "left"))
+
+
 def judge(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang",
           max_char: float = MAX_CHAR_DISTANCE, max_word: float = MAX_WORD_DISTANCE) -> DataFrame:
     """Counts, base rules, nearest language with both distances, and the verdict."""
     m = materialise(measures(docs, id_col, text_col, lang_col), "quality-measures")
     names = [f"c_{c}" for c, _ in CLASSES]
 
-    # references: at most LANGUAGE_SHARE languages, a bounded read
-    by_lang = (m.filter("lang is not null").groupBy("lang")
+    # references of all documents: at most LANGUAGE_SHARE languages, a bounded read
+    by_lang = materialise(m.filter("lang is not null").groupBy("lang")
                .agg(F.sum("n_words").alias("words"), F.sum("n_chars").alias("chars"),
-                    *[F.sum(c).alias(c) for c in names]))
+                    *[F.sum(c).alias(c) for c in names]), "quality-languages")
     total = m.agg(F.sum("n_words").alias("all_words")).first()["all_words"] or 0
     langs = [r for r in by_lang.filter((F.col("words") * LANGUAGE_SHARE >= total) & (F.col("chars") > 0))
              .orderBy("lang").collect()] if total else []
@@ -134,17 +159,22 @@ def judge(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
         h = hits.select(F.col("doc_id").alias("h_id"), F.col("text_hash").alias("h_hash"), "hits")
         m = m.join(h, m["doc_id"].eqNullSafe(h["h_id"]) & (m["text_hash"] == h["h_hash"]), "left")
 
-    def against(r: Column) -> Column:
+    # the other languages, by joins: their number has no bound
+    smaller = by_lang.filter(~F.col("lang").isin([r["lang"] for r in langs]) & (F.col("chars") > 0))
+    if not smaller.isEmpty():
+        m = _with_own(m, d, smaller, names)
+
+    def against(r: Column, got: Column | None) -> Column:
         """Distances to one language's references (name, class shares, share of common words)."""
         parts = F.zip_with(F.array(*[F.col(c) / F.col("n_chars") for c in names]), r["shares"], _bits)
         char = F.aggregate(parts, F.lit(0.0), lambda x, y: x + y)
-        got = F.col("hits")[r["lang"]] if langs else None
         got_f, got_p, got_q = (F.coalesce(got[x], F.lit(0.0)) for x in "fpq")
         word = (got_f + (r["known"] - got_q) / 2
                 + _bits(F.greatest(1 - got_p, F.lit(0.0)), F.greatest(1 - r["known"], F.lit(0.0))))
         char = F.when(F.col("n_chars") > 0, F.sqrt(F.greatest(char, F.lit(0.0)))).otherwise(F.lit(1.0))
         none = r["known"] / 2 + _bits(F.lit(1.0), F.greatest(1 - r["known"], F.lit(0.0)))
-        word = F.when((F.col("n_words") > 0) & (none > 0), F.sqrt(F.greatest(word, F.lit(0.0)) / none)).otherwise(F.lit(1.0))
+        word = F.when((F.col("n_words") > 0) & (none > 0), F.sqrt(F.greatest(word, F.lit(0.0)) / none))
+        word = word.when((F.col("n_words") > 0) & F.col("lang").eqNullSafe(r["lang"]), F.lit(0.0)).otherwise(F.lit(1.0))
         worst = F.greatest(char / max_char, word / (max_word + WORD_NOISE / F.greatest(F.col("n_words"), F.lit(1))))
         return F.struct(F.round(worst, 6).alias("worst"), F.round(char, 6).alias("char"), F.round(word, 6).alias("word"),
                         r["lang"].alias("lang"))
@@ -155,9 +185,11 @@ def judge(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
         refs = F.array(*[F.struct(F.lit(r["lang"]).alias("lang"),
                                   F.array(*[F.lit(r[c] / r["chars"]) for c in names]).alias("shares"),
                                   F.lit(float(in_common.get(r["lang"], 0.0))).alias("known")) for r in langs])
-        m = m.withColumn("near", F.array_min(F.transform(refs, against)))
+        m = m.withColumn("near", F.array_min(F.transform(refs, lambda r: against(r, F.col("hits")[r["lang"]]))))
     else:
         m = m.withColumn("near", F.lit(None).cast("struct<worst:double,char:double,word:double,lang:string>"))
+    if "own_hits" in m.columns:
+        m = m.withColumn("near", F.array_min(F.array("near", F.when(F.col("own").isNotNull(), against(F.col("own"), F.col("own_hits"))))))
     near = F.col("near")
     passes = (((F.col("n_chars") < CHAR_GUARD) | (near["char"] <= max_char))
               & ((F.col("n_words") < WORD_GUARD) | (near["word"] <= max_word + WORD_NOISE / F.col("n_words"))))
