@@ -322,6 +322,20 @@ def test_op9_matches_brute_force(spark, tricky, merge_runs, monkeypatch):
         assert (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) == (len(raw), gone.sum(), len(B.runs(gone)), hashlib.sha256(kept).hexdigest())
 
 
+def test_op9_tells_rows_without_id_apart_beyond_32_bits(spark):
+    """Two texts of null id whose 32-bit hashes are the same; one holds a repeated passage, the other nothing."""
+    from pyspark.sql import functions as F
+    from tillpoint.llm.bwt_dedup import digest
+    passage = "".join(hashlib.sha256(f"p{k}".encode()).hexdigest() for k in range(4))
+    texts = [passage + "29981", "".join(hashlib.sha256(f"120804-{k}".encode()).hexdigest() for k in range(4))]
+    docs = spark.createDataFrame([(None, texts[0]), (None, texts[1]), (7, "zz" + passage)], "doc_id long, text string")
+    assert docs.filter("doc_id is null").select(F.hash("text")).distinct().count() == 1
+    got = sorted((r.n_bytes, r.n_removed, r.kept_sha256) for r in digest(docs).collect())
+    want = sorted((len(t), len(t) - len(kept), hashlib.sha256(kept.encode()).hexdigest())
+                  for t, kept in zip([*texts, "zz" + passage], ["29981", texts[1], "zz"]))
+    assert got == want
+
+
 def test_op9_merged_shards_find_repeats():
     from tillpoint.llm import bwt_dedup as B
     rng = np.random.default_rng(2)
