@@ -244,6 +244,20 @@ def test_op6_pieces_round_trip(spark, queries, tricky):
         assert sorted((r.start, r.length, r.ids_crc32, r.doc_tokens) for r in got[doc_id]) == sorted(want * copies[doc_id])
 
 
+def test_op6_special_marks_in_the_text_have_their_own_ids(spark, queries):
+    import public_tokenizers
+    from tokenizers import Tokenizer
+    tok = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    texts = ["a <|endoftext|> b", "<|endoftext|>", "one two<|endoftext|>three four", "no mark <|endof text|> here", "a <| b"]
+    path = write_tables([(i, t, "en", None, None) for i, t in enumerate(texts)])
+    got = by_id(queries["op6_packing_pow2"](spark, path).collect())
+    for i, t in enumerate(texts):
+        ids = np.array(tok.encode(t, add_special_tokens=False).ids + [1], "<u4")
+        assert (50256 in ids) == (i < 3)
+        assert {r.doc_tokens for r in got[i]} == {len(ids)}
+        assert {(r.start, r.ids_crc32) for r in got[i]} == {(r.start, zlib.crc32(ids[r.start:r.start + r.length].tobytes())) for r in got[i]}
+
+
 def test_op7_base_counts_and_distribution(spark, queries, tricky):
     rows = read(tricky)
     toks = [(i, (t or "").encode().lower().split() + [None]) for i, t in rows]

@@ -18,6 +18,7 @@ stays null.
 
 from __future__ import annotations
 
+import re
 import zlib
 from collections.abc import Iterator
 
@@ -45,7 +46,8 @@ class ChunkEncoder:
     """Ids of texts by a ``tokenizers`` file, as little-endian uint32 bytes.
 
     Texts are cut at single spaces, where the tokenizer's pre-tokens end
-    anyway, so a chunk met before needs no second encoding."""
+    anyway, so a chunk met before needs no second encoding. A text that holds an
+    added token (a special mark written out) is encoded as a whole."""
 
     def __init__(self, path: str):
         import os
@@ -53,9 +55,12 @@ class ChunkEncoder:
         from tokenizers import Tokenizer
         from tokenizers.pre_tokenizers import ByteLevel
         self.tok = Tokenizer.from_file(path)
-        self.tok.encode_special_tokens = True
+        added = [t.content for t in self.tok.get_added_tokens_decoder().values() if t.content]
+        self.added = re.compile("|".join(map(re.escape, added)) or r"(?!)")
+        # chunks joined by a space could make a mark that has one
+        self.chunks = not any(" " in t for t in added)
         alphabet = set(ByteLevel.alphabet())
-        # bytes per id; special tokens are ordinary text here and never appear
+        # bytes per id; chunks hold no added tokens
         self.width = np.zeros(self.tok.get_vocab_size(), np.int64)
         for token, i in self.tok.get_vocab().items():
             self.width[i] = len(token) if set(token) <= alphabet else len(token.encode())
@@ -82,7 +87,7 @@ class ChunkEncoder:
                     prev = c
 
     def encode(self, texts: list[str]) -> list[bytes]:
-        split = [space_chunks(t) for t in texts]
+        split = [space_chunks(t) if self.chunks and not self.added.search(t) else None for t in texts]
         if len(self.cache) > CACHE_CHUNKS:
             self.cache.clear()
         new = set()
