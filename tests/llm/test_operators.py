@@ -216,6 +216,24 @@ def test_op5_und_and_ranges(spark, queries, tricky):
         assert 0 <= r.score <= 1 and r.held_out == (zlib.crc32(str(r.doc_id).encode()) % 3 == 1)
 
 
+def test_op5_learns_every_language(spark):
+    import random
+    from conftest import prose
+    from tillpoint.llm.langid_ecoc import codewords, predict, train
+    rng = random.Random(6)
+    letters = "abcdefghijklmnopqrstuvwxyz"
+    stems = [["".join(rng.sample(letters, 4)) for _ in range(3)] for _ in range(70)]
+    rows = [(100 * k + i, prose(rng, 30, stems[k]), f"l{k:02}") for k in range(70) for i in range(12 - (k > 63) * 4)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    model = train(docs)
+    assert model[0] == [f"l{k:02}" for k in range(70)]
+    got = {r.doc_id: r.lang_pred for r in predict(docs, model).collect()}
+    rare = [r for r in rows if r[2] > "l63"]
+    assert sum(got[i] == lang for i, _, lang in rare) >= 0.9 * len(rare)
+    code = codewords(300)
+    assert len({tuple(c) for c in code.tolist()}) == 300 and code.shape[1] == math.ceil(10 * math.log2(300))
+
+
 def test_op5_codewords_are_far_apart():
     from tillpoint.llm.langid_ecoc import codewords
     for n in (2, 3, 4, 6, 9, 40):

@@ -7,10 +7,11 @@ the language in training, and takes the codeword of least loss. A text whose
 best two codewords are close is flagged as ambiguous.
 
 Up to EXHAUSTIVE languages use every distinct split into two sides as a bit;
-more use random codewords far apart, from a fixed seed. The fit runs in one
-task on a bounded sample: at most TRAIN_DOCS rows in equal parts of at most
-MAX_LANGUAGES languages (those with most rows), by least id hash. Scoring is one
-pass; the weights are (GRAMS + 1) x bits numbers.
+more use random codewords far apart, from a fixed seed, whose length grows with
+the logarithm of their number. Every language of the training rows is learned.
+The fit runs in one task on a sample: TRAIN_DOCS rows in equal parts of all
+languages, but up to LEAST_DOCS of each however many there are, by least id hash.
+Scoring is one pass; the weights are (GRAMS + 1) x bits numbers.
 
 Defined results: null texts and texts without a letter are 'und' with score
 0.0; without training rows so is every text; a single learned language is
@@ -29,7 +30,10 @@ from .common import fold
 
 GRAMS = 4096
 TRAIN_DOCS = 6_000
-MAX_LANGUAGES = 64
+#: Rows of each language, where TRAIN_DOCS rows in equal parts would be fewer.
+LEAST_DOCS = 20
+#: So many languages are given codewords the best of 200 draws; more languages fewer draws, for the same work.
+MANY = 64
 EXHAUSTIVE = 6
 STEPS = 80
 RATE = 0.5
@@ -47,10 +51,15 @@ def codewords(n: int) -> np.ndarray:
         splits = np.arange(2 ** (n - 1) - 1)  # the first language is +1 in each; all-alike is left out
         return np.array([[1.0] * len(splits)] + [[1.0 if s >> k & 1 else -1.0 for s in splits] for k in range(n - 1)])
     bits, rng, best, far = int(np.ceil(10 * np.log2(n))), np.random.default_rng(7), None, -1.0
-    for _ in range(200):
+    tries = 200 if n <= MANY else max(1, 200 * MANY ** 2 // n ** 2)
+    while tries > 0 or far <= 0:
+        tries -= 1
         code = rng.choice([-1.0, 1.0], (n, bits))
-        apart = (bits - code @ code.T) / 2
-        least = apart[~np.eye(n, dtype=bool)].min()
+        least = np.inf
+        for at in range(0, n, 256):  # some rows at a time
+            apart = (bits - code[at:at + 256] @ code.T) / 2
+            apart[np.arange(len(apart)), at + np.arange(len(apart))] = bits
+            least = min(least, apart.min())
         if least > far:
             best, far = code, least
     return best
@@ -86,7 +95,8 @@ def fit(texts: list[str], langs: list[str]) -> tuple[list[str], np.ndarray, np.n
     """Languages, classifier weights (last row: biases) and the weight of each language's bits."""
     names = sorted(set(langs))
     code = codewords(len(names))
-    row = np.array([names.index(x) for x in langs])
+    number = {x: k for k, x in enumerate(names)}
+    row = np.array([number[x] for x in langs])
     x = np.stack([features(t) for t in texts])
     target = code[row]
     w, bias = np.zeros((GRAMS, code.shape[1]), np.float32), np.zeros(code.shape[1], np.float32)
@@ -107,16 +117,16 @@ def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
           train_docs: int = TRAIN_DOCS) -> tuple[list[str], np.ndarray, np.ndarray] | None:
     """The model, or None without a row to learn from."""
     rows = docs.filter(F.col(lang_col).isNotNull() & F.col(id_col).isNotNull() & F.coalesce(F.col(text_col), F.lit("")).rlike(r"\p{L}"))
-    sizes = rows.groupBy(F.col(lang_col).alias("_lang")).count().orderBy(F.desc("count"), "_lang").limit(MAX_LANGUAGES).collect()
-    if not sizes:
+    languages = rows.select(lang_col).distinct().count()
+    if not languages:
         return None
-    each = max(1, train_docs // len(sizes))
+    each = max(min(LEAST_DOCS, train_docs), train_docs // languages)
     place = F.row_number().over(Window.partitionBy("_lang").orderBy("_order", "_id"))
     sample = (rows.select(F.col(id_col).alias("_id"), F.col(lang_col).alias("_lang"), F.xxhash64(F.col(id_col)).alias("_order"))
-              .filter(F.col("_lang").isin([r["_lang"] for r in sizes])).distinct()
+              .distinct()
               .withColumn("_place", place).filter(F.col("_place") <= each).drop("_place"))
     picked = (docs.select(F.col(id_col).alias("_id"), F.col(lang_col).alias("_lang"), F.col(text_col).alias("_text"))
-              .join(F.broadcast(sample), ["_id", "_lang"])  # at most train_docs + MAX_LANGUAGES rows
+              .join(F.broadcast(sample), ["_id", "_lang"])  # train_docs rows, or LEAST_DOCS of each language
               .select("_order", "_lang", "_text"))
 
     def learn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
