@@ -94,3 +94,30 @@ SELECT d.doc_id, len(ls)::BIGINT AS lines, count(place)::BIGINT AS line_chunks,
        md5(coalesce(string_agg(body, chr(10) ORDER BY place) FILTER (NOT gone), '')) AS kept_md5
 FROM d LEFT JOIN rn USING (doc_id) GROUP BY d.doc_id, ls
 """
+
+#: Unsigned crc32 of a string of ASCII characters.
+_CRC32 = """xor(list_reduce(list_prepend(4294967295::UBIGINT, list_transform(range(1, length({s}) + 1), lambda i: ascii(substr({s}, i::INT, 1))::UBIGINT)),
+  lambda a, b: list_reduce(list_prepend(xor(a, b), [1::UBIGINT, 1, 1, 1, 1, 1, 1, 1]),
+                           lambda x, y: CASE WHEN x & 1 = 1 THEN xor(x >> 1, 3988292384::UBIGINT) ELSE x >> 1 END)), 4294967295::UBIGINT)"""
+
+TRIE = f"""
+WITH o AS (SELECT conv_id, r, t, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, r, left(t, 64), md5(strlen(r) || ':' || r || t)) AS p
+           FROM (SELECT conv_id, turn, coalesce(role, '') AS r, coalesce(text, '') AS t FROM conversations WHERE conv_id IS NOT NULL)),
+n AS (SELECT conv_id, count(*) AS n FROM o GROUP BY conv_id),
+c AS (SELECT conv_id, conv_id - conv_id % 5 AS b, ({_CRC32.format(s='conv_id::VARCHAR')} % 9)::BIGINT AS h FROM n),
+re AS (SELECT c.conv_id, p AS pos, r, t FROM c JOIN o ON o.conv_id = c.b AND o.p <= c.h
+       UNION ALL
+       SELECT c.conv_id, p - h + least(h, coalesce(n.n, 0)), r, t FROM c JOIN o ON o.conv_id = c.conv_id AND o.p > c.h LEFT JOIN n ON n.conv_id = c.b),
+mem AS (SELECT conv_id, pos AS depth, strlen(t) AS bytes, list(struct_pack(r := r, t := t)) OVER (PARTITION BY conv_id ORDER BY pos) AS node FROM re
+        UNION ALL SELECT conv_id, 0, 0, [] FROM n),
+nodes AS (SELECT node, min(conv_id) AS conv_id, any_value(depth) AS depth, any_value(bytes) AS bytes, count(*) AS n_convs FROM mem GROUP BY node),
+kids AS (SELECT node[:depth - 1] AS node, count(*) AS n_children FROM nodes WHERE depth > 0 GROUP BY 1),
+ends AS (SELECT node, sha256(string_agg(m.conv_id::VARCHAR, ',' ORDER BY m.conv_id)) AS e
+         FROM mem m JOIN (SELECT conv_id, max(depth) AS depth FROM mem GROUP BY conv_id) USING (conv_id, depth) GROUP BY node),
+below AS (SELECT m.node, sum((n_convs - 1) * n.bytes) AS saved, count(*) FILTER (k.node IS NULL) AS leaves
+          FROM nodes n LEFT JOIN kids k ON k.node = n.node JOIN mem m ON m.conv_id = n.conv_id AND m.depth <= n.depth GROUP BY m.node)
+SELECT a.conv_id, a.depth::BIGINT AS depth, p.conv_id AS parent_conv_id, a.n_convs, coalesce(n_children, 0)::BIGINT AS n_children,
+       leaves::BIGINT AS n_leaves, saved::BIGINT AS saved_tokens, coalesce(e, sha256('')) AS ends_sha256
+FROM nodes a JOIN below USING (node) LEFT JOIN kids k ON k.node = a.node LEFT JOIN ends x ON x.node = a.node
+LEFT JOIN nodes p ON a.depth > 0 AND p.node = a.node[:a.depth - 1]
+"""
