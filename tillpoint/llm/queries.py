@@ -10,7 +10,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from . import (ann_collision, bpe_duckdb, bwt_dedup, langid_ecoc, line_chunks, lm_hpy, minhash_circulant, oracles, packing_pow2,
-               prefix_trie, quality_divergence, toxicity_mil)
+               periodic_runs, prefix_trie, quality_divergence, toxicity_mil)
 from .common import table
 
 QUERIES: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str | None]] = {}
@@ -85,3 +85,8 @@ def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
 @register("op11_prefix_trie", oracles.TRIE)
 def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
     return prefix_trie.digest(prefix_trie.conversation_trie(table(spark, sf_dir, "conversations")))
+
+
+@register("op12_periodic_runs")
+def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return periodic_runs.digest(periodic_runs.find(table(spark, sf_dir, "documents"), reword=periodic_runs.looped))
