@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import line_chunks as lc, quality_divergence as qd
+from . import license_scan as ls, line_chunks as lc, quality_divergence as qd
 
 _CLASS_SQL = {"lower": "[a-z]+", "space": r"[ \t-\r]+", "mark": r"[.,;:!?''\"()-]+", "upper": "[A-Z]+",
               "letter": r"[\p{L}\p{M}]+", "digit": r"\p{N}+", "rest": "(?s).+"}
@@ -121,3 +121,39 @@ SELECT a.conv_id, a.depth::BIGINT AS depth, p.conv_id AS parent_conv_id, a.n_con
 FROM nodes a JOIN below USING (node) LEFT JOIN kids k ON k.node = a.node LEFT JOIN ends x ON x.node = a.node
 LEFT JOIN nodes p ON a.depth > 0 AND p.node = a.node[:a.depth - 1]
 """
+
+
+def _licenses() -> str:
+    rules = ", ".join(f"('{w}', '{r.keyword}', '{r.regex}', {r.cls}, {r.place}, '{r.label}')" for r in ls.rules() for w in r.first)
+    base = " ".join("WHEN " + " AND ".join(f"w[i + {k}] = '{x}'" for k, x in enumerate(p.split(), 1)) + f" THEN '{name}'" for p, name in ls.BASE.items())
+    scores = " ".join(f"WHEN {cls} THEN {value}" for cls, value in ls.SCORES.items())
+    better = "row(x.cls, x.less, x.place) < row(a.cls, a.less, a.place)"
+    return f"""
+WITH d AS (SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), '{ls.UPPER}', '{ls.LOWER}'), '{ls.BREAKS}'),
+                                      lambda x: x <> '') AS w FROM documents),
+tok AS (SELECT doc_id, w, unnest(range(len(w))) AS i FROM d),
+base AS (SELECT doc_id, count(*) AS n, min(i) AS lo, max(i) AS hi, list_sort(list_distinct(list(name))) AS names
+         FROM (SELECT doc_id, i, CASE {base} END AS name FROM tok) WHERE name IS NOT NULL GROUP BY doc_id),
+rules AS (SELECT * FROM (VALUES {rules}) r(first_word, keyword, regex, cls, place, label)),
+hit AS (SELECT doc_id, i, cls, place, label, regexp_extract(snippet, regex) AS m
+        FROM (SELECT doc_id, i, w[i + 1] AS first_word, ' ' || array_to_string(list_slice(w, i + 1, i + {ls.SPAN}), '  ') || ' ' AS snippet FROM tok)
+        JOIN rules USING (first_word) WHERE contains(snippet, keyword)),
+det AS (SELECT doc_id, i, cls, place, label, (length(m) - length(replace(m, ' ', ''))) // 2 AS n FROM hit WHERE m <> ''),
+-- one list a document, folded from the left: a is the detection that stands, x the next one
+folded AS (SELECT doc_id, list_reduce(list(struct_pack(start := i, cls := cls, less := -n, place := place, label := label, stop := i + n,
+                                                       labels := []::VARCHAR[], best := 9) ORDER BY i, cls, -n, place),
+             lambda a, x: CASE WHEN x.start >= a.stop THEN struct_pack(start := x.start, cls := x.cls, less := x.less, place := x.place, label := x.label,
+                                 stop := x.stop, labels := list_append(a.labels, a.label), best := least(a.best, a.cls))
+                               WHEN {better} THEN struct_pack(start := x.start, cls := x.cls, less := x.less, place := x.place, label := x.label,
+                                 stop := x.stop, labels := a.labels, best := a.best)
+                               ELSE a END) AS f FROM det GROUP BY doc_id),
+kept AS (SELECT doc_id, list_append(f.labels, f.label) AS labels, least(f.best, f.cls) AS best FROM folded)
+SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n, 0)::BIGINT AS n_base, lo::BIGINT AS first_word, hi::BIGINT AS last_word,
+       coalesce(array_to_string(names, ','), '') AS base_labels,
+       array_to_string(list_sort(list_distinct(list_concat(coalesce(names, []), coalesce(labels, [])))), ',') AS labels,
+       greatest(CASE best {scores} ELSE 0 END, CASE WHEN n > 0 THEN {ls.BASE_SCORE} ELSE 0 END)::DOUBLE AS score
+FROM d LEFT JOIN base USING (doc_id) LEFT JOIN kept USING (doc_id)
+"""
+
+
+LICENSES = _licenses()

@@ -9,7 +9,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import (ann_collision, bpe_duckdb, bwt_dedup, langid_ecoc, line_chunks, lm_hpy, minhash_circulant, oracles, packing_pow2,
+from . import (ann_collision, bpe_duckdb, bwt_dedup, langid_ecoc, license_scan, line_chunks, lm_hpy, minhash_circulant, oracles, packing_pow2,
                periodic_runs, prefix_trie, quality_divergence, toxicity_mil)
 from .common import table
 
@@ -90,3 +90,8 @@ def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
 @register("op12_periodic_runs")
 def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
     return periodic_runs.digest(periodic_runs.find(table(spark, sf_dir, "documents"), reword=periodic_runs.looped))
+
+
+@register("op13_license_scan", oracles.LICENSES)
+def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_scan.classify(table(spark, sf_dir, "documents"))
