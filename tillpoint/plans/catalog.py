@@ -2,5 +2,6 @@
 
 from __future__ import annotations
 
-from . import q_analysis, q_dashboard, q_forecast, q_ingest, q_report, q_streaming, q_text_inventory  # noqa: F401
+from . import (  # noqa: F401
+    q_analysis, q_dashboard, q_forecast, q_ingest, q_mentions, q_report, q_streaming, q_text_inventory)
 from .registry import QUERIES  # noqa: F401

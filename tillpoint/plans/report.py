@@ -120,9 +120,11 @@ def six_month_trend(fact: DataFrame, target_month_start: dt.date, outlet: str |
 
 
 def executive_report(fact: DataFrame, date_from: dt.date, date_to: dt.date, outlet: str | None = None,
-                     forecast_days: DataFrame | None = None, holidays: DataFrame | None = None) -> Sections:
+                     forecast_days: DataFrame | None = None, holidays: DataFrame | None = None,
+                     branches: DataFrame | None = None) -> Sections:
     """All report sections for one outlet (or all) and an inclusive date
-    range; each section is planned when it is first requested."""
+    range; each section is planned when it is first requested. With ``branches`` the
+    outlet's code is looked up by its name; without, it is read off its sales."""
     f = in_range(fact, date_from, date_to, outlet)
 
     def section(name: str) -> DataFrame:
@@ -142,11 +144,14 @@ def executive_report(fact: DataFrame, date_from: dt.date, date_to: dt.date, outl
     }
     if forecast_days is not None:
         from ..operators.forecast import next_forecast_days, pva_rows, pva_summary
+        from ..operators.mentions import codes_by_name
 
         def sellers() -> DataFrame | None:
             """Branches that sell at the outlet; their forecasts are the ones to compare with it."""
             if not outlet or outlet == "all":
                 return None
+            if branches is not None:
+                return codes_by_name(branches).filter(F.col("branch_name") == outlet).select(F.col("branch_code").alias("branch_id"))
             return fact.filter(F.col("store_location") == outlet).select("branch_id").distinct()
 
         def upcoming() -> DataFrame:
