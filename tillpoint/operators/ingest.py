@@ -4,25 +4,40 @@ Many files per job; one file is one unit of acceptance. Verdicts follow the
 reference order: EMPTY → MISSING_COLUMNS → DUPLICATE_IDS → ALL_INVALID →
 BAD_TIMESTAMP → NO_ACTIVE_BRANCH → (load) ALREADY_LOADED / PARTIAL / LOADED.
 
+One narrow table of the batch (file, id, outlet, fault, how its stamp parses) is kept for the checks. Per file
+there is one row of them; per id that is loaded already or comes twice there is one narrow row. With these
+two, every raw row is tagged with one reason, or none when it is loaded (``REASONS``); loaded rows, rejects
+and counts follow the same tags, so they always add up to the rows that came in.
+
 Everything per file is computed with grouped aggregates over the rows (no
-per-file driver loop); only the verdict table (one row per file) is small
-enough to collect.
+per-file driver loop).
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.joins import small
-from ..session import cut_lineage
+from ..session import Sections, cut_lineage
 from ..functions.text import modifiers_text, sku_from_name, upper_trim
+from ..sources.id_index import IdIndex
 from ..sources.pos_csv import REQUIRED_COLUMNS
 
 MONEY = "decimal(18,2)"
 
 # Timestamp layouts tried in order after the ISO default.
-TIMESTAMP_FORMATS = ["dd/MM/yyyy HH:mm:ss", "dd/MM/yyyy HH:mm", "dd/MM/yyyy", "MM/dd/yyyy HH:mm", "yyyy/MM/dd HH:mm:ss"]
+ISO_FORMATS = ["yyyy/MM/dd HH:mm:ss"]
+DAY_FIRST_FORMATS = ["dd/MM/yyyy HH:mm:ss", "dd/MM/yyyy HH:mm", "dd/MM/yyyy"]
+MONTH_FIRST_FORMATS = ["MM/dd/yyyy HH:mm:ss", "MM/dd/yyyy HH:mm", "MM/dd/yyyy"]
+
+#: Why a row is not loaded. The first five hold for a whole file, the next three for a row of
+#: an accepted file, the last two for a row whose id is known (these rows are skipped, not faulty).
+REASONS = ["MISSING_COLUMNS", "DUPLICATE_IDS", "ALL_INVALID", "BAD_TIMESTAMP", "NO_ACTIVE_BRANCH",
+           "NULL_KEY", "NOT_POSITIVE", "INACTIVE_BRANCH", "ALREADY_LOADED", "REPEATED_IN_BATCH"]
+SKIPPED = ["ALREADY_LOADED", "REPEATED_IN_BATCH"]
+#: Detected outlet ids listed in a verdict; the rest are counted.
+LISTED_IDS = 10
 
 FACT_COLUMNS = [
     "transaction_id", "branch_id", "transaction_ts", "transaction_date", "transaction_time", "hour", "day_name",
@@ -33,100 +48,150 @@ FACT_COLUMNS = [
 ]
 
 
-def parse_timestamp(c) -> F.Column:
+def _parsed(col: Column, formats: list[str]) -> Column:
+    return F.coalesce(*[F.try_to_timestamp(col, F.lit(f)) for f in formats])
+
+
+def iso_timestamp(c) -> Column:
+    """A stamp that starts with the year; it means the same in every file."""
     col = F.col(c) if isinstance(c, str) else c
-    tries = [F.try_to_timestamp(col)] + [F.try_to_timestamp(col, F.lit(f)) for f in TIMESTAMP_FORMATS]
-    return F.coalesce(*tries).cast("timestamp_ntz")
+    return F.coalesce(F.try_to_timestamp(col), _parsed(col, ISO_FORMATS))
+
+
+def parse_timestamp(c, day_first: Column | None = None) -> Column:
+    """A stamp by its file's order of day and month (day first unless told)."""
+    col = F.col(c) if isinstance(c, str) else c
+    by_day, by_month = _parsed(col, DAY_FIRST_FORMATS), _parsed(col, MONTH_FIRST_FORMATS)
+    slashed = by_day if day_first is None else F.when(day_first, by_day).otherwise(by_month)
+    return F.coalesce(iso_timestamp(col), slashed).cast("timestamp_ntz")
 
 
 def standardise(raw: DataFrame) -> DataFrame:
-    """Trim / upper-case the key text columns; typed measures; row validity flag."""
-    return raw.select(
-        "source_file",
-        F.col("Transaction_ID"), F.col("Timestamp"),
-        upper_trim("Store_ID").alias("Store_ID"),
-        F.trim("Item_Name").alias("Item_Name"),
-        F.trim("Item_Category").alias("Item_Category"),
-        F.col("Quantity_Sold").try_cast("double").alias("qty"),
-        F.col("Modifiers"), F.col("Order_Type"),
-        F.col("Gross_Sales").try_cast(MONEY).alias("gross"),
-        F.col("Discount_Amount").try_cast(MONEY).alias("discount"),
-        F.col("Promo_Code"),
-        F.col("Tax_Amount").try_cast(MONEY).alias("tax"),
-        F.col("Net_Sales").try_cast(MONEY).alias("net"),
-        upper_trim("Payment_Type").alias("Payment_Type"),
-    ).withColumn(
-        "_valid",
-        F.coalesce((F.col("qty") > 0) & (F.col("gross") > 0) & (F.col("net") > 0), F.lit(False))
-        & F.col("Transaction_ID").isNotNull() & F.col("Timestamp").isNotNull()
-        & F.col("Store_ID").isNotNull() & F.col("Item_Name").isNotNull()
-    ).withColumn("_ts", parse_timestamp("Timestamp"))
-
-
-def _first_k_ids(dups: DataFrame, k: int = 3) -> DataFrame:
-    """Smallest k duplicated ids per file without sorting a whole file in one
-    task: k rounds of min() over the (already aggregated) duplicate-id rows."""
-    picked = None
-    remaining = dups
-    for i in range(k):
-        m = remaining.groupBy("source_file").agg(F.min("Transaction_ID").alias(f"_id{i}"))
-        picked = m if picked is None else picked.join(m, "source_file", "left")
-        remaining = remaining.join(m, "source_file").filter(F.col("Transaction_ID") > F.col(f"_id{i}")).drop(f"_id{i}")
-    return picked.select("source_file", F.array_compact(F.array(*[F.col(f"_id{i}") for i in range(k)])).alias("dup_examples"))
-
-
-def file_checks(std: DataFrame, files: DataFrame, active_branches: DataFrame) -> DataFrame:
-    """One row per file with the pre-load verdict (or NULL when accepted)."""
-    act = small(active_branches.select(F.col("branch_code").alias("_code")).distinct())
-    flagged = std.join(act, std.Store_ID == act._code, "left").withColumn("_active", F.col("_code").isNotNull())
-    per = flagged.groupBy("source_file").agg(
-        F.count("*").alias("rows_in"),
-        F.count(F.when(F.col("_valid"), 1)).alias("rows_clean"),
-        F.count(F.when(F.col("_valid") & F.col("_ts").isNull(), 1)).alias("bad_timestamps"),
-        F.count(F.when(F.col("_valid") & F.col("_active"), 1)).alias("rows_active"),
-        F.array_sort(F.collect_set(F.when(F.col("_valid"), F.col("Store_ID")))).alias("detected_ids"))
-    # the (file, id) aggregate is the one big shuffle here; its result (the
-    # duplicated ids only) is small and feeds the count and the k example
-    # rounds, so it is materialised once
-    dup_ids = cut_lineage(std.filter("_valid").groupBy("source_file", "Transaction_ID").count()
+    """Trim / upper-case the key text columns; typed measures; ``_fault`` (NULL_KEY, NOT_POSITIVE or
+    null) and ``_valid``. The raw columns stay under their own names."""
+    return raw.withColumns({
+        "store": upper_trim("Store_ID"), "item": F.trim("Item_Name"),
+        "qty": F.col("Quantity_Sold").try_cast("double"),
+        "gross": F.col("Gross_Sales").try_cast(MONEY),
+        "discount": F.col("Discount_Amount").try_cast(MONEY),
+        "tax": F.col("Tax_Amount").try_cast(MONEY),
+        "net": F.col("Net_Sales").try_cast(MONEY),
+    }).withColumn("_fault", F.when(
+        F.col("Transaction_ID").isNull() | F.col("Timestamp").isNull() | F.col("Store_ID").isNull() | F.col("Item_Name").isNull(), "NULL_KEY")
+        .when(~F.coalesce((F.col("qty") > 0) & (F.col("gross") > 0) & (F.col("net") > 0), F.lit(False)), "NOT_POSITIVE")
+    ).withColumn("_valid", F.col("_fault").isNull())
+
+
+def _active_codes(branches: DataFrame) -> DataFrame:
+    return small(branches.filter(F.col("is_active") == 1).select(F.col("branch_code").alias("_code")).distinct())
+
+
+def _first_few(rows: DataFrame, col: str, k: int, out: str) -> DataFrame:
+    """The k smallest values per file as an array; a task keeps k rows of a file before they are shuffled."""
+    nth = F.row_number().over(Window.partitionBy("source_file").orderBy(col))
+    return (rows.select("source_file", col).withColumn("_nth", nth).filter(F.col("_nth") <= k)
+            .groupBy("source_file").agg(F.array_sort(F.collect_list(col)).alias(out)))
+
+
+def row_flags(std: DataFrame) -> DataFrame:
+    """What the checks need of every row: source_file, Transaction_ID, store, _fault, and of a valid row whose stamp does not start
+    with the year (``_slashed``) whether it parses with the day or the month first."""
+    slashed = F.when(F.col("_valid") & iso_timestamp("Timestamp").isNull(), F.col("Timestamp"))
+    f = std.select("source_file", "Transaction_ID", "store", "_fault", slashed.alias("_stamp"))
+    return f.select("source_file", "Transaction_ID", "store", "_fault", F.col("_stamp").isNotNull().alias("_slashed"),
+                    _parsed(F.col("_stamp"), DAY_FIRST_FORMATS).isNotNull().alias("_by_day"),
+                    _parsed(F.col("_stamp"), MONTH_FIRST_FORMATS).isNotNull().alias("_by_month"))
+
+
+def file_checks(flags: DataFrame, files: DataFrame, branches: DataFrame) -> DataFrame:
+    """One row per file: counts, examples, the order of day and month that its stamps speak for, and the
+    pre-load verdict (or NULL when accepted).
+
+    Stamps that start with the year are clear. For the others a file has one order: the one
+    under which more of its rows parse, day first when both do as well. So a file is read alike in all its
+    rows, and a day above 12 in one row decides for the rest."""
+    valid = F.col("_fault").isNull()
+    # a file with any number of outlets or repeated ids stays spread: one row per (file, outlet) and (file, repeated id),
+    # of which a task keeps the few that are listed
+    stores = cut_lineage(flags.groupBy("source_file", F.when(valid, F.col("store")).alias("store")).agg(
+        F.count("*").alias("rows_in"), F.count(F.when(valid, 1)).alias("rows_clean"),
+        *[F.count(F.when(F.col(c), 1)).alias(c) for c in ("_slashed", "_by_day", "_by_month")]), "ingest-outlets")
+    act = _active_codes(branches)
+    per = stores.join(act, stores.store == act._code, "left").groupBy("source_file").agg(
+        *[F.sum(c).alias(c) for c in ("rows_in", "rows_clean", "_slashed", "_by_day", "_by_month")],
+        F.sum(F.when(F.col("_code").isNotNull(), F.col("rows_clean")).otherwise(0)).alias("rows_active"),
+        F.count("store").alias("n_detected"))
+    # the (file, id) aggregate is the one big shuffle here; only repeated ids leave it
+    dup_ids = cut_lineage(flags.filter(valid).groupBy("source_file", "Transaction_ID").count()
                           .filter(F.col("count") > 1).select("source_file", "Transaction_ID"), "ingest-dup-ids")
-    dup_count = dup_ids.groupBy("source_file").agg(F.count("*").alias("duplicate_ids"))
-    examples = _first_k_ids(dup_ids)
-    v = (files.join(per, "source_file", "left").join(dup_count, "source_file", "left")
-         .join(examples, "source_file", "left")
-         .fillna(0, ["rows_in", "rows_clean", "bad_timestamps", "rows_active", "duplicate_ids"]))
+    dups = (dup_ids.groupBy("source_file").agg(F.count("*").alias("duplicate_ids"))
+            .join(_first_few(dup_ids, "Transaction_ID", 3, "dup_examples"), "source_file"))
+    per = per.join(_first_few(stores.filter("store is not null"), "store", LISTED_IDS, "detected_ids"), "source_file", "left")
+    counts = ["rows_in", "rows_clean", "rows_active", "n_detected", "duplicate_ids", "_slashed", "_by_day", "_by_month"]
+    v = (files.join(per, "source_file", "left").join(dups, "source_file", "left").fillna(0, counts)
+         .withColumn("day_first", F.col("_by_day") >= F.col("_by_month"))
+         .withColumn("bad_timestamps", F.col("_slashed") - F.greatest("_by_day", "_by_month")).drop("_slashed", "_by_day", "_by_month"))
+    none = F.array().cast("array<string>")
     status = (F.when(F.col("rows_in") == 0, F.lit("EMPTY"))
               .when(F.size("missing_columns") > 0, F.lit("MISSING_COLUMNS"))
               .when(F.col("duplicate_ids") > 0, F.lit("DUPLICATE_IDS"))
               .when(F.col("rows_clean") == 0, F.lit("ALL_INVALID"))
               .when(F.col("bad_timestamps") > 0, F.lit("BAD_TIMESTAMP"))
               .when(F.col("rows_active") == 0, F.lit("NO_ACTIVE_BRANCH")))
-    return v.withColumn("status", status)
+    return v.withColumns({"status": status, "detected_ids": F.coalesce("detected_ids", none), "dup_examples": F.coalesce("dup_examples", none)})
+
+
+def known_rows(accepted: DataFrame, existing: DataFrame | IdIndex | None) -> DataFrame:
+    """(source_file, Transaction_ID, known) of the accepted rows that must not be loaded: their id is in the
+    warehouse (ALREADY_LOADED) or in an earlier file of the batch, by name (REPEATED_IN_BATCH). Ids are unique
+    inside an accepted file.
+
+    The ids of the batch and the known ones are shuffled once, as (id, file) and (id, nothing); of the warehouse's, an
+    ``IdIndex`` gives only those that the batch has."""
+    ids = accepted.select("source_file", "Transaction_ID")
+    if isinstance(existing, IdIndex):
+        existing = existing.known(ids.select(F.col("Transaction_ID").alias("transaction_id")))
+    every = ids.withColumn("_old", F.lit(False))
+    if existing is not None:
+        every = every.union(existing.select(F.lit(None).cast("string"), F.col("transaction_id"), F.lit(True)))
+    met = (every.groupBy("Transaction_ID").agg(F.min("source_file").alias("_first"), F.count("source_file").alias("_files"), F.max("_old").alias("_old"))
+           .filter((F.col("_files") > 1) | ((F.col("_files") > 0) & F.col("_old"))).select("Transaction_ID", "_first", "_old"))
+    return (ids.join(met, "Transaction_ID").filter(F.col("_old") | (F.col("source_file") != F.col("_first")))
+            .select("source_file", "Transaction_ID", F.when(F.col("_old"), "ALREADY_LOADED").otherwise("REPEATED_IN_BATCH").alias("known")))
+
+
+def tag_rows(std: DataFrame, checks: DataFrame, branches: DataFrame, known: DataFrame) -> DataFrame:
+    """Every row with its ``reason`` (null: load it) and its file's ``day_first``."""
+    c = small(checks.select("source_file", F.col("status").alias("_file"), "day_first"))
+    act = _active_codes(branches)
+    t = std.join(c, "source_file", "left").join(act, std.store == act._code, "left").join(small(known), ["source_file", "Transaction_ID"], "left")
+    return t.withColumn("reason", F.coalesce("_file", "_fault", F.when(F.col("_code").isNull(), "INACTIVE_BRANCH"), "known")).drop("_file", "_code", "known")
 
 
 def to_fact(rows: DataFrame, branches: DataFrame, weather_daily: DataFrame | None = None,
             holidays: DataFrame | None = None, zero_coord: DataFrame | None = None) -> DataFrame:
-    """17 raw columns (standardised, valid, active rows) → the 27-column fact."""
+    """17 raw columns (standardised, valid, active rows, with ``day_first``) → the 27-column fact."""
     from .weather_ops import attach_weather
 
+    rows = rows.withColumn("_ts", parse_timestamp("Timestamp", F.col("day_first")))
     ts = F.col("_ts")
     d = ts.cast("date")
     item = upper_trim("Item_Name")
     b = small(branches.filter(F.col("is_active") == 1).select(
         F.col("branch_code").alias("_bc"), F.col("branch_name").alias("store_location"),
         "location_type", "district", "state"))
-    j = rows.join(b, rows.Store_ID == b._bc, "left")
+    j = rows.join(b, rows.store == b._bc, "left")
     carry = [F.col("source_file")] if "source_file" in rows.columns else []
     fact = j.select(
         *carry,
         F.col("Transaction_ID").alias("transaction_id"),
-        F.col("Store_ID").alias("branch_id"),
+        F.col("store").alias("branch_id"),
         ts.alias("transaction_ts"), d.alias("transaction_date"),
         F.date_format(ts, "HH:mm:ss").alias("transaction_time"), F.hour(ts).cast("int").alias("hour"),
         F.date_format(d, "EEEE").alias("day_name"), F.date_format(d, "MMMM").alias("month_name"),
         F.date_format(d, "MM").alias("month"),
         item.alias("item_name"), sku_from_name(item).alias("product_id"),
-        F.col("Item_Category").alias("product_category"),
+        F.trim("Item_Category").alias("product_category"),
         modifiers_text("Modifiers").alias("product_detail"),
         F.col("qty").cast("int").alias("transaction_qty"),
         F.col("Order_Type").alias("order_type"),
@@ -136,7 +201,7 @@ def to_fact(rows: DataFrame, branches: DataFrame, weather_daily: DataFrame | Non
         upper_trim(F.coalesce(F.col("Promo_Code"), F.lit("NONE"))).alias("promo_code"),
         F.coalesce(F.col("tax"), F.lit(0).cast(MONEY)).alias("sst_amount"),
         F.col("net").alias("total_bill"),
-        F.col("Payment_Type").alias("payment_method"),
+        upper_trim("Payment_Type").alias("payment_method"),
         *[F.coalesce(F.col(c), F.lit("Unknown")).alias(c) for c in ("store_location", "location_type", "district", "state")],
     )
     if weather_daily is not None:
@@ -152,75 +217,68 @@ def to_fact(rows: DataFrame, branches: DataFrame, weather_daily: DataFrame | Non
     return fact.select(*(["source_file"] if carry else []), *FACT_COLUMNS)
 
 
-def dedupe_against(incoming: DataFrame, existing_ids: DataFrame | None) -> DataFrame:
-    """Flag each incoming row as new or duplicate.
-
-    Duplicate = id already in the warehouse (join on the id column only) or
-    seen in an earlier file of the same batch (first file by name wins; ids
-    are unique inside an accepted file). The first file per id is a
-    partially aggregated ``min`` — skew-safe even for a hot id — joined back;
-    AQE splits skewed join partitions."""
-    first = incoming.groupBy("transaction_id").agg(F.min("source_file").alias("_first"))
-    x = (incoming.join(first, "transaction_id")
-         .withColumn("_rank", F.when(F.col("source_file") == F.col("_first"), 1).otherwise(2)).drop("_first"))
-    if existing_ids is not None:
-        # the batch's own ids that are known: the warehouse side is only probed, never aggregated
-        e = first.select(F.col("transaction_id").alias("_eid")).join(
-            existing_ids.select(F.col("transaction_id").alias("_eid")), "_eid", "left_semi")
-        x = x.join(e, x.transaction_id == e._eid, "left").withColumn("_known", F.col("_eid").isNotNull()).drop("_eid")
-    else:
-        x = x.withColumn("_known", F.lit(False))
-    return x.withColumn("_dup", F.col("_known") | (F.col("_rank") > 1)).drop("_rank", "_known")
-
-
-def ingest(raw: DataFrame, files: DataFrame | None, branches: DataFrame, existing_ids: DataFrame | None = None,
-           weather_daily: DataFrame | None = None, holidays: DataFrame | None = None,
-           zero_coord: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
-    """Clean, validate and dedupe raw rows of many files.
+def ingest_batch(raw: DataFrame, files: DataFrame | None, branches: DataFrame, existing: DataFrame | IdIndex | None = None,
+                 weather_daily: DataFrame | None = None, holidays: DataFrame | None = None, zero_coord: DataFrame | None = None,
+                 recipes: DataFrame | None = None) -> Sections:
+    """Clean, validate and dedupe raw rows of many files. Results, each planned when it is asked for:
 
-    Returns ``(new_fact_rows, verdicts)``. ``new_fact_rows`` carries
-    ``source_file`` and is ready for ``sinks.append_fact``; ``verdicts`` has
-    one row per file with counts, examples and the final status.
+    * ``loaded`` — new fact rows with ``source_file``, ready for ``sinks.append_fact``;
+    * ``verdicts`` — one row per file with counts, examples and the final status;
+    * ``rejects`` — every row that is not loaded, as it came, with its ``reason``;
+    * ``missing_recipes`` — item names without a recipe (with ``recipes``).
 
     ``files`` lists every input file with its ``missing_columns`` (header-only
-    files have no rows, so the CSV reader supplies it from the header scan);
-    ``None`` takes the files present in the batch."""
-    # The staged batch feeds several per-file aggregates and the load; it is
-    # cut from the source lineage once (reliable checkpoint in the shared
-    # folder) so the raw files are parsed a single time.
-    std = cut_lineage(standardise(raw), "ingest-stage")
+    files have no rows, so the CSV reader supplies it from the headers) and anything else to be kept
+    with the verdict; ``None`` takes the files present in the batch. ``existing`` is the warehouse's id
+    index, or a table of its ids. ``raw`` is read once for the checks and once for each of ``loaded`` and ``rejects``
+    that is asked for; ``read_pos_files`` gives rows that are staged already."""
+    std = standardise(raw.select("source_file", *REQUIRED_COLUMNS))
+    flags = cut_lineage(row_flags(std), "ingest-flags")
     if files is None:
-        files = (std.select("source_file").distinct()
+        files = (flags.select("source_file").distinct()
                  .withColumn("missing_columns", F.array().cast("array<string>")))
-    # one row per file, used by the verdicts and by the accepted-file filter
-    checks = cut_lineage(file_checks(std, files, branches.filter(F.col("is_active") == 1)), "ingest-checks")
-    ok_files = checks.filter(F.col("status").isNull()).select("source_file")
-    act = small(branches.filter(F.col("is_active") == 1).select(F.col("branch_code").alias("_code")).distinct())
-    keep = (std.filter("_valid").join(ok_files, "source_file", "left_semi")
-            .join(act, std.Store_ID == act._code, "left_semi"))
-    fact = to_fact(keep, branches, weather_daily, holidays, zero_coord)
-    # both results read the flagged rows: the warehouse is probed once
-    flagged = cut_lineage(dedupe_against(fact, existing_ids), "ingest-load")
-    load = flagged.groupBy("source_file").agg(F.count("*").alias("rows_accepted"),
-                                             F.count(F.when(F.col("_dup"), 1)).alias("rows_skipped"))
-    v = checks.join(load, "source_file", "left").fillna(0, ["rows_accepted", "rows_skipped"])
-    final = (F.when(F.col("status").isNotNull(), F.col("status"))
-             .when(F.col("rows_skipped") == F.col("rows_accepted"), F.lit("ALREADY_LOADED"))
-             .when(F.col("rows_skipped") > 0, F.lit("PARTIAL"))
-             .otherwise(F.lit("LOADED")))
-    verdicts = v.select("source_file", final.alias("status"), "missing_columns", "rows_in", "rows_clean",
-                        "duplicate_ids", F.coalesce("dup_examples", F.array().cast("array<string>")).alias("dup_examples"),
-                        "bad_timestamps", "rows_active", "detected_ids",
-                        "rows_accepted", "rows_skipped",
-                        F.when(final.isin("LOADED", "PARTIAL"), F.col("rows_accepted") - F.col("rows_skipped"))
-                         .otherwise(F.lit(0)).cast("bigint").alias("rows_loaded"))
-    new_rows = flagged.filter(~F.col("_dup")).drop("_dup")
-    return new_rows, verdicts
+    checks = cut_lineage(file_checks(flags, files, branches), "ingest-checks")
+    ok = small(checks.filter(F.col("status").isNull()).select("source_file"))
+    act = _active_codes(branches)
+    accepted = (flags.filter("_fault is null").join(ok, "source_file", "left_semi")
+                .join(act, flags.store == act._code, "left_semi"))
+    known = cut_lineage(known_rows(accepted, existing), "ingest-known")
+    tagged = tag_rows(std, checks, branches, known)
+
+    def verdicts() -> DataFrame:
+        skipped = known.groupBy("source_file").agg(F.count("*").alias("rows_skipped"))
+        v = checks.join(skipped, "source_file", "left").fillna(0, ["rows_skipped"])
+        # the rows of an accepted file that are valid and whose outlet is active
+        v = v.withColumn("rows_accepted", F.when(F.col("status").isNull(), F.col("rows_active")).otherwise(0))
+        final = (F.when(F.col("status").isNotNull(), F.col("status"))
+                 .when(F.col("rows_skipped") == F.col("rows_accepted"), F.lit("ALREADY_LOADED"))
+                 .when(F.col("rows_skipped") > 0, F.lit("PARTIAL"))
+                 .otherwise(F.lit("LOADED")))
+        kept = [c for c in files.columns if c not in ("source_file", "missing_columns")]
+        return v.select("source_file", final.alias("status"), "missing_columns", "rows_in", "rows_clean", "duplicate_ids", "dup_examples",
+                        "bad_timestamps", "rows_active", "n_detected", "detected_ids", F.col("rows_accepted").cast("bigint").alias("rows_accepted"),
+                        "rows_skipped", (F.col("rows_accepted") - F.col("rows_skipped")).cast("bigint").alias("rows_loaded"),
+                        (F.col("rows_in") - F.col("rows_accepted")).cast("bigint").alias("rows_rejected"), *kept)
+
+    out = {"loaded": lambda: to_fact(tagged.filter("reason is null"), branches, weather_daily, holidays, zero_coord),
+           "verdicts": verdicts,
+           "rejects": lambda: tagged.filter("reason is not null").select("source_file", "reason", *REQUIRED_COLUMNS)}
+    if recipes is not None:
+        out["missing_recipes"] = lambda: missing_recipes(std, recipes)
+    return Sections(deferred=out)
+
+
+def ingest(raw: DataFrame, files: DataFrame | None, branches: DataFrame, existing_ids: DataFrame | IdIndex | None = None,
+           weather_daily: DataFrame | None = None, holidays: DataFrame | None = None,
+           zero_coord: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+    """``(loaded, verdicts)`` of ``ingest_batch``."""
+    r = ingest_batch(raw, files, branches, existing_ids, weather_daily, holidays, zero_coord)
+    return r["loaded"], r["verdicts"]
 
 
 def missing_recipes(std_rows: DataFrame, recipes: DataFrame) -> DataFrame:
     """Distinct uploaded item names (cleaned rows, before the branch filter)
     without a recipe, compared upper/trim-insensitively."""
-    items = std_rows.filter("_valid").select("Item_Name").distinct()
+    items = std_rows.filter("_valid").select(F.col("item").alias("item_name")).distinct()
     keys = recipes.select(upper_trim("item_name").alias("_k")).distinct()
-    return items.join(keys, upper_trim("Item_Name") == keys._k, "left_anti").select(F.col("Item_Name").alias("item_name"))
+    return items.join(keys, upper_trim("item_name") == keys._k, "left_anti")

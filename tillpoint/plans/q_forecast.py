@@ -238,7 +238,8 @@ def _outlet_report(spark, sf):
     from . import report as RP
     fc = V.forecast_like(spark, sf)
     cal = V.fixed_calendar(spark, 1990, 2010)
-    return RP.executive_report(V.pos_lines(spark, sf, payment=False), PVA_FROM, PVA_TO, PVA_OUTLET, fc, cal)
+    return RP.executive_report(V.pos_lines(spark, sf, payment=False), PVA_FROM, PVA_TO, PVA_OUTLET, fc, cal,
+                               V.branches(spark, sf))
 
 
 @register("report_pva_outlet", with_views(_OUTLET_BASE + """

@@ -3,14 +3,18 @@
 
 from __future__ import annotations
 
+import os
+import uuid
+
 from pyspark.sql import functions as F
 
 from ..operators import ingest as I
 from ..operators import tuning as T
 from ..operators.weather_ops import daylight_conditions, forecast_daily_summary, forecast_to_slots
 from ..sources import testviews as V
+from ..sources.id_index import IdIndex
 from ..sources.testviews import with_views
-from .registry import register
+from .registry import QUERIES, register
 
 LOADED_BEFORE = "1997-01-01"  # warehouse already holds pos_lines ids shipped before this day
 
@@ -35,8 +39,8 @@ flag AS (
 per AS (
   SELECT source_file, count(*) AS rows_in, count(*) FILTER (WHERE valid) AS rows_clean,
          count(*) FILTER (WHERE valid AND ts IS NULL) AS bad_timestamps,
-         count(*) FILTER (WHERE valid AND active) AS rows_active,
-         coalesce(list_sort(list(DISTINCT Store_ID) FILTER (WHERE valid)), []) AS detected_ids
+         count(*) FILTER (WHERE valid AND active) AS rows_active, count(DISTINCT Store_ID) FILTER (WHERE valid) AS n_detected,
+         coalesce(list_sort(list(DISTINCT Store_ID) FILTER (WHERE valid)), [])[1:10] AS detected_ids
   FROM flag GROUP BY source_file),
 dupid AS (SELECT source_file, Transaction_ID FROM flag WHERE valid GROUP BY 1, 2 HAVING count(*) > 1),
 dups AS (SELECT source_file, count(*) AS duplicate_ids, list_sort(list(Transaction_ID))[1:3] AS dup_examples
@@ -66,8 +70,9 @@ fin AS (
               WHEN coalesce(load.rows_skipped, 0) > 0 THEN 'PARTIAL' ELSE 'LOADED' END AS status
   FROM chk LEFT JOIN load ON chk.source_file = load.source_file)
 SELECT source_file, status, CAST([] AS VARCHAR[]) AS missing_columns, rows_in, rows_clean, duplicate_ids, dup_examples,
-       bad_timestamps, rows_active, detected_ids, rows_accepted, rows_skipped,
-       CAST(CASE WHEN status IN ('LOADED', 'PARTIAL') THEN rows_accepted - rows_skipped ELSE 0 END AS BIGINT) AS rows_loaded
+       bad_timestamps, rows_active, n_detected, detected_ids, rows_accepted, rows_skipped,
+       CAST(CASE WHEN status IN ('LOADED', 'PARTIAL') THEN rows_accepted - rows_skipped ELSE 0 END AS BIGINT) AS rows_loaded,
+       CAST(rows_in - rows_accepted AS BIGINT) AS rows_rejected
 FROM fin
 """, "pos_lines", "raw_pos", "branches"))
 def q_ingest_verdicts(spark, sf):
@@ -86,6 +91,89 @@ def q_ingest_loaded(spark, sf):
                  F.sum("transaction_qty").cast("bigint").alias("units")))
 
 
+# A6 / M2 — the same verdicts against the id index kept beside the warehouse
+def q_ingest_index(spark, sf):
+    from ..session import checkpoint_dir
+    existing = V.pos_lines(spark, sf, payment=False).filter(F.col("transaction_date") < F.lit(LOADED_BEFORE).cast("date"))
+    index = IdIndex(spark, os.path.join(checkpoint_dir(spark), "tables", f"id-index-{uuid.uuid4().hex}"))
+    index.append(existing.select("transaction_id").distinct())
+    return I.ingest_batch(V.raw_pos(spark, sf), None, V.branches(spark, sf), index)["verdicts"]
+
+
+QUERIES["ingest_verdicts_by_index"] = (q_ingest_index, QUERIES["ingest_verdicts"][1])
+
+
+# O1 — a damaged batch: every row has one outcome
+_DAMAGED = f"""
+WITH flag AS (
+  SELECT r.source_file, Transaction_ID, upper(trim(Store_ID)) AS store, b.branch_code IS NOT NULL AS active, coalesce(ff.lacks, false) AS lacks,
+         CASE WHEN Transaction_ID IS NULL OR Timestamp IS NULL OR Store_ID IS NULL OR Item_Name IS NULL THEN 'NULL_KEY'
+              WHEN NOT coalesce(TRY_CAST(Quantity_Sold AS DOUBLE) > 0 AND TRY_CAST(Gross_Sales AS DECIMAL(18,2)) > 0
+                                AND TRY_CAST(Net_Sales AS DECIMAL(18,2)) > 0, false) THEN 'NOT_POSITIVE' END AS fault,
+         TRY_CAST(Timestamp AS TIMESTAMP) AS iso, try_strptime(Timestamp, '%d/%m/%Y %H:%M') AS dmy, try_strptime(Timestamp, '%m/%d/%Y %H:%M') AS mdy
+  FROM raw_damaged r JOIN damaged_files ff USING (source_file)
+  LEFT JOIN (SELECT branch_code FROM branches WHERE is_active = 1) b ON upper(trim(Store_ID)) = b.branch_code),
+per AS (
+  SELECT source_file, count(*) AS rows_in, count(*) FILTER (fault IS NULL) AS clean, count(*) FILTER (fault IS NULL AND active) AS rows_active,
+         count(*) FILTER (fault IS NULL AND iso IS NULL) AS slashed, count(*) FILTER (fault IS NULL AND iso IS NULL AND dmy IS NOT NULL) AS n_dmy,
+         count(*) FILTER (fault IS NULL AND iso IS NULL AND mdy IS NOT NULL) AS n_mdy
+  FROM flag GROUP BY source_file),
+dup AS (SELECT DISTINCT source_file FROM (SELECT source_file, Transaction_ID FROM flag WHERE fault IS NULL GROUP BY 1, 2 HAVING count(*) > 1)),
+chk AS (
+  SELECT ff.source_file, lacks, file_size, modified, coalesce(rows_in, 0) AS rows_in, coalesce(rows_active, 0) AS rows_active, n_dmy >= n_mdy AS day_first,
+         coalesce(slashed - greatest(n_dmy, n_mdy), 0) AS bad_timestamps,
+         CASE WHEN coalesce(rows_in, 0) = 0 THEN 'EMPTY' WHEN lacks THEN 'MISSING_COLUMNS' WHEN d.source_file IS NOT NULL THEN 'DUPLICATE_IDS'
+              WHEN clean = 0 THEN 'ALL_INVALID' WHEN slashed > greatest(n_dmy, n_mdy) THEN 'BAD_TIMESTAMP' WHEN rows_active = 0 THEN 'NO_ACTIVE_BRANCH' END AS pre
+  FROM damaged_files ff LEFT JOIN per USING (source_file) LEFT JOIN dup d USING (source_file)),
+existing AS (SELECT DISTINCT transaction_id FROM pos_lines WHERE transaction_date < DATE '{LOADED_BEFORE}'),
+first AS (SELECT Transaction_ID, min(source_file) AS f1 FROM flag JOIN chk USING (source_file) WHERE pre IS NULL AND fault IS NULL AND active GROUP BY 1),
+tagged AS (
+  SELECT flag.source_file, flag.Transaction_ID, CASE WHEN iso IS NOT NULL THEN iso WHEN day_first THEN dmy ELSE mdy END AS ts,
+         coalesce(pre, fault, CASE WHEN NOT active THEN 'INACTIVE_BRANCH' WHEN e.transaction_id IS NOT NULL THEN 'ALREADY_LOADED'
+                                   WHEN first.f1 <> flag.source_file THEN 'REPEATED_IN_BATCH' END) AS reason
+  FROM flag JOIN chk USING (source_file) LEFT JOIN existing e ON e.transaction_id = flag.Transaction_ID
+  LEFT JOIN first ON first.Transaction_ID = flag.Transaction_ID),
+fin AS (
+  SELECT chk.*, CASE WHEN pre IS NULL THEN rows_active ELSE 0 END AS rows_accepted,
+         coalesce((SELECT count(*) FROM tagged t WHERE t.source_file = chk.source_file AND reason IN ('ALREADY_LOADED', 'REPEATED_IN_BATCH')), 0) AS rows_skipped
+  FROM chk)"""
+_FINAL = """CASE WHEN pre IS NOT NULL THEN pre WHEN rows_skipped = rows_accepted THEN 'ALREADY_LOADED' WHEN rows_skipped > 0 THEN 'PARTIAL' ELSE 'LOADED' END"""
+_DAMAGED_VIEWS = ("pos_lines", "raw_pos", "branches", "raw_damaged")
+
+
+def _damaged(spark, sf):
+    rows, files = V.raw_damaged(spark, sf)
+    existing = V.pos_lines(spark, sf, payment=False).filter(F.col("transaction_date") < F.lit(LOADED_BEFORE).cast("date"))
+    return I.ingest_batch(rows, files, V.branches(spark, sf), existing.select("transaction_id"))
+
+
+@register("ingest_rejects", with_views(_DAMAGED + """
+SELECT source_file, reason, count(*) AS rows, count(DISTINCT Transaction_ID) AS ids, min(Transaction_ID) AS least_id
+FROM tagged WHERE reason IS NOT NULL GROUP BY 1, 2
+""", *_DAMAGED_VIEWS))
+def q_ingest_rejects(spark, sf):
+    return _damaged(spark, sf)["rejects"].groupBy("source_file", "reason").agg(
+        F.count("*").alias("rows"), F.count_distinct("Transaction_ID").alias("ids"), F.min("Transaction_ID").alias("least_id"))
+
+
+@register("ingest_balance", with_views(_DAMAGED + f"""
+SELECT source_file, {_FINAL} AS status, rows_in, CAST(rows_accepted - rows_skipped AS BIGINT) AS rows_loaded, rows_skipped,
+       CAST(rows_in - rows_accepted AS BIGINT) AS rows_rejected, bad_timestamps
+FROM fin
+""", *_DAMAGED_VIEWS))
+def q_ingest_balance(spark, sf):
+    return _damaged(spark, sf)["verdicts"].select(
+        "source_file", "status", "rows_in", "rows_loaded", "rows_skipped", "rows_rejected", "bad_timestamps")
+
+
+# B6 — the day every loaded row was read as, by its file's order of day and month
+@register("ingest_loaded_days", with_views(_DAMAGED + """
+SELECT source_file, CAST(ts AS DATE) AS transaction_date, count(*) AS rows FROM tagged WHERE reason IS NULL GROUP BY 1, 2
+""", *_DAMAGED_VIEWS))
+def q_ingest_loaded_days(spark, sf):
+    return _damaged(spark, sf)["loaded"].groupBy("source_file", "transaction_date").agg(F.count("*").alias("rows"))
+
+
 # C5 / J7 — uploaded items without a recipe
 @register("missing_recipes", with_views("""
 SELECT DISTINCT trim(Item_Name) AS item_name FROM raw_pos

@@ -106,6 +106,12 @@ def cut_lineage(df: DataFrame, name: str = "stage") -> DataFrame:
     return out
 
 
+def path_exists(spark: SparkSession, path: str) -> bool:
+    """Whether a file or folder is there, in whatever store the path names."""
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark._jsc.hadoopConfiguration()).exists(p)
+
+
 def drop_table(df: DataFrame) -> None:
     """Delete the table behind a ``cut_lineage`` result that nothing lazy reads any more."""
     spark = df.sparkSession

@@ -1,22 +1,22 @@
 """Raw point-of-sale CSV files → one DataFrame with a ``source_file`` column.
 
-Spark reads a multi-file CSV by *position* using one file's header, so files
-are first grouped by their own header line (read with a tiny scan: the first
-line of each file's first block), every group is read with its header, column
-names are normalised (trim, Python-style title case, alias map) and the groups
-are unioned by name. Files with only a header yield no rows; the file listing
-keeps them so they can be reported as empty.
+Files of one batch may have their columns in any order. The batch is read once, as lines of
+text, and staged. A file's layout is one row: the places of the required columns in its
+header, which is its first line that isn't blank. Lines are joined to their file's layout and parsed by
+it, so a thousand layouts in a batch cost one scan and one join, and no header passes
+through the driver.
+
+A line break inside quotes ends the record, as in a file that is split between tasks: both parts lack
+columns, are parsed as such, and are rejected by the checks on keys and measures.
 """
 
 from __future__ import annotations
 
-import csv
-import re
-from urllib.parse import unquote
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
+
+from ..functions.joins import small
+from ..session import cut_lineage
 
 # The 17 columns a raw POS file must carry, in file order.
 REQUIRED_COLUMNS = [
@@ -25,72 +25,61 @@ REQUIRED_COLUMNS = [
     "Modifiers", "Order_Type", "Gross_Sales", "Discount_Amount",
     "Promo_Code", "Discount_Reason", "Tax_Amount", "Net_Sales", "Payment_Type",
 ]
-# Title-cased header spellings renamed to the canonical ones.
-HEADER_ALIASES = {"Transaction_Id": "Transaction_ID", "Register_Id": "Register_ID", "Store_Id": "Store_ID"}
 
 
-def normalise_header(name: str) -> str:
-    t = name.strip().title()
-    return HEADER_ALIASES.get(t, t)
+def _one_spelling(uri):
+    """A file's URI with three slashes and nothing escaped, however it was written."""
+    return F.regexp_replace(F.try_url_decode(F.replace(uri, F.lit("+"), F.lit("%2B"))), "^file:/+", "file:///")
+
+
+def listing(spark: SparkSession, paths) -> DataFrame:
+    """source_file, file_size and modified of every file. No content is read. Spark's scans leave out files of
+    zero bytes, so the names are those it lists for the scan."""
+    seen = spark.read.format("binaryFile").load(paths).select(
+        F.col("_metadata.file_path").alias("source_file"), F.col("length").alias("file_size"),
+        F.col("modificationTime").cast("timestamp_ntz").alias("modified"))
+    names = spark.createDataFrame([(f,) for f in spark.read.text(paths).inputFiles()], "listed string")
+    return (names.withColumn("_key", _one_spelling(F.col("listed"))).join(seen.withColumn("_key", _one_spelling(F.col("source_file"))), "_key", "left")
+            .select(F.coalesce("source_file", "listed").alias("source_file"), F.coalesce("file_size", F.lit(0)).alias("file_size"), "modified"))
 
 
-def file_headers(spark: SparkSession, paths) -> DataFrame:
-    """(source_file, header line) for every file, from the first block only."""
-    txt = spark.read.text(paths).select(
-        "value", F.col("_metadata.file_path").alias("source_file"),
-        F.col("_metadata.file_block_start").alias("_start"), F.monotonically_increasing_id().alias("_pos"))
-    first = txt.filter(F.col("_start") == 0)
-    return first.groupBy("source_file").agg(F.min_by("value", "_pos").alias("header"))
+def lines(spark: SparkSession, paths) -> DataFrame:
+    """source_file, from_start (in the file's first block), at (rising within a file's block) and line, without blank lines."""
+    return (spark.read.text(paths).filter(F.trim("value") != "").select(
+        F.col("_metadata.file_path").alias("source_file"), (F.col("_metadata.file_block_start") == 0).alias("from_start"),
+        F.monotonically_increasing_id().alias("at"), F.col("value").alias("line")))
 
 
-def _same_name(uri: str) -> str:
-    """Spark writes a local file's URI with one slash or with three."""
-    return re.sub("^file:/+", "file:///", unquote(uri))
+def layouts(staged: DataFrame) -> DataFrame:
+    """One row per file: at (of its header), width, places (of REQUIRED_COLUMNS in it, from 1; 0: missing) and missing_columns.
+    Header names are compared without case, quotes and outer blanks; the first of equal names counts."""
+    first = staged.filter("from_start").groupBy("source_file").agg(F.min(F.struct("at", "line")).alias("h"))
+    names = F.transform(F.split(F.replace(F.col("h.line"), F.lit('"'), F.lit("")), ","), lambda n: F.lower(F.trim(n)))
+    wanted = F.array(*[F.lit(c) for c in REQUIRED_COLUMNS])
+    out = first.select("source_file", F.col("h.at").alias("header_at"), names.alias("names"))
+    return out.select("source_file", "header_at", F.size("names").alias("width"),
+                      F.transform(wanted, lambda c: F.coalesce(F.array_position(F.col("names"), F.lower(c)), F.lit(0)).cast("int")).alias("places"),
+                      F.filter(wanted, lambda c: ~F.array_contains(F.col("names"), F.lower(c))).alias("missing_columns"))
 
 
 def read_pos_files(spark: SparkSession, paths) -> tuple[DataFrame, DataFrame]:
     """Read raw POS CSV files.
 
-    Returns ``(rows, files)``: ``rows`` has all normalised string columns
-    present in the file plus ``source_file``; ``files`` lists every file with
-    its ``missing_columns`` (array, empty when complete). The header groups
-    are few (one per distinct header layout), so the loop over them runs on
-    the driver while each group's read is a distributed scan.
-    """
+    Returns ``(rows, files)``: ``rows`` has ``source_file`` and the required columns as strings (null where
+    the file lacks one), read from a staged table; ``files`` lists every file with its ``missing_columns`` (empty
+    when complete, and for a file without a header), ``file_size`` and ``modified``."""
     if isinstance(paths, str):
         paths = [paths]
-    headers = {r["source_file"]: r["header"] for r in file_headers(spark, paths).collect()}  # one short row per file
-    # files of zero bytes are listed but never scanned: they have no header row
-    listed = {_same_name(f) for f in spark.read.text(paths).inputFiles()}
-    for f in listed.difference(map(_same_name, headers)):
-        headers[f] = ""
-    groups: dict[str, list[str]] = {}
-    for f, header in headers.items():
-        groups.setdefault(header or "", []).append(f)
-    frames, file_rows = [], []
-    for header, files in groups.items():
-        raw_names = next(iter(csv.reader([header]))) if header else []
-        names = [normalise_header(n) for n in raw_names]
-        missing = [c for c in REQUIRED_COLUMNS if c not in names]
-        for f in files:
-            file_rows.append((f, missing))
-        if not names:
-            continue
-        schema = T.StructType([T.StructField(f"_c{i}", T.StringType()) for i in range(len(names))])
-        df = (spark.read.option("header", True).option("mode", "PERMISSIVE").option("escape", "\"")
-              .schema(schema).csv(files))
-        df = df.select(*[F.col(f"_c{i}").alias(n) for i, n in enumerate(names)],
-                       F.col("_metadata.file_path").alias("source_file"))
-        for c in REQUIRED_COLUMNS:
-            if c not in names:
-                df = df.withColumn(c, F.lit(None).cast("string"))
-        frames.append(df.select("source_file", *REQUIRED_COLUMNS))
-    files_df = spark.createDataFrame(file_rows, "source_file string, missing_columns array<string>")
-    if frames:
-        rows = frames[0]
-        for f in frames[1:]:
-            rows = rows.unionByName(f)
-    else:
-        rows = spark.createDataFrame([], T.StructType(
-            [T.StructField("source_file", T.StringType())] + [T.StructField(c, T.StringType()) for c in REQUIRED_COLUMNS]))
-    return rows, files_df
+    staged = cut_lineage(lines(spark, paths), "pos-lines")
+    layout = cut_lineage(layouts(staged), "pos-layouts")
+    width = max(layout.agg(F.max("width")).first()[0] or 1, 1)  # one number
+    schema = ", ".join(f"_c{i} string" for i in range(width))
+    cells = F.from_csv("line", schema, {"escape": '"'})
+    j = staged.join(small(layout.select("source_file", "header_at", "places")), "source_file").filter(F.col("at") != F.col("header_at"))
+    # inline keeps a line from being parsed once per column
+    as_list = F.transform(F.array(cells), lambda r: F.array(*[r[f"_c{i}"] for i in range(width)]))
+    rows = j.select("source_file", F.inline(F.transform(as_list, lambda a: F.struct(
+        *[F.get(a, F.get("places", F.lit(i)) - 1).alias(c) for i, c in enumerate(REQUIRED_COLUMNS)]))))
+    files = (listing(spark, paths).join(layout.select("source_file", "missing_columns"), "source_file", "left")
+             .withColumn("missing_columns", F.coalesce("missing_columns", F.array().cast("array<string>"))))
+    return rows, files

@@ -25,6 +25,14 @@ def append_fact(fact: DataFrame, path: str) -> None:
      .write.mode("append").partitionBy(FACT_PARTITION).parquet(path))
 
 
+def append_rejects(rejects: DataFrame, path: str) -> None:
+    """Quarantine: the rows that were not loaded, by reason; a reason's rows lie by file. Ranges are drawn
+    from the data, so one reason or one file with most of the rows is spread over several tasks."""
+    by = ["reason", "source_file"]
+    (rejects.repartitionByRange(*by, F.xxhash64(*rejects.columns)).sortWithinPartitions(*by)
+     .write.mode("append").partitionBy("reason").parquet(path))
+
+
 def read_fact(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.parquet(path)
 

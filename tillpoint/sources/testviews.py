@@ -472,6 +472,8 @@ def with_views(body: str, *views: str) -> str:
             parts.append(RECIPES_SQL.strip())
         elif v == "raw_pos":
             parts.append(RAW_POS_SQL.strip())
+        elif v == "raw_damaged":
+            parts.append(RAW_DAMAGED_SQL.strip())
         elif v == "forecast_slots":
             parts.append(FORECAST_SLOTS_SQL.strip())
         elif v.startswith("seasons_"):
@@ -549,3 +551,64 @@ forecast_like AS (
                round(sum(CAST(o_totalprice AS DECIMAL(18,2))) * CAST(0.01 AS DECIMAL(3,2)), 2) AS pred
         FROM orders JOIN customer ON o_custkey = c_custkey GROUP BY 1, 2)
 )"""
+
+
+# ---------------------------------------------------------------------------
+# A damaged batch: raw_pos with every fault an upload can have, dealt out by the file's
+# day of the year (a file is a ship day) and the line number.
+# ---------------------------------------------------------------------------
+
+#: Fault of a file by its day of the year modulo 9 (test-view rule).
+FILE_FAULTS = ["none", "bad rows", "day first", "month first", "bad stamp", "all invalid", "unknown outlets", "missing column", "mixed outlets"]
+
+
+def raw_damaged(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """(rows, files): the raw rows with faults, and the file list with ``missing_columns``, ``file_size`` and ``modified``; one
+    header-only file a year has no rows."""
+    raw = raw_pos(spark, sf_dir)
+    day = F.to_date(F.substring("Timestamp", 1, 10))
+    fault = F.dayofyear("_day") % len(FILE_FAULTS)
+    line = F.substring("Register_ID", 4, 9).cast("int")
+    r = raw.withColumn("_day", day).withColumn("_fault", fault).withColumn("_line", line)
+    is_ = lambda name: F.col("_fault") == FILE_FAULTS.index(name)
+    none = F.lit(None).cast("string")
+    rows = r.select(
+        "source_file",
+        F.when(is_("bad rows") & (F.col("_line") == 1), none).otherwise(F.col("Transaction_ID")).alias("Transaction_ID"),
+        F.when(is_("day first"), F.date_format("_day", "dd/MM/yyyy HH:mm"))
+         .when(is_("month first"), F.date_format("_day", "MM/dd/yyyy HH:mm"))
+         .when(is_("bad stamp") & (F.col("_line") == 2), F.lit("yesterday")).otherwise(F.col("Timestamp")).alias("Timestamp"),
+        "Register_ID", "Cashier_Name",
+        F.when(is_("unknown outlets"), F.lit("zz-99"))
+         .when(is_("mixed outlets") & (F.col("_line") == 3), F.concat(F.lit("zz-"), F.col("Register_ID"))).otherwise(F.col("Store_ID")).alias("Store_ID"),
+        "Item_Name", "Item_Category",
+        F.when(is_("all invalid") | (is_("bad rows") & (F.col("_line") == 2)), F.lit("0"))
+         .when(is_("bad rows") & (F.col("_line") == 3), F.lit("many")).otherwise(F.col("Quantity_Sold")).alias("Quantity_Sold"),
+        "Modifiers", "Order_Type", "Gross_Sales", "Discount_Amount", "Promo_Code", "Discount_Reason",
+        F.when(is_("missing column"), none).otherwise(F.col("Tax_Amount")).alias("Tax_Amount"), "Net_Sales", "Payment_Type")
+    per = r.groupBy("source_file", "_day", "_fault").agg(F.sum(F.length("Item_Name")).alias("file_size"))
+    empty = F.array().cast("array<string>")
+    files = per.select("source_file", F.when(is_("missing column"), F.array(F.lit("Tax_Amount"))).otherwise(empty).alias("missing_columns"),
+                       "file_size", F.col("_day").cast("timestamp_ntz").alias("modified"))
+    headers = per.select(F.year("_day").alias("_y")).distinct().select(
+        F.format_string("pos_%d-header.csv", F.col("_y")).alias("source_file"), empty.alias("missing_columns"),
+        F.lit(300).cast("long").alias("file_size"), F.make_date(F.col("_y"), F.lit(12), F.lit(31)).cast("timestamp_ntz").alias("modified"))
+    return rows, files.unionByName(headers)
+
+
+_F = {name: i for i, name in enumerate(FILE_FAULTS)}
+RAW_DAMAGED_SQL = f"""
+rd AS (SELECT *, CAST(substr(Timestamp, 1, 10) AS DATE) AS d, dayofyear(CAST(substr(Timestamp, 1, 10) AS DATE)) % {len(FILE_FAULTS)} AS f,
+              CAST(substr(Register_ID, 4) AS INTEGER) AS ln FROM raw_pos),
+raw_damaged AS (
+  SELECT source_file, CASE WHEN f = {_F['bad rows']} AND ln = 1 THEN NULL ELSE Transaction_ID END AS Transaction_ID,
+         CASE WHEN f = {_F['day first']} THEN strftime(d, '%d/%m/%Y 00:00') WHEN f = {_F['month first']} THEN strftime(d, '%m/%d/%Y 00:00')
+              WHEN f = {_F['bad stamp']} AND ln = 2 THEN 'yesterday' ELSE Timestamp END AS Timestamp,
+         CASE WHEN f = {_F['unknown outlets']} THEN 'zz-99' WHEN f = {_F['mixed outlets']} AND ln = 3 THEN 'zz-' || Register_ID ELSE Store_ID END AS Store_ID,
+         Item_Name,
+         CASE WHEN f = {_F['all invalid']} OR (f = {_F['bad rows']} AND ln = 2) THEN '0' WHEN f = {_F['bad rows']} AND ln = 3 THEN 'many'
+              ELSE Quantity_Sold END AS Quantity_Sold, Gross_Sales, Net_Sales
+  FROM rd),
+damaged_files AS (
+  SELECT source_file, f = {_F['missing column']} AS lacks, sum(length(Item_Name)) AS file_size, CAST(d AS TIMESTAMP) AS modified FROM rd GROUP BY source_file, f, d
+  UNION ALL SELECT DISTINCT 'pos_' || CAST(year(d) AS VARCHAR) || '-header.csv', false, 300, CAST(make_date(year(d), 12, 31) AS TIMESTAMP) FROM rd)"""
