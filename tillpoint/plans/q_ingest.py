@@ -232,3 +232,21 @@ FROM per
 def q_auto_tune(spark, sf):
     fact = V.pos_lines(spark, sf, payment=False)
     return T.holiday_effects(fact, V.holiday_calendar_from(V.date_source(spark, sf)))
+
+
+# M4 / O6 — the same effects from branch-day sums kept over two loads, each tuning only what it touched
+LOADS_SPLIT = "1995-06-15"
+
+
+def q_auto_tune_loads(spark, sf):
+    from ..session import checkpoint_dir
+    fact = V.pos_lines(spark, sf, payment=False)
+    cal = V.holiday_calendar_from(V.date_source(spark, sf))
+    path = os.path.join(checkpoint_dir(spark), "tables", f"tune-{uuid.uuid4().hex}")
+    early = F.col("transaction_date") < F.lit(LOADS_SPLIT).cast("date")
+    for load, rows in enumerate((fact.filter(early), fact.filter(~early))):
+        T.tune_after_load(spark, rows, cal, path, load)
+    return T.current_effects(spark, path)
+
+
+QUERIES["auto_tune_by_loads"] = (q_auto_tune_loads, QUERIES["holiday_auto_tune"][1])

@@ -2,35 +2,40 @@
 per-outlet sales windows.
 
 * ``start_ingestion`` — a file stream over the landing folder, each
-  micro-batch runs the batch ``ingest`` (per-file verdicts, anti join
-  against the warehouse ids, first-file-wins inside the batch), appends the
-  new fact rows and the verdicts, and optionally refreshes the holiday
-  auto-tune. The checkpoint lives under the shared ``spark.checkpoint.dir``
-  so a restarted job resumes after the last committed batch; the fact
-  append is keyed by ``transaction_id`` through the anti join, so a replayed
-  batch adds nothing twice.
+  micro-batch runs the batch ``ingest`` (per-file verdicts, first-file-wins inside the
+  batch, comparison with the id index kept beside the fact), appends the
+  new fact rows, their ids, the verdicts and the branch-day totals, and tunes anew the holiday effects of
+  the branches it touched. The checkpoint lives under the shared ``spark.checkpoint.dir``
+  so a restarted job resumes after the last committed batch.
 * ``live_sales`` — event-time windows (watermark on the timestamp) of
-  revenue and orders per outlet.
+  revenue and orders per outlet; ``windows.start_windows`` keeps them in a table.
 * ``dedupe_within_watermark`` — bounded-state duplicate removal by id.
 
 The stream delivers file names; each batch reads its files with the batch
-reader, which groups them by header. So every file gets a verdict, header-only ones
+reader. So every file gets a verdict, header-only ones
 and ones with a wrong header included (a file of zero bytes is never delivered
-by a file stream; the batch reader lists it). A batch's verdicts are written once,
-before its rows: when a batch is replayed after a crash, they stay as they were.
+by a file stream; the batch reader lists it).
+
+A batch that is replayed after a crash adds nothing twice. Its verdicts are written once, before its
+rows, and stay. When they are found, the batch ran before: the ids that the fact already
+has of it are then put into the index first, in case the crash came between the two.
 """
 
 from __future__ import annotations
 
 import os
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators.ingest import ingest
-from ..session import checkpoint_dir
-from ..sources.pos_csv import REQUIRED_COLUMNS, read_pos_files
+from ..operators.ingest import ingest_batch
+from ..operators.tuning import keep_branch_days, tune_load
+from ..session import checkpoint_dir, cut_lineage, path_exists
+from ..sources.id_index import IdIndex
+from ..sources.pos_csv import read_pos_files
 from ..sources.sinks import append_fact
+from .windows import read_windows, start_windows
 
 FILE_SCHEMA = "path string, modificationTime timestamp, length long, content binary"
 #: Files of one micro-batch, whose names pass through the driver.
@@ -43,14 +48,20 @@ def landing_files(spark: SparkSession, landing: str, max_files_per_trigger: int
             .option("maxFilesPerTrigger", max_files_per_trigger or FILES_PER_BATCH).load(landing).select("path"))
 
 
-def _exists(spark: SparkSession, path: str) -> bool:
-    p = spark._jvm.org.apache.hadoop.fs.Path(path)
-    return p.getFileSystem(spark._jsc.hadoopConfiguration()).exists(p)
+def index_path(fact_path: str) -> str:
+    return fact_path.rstrip("/") + "_ids"
+
+
+def _catch_up(spark: SparkSession, fact_path: str, index: IdIndex, ids: DataFrame) -> None:
+    """Index those of ``ids`` that the fact has and the index lacks."""
+    if path_exists(spark, fact_path):
+        loaded = ids.join(spark.read.parquet(fact_path).select("transaction_id"), "transaction_id", "left_semi").distinct()
+        index.append(loaded.join(index.known(loaded), "transaction_id", "left_anti"))
 
 
 def make_batch_handler(fact_path: str, verdict_path: str, branches: DataFrame, weather_daily=None,
-                       holidays: DataFrame | None = None, after_load=None):
-    """foreachBatch function: ingest one micro-batch of files."""
+                       holidays: DataFrame | None = None, after_load=None, tune_path: str | None = None):
+    """foreachBatch function: ingest one micro-batch of files. With ``tune_path`` and ``holidays`` the branches it touches are tuned."""
 
     def handle(batch: DataFrame, epoch_id: int) -> None:
         spark = batch.sparkSession
@@ -58,11 +69,23 @@ def make_batch_handler(fact_path: str, verdict_path: str, branches: DataFrame, w
         if not paths:
             return
         rows, files = read_pos_files(spark, paths)
-        known = spark.read.parquet(fact_path).select("transaction_id") if _exists(spark, fact_path) else None
-        new_rows, verdicts = ingest(rows.select("source_file", *REQUIRED_COLUMNS), files, branches, known, weather_daily, holidays)
-        if not _exists(spark, os.path.join(verdict_path, f"epoch_id={epoch_id}")):
-            (verdicts.withColumn("epoch_id", F.lit(epoch_id)).write.mode("append").partitionBy("epoch_id").parquet(verdict_path))
-        append_fact(new_rows, fact_path)
+        first_time = not path_exists(spark, index_path(fact_path))
+        index = IdIndex(spark, index_path(fact_path))
+        if first_time and path_exists(spark, fact_path):  # a warehouse from before the index
+            index.append(spark.read.parquet(fact_path).select("transaction_id").distinct())
+        verdicts_done = path_exists(spark, os.path.join(verdict_path, f"epoch_id={epoch_id}"))
+        if verdicts_done:
+            _catch_up(spark, fact_path, index, rows.filter("Transaction_ID is not null").select(F.col("Transaction_ID").alias("transaction_id")))
+        r = ingest_batch(rows, files, branches, index, weather_daily, holidays)
+        if not verdicts_done:
+            (r["verdicts"].withColumn("epoch_id", F.lit(epoch_id)).write.mode("append").partitionBy("epoch_id").parquet(verdict_path))
+        new = cut_lineage(r["loaded"], "stream-loaded")
+        if tune_path is not None:
+            keep_branch_days(new, tune_path, epoch_id)
+        append_fact(new, fact_path)
+        index.append(new.select("transaction_id"))
+        if tune_path is not None:
+            tune_load(spark, holidays, tune_path, epoch_id)
         if after_load is not None:
             after_load(spark, epoch_id)
 
@@ -71,10 +94,10 @@ def make_batch_handler(fact_path: str, verdict_path: str, branches: DataFrame, w
 
 def start_ingestion(spark: SparkSession, landing: str, fact_path: str, verdict_path: str, branches: DataFrame,
                     name: str = "pos_ingest", available_now: bool = True, max_files_per_trigger: int | None = None,
-                    weather_daily=None, holidays: DataFrame | None = None, after_load=None):
+                    weather_daily=None, holidays: DataFrame | None = None, after_load=None, tune_path: str | None = None):
     ckpt = os.path.join(checkpoint_dir(spark), "streams", name)
     w = (landing_files(spark, landing, max_files_per_trigger).writeStream
-         .foreachBatch(make_batch_handler(fact_path, verdict_path, branches, weather_daily, holidays, after_load))
+         .foreachBatch(make_batch_handler(fact_path, verdict_path, branches, weather_daily, holidays, after_load, tune_path))
          .option("checkpointLocation", ckpt).queryName(name))
     w = w.trigger(availableNow=True) if available_now else w.trigger(processingTime="30 seconds")
     return w.start()
@@ -103,19 +126,11 @@ def dedupe_within_watermark(stream: DataFrame, ts_col: str = "transaction_ts", w
             .dropDuplicatesWithinWatermark(["transaction_id"]))
 
 
-def run_to_table(df: DataFrame, name: str) -> DataFrame:
-    """Drive a streaming aggregate to completion (availableNow, complete
-    mode) and return the result as a batch DataFrame. Each epoch overwrites
-    a Parquet table in the shared checkpoint folder (executors write it; no
-    result passes through the driver)."""
+def run_to_table(df: DataFrame, name: str, keys: tuple[str, ...] = ("branch_id",)) -> DataFrame:
+    """Drive a windowed streaming aggregate over all that is there (availableNow) into a table of windows in the
+    shared checkpoint folder, and return the table."""
     spark = df.sparkSession
-    base = os.path.join(checkpoint_dir(spark), "streams", f"{name}-{os.getpid()}-{id(df)}")
+    base = os.path.join(checkpoint_dir(spark), "streams", f"{name}-{uuid.uuid4().hex}")
     out = os.path.join(base, "result")
-
-    def write(batch: DataFrame, epoch_id: int) -> None:
-        batch.write.mode("overwrite").parquet(out)
-
-    q = (df.writeStream.outputMode("complete").foreachBatch(write)
-         .option("checkpointLocation", os.path.join(base, "ckpt")).trigger(availableNow=True).start())
-    q.awaitTermination()
-    return spark.read.parquet(out)
+    start_windows(df, out, os.path.join(base, "ckpt"), list(keys)).awaitTermination()
+    return read_windows(spark, out)
