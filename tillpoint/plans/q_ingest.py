@@ -11,6 +11,9 @@ from pyspark.sql import functions as F
 from ..operators import ingest as I
 from ..operators import tuning as T
 from ..operators.weather_ops import daylight_conditions, forecast_daily_summary, forecast_to_slots
+from ..session import cut_lineage
+from ..sources import dims as DM
+from ..sources import sinks as SK
 from ..sources import testviews as V
 from ..sources.id_index import IdIndex
 from ..sources.testviews import with_views
@@ -166,6 +169,64 @@ def q_ingest_balance(spark, sf):
         "source_file", "status", "rows_in", "rows_loaded", "rows_skipped", "rows_rejected", "bad_timestamps")
 
 
+# A10 / F5 — the audit log of the damaged batch, written as two uploads: files before 1995 and later ones
+@register("upload_audit", with_views(_DAMAGED + f"""
+SELECT row_number() OVER (ORDER BY source_file >= 'pos_1995', modified, source_file) AS upload_id, source_file AS filename,
+       round(file_size / (1024 * 1024), 2) AS file_size_mb, modified AS upload_date, {_FINAL} AS status
+FROM fin
+""", *_DAMAGED_VIEWS))
+def q_upload_audit(spark, sf):
+    from ..session import checkpoint_dir
+    log = os.path.join(checkpoint_dir(spark), "tables", f"audit-{uuid.uuid4().hex}")
+    rows = cut_lineage(SK.audit_rows(_damaged(spark, sf)["verdicts"]), "audit-rows")
+    for part in (F.col("filename") < "pos_1995", F.col("filename") >= "pos_1995"):
+        SK.append_audit(rows.filter(part), log)
+    return SK.read_audit_newest_first(spark, log)
+
+
+# A9 / E10 — outlets kept as a change log: inserts (some of them conflicts), replacements, closures and reopenings
+# dealt out by customer key
+@register("branch_change_log", """
+WITH ev AS (
+  SELECT c_custkey AS seq, 'N' || lpad(CAST(c_nationkey AS VARCHAR), 2, '0') || '-' || CAST(c_custkey % 3 AS VARCHAR) AS code,
+         CASE c_custkey % 5 WHEN 0 THEN 'replace' WHEN 1 THEN 'insert' ELSE 'update' END AS op,
+         CASE WHEN c_custkey % 5 IN (0, 1) THEN 'Outlet ' || CAST(c_custkey AS VARCHAR) END AS name,
+         CASE WHEN c_custkey % 5 = 2 THEN CAST(c_custkey % 100 AS DOUBLE) / 100 END AS effect,
+         CASE c_custkey % 5 WHEN 3 THEN 0 WHEN 4 THEN 1 END AS active
+  FROM customer),
+seen AS (SELECT *, coalesce(bool_or(op <> 'update') OVER (PARTITION BY code ORDER BY seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), false) AS there FROM ev),
+ok AS (SELECT * FROM seen WHERE NOT (op = 'insert' AND there) AND NOT (op = 'update' AND NOT there)),
+since AS (SELECT *, max(seq) FILTER (op <> 'update') OVER (PARTITION BY code) AS w FROM ok)
+SELECT code AS branch_code, arg_max(name, seq) FILTER (name IS NOT NULL) AS branch_name,
+       coalesce(arg_max(effect, seq) FILTER (effect IS NOT NULL), 0.0) AS holiday_effect,
+       coalesce(arg_max(active, seq) FILTER (active IS NOT NULL), 1)::INTEGER AS is_active,
+       (SELECT count(*) FROM seen s WHERE s.code = since.code AND ((op = 'insert' AND there) OR (op = 'update' AND NOT there))) AS conflicts
+FROM since WHERE seq >= w GROUP BY code
+""")
+def q_branch_change_log(spark, sf):
+    from ..session import checkpoint_dir
+    k = F.col("c_custkey")
+    case = k % 5
+    changes = V.read(spark, sf, "customer").select(
+        k.alias("seq"), F.concat(F.lit("N"), F.lpad(F.col("c_nationkey").cast("string"), 2, "0"), F.lit("-"), (k % 3).cast("string")).alias("branch_code"),
+        F.when(case == 0, "replace").when(case == 1, "insert").otherwise("update").alias("op"),
+        F.when(case.isin(0, 1), F.concat(F.lit("Outlet "), k.cast("string"))).alias("branch_name"),
+        F.when(case == 2, (k % 100).cast("double") / 100).alias("holiday_effect"),
+        F.when(case == 3, 0).when(case == 4, 1).cast("int").alias("is_active"))
+    path = os.path.join(checkpoint_dir(spark), "tables", f"branch-log-{uuid.uuid4().hex}")
+    log = DM.DimensionLog(spark, path, DM.BRANCH_SCHEMA, "branch_code", {"holiday_effect": 0.0, "is_active": 1})
+    middle = changes.agg(F.percentile_approx("seq", 0.5)).first()[0]
+    log.append(changes.filter(F.col("seq") <= middle), ["seq"])
+    before = log.conflicts().groupBy("branch_code").agg(F.count("*").alias("n"))
+    before = cut_lineage(before, "conflicts")
+    log.compact()
+    log.append(changes.filter(F.col("seq") > middle), ["seq"])
+    after = log.conflicts().groupBy("branch_code").agg(F.count("*").alias("n"))
+    n = before.union(after).groupBy("branch_code").agg(F.sum("n").alias("conflicts"))
+    return (log.state().select("branch_code", "branch_name", "holiday_effect", "is_active").join(n, "branch_code", "left")
+            .fillna(0, ["conflicts"]))
+
+
 # B6 — the day every loaded row was read as, by its file's order of day and month
 @register("ingest_loaded_days", with_views(_DAMAGED + """
 SELECT source_file, CAST(ts AS DATE) AS transaction_date, count(*) AS rows FROM tagged WHERE reason IS NULL GROUP BY 1, 2

@@ -8,6 +8,9 @@ import datetime as dt
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.numbering import numbered_from
+from ..session import path_exists
+
 FACT_PARTITION = "month_key"
 
 
@@ -45,21 +48,28 @@ def replace_forecast(forecast: DataFrame, path: str) -> None:
 
 
 def audit_rows(verdicts: DataFrame, uploaded_at: dt.datetime | None = None) -> DataFrame:
-    """One audit row per file: name, size in MB (rounded 2), time, status."""
-    ts = F.lit(uploaded_at or dt.datetime(1970, 1, 1)).cast("timestamp_ntz")
+    """One audit row per file: name, size in MB (rounded 2), time and status. The size and, unless ``uploaded_at`` is
+    given, the time are those of the file (``file_size`` and ``modified`` of the CSV reader's file list)."""
     cols = verdicts.columns
     size = F.col("file_size") if "file_size" in cols else F.lit(None).cast("long")
+    own = F.col("modified") if "modified" in cols else F.lit(None)
+    when = F.lit(uploaded_at) if uploaded_at else own
     return verdicts.select(F.element_at(F.split("source_file", "/"), -1).alias("filename"),
                            F.round(size / (1024 * 1024), 2).alias("file_size_mb"),
-                           ts.alias("upload_date"), F.col("status"))
+                           when.cast("timestamp_ntz").alias("upload_date"), F.col("status"))
 
 
 def append_audit(rows: DataFrame, path: str) -> None:
-    rows.write.mode("append").parquet(path)
+    """Append audit rows. Their ``upload_id`` goes on from the log's last, without gaps, in the order of
+    time and name; one writer at a time."""
+    spark = rows.sparkSession
+    last = spark.read.parquet(path).agg(F.max("upload_id")).first()[0] if path_exists(spark, path) else None
+    out = numbered_from(rows, [F.col("upload_date"), F.col("filename"), F.col("status")], (last or 0) + 1, "upload_id")
+    out.select("upload_id", *rows.columns).write.mode("append").parquet(path)
 
 
 def read_audit_newest_first(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.parquet(path).orderBy(F.desc("upload_date"), F.desc("filename"))
+    return spark.read.parquet(path).orderBy(F.desc("upload_id"))
 
 
 def existing_ids(spark: SparkSession, fact_path: str, months: DataFrame | None = None) -> DataFrame:
