@@ -185,18 +185,9 @@ def dashboard(fact: DataFrame, outlet: str = "all", time_filter: str = "all", te
 
 
 def business_snapshot(fact: DataFrame) -> DataFrame:
-    """One-row context: totals, date range, daily average, top outlet, peak hour."""
-    tot = fact.agg(dsum("total_bill").alias("_r"), F.count("*").alias("total_txns"),
-                   F.min("transaction_date").alias("first_date"), F.max("transaction_date").alias("last_date"),
-                   F.count_distinct("transaction_date").alias("days"))
-    top = (fact.groupBy("store_location").agg(dsum("total_bill").alias("_o"))
-           .agg(F.max_by("store_location", F.struct("_o", F.col("store_location"))).alias("top_outlet")))
-    peak = (fact.groupBy("hour").agg(F.count("*").alias("_n"))
-            .agg(F.max_by("hour", F.struct("_n", -F.col("hour"))).alias("peak_hour")))
-    # one-row results attached as uncorrelated scalar subqueries (no join)
-    return tot.select(edge("_r").alias("total_rev"), "total_txns", "first_date", "last_date", "days",
-                      ratio("_r", F.greatest("days", F.lit(1))).alias("daily_avg"),
-                      top.scalar().alias("top_outlet"), peak.scalar().alias("peak_hour"))
+    """One-row context: totals, date range, daily average, top outlet, peak hour. One scan of the fact."""
+    from ..operators.context import context
+    return context(fact)["snapshot"]
 
 
 def month_brief(fact: DataFrame, month: str) -> Sections:

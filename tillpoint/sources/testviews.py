@@ -474,6 +474,10 @@ def with_views(body: str, *views: str) -> str:
             parts.append(RAW_POS_SQL.strip())
         elif v == "raw_damaged":
             parts.append(RAW_DAMAGED_SQL.strip())
+        elif v == "pos_offers":
+            parts.append(POS_OFFERS_SQL.strip())
+        elif v == "forecast_prior":
+            parts.append(FORECAST_PRIOR_SQL.strip())
         elif v == "forecast_slots":
             parts.append(FORECAST_SLOTS_SQL.strip())
         elif v.startswith("seasons_"):
@@ -612,3 +616,46 @@ raw_damaged AS (
 damaged_files AS (
   SELECT source_file, f = {_F['missing column']} AS lacks, sum(length(Item_Name)) AS file_size, CAST(d AS TIMESTAMP) AS modified FROM rd GROUP BY source_file, f, d
   UNION ALL SELECT DISTINCT 'pos_' || CAST(year(d) AS VARCHAR) || '-header.csv', false, 300, CAST(make_date(year(d), 12, 31) AS TIMESTAMP) FROM rd)"""
+
+
+# ---------------------------------------------------------------------------
+# Offers: pos_events with promotions of every class, dealt out by event id.
+# ---------------------------------------------------------------------------
+
+#: Promotion code and discount percent of an event by its id modulo 10 (test-view rule).
+OFFERS = [("NONE", 0), ("NONE", 0), ("CAMPAIGN_RAYA_15", 15), ("B1F1_LATTE", 50), ("BUY1FREE1", 50), ("QTY_2FOR1", 45), ("CNY-SPECIAL", 12),
+          ("DISC_10", 10), ("DEEPAVALI_FIX", 0), ("buy-1-free-1", 40)]
+
+
+def pos_offers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    f = pos_events(spark, sf_dir)
+    at = (F.col("transaction_id").cast("long") % len(OFFERS) + 1).cast("int")
+    pct = F.element_at(F.array(*[F.lit(p) for _, p in OFFERS]), at).cast("decimal(3,0)")
+    disc = F.round(F.col("gross_sales") * pct * F.lit(0.01).cast("decimal(3,2)"), 2).cast(MONEY)
+    return f.withColumns({"promo_code": F.element_at(F.array(*[F.lit(c) for c, _ in OFFERS]), at), "discount_amount": disc,
+                          "total_bill": (F.col("gross_sales") - disc).cast(MONEY)})
+
+
+_AT = f"[CAST(CAST(transaction_id AS BIGINT) % {len(OFFERS)} AS INTEGER) + 1]"
+_OFF = f"CAST(round(gross_sales * CAST(([{', '.join(str(p) for _, p in OFFERS)}]){_AT} AS DECIMAL(3,0)) * CAST(0.01 AS DECIMAL(3,2)), 2) AS DECIMAL(18,2))"
+POS_OFFERS_SQL = f"""
+pos_offers AS (
+  SELECT * REPLACE (([{', '.join(repr(c) for c, _ in OFFERS)}]){_AT} AS promo_code, {_OFF} AS discount_amount,
+                    CAST(gross_sales - {_OFF} AS DECIMAL(18,2)) AS total_bill)
+  FROM pos_events)"""
+
+
+def forecast_prior(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A stored forecast on the scale of the sales: each branch's revenue 364 days before; bounds x0.8 / x1.2."""
+    per = (pos_lines(spark, sf_dir, payment=False).groupBy("branch_id", F.date_add("transaction_date", 364).alias("forecast_date"))
+           .agg(F.sum("total_bill").cast(MONEY).alias("_t")))
+    return per.select("branch_id", "forecast_date", F.col("_t").alias("predicted_revenue"),
+                      F.round(F.col("_t") * F.lit(0.8).cast("decimal(2,1)"), 2).alias("lower_bound_revenue"),
+                      F.round(F.col("_t") * F.lit(1.2).cast("decimal(2,1)"), 2).alias("upper_bound_revenue"))
+
+
+FORECAST_PRIOR_SQL = """
+forecast_prior AS (
+  SELECT branch_id, forecast_date, t AS predicted_revenue, round(t * CAST(0.8 AS DECIMAL(2,1)), 2) AS lower_bound_revenue,
+         round(t * CAST(1.2 AS DECIMAL(2,1)), 2) AS upper_bound_revenue
+  FROM (SELECT branch_id, transaction_date + 364 AS forecast_date, CAST(sum(total_bill) AS DECIMAL(18,2)) AS t FROM pos_lines GROUP BY 1, 2))"""
