@@ -89,16 +89,16 @@ def month_over_month(fact: DataFrame) -> DataFrame:
 def sparkline(fact: DataFrame, n: int = 7) -> DataFrame:
     """Latest n trading dates with revenue, ascending."""
     daily = fact.groupBy("transaction_date").agg(dsum(REV).alias("_rev"))
-    return (daily.orderBy(F.desc("transaction_date")).limit(n)
+    return (daily.orderBy(F.desc("transaction_date")).limit(n).orderBy("transaction_date")
             .select("transaction_date", edge("_rev").alias("revenue")))
 
 
 def trend(fact: DataFrame, grain: str = "day") -> DataFrame:
-    """Gross / discount / net per period; grain = day | month | year."""
+    """Gross / discount / net per period, in order of time; grain = day | month | year."""
     fmt = {"day": "yyyy-MM-dd", "month": "yyyy-MM", "year": "yyyy"}[grain]
     return (fact.groupBy(F.date_format("transaction_date", fmt).alias("period"))
             .agg(edge(dsum("gross_sales")).alias("gross"), edge(dsum("discount_amount")).alias("discount"),
-                 edge(dsum(REV)).alias("net")))
+                 edge(dsum(REV)).alias("net")).orderBy("period"))
 
 
 def trend_grain(time_filter: str) -> str:
@@ -110,7 +110,8 @@ def trend_grain(time_filter: str) -> str:
 
 
 def category_revenue(fact: DataFrame) -> DataFrame:
-    return fact.groupBy("product_category").agg(edge(dsum(REV)).alias("revenue"))
+    """Revenue per category, most first."""
+    return fact.groupBy("product_category").agg(edge(dsum(REV)).alias("revenue")).orderBy(F.desc("revenue"), "product_category")
 
 
 def item_quantities(fact: DataFrame) -> DataFrame:
@@ -138,7 +139,23 @@ def distinct_periods(fact: DataFrame) -> DataFrame:
     """Distinct years and months present (descending) — filter lists."""
     return (fact.select(F.date_format("transaction_date", "yyyy").alias("year"),
                         F.date_format("transaction_date", "yyyy-MM").alias("month"))
-            .distinct())
+            .filter("month is not null").distinct().orderBy(F.desc("month")))
+
+
+def filter_lists(fact: DataFrame) -> DataFrame:
+    """The choices of the dashboard's filters, as (list, position, value): years and months, newest first, and outlet names
+    in order. Null dates and null or empty names give no choice.
+
+    Each list has at most as many rows as there are months or outlets."""
+    present = cut_lineage(fact.groupBy(F.date_format("transaction_date", "yyyy-MM").alias("month"), "store_location").agg(F.count("*").alias("_n")),
+                          "filter-values")
+    month = present.select("month").filter("month is not null").distinct()
+    lists = (month.select(F.lit("year").alias("list"), F.substring("month", 1, 4).alias("value")).distinct()
+             .union(month.select(F.lit("month"), "month"))
+             .union(present.filter("trim(store_location) <> ''").select(F.lit("outlet"), "store_location").distinct()))
+    newest = F.when(F.col("list") != "outlet", F.col("value"))
+    nth = F.row_number().over(Window.partitionBy("list").orderBy(newest.desc(), "value"))
+    return lists.withColumn("position", nth).select("list", "position", "value").orderBy("list", "position")
 
 
 def outlet_period_matrix(fact: DataFrame, grain: str = "month") -> DataFrame:
@@ -162,10 +179,10 @@ def outlet_period_matrix(fact: DataFrame, grain: str = "month") -> DataFrame:
 
 def dashboard_metrics(fact: DataFrame) -> DataFrame:
     """Quantity by hour and revenue by category in one result (GROUPING SETS)."""
-    cube = (fact.cube("hour", "product_category")
+    sets = (fact.groupingSets([["hour"], ["product_category"]], "hour", "product_category")
             .agg(F.grouping_id().alias("gid"), F.sum("transaction_qty").cast("bigint").alias("qty"),
                  dsum(REV).alias("_rev")))
-    return cube.filter(F.col("gid").isin(1, 2)).select(
+    return sets.select(
         F.when(F.col("gid") == 1, F.lit("hour")).otherwise(F.lit("category")).alias("dimension"),
         F.when(F.col("gid") == 1, F.col("hour").cast("string")).otherwise(F.col("product_category")).alias("key"),
         "qty", edge("_rev").alias("revenue"))

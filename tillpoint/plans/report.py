@@ -11,7 +11,7 @@ from __future__ import annotations
 
 import datetime as dt
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.dates import dow_sun0, filter_sales
@@ -19,7 +19,7 @@ from ..functions.money import dsum, edge, ratio
 from ..operators import diagnostics as D
 from ..operators import metrics as M
 from ..operators import promo as P
-from ..session import Sections
+from ..session import Sections, cut_lineage
 
 
 def breakdown_keys() -> list:
@@ -61,13 +61,14 @@ def breakdowns(fact: DataFrame, only: str | None = None) -> DataFrame:
 
 
 def shares(bd: DataFrame) -> DataFrame:
-    """Revenue and order shares (%) within each section plus section maxima —
-    windows over the small breakdown result, partitioned by section."""
-    w = Window.partitionBy("section")
+    """Revenue and order shares (%) within each section plus section maxima. The totals, one row a section, are
+    joined back: a section with very many keys (items) stays spread."""
+    bd = cut_lineage(bd, "breakdowns")
     rev = F.col("revenue").cast("decimal(28,2)")
-    return bd.select("*", ratio(rev * 100, F.sum(rev).over(w)).alias("revenue_share"),
-                     ratio(F.col("orders") * 100, F.sum("orders").over(w)).alias("order_share"),
-                     F.max("revenue").over(w).alias("section_max_revenue"))
+    tot = bd.groupBy("section").agg(F.sum(rev).alias("_rev"), F.sum("orders").alias("_orders"), F.max("revenue").alias("section_max_revenue"))
+    return bd.join(F.broadcast(tot), "section").select(
+        *bd.columns, ratio(rev * 100, F.col("_rev")).alias("revenue_share"), ratio(F.col("orders") * 100, F.col("_orders")).alias("order_share"),
+        "section_max_revenue")
 
 
 def top_k(bd: DataFrame, section: str, k: int, by: str = "revenue", bottom: bool = False) -> DataFrame:
@@ -165,11 +166,12 @@ def executive_report(fact: DataFrame, date_from: dt.date, date_to: dt.date, outl
     return Sections(deferred=out)
 
 
-def dashboard(fact: DataFrame, outlet: str = "all", time_filter: str = "all", temp: str = "all") -> Sections:
-    """Dashboard bundle for one filter: KPIs, trend, mixes, heatmap, matrix,
-    promos, diagnostics — each planned when first requested."""
+def dashboard(fact: DataFrame, outlet: str = "all", time_filter: str = "all", temp: str = "all", as_of: dt.date | None = None) -> Sections:
+    """Dashboard bundle for one filter, each part planned when first requested: KPIs, trend, mixes, heatmap, matrix, promos and
+    diagnostics of the filtered sales, their peak hours (overall and by weekday), and of all sales the month-over-month
+    series, the latest seven days, the top outlet of the month before ``as_of`` and the filters' choices."""
     f = filter_sales(fact, branch=outlet, time_filter=time_filter, temp=temp)
-    return Sections(deferred={
+    parts = {
         "kpis": lambda: M.kpi_totals(f),
         "trend": lambda: M.trend(f, M.trend_grain(time_filter)),
         "categories": lambda: M.category_revenue(f),
@@ -181,7 +183,17 @@ def dashboard(fact: DataFrame, outlet: str = "all", time_filter: str = "all", te
         "promo_efficiency": lambda: P.promo_efficiency(f),
         "weather_temperature": lambda: D.weather_temperature(f),
         "payday": lambda: D.payday_spend(f),
-    })
+        "peak_hours": lambda: M.top_hours_per_outlet(f),
+        "weekday_peaks": lambda: M.weekday_hour_peaks(f).orderBy("weekday", "hour"),
+        "month_over_month": lambda: M.month_over_month(fact).orderBy("month"),
+        "sparkline": lambda: M.sparkline(fact),
+        "filters": lambda: M.filter_lists(fact),
+    }
+    if as_of is not None:
+        this = as_of.replace(day=1)
+        last = (this - dt.timedelta(days=1)).replace(day=1)
+        parts["top_outlet"] = lambda: M.top_outlet_in_month(fact, F.lit(last), F.lit(this))
+    return Sections(deferred=parts)
 
 
 def business_snapshot(fact: DataFrame) -> DataFrame:
@@ -218,23 +230,21 @@ def season_brief(fact: DataFrame, seasons: DataFrame) -> DataFrame:
     outlet and peak hour.
 
     One join to the broadcast day table and ONE grouping-sets aggregate
-    (season; season × outlet; season × hour), then one small aggregate per
+    (season × day; season × outlet; season × hour), then one small aggregate per
     season picks the totals, the top outlet and the peak hour with
     conditional sums / ``max_by`` — the fact is scanned once."""
     from ..operators.season import season_days
     days = F.broadcast(season_days(seasons))  # bounded: calendar days of the windows
     j = fact.join(days, fact.transaction_date == days.day)
-    g = j.groupingSets([["season_name"], ["season_name", "store_location"], ["season_name", "hour"]],
-                       "season_name", "store_location", "hour").agg(
+    # the total is summed up from the days, so no distinct days are counted among the rows
+    g = j.groupingSets([["season_name", "transaction_date"], ["season_name", "store_location"], ["season_name", "hour"]],
+                       "season_name", "transaction_date", "store_location", "hour").agg(
         dsum("total_bill").alias("_r"), F.count("*").alias("orders"),
-        F.count_distinct("transaction_date").alias("days"),
-        F.grouping("store_location").alias("_go"), F.grouping("hour").alias("_gh"))
-    is_tot = (F.col("_go") == 1) & (F.col("_gh") == 1)
-    is_outlet = F.col("_go") == 0
-    is_hour = F.col("_gh") == 0
+        F.grouping("transaction_date").alias("_gd"), F.grouping("store_location").alias("_go"), F.grouping("hour").alias("_gh"))
+    is_day, is_outlet, is_hour = (F.col(c) == 0 for c in ("_gd", "_go", "_gh"))
     per = g.groupBy("season_name").agg(
-        F.sum(F.when(is_tot, F.col("_r"))).alias("_r"), F.sum(F.when(is_tot, F.col("orders"))).alias("orders"),
-        F.sum(F.when(is_tot, F.col("days"))).alias("days"),
+        F.sum(F.when(is_day, F.col("_r"))).alias("_r"), F.sum(F.when(is_day, F.col("orders"))).alias("orders"),
+        F.count(F.when(is_day, 1)).alias("days"),
         F.max_by(F.col("store_location"), F.when(is_outlet, F.struct("_r", "store_location"))).alias("top_outlet"),
         F.max_by(F.col("hour"), F.when(is_hour, F.struct("orders", -F.col("hour")))).alias("peak_hour"))
     return per.select("season_name", edge("_r").alias("revenue"), "orders", "days",
