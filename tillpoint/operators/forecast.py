@@ -270,6 +270,27 @@ def product_mix(fact: DataFrame, window_days: int = 30, last_days: DataFrame | N
         (F.col("total_qty") / F.col("_tot").cast("double")).alias("qty_per_rm"))
 
 
+def item_forecast(days: DataFrame, mix: DataFrame) -> DataFrame:
+    """Item quantities of forecast days (branch_id, forecast_date, predicted_revenue) by a product mix; days without
+    revenue and quantities up to 0.001 give no row."""
+    return (days.filter(F.col("predicted_revenue") > 0)
+            .select("branch_id", "forecast_date", F.col("predicted_revenue").cast("double").alias("predicted_revenue"))
+            .join(mix, "branch_id")
+            .withColumn("quantity", F.col("qty_per_rm") * F.col("predicted_revenue"))
+            .filter(F.col("quantity") > 0.001)
+            .select("branch_id", "forecast_date", "item_name", "product_id", "product_detail", "quantity"))
+
+
+def training_frame(fact: DataFrame, holidays: DataFrame, seasons: DataFrame, events: DataFrame) -> DataFrame:
+    """What the model learns from: branch_id, ds, y, weather (the day's dominant one), holiday, season, hist_promo, seasonal_promo
+    (0 or 1) and the feature vector ``x``."""
+    base = cut_lineage(forecast_base(fact), "forecast-base")
+    hist = history_from_base(base)
+    flags = day_flags(holidays, seasons, C.promo_days(events), C.closure_days(events))
+    origin = hist.groupBy("branch_id").agg(F.min("ds").alias("origin"))
+    return add_features(hist, origin, flags, promo_weekdays(stats=promo_stats_from_base(base)))
+
+
 def forecast(fact: DataFrame, branches: DataFrame, as_of: dt.date, holidays: DataFrame, seasons: DataFrame,
              events: DataFrame, future_weather: DataFrame | None = None, horizon: int = HORIZON) -> Sections:
     """Fit every branch and build the horizon. Returns a dict of DataFrames:
@@ -361,12 +382,7 @@ def forecast(fact: DataFrame, branches: DataFrame, as_of: dt.date, holidays: Dat
 
     def items():
         mix = product_mix(fact, last_days=base.groupBy("branch_id").agg(F.max("ds").alias("last")))
-        return (horizon_df.filter(F.col("predicted_revenue") > 0)
-                .select("branch_id", "forecast_date", "predicted_revenue")
-                .join(mix, "branch_id")
-                .withColumn("quantity", F.col("qty_per_rm") * F.col("predicted_revenue"))
-                .filter(F.col("quantity") > 0.001)
-                .select("branch_id", "forecast_date", "item_name", "product_id", "product_detail", "quantity"))
+        return item_forecast(horizon_df, mix)
 
     return Sections({"days": days.drop("_camp"), "horizon": horizon_df, "metrics": metrics, "model": model,
                      "sigma": sigma, "residual": residual}, {"items": items})
