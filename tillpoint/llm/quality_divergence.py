@@ -146,11 +146,13 @@ def judge(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
         in_common = {r["lang"]: r["q"] for r in common.groupBy("lang").agg(F.sum("q").alias("q")).collect()}
         vocabulary = F.broadcast(common.select(F.col("word").alias("known_word")).distinct())
         text_key = [F.col("doc_id"), F.col("text_hash")]
-        # all other words of a text are one row, so a text's counts add up to its words (rows repeated in full included)
-        hits = (d.select("doc_id", F.xxhash64("text").alias("text_hash"), F.explode(words(F.lower("text"))).alias("word"))
-                .join(vocabulary, F.col("word") == F.col("known_word"), "left")
-                .groupBy(*text_key, "known_word").count()
-                .withColumn("p", F.col("count") / F.sum("count").over(Window.partitionBy(*text_key)))
+        # only known words leave the texts; a text's words are counted already, once for every row that repeats it in full
+        sizes_of = (m.groupBy("doc_id", "text_hash").agg((F.first("n_words") * F.count("*")).alias("all_words"))
+                    .select(F.col("doc_id").alias("s_id"), F.col("text_hash").alias("s_hash"), "all_words"))
+        found = (d.select("doc_id", F.xxhash64("text").alias("text_hash"), F.explode(words(F.lower("text"))).alias("word"))
+                 .join(vocabulary, F.col("word") == F.col("known_word")).groupBy(*text_key, "known_word").count())
+        hits = (found.join(sizes_of, F.col("doc_id").eqNullSafe(F.col("s_id")) & (F.col("text_hash") == F.col("s_hash")))
+                .withColumn("p", F.col("count") / F.col("all_words"))
                 .join(F.broadcast(common), F.col("known_word") == F.col("word"))
                 .groupBy(*text_key, "lang")
                 .agg(F.sum(_bits(F.col("p"), F.col("q"))).alias("f"), F.sum("p").alias("p"), F.sum("q").alias("q"))
