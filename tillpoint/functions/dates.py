@@ -99,11 +99,3 @@ def filter_sales(fact: DataFrame, branch: str | None = None, time_filter: str |
         max_date = fact.agg(F.max("transaction_date")).first()[0]
     return fact.filter(sales_predicate(branch, time_filter, max_date, temp, branch_col=branch_col))
 
-
-def day_spine(start: Column, end: Column) -> Column:
-    """Array of all dates start..end inclusive (explode for a dense spine)."""
-    return F.sequence(start, end, F.expr("interval 1 day"))
-
-
-def month_spine(start: Column, end: Column) -> Column:
-    return F.sequence(F.trunc(start, "month"), F.trunc(end, "month"), F.expr("interval 1 month"))

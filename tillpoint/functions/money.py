@@ -50,10 +50,6 @@ def edge(c, scale: int = 2) -> Column:
     return F.round(_c(c), scale).cast("double")
 
 
-def money_total(c, scale: int = 2) -> Column:
-    """Exact SUM rounded and returned as DOUBLE."""
-    return edge(dsum(c), scale)
-
 
 def ratio(num, den) -> Column:
     """Safe division as DOUBLE (NULL on a zero or NULL denominator).

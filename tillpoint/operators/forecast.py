@@ -97,17 +97,6 @@ def promo_stats_from_base(base: DataFrame) -> DataFrame:
             .agg(F.sum("_n").alias("rows"), F.count("*").alias("days_active")))
 
 
-def daily_history(fact: DataFrame) -> DataFrame:
-    """(branch_id, ds, y, weather): daily revenue of bills > 0 with the day's
-    dominant weather (most rows; tie → label)."""
-    pos = fact.filter(F.col("total_bill") > 0)
-    # one scan: (branch, day, weather) partials, then per (branch, day)
-    per = (pos.groupBy("branch_id", F.col("transaction_date").alias("ds"), "weather_condition")
-           .agg(dsum("total_bill").alias("_y"), F.count("*").alias("_n")))
-    return (per.groupBy("branch_id", "ds")
-            .agg(F.sum("_y").cast("double").alias("y"),
-                 F.max_by("weather_condition", F.struct("_n", "weather_condition")).alias("weather")))
-
 
 FLAGS = ["holiday", "season", "seasonal_promo", "closed"]
 
@@ -402,11 +391,6 @@ def trend_line(daily: DataFrame) -> DataFrame:
                                       F.count("*").alias("days"))
 
 
-def history_tail(hist: DataFrame, n: int = 90) -> DataFrame:
-    """Last n history days per branch (payload tail / fitted-vs-actual)."""
-    w = Window.partitionBy("branch_id").orderBy(F.desc("ds"))
-    return hist.withColumn("_r", F.row_number().over(w)).filter(F.col("_r") <= n).drop("_r")
-
 
 def fva_rows(fact: DataFrame, stored: DataFrame, n: int = 90) -> DataFrame:
     """Fitted-vs-actual payload rows: per branch the last n history days

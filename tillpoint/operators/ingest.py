@@ -171,7 +171,7 @@ def tag_rows(std: DataFrame, checks: DataFrame, branches: DataFrame, known: Data
 def to_fact(rows: DataFrame, branches: DataFrame, weather_daily: DataFrame | None = None,
             holidays: DataFrame | None = None, zero_coord: DataFrame | None = None) -> DataFrame:
     """17 raw columns (standardised, valid, active rows, with ``day_first``) → the 27-column fact."""
-    from .weather_ops import attach_weather
+    from .weather_ops import attach_weather, zero_coordinate_branches
 
     rows = rows.withColumn("_ts", parse_timestamp("Timestamp", F.col("day_first")))
     ts = F.col("_ts")
@@ -205,6 +205,8 @@ def to_fact(rows: DataFrame, branches: DataFrame, weather_daily: DataFrame | Non
         *[F.coalesce(F.col(c), F.lit("Unknown")).alias(c) for c in ("store_location", "location_type", "district", "state")],
     )
     if weather_daily is not None:
+        if zero_coord is None and {"latitude", "longitude"} <= set(branches.columns):
+            zero_coord = zero_coordinate_branches(branches)
         fact = attach_weather(fact, weather_daily, zero_coord)
     else:
         fact = fact.withColumn("weather_condition", F.lit("Cloudy"))

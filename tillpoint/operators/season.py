@@ -50,7 +50,3 @@ def seasonal_comparison(fact: DataFrame, seasons: DataFrame, years: list[int] |
     return (agg.filter(F.col("_rev") != 0)
             .select("season_name", F.col("season_year").cast("string").alias("year"), edge("_rev").alias("revenue"),
                     "transactions", "days", ratio("_rev", F.greatest("days", F.lit(1))).alias("daily_avg")))
-
-
-def holiday_days(holidays: DataFrame) -> DataFrame:
-    return holidays.select(F.col("holiday_date").alias("day"), "holiday_name")

@@ -14,6 +14,7 @@ from ..operators import promo as P
 from ..operators.weather_ops import forecast_daily_summary, forecast_to_slots
 from ..sources import testviews as V
 from ..sources.testviews import with_views
+from . import q_analysis, q_report  # noqa: F401 (their oracles are reused)
 from .registry import QUERIES, promo_label, register
 from .q_forecast import PVA_FROM, PVA_TO
 

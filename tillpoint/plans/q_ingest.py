@@ -144,10 +144,10 @@ _FINAL = """CASE WHEN pre IS NOT NULL THEN pre WHEN rows_skipped = rows_accepted
 _DAMAGED_VIEWS = ("pos_lines", "raw_pos", "branches", "raw_damaged")
 
 
-def _damaged(spark, sf):
+def _damaged(spark, sf, holidays=None):
     rows, files = V.raw_damaged(spark, sf)
     existing = V.pos_lines(spark, sf, payment=False).filter(F.col("transaction_date") < F.lit(LOADED_BEFORE).cast("date"))
-    return I.ingest_batch(rows, files, V.branches(spark, sf), existing.select("transaction_id"))
+    return I.ingest_batch(rows, files, V.branches(spark, sf), existing.select("transaction_id"), holidays=holidays)
 
 
 @register("ingest_rejects", with_views(_DAMAGED + """

@@ -476,6 +476,12 @@ def with_views(body: str, *views: str) -> str:
             parts.append(RAW_DAMAGED_SQL.strip())
         elif v == "pos_offers":
             parts.append(POS_OFFERS_SQL.strip())
+        elif v == "pos_young":
+            parts.append(POS_YOUNG_SQL.strip())
+        elif v == "pos_recent":
+            parts.append(POS_RECENT_SQL.strip())
+        elif v == "long_turns":
+            parts.append(LONG_TURNS_SQL.strip())
         elif v == "forecast_prior":
             parts.append(FORECAST_PRIOR_SQL.strip())
         elif v == "forecast_slots":
@@ -611,7 +617,8 @@ raw_damaged AS (
          CASE WHEN f = {_F['unknown outlets']} THEN 'zz-99' WHEN f = {_F['mixed outlets']} AND ln = 3 THEN 'zz-' || Register_ID ELSE Store_ID END AS Store_ID,
          Item_Name,
          CASE WHEN f = {_F['all invalid']} OR (f = {_F['bad rows']} AND ln = 2) THEN '0' WHEN f = {_F['bad rows']} AND ln = 3 THEN 'many'
-              ELSE Quantity_Sold END AS Quantity_Sold, Gross_Sales, Net_Sales
+              ELSE Quantity_Sold END AS Quantity_Sold, Gross_Sales, Net_Sales, Item_Category, Modifiers, Order_Type, Discount_Amount, Promo_Code,
+         CASE WHEN f = {_F['missing column']} THEN NULL ELSE Tax_Amount END AS Tax_Amount, Payment_Type
   FROM rd),
 damaged_files AS (
   SELECT source_file, f = {_F['missing column']} AS lacks, sum(length(Item_Name)) AS file_size, CAST(d AS TIMESTAMP) AS modified FROM rd GROUP BY source_file, f, d
@@ -659,3 +666,57 @@ forecast_prior AS (
   SELECT branch_id, forecast_date, t AS predicted_revenue, round(t * CAST(0.8 AS DECIMAL(2,1)), 2) AS lower_bound_revenue,
          round(t * CAST(1.2 AS DECIMAL(2,1)), 2) AS upper_bound_revenue
   FROM (SELECT branch_id, transaction_date + 364 AS forecast_date, CAST(sum(total_bill) AS DECIMAL(18,2)) AS t FROM pos_lines GROUP BY 1, 2))"""
+
+
+# ---------------------------------------------------------------------------
+# Young outlets, sales of the product calendars' years, and long chat turns.
+# ---------------------------------------------------------------------------
+
+#: Days of history an outlet gets per step of its number (test-view rule); outlet 01 sells on holidays only.
+YOUNG_STEP = 40
+
+
+def pos_young(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """pos_lines where outlet k has only its last YOUNG_STEP * k days, and outlet 01 only its holidays."""
+    f = pos_lines(spark, sf_dir, payment=False)
+    last = date_source(spark, sf_dir).agg(F.max("transaction_date")).scalar()
+    k = F.substring("branch_id", 3, 9).cast("int")
+    young = F.col("transaction_date") > F.date_sub(last, k * YOUNG_STEP)
+    return f.filter(F.when(k == 1, F.col("is_public_holiday") == 1).otherwise(young))
+
+
+POS_YOUNG_SQL = f"""
+pos_young AS (
+  SELECT * FROM pos_lines
+  WHERE CASE WHEN branch_id = 'BR01' THEN is_public_holiday = 1
+             ELSE transaction_date > (SELECT max(transaction_date) FROM pos_lines) - CAST(CAST(substr(branch_id, 3) AS INTEGER) * {YOUNG_STEP} AS INTEGER) END)"""
+
+#: 28 years: the same weekdays, in the years of the product calendars.
+RECENT_MONTHS = 336
+
+
+def pos_recent(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """pos_lines moved by 28 years, without time and calendar columns."""
+    return pos_lines(spark, sf_dir, payment=False).select(
+        "transaction_id", "branch_id", F.add_months("transaction_date", RECENT_MONTHS).alias("transaction_date"), "total_bill", "transaction_qty")
+
+
+POS_RECENT_SQL = f"""
+pos_recent AS (
+  SELECT transaction_id, branch_id, CAST(transaction_date + INTERVAL {RECENT_MONTHS} MONTH AS DATE) AS transaction_date, total_bill, transaction_qty
+  FROM pos_lines)"""
+
+
+def long_turns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The conversations with a chart payload in every third turn and texts three times as long in every second conversation."""
+    c = read(spark, sf_dir, "conversations")
+    payload = F.concat(F.lit('[CHART_DATA={"labels": ["a", "b"], "data": [1, '), F.col("turn").cast("string"), F.lit("]}] "))
+    body = F.when(F.col("conv_id") % 2 == 0, F.repeat("text", 3)).otherwise(F.col("text"))
+    return c.select("conv_id", "turn", "role", F.when(F.col("turn") % 3 == 1, F.concat(payload, body)).otherwise(body).alias("text"))
+
+
+LONG_TURNS_SQL = """
+long_turns AS (
+  SELECT conv_id, turn, role, CASE WHEN turn % 3 = 1 THEN '[CHART_DATA={"labels": ["a", "b"], "data": [1, ' || CAST(turn AS VARCHAR) || ']}] ' ELSE '' END
+         || CASE WHEN conv_id % 2 = 0 THEN repeat(text, 3) ELSE text END AS text
+  FROM conversations)"""
