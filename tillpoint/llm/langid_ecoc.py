@@ -125,9 +125,11 @@ def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
     sample = (rows.select(F.col(id_col).alias("_id"), F.col(lang_col).alias("_lang"), F.xxhash64(F.col(id_col)).alias("_order"))
               .distinct()
               .withColumn("_place", place).filter(F.col("_place") <= each).drop("_place"))
-    picked = (docs.select(F.col(id_col).alias("_id"), F.col(lang_col).alias("_lang"), F.col(text_col).alias("_text"))
+    picked = (rows.select(F.col(id_col).alias("_id"), F.col(lang_col).alias("_lang"), F.col(text_col).alias("_text"))
               .join(F.broadcast(sample), ["_id", "_lang"])  # train_docs rows, or LEAST_DOCS of each language
-              .select("_order", "_lang", "_text"))
+              # of a sampled id's rows one is kept, that of least text hash
+              .groupBy("_id", "_order", "_lang").agg(F.min(F.struct(F.xxhash64("_text").alias("h"), "_text")).alias("_t"))
+              .select("_order", "_lang", F.col("_t._text").alias("_text")))
 
     def learn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         got = []
@@ -141,7 +143,7 @@ def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
                                pa.array([t.astype("<f8").tobytes() for t in trust], pa.binary())],
                               names=["lang", "weights", "trust"])
 
-    model = picked.coalesce(1).mapInArrow(learn, "lang string, weights binary, trust binary").collect()
+    model = picked.repartition(1).mapInArrow(learn, "lang string, weights binary, trust binary").collect()
     if not model:
         return None
     return ([r["lang"] for r in model], np.frombuffer(model[0]["weights"], "<f4").reshape(GRAMS + 1, -1),

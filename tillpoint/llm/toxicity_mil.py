@@ -161,9 +161,10 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     ids = docs.select(F.col(id_col).alias("_id")).distinct()
     sample = (marks.join(ids, "_id", "left_semi").withColumn("_order", F.xxhash64("_id"))
               .orderBy("_order", "_id").limit(train_docs))
+    # at most train_docs rows of three numbers are broadcast; of a sampled id's rows one is kept, that of least text hash
     rows = (docs.select(F.col(id_col).alias("_id"), F.coalesce(F.col(text_col), F.lit("")).alias("_text"))
-            .join(F.broadcast(sample), "_id")  # at most train_docs rows of three numbers
-            .select("_order", "_text", "_label"))
+            .join(F.broadcast(sample), "_id").groupBy("_id", "_order", "_label")
+            .agg(F.min(F.struct(F.xxhash64("_text").alias("h"), "_text")).alias("_t")).select("_order", F.col("_t._text").alias("_text"), "_label"))
 
     def learn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         got = []
@@ -178,7 +179,7 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
             words, weights = [*table, ""], [*table.values(), b]
         yield pa.record_batch([pa.array(words), pa.array(weights, pa.float64())], names=["word", "weight"])
 
-    return [(r["word"], r["weight"]) for r in rows.coalesce(1).mapInArrow(learn, MODEL).collect()]
+    return [(r["word"], r["weight"]) for r in rows.repartition(1).mapInArrow(learn, MODEL).collect()]
 
 
 def _settings(model: list[tuple[str, float]]) -> tuple[dict[str, float], float, float | None]:
