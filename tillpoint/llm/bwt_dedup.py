@@ -264,12 +264,13 @@ def spans(docs: DataFrame, length: int = LENGTH, id_col: str = "doc_id", text_co
                                                         F.min(F.struct("doc_id", "text_key", "place")).alias("at")), "run-counts")
     repeated = materialise(same.filter("n > 1").select("grp", "body"), "repeated-runs")
     first, starts = F.shiftright("place", 16), F.col("place").bitwiseAND(F.lit(PLACE - 1))
-    whole = (table.join(repeated, ["grp", "body"])
-             .select("doc_id", "text_key", first.cast("int").alias("lo"), (first + starts - 1 + length).cast("int").alias("hi")))
+    whole = materialise(table.join(repeated, ["grp", "body"]).select(
+        "doc_id", "text_key", first.cast("int").alias("lo"), (first + starts - 1 + length).cast("int").alias("hi")), "whole-runs")
+    drop_table(table)  # one row a run; only the few that repeat are read below
     kinds = same.groupBy("grp").agg(F.count("*").alias("kinds"), F.min("n").alias("fewest")).filter("kinds > 1 and fewest = 1")
     wanted = same.join(kinds.select("grp", "kinds"), "grp").select("grp", "n", "kinds", "at.*")
     wanted = materialise(wanted, "wanted-runs")
-    drop_table(same)  # the largest of the tables, read by nothing below
+    drop_table(same)
     size = wanted.agg(F.sum(starts + length).alias("b"), F.max("kinds").alias("k")).first()
     found = whole
     if size["b"]:
