@@ -187,6 +187,52 @@ def test_op4_chain_found_across_components(spark):
     assert set(want.values()) == {1}
 
 
+def test_op4_rows_of_one_id_with_several_texts(spark):
+    import random
+    from conftest import prose
+    from tillpoint.llm.minhash_circulant import link
+    rng = random.Random(44)
+    base, far = prose(rng, 200).split(), prose(rng, 200).split()
+
+    def near(words, k):
+        w = words[:]
+        for i in rng.sample(range(len(w)), k):
+            w[i] = f"new{rng.random()}"
+        return " ".join(w)
+
+    rows = [(5, " ".join(base)), (5, " ".join(far)), (9, near(far, 2)), (2, near(base, 2)), (11, near(far, 1)), (20, prose(rng, 200)), (20, near(base, 1)),
+            (None, " ".join(base)), (30, "few words"), (30, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {(r.doc_id, r.component_id) for r in link(docs, percent=80).collect()}
+    assert got == {(5, 2), (9, 2), (2, 2), (11, 2), (20, 2), (None, None), (30, 30)}
+
+
+@pytest.mark.parametrize("block", [512, 7])
+def test_op4_copies_below_the_limit_make_no_pairs(spark, monkeypatch, block):
+    """A hundred copies of one text, each with its own changes, share bands but link with few; and chains among them are found."""
+    import random
+    from conftest import prose
+    from tillpoint.llm import minhash_circulant as M
+    rng = random.Random(45)
+    base = prose(rng, 300).split()
+    rows = []
+    for i in range(100):
+        w = base[:]
+        for k in rng.sample(range(300), 12 if i % 10 else 4):
+            w[k] = f"w{i}x{k}"
+        rows.append((i, " ".join(w), None, None, None))
+    texts = [(i, t) for i, t, *_ in rows]
+    made = []
+    across = M._across
+    monkeypatch.setattr(M, "_across", lambda *a: made.append(across(*a)) or made[-1])
+    monkeypatch.setattr(M, "BLOCK", block)
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    got = {r.doc_id: r.component_id for r in M.link(docs, percent=85).collect()}
+    _, want = brute_components(texts, 85)
+    assert got == want
+    assert made[0].count() < 300  # of 4,950 pairs
+
+
 def test_op4_circulant_coordinates_agree_with_similarity():
     from tillpoint.llm import minhash_circulant as M
     from tillpoint.llm.shingles import mix

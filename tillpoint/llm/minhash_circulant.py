@@ -15,11 +15,18 @@ Work per group, never per pair of a group:
    buckets are. Confirmed links give components;
 3. a class whose other heads still lie in other components is checked against
    these, too;
-4. buckets that still hold several components are searched for links between
-   them. A class' leader is the nearest head it was confirmed with, or itself.
-   Jaccard distance is a metric, so two classes can't be linked if their leaders
-   are further apart than the classes' distances to them and the limit together.
-   Leaders that share a bucket are checked, and only classes this leaves are.
+4. classes of buckets that still hold several components are compared by their
+   rare shingles. In one order of all their shingles, rarest first, two linked sets
+   share one among the first n - ceil(limit n) + 1 of each. So classes meet by each of
+   these that another has; a class whose first shingles stand nowhere else makes no row. Where
+   classes meet they are held against each other inside the task, a block of BLOCK with
+   another. If the shingle is the first they share, what comes after it bounds all they
+   share; only pairs for which that is enough, in different components, leave the
+   task to be verified. No link is lost, and copies that are alike but
+   below the limit, which share every band, are hardly ever paired.
+
+A class is told apart by doc_id and text, so rows of one doc_id with several texts
+are each checked; as one document they share a component.
 
 Defined results: texts without words have no shingles, link with nothing and
 are their own component; texts with fewer words than a shingle have their whole
@@ -45,6 +52,8 @@ WIDTH = 5
 PERCENT = 80
 COORDINATES = 256
 UNIVERSE = 1 << 20
+#: Classes of a block that meet by one shingle.
+BLOCK = 512
 MISS = 1e-4
 _TABLES: dict[int, tuple[np.ndarray, np.ndarray]] = {}
 
@@ -109,24 +118,24 @@ def signatures(docs: DataFrame, percent: int, width: int) -> DataFrame:
 
 
 def verify(pairs: DataFrame, texts: DataFrame, width: int) -> DataFrame:
-    """(a, b, a_md5, b_md5) with the sizes of their sets' intersection and union."""
+    """(a, a_md5, b, b_md5) with the sizes of their sets' intersection and union."""
     t = texts.select(F.col("doc_id").alias("b"), F.col("text_md5").alias("b_md5"), F.col("text").alias("b_text"))
     u = texts.select(F.col("doc_id").alias("a"), F.col("text_md5").alias("a_md5"), F.col("text").alias("a_text"))
-    rows = (pairs.join(t, ["b", "b_md5"]).join(u, ["a", "a_md5"]).select("a", "b", "a_text", "b_text"))
+    rows = pairs.join(t, ["b", "b_md5"]).join(u, ["a", "a_md5"]).select("a", "a_md5", "b", "b_md5", "a_text", "b_text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for lo in range(0, whole.num_rows, 300):
                 batch = whole.slice(lo, 300)
-                a, b, ta, tb = (batch.column(i).to_pylist() for i in range(4))
+                ta, tb = batch.column(4).to_pylist(), batch.column(5).to_pylist()
                 distinct = sorted(set(ta) | set(tb))
                 sets = dict(zip(distinct, shingle_sets(distinct, width)))
                 both = [len(np.intersect1d(sets[x], sets[y], assume_unique=True)) for x, y in zip(ta, tb)]
                 size = [len(sets[x]) + len(sets[y]) - n for x, y, n in zip(ta, tb, both)]
-                yield pa.record_batch([pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array(both, pa.int64()),
-                                       pa.array(size, pa.int64())], names=["a", "b", "both", "size"])
+                yield pa.record_batch([*[batch.column(i) for i in range(4)], pa.array(both, pa.int64()), pa.array(size, pa.int64())],
+                                      names=["a", "a_md5", "b", "b_md5", "both", "size"])
 
-    return rows.mapInArrow(run, "a long, b long, both long, size long")
+    return rows.mapInArrow(run, "a long, a_md5 string, b long, b_md5 string, both long, size long")
 
 
 def link(docs: DataFrame, percent: int = PERCENT, width: int = WIDTH, id_col: str = "doc_id",
@@ -154,12 +163,13 @@ def link(docs: DataFrame, percent: int = PERCENT, width: int = WIDTH, id_col: st
     checked = materialise(verify(least, texts, width).distinct(), "checked")
     found = materialise(components(_linked(checked, percent), "a", "b"), "components")
 
+    pair = ["a", "a_md5", "b", "b_md5"]
     apart = (_with_component(_with_component(heads, found, "a"), found, "b").filter("a_component <> b_component")
-             .join(checked.select("a", "b"), ["a", "b"], "left_anti").select("a", "a_md5", "b", "b_md5"))
+             .join(checked.select(*pair), pair, "left_anti").select(*pair))
     checked = materialise(checked.union(verify(materialise(apart, "apart"), texts, width)).distinct(), "checked")
     found = materialise(components(_linked(checked, percent), "a", "b"), "components")
 
-    more = _across(members, checked, found, texts, percent, width)
+    more = _across(members, found, texts, percent, width)
     if not more.isEmpty():
         links = materialise(_linked(checked, percent).union(_linked(verify(more, texts, width), percent)), "links")
         found = materialise(components(links, "a", "b"), "components")
@@ -182,41 +192,82 @@ def _with_component(df: DataFrame, found: DataFrame, node: str) -> DataFrame:
     return df.join(got, node, "left").withColumn(f"{node}_component", F.coalesce(f"{node}_component", node))
 
 
-def _across(members: DataFrame, checked: DataFrame, found: DataFrame, texts: DataFrame, percent: int, width: int) -> DataFrame:
-    """Pairs of one bucket in different components that the leaders' distances don't rule out."""
-    limit = 1 - percent / 100 + 1e-9
-    confirmed = checked.filter(F.col("both") * 100 >= F.col("size") * percent)
-    leader = (confirmed.groupBy("a").agg(F.min(F.struct((1 - F.col("both") / F.col("size")).alias("d"), "b")).alias("l"))
-              .select("a", F.col("l.b").alias("leader"), F.col("l.d").alias("d")))
-    m = (_with_component(members, found, "a").filter("a <> b")  # a head has met its members
-         .select("bucket", "a", "a_md5", "n", F.col("a_component").alias("component")))
+def _shingle_rows(classes: DataFrame, texts: DataFrame, width: int) -> DataFrame:
+    """(a, a_md5, shingle): the sets of the classes, one row a shingle."""
+    t = texts.select(F.col("doc_id").alias("a"), F.col("text_md5").alias("a_md5"), "text").dropDuplicates(["a", "a_md5"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for lo in range(0, whole.num_rows, 300):
+                batch = whole.slice(lo, 300)
+                sets = shingle_sets(batch.column(2).to_pylist(), width)
+                yield pa.record_batch([batch.column(0), batch.column(1), pa.array([x.astype(np.int64) for x in sets], pa.list_(pa.int64()))],
+                                      names=["a", "a_md5", "shingles"])
+
+    return (t.join(classes.select("a", "a_md5"), ["a", "a_md5"], "left_semi").select("a", "a_md5", "text")
+            .mapInArrow(run, "a long, a_md5 string, shingles array<long>").select("a", "a_md5", F.explode("shingles").alias("shingle")))
+
+
+def _across(members: DataFrame, found: DataFrame, texts: DataFrame, percent: int, width: int) -> DataFrame:
+    """Pairs in different components, of classes that lie in a bucket with several, which rare shingles don't rule out."""
+    key = ["a", "a_md5"]
+    m = _with_component(members, found, "a").select("bucket", *key, "n", F.col("a_component").alias("component"))
     several = m.groupBy("bucket").agg((F.min("component") != F.max("component")).alias("x")).filter("x").select("bucket")
-    m = materialise(m.join(several, "bucket", "left_semi").join(leader, "a", "left")
-                    .withColumn("leader", F.coalesce("leader", "a")).withColumn("d", F.coalesce("d", F.lit(0.0))), "mixed")
-    g = m.groupBy("bucket", "component", "leader").agg(F.max("d").alias("d"), F.min("n").alias("least"), F.max("n").alias("most"))
-    h = g.select("bucket", *[F.col(c).alias(f"{c}2") for c in ("component", "leader", "d", "least", "most")])
-    near = materialise(g.join(h, "bucket").filter("component < component2")
-                       .filter((100 * F.col("most") >= percent * F.col("least2")) & (100 * F.col("most2") >= percent * F.col("least"))),
-                       "near-leaders")
-    # one text per leader is enough to tell their distance
-    md5 = texts.select("doc_id", "text_md5").groupBy("doc_id").agg(F.min("text_md5").alias("text_md5"))
-    pairs = near.select("leader", "leader2").distinct().filter("leader <> leader2")
-    pairs = (pairs.join(md5.select(F.col("doc_id").alias("leader"), F.col("text_md5").alias("a_md5")), "leader")
-             .join(md5.select(F.col("doc_id").alias("leader2"), F.col("text_md5").alias("b_md5")), "leader2")
-             .select(F.col("leader").alias("a"), "a_md5", F.col("leader2").alias("b"), "b_md5"))
-    gap = (verify(pairs, texts, width).groupBy("a", "b").agg(F.min(1 - F.col("both") / F.col("size")).alias("gap"))
-           .select(F.col("a").alias("leader"), F.col("b").alias("leader2"), "gap"))
-    gap = materialise(gap, "leader-gaps")
-    near = (near.join(gap, ["leader", "leader2"], "left").withColumn("gap", F.coalesce("gap", F.lit(0.0)))
-            .filter(F.col("gap") <= F.col("d") + F.col("d2") + limit)
-            .select("bucket", "component", "leader", "component2", "leader2", "gap"))
-    other = m.select("bucket", F.col("component").alias("component2"), F.col("leader").alias("leader2"), F.col("a").alias("b"),
-                     F.col("a_md5").alias("b_md5"), F.col("n").alias("n2"), F.col("d").alias("d2"))
-    return materialise(
-        near.join(m, ["bucket", "component", "leader"]).join(other, ["bucket", "component2", "leader2"])
-        .filter(F.col("gap") <= F.col("d") + F.col("d2") + limit)
-        .filter(100 * F.least("n", "n2") >= percent * F.greatest("n", "n2"))
-        .select("a", "a_md5", "b", "b_md5").distinct(), "across")
+    m = materialise(m.join(several, "bucket", "left_semi").select(*key, "n", "component").distinct(), "mixed")
+    rows = materialise(_shingle_rows(m, texts, width), "mixed-shingles")
+    common = rows.groupBy("shingle").agg(F.count("*").alias("df")).filter("df > 1")
+    # shingles that stand in one class alone are the rarest; they fill the first places and match nothing
+    shared = (rows.join(common, "shingle").groupBy(*key).agg(F.array_sort(F.collect_list(F.struct("df", "shingle"))).alias("shared")))
+    first = (F.col("n") - F.ceil(F.col("n") * percent / 100) + 1).cast("int")
+    own = F.col("n") - F.size("shared")
+    rare = (m.join(shared, key).select(*key, "n", "component", F.posexplode(F.slice("shared", 1, F.greatest(first - own, F.lit(0)).cast("int"))).alias("k", "s"), own.alias("own"))
+            .select(*key, "n", "component", F.col("s.shingle").alias("shingle"), (F.col("own") + F.col("k")).cast("long").alias("place")))
+    rare = materialise(rare, "rare-shingles")
+    met = (rare.groupBy("shingle").agg(F.count("*").alias("size"), (F.min("component") != F.max("component")).alias("x")).filter("x")
+           .select("shingle", F.ceil(F.col("size") / BLOCK).cast("int").alias("blocks")))
+    r = rare.join(met, "shingle").withColumn("own", F.pmod(F.xxhash64(*key), F.col("blocks")).cast("int"))
+    r = r.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    at = ["shingle", "low", "high"]
+    r = r.select("shingle", F.least("own", "other").alias("low"), F.greatest("own", "other").alias("high"), "own", *key, "n", "component", "place")
+    pairs = r.repartition(*at).sortWithinPartitions(*at).mapInArrow(_possible(percent), "a long, a_md5 string, b long, b_md5 string")
+    return materialise(pairs.distinct(), "across")
+
+
+def _possible(percent: int):
+    """Pairs that can be linked, from rows sorted by (shingle, low, high): one group of these at a time is held."""
+    def pairs_of(group: list[tuple]) -> list[tuple]:
+        own, n, component, place = (np.array([row[k] for row in group], np.int64) for k in (3, 6, 7, 8))
+        ok = np.triu(component[:, None] != component[None, :], 1)
+        if group[0][1] != group[0][2]:
+            ok &= own[:, None] != own[None, :]
+        ok &= 100 * np.minimum(n[:, None], n[None, :]) >= percent * np.maximum(n[:, None], n[None, :])
+        need = -(-percent * (n[:, None] + n[None, :]) // (100 + percent))  # of shared shingles, by the limit on their share of the union
+        left = n - place  # from this shingle on
+        ok &= (left[:, None] >= need) & (left[None, :] >= need)
+        return [(*group[i][4:6], *group[j][4:6]) for i, j in zip(*(x.tolist() for x in np.nonzero(ok)))]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[tuple] = []
+        found: list[tuple] = []
+
+        def settled() -> pa.RecordBatch:
+            cols = list(zip(*found)) if found else [[]] * 4
+            return pa.record_batch([pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.string()) * 2)], names=["a", "a_md5", "b", "b_md5"])
+
+        for batch in batches:
+            for row in zip(*(batch.column(i).to_pylist() for i in range(batch.num_columns))):
+                if held and row[:3] != held[0][:3]:
+                    if len(held) > 1:
+                        found += pairs_of(held)
+                    held = []
+                held.append(row)
+            yield settled()
+            found = []
+        if len(held) > 1:
+            found += pairs_of(held)
+        yield settled()
+
+    return run
 
 
 def dedup(docs: DataFrame, percent: int = PERCENT, width: int = WIDTH) -> DataFrame:
