@@ -34,7 +34,7 @@ def test_horizon_reaches_closures_holidays_and_weather(spark):
     assert any(r.promotions.startswith("Shop Closed") for r in h) and len({r.weather for r in h}) >= 3 and len({r.rain_level for r in h}) >= 2
     assert {r.temp == 28.0 and r.pop == 0.0 for r in h if r.weather} == {True, False}  # the default and known weather
     t = q_training_features(spark, SF)
-    for c in ("holiday", "hist_promo", "seasonal_promo"):
+    for c in ("holiday", "seasonal_promo"):
         assert {r[0] for r in t.select(c).distinct().collect()} == {0.0, 1.0}, c
     assert len({r[0] for r in t.select("weather").distinct().collect()}) >= 3
 
