@@ -94,6 +94,13 @@ def test_unknown_or_inactive_branch(spark, tmpdir_path):
     assert v["branch.csv"]["detected_ids"] == ["NOPE", "OLD-01"]
 
 
+def test_a_verdict_lists_every_outlet_of_its_file(spark, tmpdir_path):
+    p = write(tmpdir_path, "many.csv", [row(f"A{i}", store=f"shop-{i % 25:02d}") for i in range(50)])
+    _, v = run(spark, [p])
+    assert v["many.csv"]["n_detected"] == 25
+    assert v["many.csv"]["detected_ids"] == [f"SHOP-{i:02d}" for i in range(25)]
+
+
 def test_same_id_in_two_files_first_file_wins(spark, tmpdir_path):
     a = write(tmpdir_path, "a.csv", [row("T1"), row("T2")])
     b = write(tmpdir_path, "b.csv", [row("T2"), row("T3")])
