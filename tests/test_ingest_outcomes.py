@@ -156,3 +156,34 @@ def test_index_and_table_of_ids_agree(spark, tmpdir_path):
     other, w = ingest(rows, files, branches(spark), known)
     assert sorted(r.transaction_id for r in new.collect()) == sorted(r.transaction_id for r in other.collect())
     assert v.first() == w.first() and v.first().rows_skipped == 17
+
+
+def test_layouts_by_shape_read_what_layouts_alone_read(spark):
+    from tillpoint.operators import ingest as I
+    stamps = ["03/04/2026 10:00", "25/12/2026 10:00:30", "12/25/2026", "31/04/2026", "29/02/2025", "29/02/2024 23:59:59", "00/01/2026", "1/2/2026",
+              "01/02/26", "01/02/2026 24:00", "01/02/2026 23:60", " 01/02/2026", "01/02/2026 ", "01-02-2026", "01/02/+20260", "2026/07/08 09:10:11",
+              "2026/07/08", "2026/13/08 09:10:11", "01/02/-2026", "01/02/02026", "\u0661\u0661/02/2026", "", "yesterday", None, "01/02/2026\n"]
+    df = spark.createDataFrame([(i, s) for i, s in enumerate(stamps)], "i int, s string")
+    for formats in (I.ISO_FORMATS, I.DAY_FIRST_FORMATS, I.MONTH_FIRST_FORMATS):
+        plain = F.coalesce(*[F.try_to_timestamp("s", F.lit(f)) for f in formats])
+        assert [r[0] for r in df.filter(~I._parsed(F.col("s"), formats).eqNullSafe(plain)).select("s").collect()] == []
+
+
+def test_only_rows_of_accepted_files_meet_the_known_ids(spark, tmpdir_path):
+    """Rows of the batch are shuffled with all their columns only when they may be loaded; none is joined on a reason that it has."""
+    p = [write(tmpdir_path, "a.csv", [row("T1"), row("T2"), row("T3", qty="0")]), write(tmpdir_path, "b.csv", [row("T2"), row("T4")]),
+         write(tmpdir_path, "dup.csv", [row("T1"), row("T1")])]
+    r = batch(spark, p, spark.createDataFrame([("T4",), ("T4",), (None,)], "transaction_id string"))
+    loaded = r["loaded"]._jdf.queryExecution().optimizedPlan().toString()
+    assert "LeftAnti" in loaded and "LeftOuter, (" not in loaded.split("LeftAnti")[1]
+    assert {(name(x.source_file), x.transaction_id) for x in r["loaded"].collect()} == {("a.csv", "T1"), ("a.csv", "T2")}
+    assert {(name(x.source_file), x.reason, x.Transaction_ID) for x in r["rejects"].collect()} == {
+        ("a.csv", "NOT_POSITIVE", "T3"), ("b.csv", "REPEATED_IN_BATCH", "T2"), ("b.csv", "ALREADY_LOADED", "T4"), ("dup.csv", "DUPLICATE_IDS", "T1")}
+
+
+def test_damaged_view_joins_the_tables_once(spark):
+    from tillpoint.sources import testviews as V
+    rows, files = V.raw_damaged(spark, SF)
+    for df in (rows, files):
+        plan = df._jdf.queryExecution().optimizedPlan().toString()
+        assert "Join" not in plan and "l_partkey" not in plan
