@@ -63,7 +63,8 @@ def shard_transform(strings: list[np.ndarray], symbol_of: np.ndarray, depth: int
     """Burrows-Wheeler transform of a shard, over two-byte symbols.
 
     Every string gets two end marks. Returns, by rank of the suffix: the symbol before it (0: none), the
-    rank of the suffix two bytes earlier; and the rank by place. Sorted to ``depth`` bytes by doubling."""
+    rank of the suffix two bytes earlier; and the rank by place. Sorted to ``depth`` bytes by doubling: first by as many
+    bytes as fit a number, then only suffixes whose bytes so far are not theirs alone, inside their interval."""
     sizes = np.array([len(s) + 2 for s in strings])
     n = int(sizes.sum())
     ends = np.cumsum(sizes)
@@ -74,25 +75,42 @@ def shard_transform(strings: list[np.ndarray], symbol_of: np.ndarray, depth: int
     base = int(byte.max()) + 1
     symbol = byte[:-1] * base + byte[1:]
     symbol[:n][mark] = 0  # end marks are empty suffixes, all alike
-    rank = np.unique(symbol[:n], return_inverse=True)[1].astype(np.int64)
     left = np.repeat(ends, sizes) - np.arange(n)  # places to the string's end, this one included
-    width = 2
-    while width < depth:
-        later = np.zeros(n, np.int64)
-        has = left > width
-        later[has] = rank[np.flatnonzero(has) + width] + 1
-        key = rank * (n + 2) + later
+    width, key = 1, byte[:n].copy()
+    while width < min(depth, n) and base ** (width + 1) < 1 << 62:
+        key *= base
+        key[:-width] += np.where(left[:-width] > width, byte[width:n], 0)
+        width += 1
+    rank = np.zeros(n, np.int64)  # where a suffix's interval begins
+    tied = np.arange(n)
+    while True:
         order = np.argsort(key)
-        key = key[order]
-        new = np.cumsum(np.concatenate([[0], (key[1:] != key[:-1]).astype(np.int64)]))
-        rank = np.empty(n, np.int64)
-        rank[order] = new
-        width *= 2
-        if new[-1] == n - 1:
+        tied, key = tied[order], key[order]
+        opens = np.ones(len(tied) + 1, bool)
+        opens[1:-1] = key[1:] != key[:-1]
+        first = np.flatnonzero(opens)
+        inside = first[np.cumsum(opens[:-1]) - 1]  # the first of those with the same bytes
+        old = rank[tied]
+        outer = np.flatnonzero(np.concatenate([[True], old[1:] != old[:-1]])) if len(tied) else first
+        counts = np.diff(np.append(outer, len(tied)))
+        rank[tied] = old + inside - np.repeat(outer, counts)
+        tied = tied[~(opens[:-1] & opens[1:])]
+        if not len(tied) or width >= depth:
             break
-    order = np.argsort(rank, kind="stable")
-    place = np.empty(n, np.int64)
-    place[order] = np.arange(n)
+        later = np.zeros(len(tied), np.int64)
+        has = left[tied] > width
+        later[has] = rank[tied[has] + width] + 1
+        key = rank[tied] * (n + 2) + later
+        width *= 2
+    # those still tied keep their order in the shard
+    place = rank
+    tied = np.sort(tied)
+    tied = tied[np.argsort(rank[tied], kind="stable")]
+    old = rank[tied]
+    outer = np.flatnonzero(np.concatenate([[True], old[1:] != old[:-1]])) if len(tied) else np.zeros(0, np.int64)
+    place[tied] = old + np.arange(len(tied)) - np.repeat(outer, np.diff(np.append(outer, len(tied))))
+    order = np.empty(n, np.int64)
+    order[place] = np.arange(n)
     begin = np.repeat(ends - sizes, sizes)
     has = order - begin[order] >= 2
     before = np.zeros(n, np.int64)
