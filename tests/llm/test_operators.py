@@ -488,3 +488,23 @@ def test_op7_learns_rare_ngrams_of_a_large_corpus(spark):
     assert at(code[1], code[0]) > 0.3
     p = model.dish(np.arange(begin), np.full(begin, code[1]), np.full(begin, code[0]))
     assert p.sum() == pytest.approx(1, abs=1e-3)
+
+
+def test_op9_shard_sort_leaves_settled_suffixes_alone(monkeypatch):
+    import tillpoint.llm.bwt_dedup as B
+    rng = np.random.default_rng(5)
+    for letters, depth in ((2, 7), (2, 60), (30, 40), (1, 30)):
+        strings = [rng.integers(97, 97 + letters, int(k)).astype(np.uint8) for k in rng.integers(1, 50, 6)]
+        strings.append(strings[0].copy())
+        used = np.zeros(256, np.int64)
+        used[np.concatenate(strings)] = 1
+        place = B.shard_transform(strings, np.cumsum(used), depth)[2]
+        suffixes = [bytes(s[i:])[:depth] for s in strings for i in range(len(s) + 2)]
+        assert sorted(place.tolist()) == list(range(len(suffixes)))
+        in_order = [suffixes[i] for i in np.argsort(place)]
+        assert in_order == sorted(in_order)
+    sorted_sizes, sort = [], np.argsort
+    monkeypatch.setattr(B.np, "argsort", lambda a, **kw: sorted_sizes.append(len(a)) or sort(a, **kw))
+    text = rng.integers(97, 123, 20_000).astype(np.uint8)  # random: its suffixes differ within a few bytes
+    B.shard_transform([text], np.cumsum(np.bincount(text, minlength=256) > 0), 202)
+    assert sum(sorted_sizes) < 20_100
