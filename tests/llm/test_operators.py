@@ -490,6 +490,47 @@ def test_op7_learns_rare_ngrams_of_a_large_corpus(spark):
     assert p.sum() == pytest.approx(1, abs=1e-3)
 
 
+def test_op7_writes_less_than_its_texts(spark):
+    """Pairs and triples stay with their tokens; no table holds them by their keys."""
+    import glob
+    from tillpoint.llm import lm_hpy as L
+    rng = np.random.default_rng(4)
+    rows = [(i, " ".join(f"w{x}" for x in rng.zipf(1.3, 300) % 5000)) for i in range(300)]
+    folder = os.path.join(spark.sparkContext.getConf().get("spark.checkpoint.dir"), "tables")
+    before = set(glob.glob(f"{folder}/llm-lm-*"))
+    assert len(L.score(spark.createDataFrame(rows, "doc_id long, text string")).collect()) == 300
+    made = [os.path.join(at, f) for d in set(glob.glob(f"{folder}/llm-lm-*")) - before for at, _, files in os.walk(d) for f in files]
+    assert made and sum(map(os.path.getsize, made)) < sum(len(t) for _, t in rows) / 2
+
+
+def test_op7_scores_alike_however_words_are_spread(spark, monkeypatch):
+    from tillpoint.llm import lm_hpy as L
+    rng = np.random.default_rng(6)
+    rows = [(i, " ".join(f"w{x}" for x in rng.zipf(1.4, 60) % 300)) for i in range(100)] + [(3, None), (None, "w1 new w1"), (7, "w1 w1 w2"), (7, "w1 w1 w2")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    key = lambda r: (r["doc_id"] is None, r["doc_id"], r["n_tokens"], r["base_score"])
+    want = sorted(L.score(docs).collect(), key=key)
+    monkeypatch.setattr(L, "CELL_TOKENS", 700)  # w1 and w2 are met more often
+    monkeypatch.setattr(L, "NUMBERED", 5)
+    got = sorted(L.score(docs).collect(), key=key)
+    assert len(got) == len(want) == 104
+    for a, b in zip(got, want):
+        assert a[:5] == b[:5]
+        assert a["base_score"] == pytest.approx(b["base_score"], rel=1e-9)
+        assert a["score"] == pytest.approx(b["score"], rel=1e-7)
+
+
+def test_op7_groups_keys_that_share_their_high_bits():
+    from tillpoint.llm import lm_hpy as L
+    rng = np.random.default_rng(7)
+    for keys in (rng.integers(0, 5, 200), rng.integers(0, 1 << 62, 50), np.zeros(0, np.int64), np.full(3, (1 << 62) + 1)):
+        keys = keys.astype(np.uint64)
+        found, first, number = L.groups(keys)
+        want, at, inverse = np.unique(keys, return_index=True, return_inverse=True)
+        assert found.tolist() == want.tolist() and first.tolist() == at.tolist() and number.tolist() == inverse.tolist()
+        assert L.unpack(L.pack(keys, number))[0].tolist() == keys.tolist()
+
+
 def test_op9_shard_sort_leaves_settled_suffixes_alone(monkeypatch):
     import tillpoint.llm.bwt_dedup as B
     rng = np.random.default_rng(5)

@@ -16,16 +16,19 @@ probability is the average of their predictive probabilities. A dish with one
 customer always has one table, so rounds read only the other n-grams. Chances
 come from a hash of the n-gram, so a task that runs again draws the same.
 
-Every level is a distributed table: n-grams, totals by context, totals by word.
-They meet by joins, and what each task holds is a batch of rows. Texts are dealt
-into slices of some megabytes by a hash of id and text. Each slice sends its
-distinct words, pairs and triples and gets their values back, so an n-gram costs
-one row per slice, not one per token, and none is hot.
+Each token w after t u goes once, packed, to the cell of u. There the restaurants
+of t u and of u, their n-grams and the tables at them are all at hand; only tables
+by word are summed over cells, once a round, and answered to them. A word u met more than CELL_TOKENS
+times is spread over several cells by t; these have the customers of its pairs
+summed, too. Rounds read the packed tokens again and keep only what they seated.
+The last pass sends each text's part of the score from every cell. No n-gram is
+written with its keys, so disk stays at a few bytes a token.
 
 Words and n-grams are compared by 64-bit hashes. Defined results: a null text is
 empty and has the end token alone; without training texts every score is 0.0
 (the unseen word has probability 1); repeated rows are scored once each; other
-columns are ignored.
+columns are ignored. A text is known by its slice and place there, so a task that
+runs again must read its rows in the same order, as a scan of files does.
 """
 
 from __future__ import annotations
@@ -565,7 +568,8 @@ class Model:
                         cell.known = _got(cell.ws, deal, sums["words0", int(cell.split)])[1]
                         yield from finish(cell, root(ROUNDS, cell))
                     elif until.startswith("words"):
-                        yield from _ask(until, 2 * who + cell.split, cell.ws, [cell.word_tables(), cell.known] if until == "words0" else [cell.word_tables()], deal, until != "words0")
+                        columns = [cell.word_tables()] if last else [cell.word_tables(), cell.known]
+                        yield from _ask(until, 2 * who + cell.split, cell.ws, columns, deal, last > 0)
                         if last:
                             yield who, (until, "state", 2 * who + cell.split, cell.state())
                         first = (cell.fixed + cell.customers[0]) * cell.first
